@@ -15,36 +15,28 @@ RULE_DATE_FORMATS = {
     "YYYY/MM/DD": "yyyy/MM/dd",
 }
 
-# shape of the text -> patterns to try in turn
-_SHAPES = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
-    (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}", None),
-    (r"^\d{8}$", ["yyyyMMdd"]),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
-    (r"^\d{4}/\d{1,2}/\d{1,2} ", ["yyyy/M/d H:m:s", "yyyy/M/d H:m"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4} ", ["M/d/yyyy H:m:s", "M/d/yyyy H:m", "d/M/yyyy H:m:s", "d/M/yyyy H:m"]),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"]),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["M.d.yyyy", "d.M.yyyy"]),
-    (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", ["MMM d, yyyy", "MMM d yyyy"]),
-    (r"^[A-Za-z]{4,9} \d{1,2},? \d{4}$", ["MMMM d, yyyy", "MMMM d yyyy"]),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM yyyy"]),
-    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", ["d MMMM yyyy"]),
-]
+_YEAR_FIRST = r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$"
+_YEAR_LAST = r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{4}"
+_NAMED_MONTH = ["[MMMM][MMM] d[,] yyyy", "d [MMMM][MMM] yyyy"]
 
 
 def timestamp_from_text(column: Column) -> Column:
-    """Timestamp, or NULL where no known form fits."""
+    """Timestamp, or NULL where no known form fits.
+
+    Numeric forms are rewritten to year-month-day and cast; a month above
+    twelve means the day came first. Named months have two patterns.
+    """
     text = strip_spaces(column)
-    parsed = None
-    for shape, patterns in _SHAPES:
-        if patterns is None:
-            value = text.try_cast("timestamp")
-        else:
-            value = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in patterns])
-        condition = text.rlike(shape)
-        parsed = F.when(condition, value) if parsed is None else parsed.when(condition, value)
-    return parsed
+    iso = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    iso = F.regexp_replace(iso, r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3")
+    iso = F.regexp_replace(iso, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", "$3-$1-$2")
+    day_first = F.regexp_replace(iso, r"^(\d{4})-(\d{1,2})-(\d{1,2})", "$1-$3-$2")
+    swapped = F.when(text.rlike(_YEAR_LAST), day_first.try_cast("timestamp"))
+    named = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in _NAMED_MONTH])
+    return (
+        F.when(iso.rlike(_YEAR_FIRST), F.coalesce(iso.try_cast("timestamp"), swapped))
+        .when(text.rlike(r"[A-Za-z]{3,9}.* \d{4}$") & text.rlike(r"\d{1,2},? "), named)
+    )
 
 
 def unreadable_date(column: Column, pattern: str) -> Column:

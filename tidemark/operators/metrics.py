@@ -105,14 +105,17 @@ def validity_overall(facts: DataFrame) -> DataFrame:
     )
 
 
-def consistency_columns(facts: DataFrame) -> DataFrame:
+def _consistency() -> Column:
     """Text scores by the spread of its lengths; other types are consistent."""
     spread = F.coalesce(F.try_divide(F.coalesce("length_std", F.lit(0.0)), F.col("length_mean")), F.lit(0.0))
     score = F.when(F.col("data_type") == "text", F.lit(100.0) - spread * 10).otherwise(F.lit(100.0))
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 2)
+
+
+def consistency_columns(facts: DataFrame) -> DataFrame:
+    """Columns without any value have no score."""
     return facts.filter(F.col("rows") > F.col("missing")).select(
-        "column",
-        F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 2).alias("consistency"),
-        "data_type",
+        "column", _consistency().alias("consistency"), "data_type"
     )
 
 
@@ -207,19 +210,20 @@ def column_uniqueness(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def overall_metrics(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """One row with the four overall percentages and their counts."""
+    """One row with the four overall percentages and the duplicate rows."""
     facts = column_facts(df) if facts is None else facts
-    parts = [
-        completeness_overall(facts).select("overall_completeness"),
-        row_uniqueness(df).select("overall_uniqueness", "duplicate_rows"),
-        validity_overall(facts).select("overall_validity"),
-        consistency_overall(facts),
-    ]
-    # four one-row frames side by side
-    joined = parts[0].withColumn("__one", F.lit(1))
-    for part in parts[1:]:
-        joined = joined.join(F.broadcast(part.withColumn("__one", F.lit(1))), "__one")
-    return joined.drop("__one")
+    present = F.col("rows") - F.col("missing")
+    cells, filled = F.sum("rows"), F.sum(present)
+    scores = facts.withColumn("consistency", F.when(present > 0, _consistency()))
+    from_facts = scores.agg(
+        _percent(filled, cells).alias("overall_completeness"),
+        _percent(filled - F.sum("invalid"), filled).alias("overall_validity"),
+        F.round(F.coalesce(F.avg("consistency"), F.lit(0.0)), 2).alias("overall_consistency"),
+        F.lit(1).alias("__one"),
+    )
+    # two one-row frames side by side
+    from_rows = row_uniqueness(df).select("overall_uniqueness", "duplicate_rows", F.lit(1).alias("__one"))
+    return from_facts.join(F.broadcast(from_rows), "__one").drop("__one")
 
 
 def quality_score(overall: DataFrame) -> DataFrame:
@@ -241,17 +245,22 @@ def quality_score(overall: DataFrame) -> DataFrame:
 
 def column_scores(facts: DataFrame, uniqueness: DataFrame) -> DataFrame:
     """Long table (category, column, score) of all four dimensions."""
-    parts = [
-        (completeness_columns(facts), "completeness"),
-        (uniqueness, "uniqueness"),
-        (validity_columns(facts), "validity"),
-        (consistency_columns(facts), "consistency"),
+    present = F.col("rows") - F.col("missing")
+    scores = {
+        "completeness": _percent(present, F.col("rows")),
+        "uniqueness": F.col("uniqueness"),
+        "validity": _percent(present - F.col("invalid"), present),
+        "consistency": F.when(present > 0, _consistency()),
+    }
+    rows = [
+        F.struct(F.lit(n).alias("category"), F.col("column").alias("column"), v.alias("score"))
+        for n, v in scores.items()
     ]
-    rows = [p.select(F.lit(n).alias("category"), "column", F.col(n).alias("score")) for p, n in parts]
-    result = rows[0]
-    for part in rows[1:]:
-        result = result.unionByName(part)
-    return result
+    return (
+        facts.join(F.broadcast(uniqueness.select("column", "uniqueness")), "column")
+        .select(F.inline(F.array(*rows)))
+        .filter("score IS NOT NULL")
+    )
 
 
 def problematic_columns(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -260,6 +269,16 @@ def problematic_columns(scores: DataFrame, threshold: float = THRESHOLD) -> Data
     return scores.filter(F.col("score") < threshold).withColumn("rank", F.row_number().over(worst))
 
 
+def _one_decimal(value: Column) -> Column:
+    """One decimal, rounded by the exact binary value; exact ties go to even."""
+    whole = F.floor(value)
+    rest = value - whole
+    digit = F.floor(rest * 10)
+    tie = (digit * 10 + 5) / F.lit(100.0)
+    up = (rest > tie) | ((rest == tie) & (digit % 2 == 1))
+    return F.format_string("%.1f", whole + (digit + up.cast("int")) / F.lit(10.0))
+
+
 def recommendations(overall: DataFrame, problems: DataFrame) -> DataFrame:
     """Advice per dimension whose overall value is too low.
 
@@ -270,7 +289,7 @@ def recommendations(overall: DataFrame, problems: DataFrame) -> DataFrame:
         .groupBy("category")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "column"))).alias("worst"))
     )
-    percent = lambda name: F.format_string("%.1f", F.col(name))
+    percent = lambda name: _one_decimal(F.col(name))
     # Limits, severities and wording of the advice.
     completeness = F.concat(
         F.lit("Dataset has "), percent("overall_completeness"),
