@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_words
@@ -12,6 +12,15 @@ CHUNK_SIZE = 512
 CHUNK_OVERLAP = 50
 
 
+def window(chunk_size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> tuple[int, int]:
+    """Words per chunk and words between two starts."""
+    size = chunk_size // 4
+    stride = size - overlap // 4
+    if stride <= 0:
+        raise ValueError("the overlap must be smaller than the chunk")
+    return size, stride
+
+
 def chunk_documents(
     documents: DataFrame,
     id_column: str = "doc_id",
@@ -24,10 +33,7 @@ def chunk_documents(
     Windows start every size - overlap words, so the last one may lie wholly
     inside the one before. A text without words has no chunks.
     """
-    size = chunk_size // 4
-    stride = size - overlap // 4
-    if stride <= 0:
-        raise ValueError("the overlap must be smaller than the chunk")
+    size, stride = window(chunk_size, overlap)
     split = documents.select(F.col(id_column), split_words(F.col(text_column)).alias("__words"))
     sized = split.filter(F.size("__words") > 0).withColumn("__n", F.size("__words"))
     starts = F.sequence(F.lit(0), F.col("__n") - 1, F.lit(stride))
@@ -39,3 +45,10 @@ def chunk_documents(
         F.least(F.col("start_idx") + size, F.col("__n")).alias("end_idx"),
         F.array_join(F.slice("__words", F.col("start_idx") + 1, size), " ").alias("text"),
     )
+
+
+def chunks_of_word(position: Column, size: int, stride: int) -> Column:
+    """Numbers of the chunks that hold the word at a position."""
+    last = F.floor(position / stride).cast("int")
+    first = F.greatest(F.lit(0), F.ceil((position - (size - 1)) / stride).cast("int"))
+    return F.sequence(first, last)

@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE
-from .chunking import chunk_documents
+from ..functions.text import SPACE, split_words, strip_spaces
+from ..session import cut_lineage, spread
+from .chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents, chunks_of_word, window
 
 TOP_K = 8
 # Query words beyond this many are joined by shuffle, not broadcast.
@@ -83,7 +84,7 @@ def expand_query(queries: DataFrame, id_column: str = "query_id", text_column: s
 
 
 class Corpus:
-    """Chunked documents prepared for one set of queries."""
+    """Documents prepared for one set of queries."""
 
     def __init__(
         self,
@@ -91,12 +92,14 @@ class Corpus:
         queries: DataFrame,
         id_column: str = "doc_id",
         text_column: str = "text",
-        chunks: DataFrame | None = None,
+        chunk_size: int = CHUNK_SIZE,
+        overlap: int = CHUNK_OVERLAP,
     ):
-        self.documents = documents
+        self.documents = documents.select(F.col(id_column), F.col(text_column).alias("text"))
         self.id = id_column
-        self.chunks = chunks if chunks is not None else chunk_documents(documents, id_column, text_column)
-        self.terms = expand_query(queries)
+        self.chunk_size, self.overlap = chunk_size, overlap
+        # the words of the queries are needed in several places; they are found once
+        self.terms = cut_lineage(expand_query(queries))
         self.queries = queries
         self.small = self.terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
         self.matches = self._matches()
@@ -105,10 +108,23 @@ class Corpus:
         return F.broadcast(df) if self.small else df
 
     def _matches(self) -> DataFrame:
-        """Distinct (document, chunk_no, term) for words that occur in a query."""
-        words = self.chunks.select(self.id, "chunk_no", F.explode(lower_words(F.col("text"))).alias("term"))
+        """Distinct (document, chunk_no, term) for words that occur in a query.
+
+        The rows are placed by document. A corpus of few splits is spread by
+        document before it is cut into words, any other one afterwards, when
+        only the words of the queries are left.
+        """
+        documents, placed = spread(self.documents, self.id)
+        words = documents.select(
+            self.id, F.posexplode(split_words(F.lower(F.col("text")))).alias("position", "term")
+        )
         vocabulary = self.terms.select("term").distinct()
-        return words.join(self._near(vocabulary), "term", "left_semi").repartition(self.id)
+        found = words.join(self._near(vocabulary), "term", "left_semi")
+        if not placed:
+            found = found.repartition(self.id)
+        size, stride = window(self.chunk_size, self.overlap)
+        numbers = F.explode(chunks_of_word(F.col("position"), size, stride)).alias("chunk_no")
+        return found.select(self.id, numbers, "term").dropDuplicates([self.id, "chunk_no", "term"])
 
     def total_documents(self) -> int:
         return max(self.documents.count(), 1)
@@ -157,12 +173,11 @@ class Corpus:
 
     def best_chunks(self) -> DataFrame:
         """(query, document, chunk_no, score): the first chunk with the highest score."""
-        best = F.max(F.struct(F.col("score"), (-F.col("chunk_no")).alias("place")))
-        return (
-            self.chunk_scores()
-            .groupBy("query_id", self.id)
-            .agg(best.alias("best"))
-            .select("query_id", self.id, (-F.col("best.place")).alias("chunk_no"), F.col("best.score").alias("score"))
+        # Fixed-width buffers keep all three aggregates hash based; the first of
+        # them leaves one chunk per score, so the last has no ties to settle.
+        firsts = self.chunk_scores().groupBy("query_id", self.id, "score").agg(F.min("chunk_no").alias("chunk_no"))
+        return firsts.groupBy("query_id", self.id).agg(
+            F.max_by("chunk_no", "score").alias("chunk_no"), F.max("score").alias("score")
         )
 
     def search(self, k: int = TOP_K) -> DataFrame:
@@ -172,15 +187,15 @@ class Corpus:
         other documents at score 0.
         """
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), self.id)
-        hits = (
-            self.best_chunks()
-            .withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= k)
+        hits = cut_lineage(
+            self.best_chunks().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         )
         ranked = hits.unionByName(self._fill(hits, k))
-        # at most k rows per query look up their text
+        # at most k rows per query look up their text; only these documents are cut again
         wanted = ranked.select(self.id, "chunk_no").distinct()
-        texts = self.chunks.select(self.id, "chunk_no", "text").join(self._near(wanted), [self.id, "chunk_no"])
+        cited = self.documents.join(self._near(wanted.select(self.id).distinct()), self.id, "left_semi")
+        chunks = chunk_documents(cited, self.id, "text", self.chunk_size, self.overlap)
+        texts = chunks.select(self.id, "chunk_no", "text").join(self._near(wanted), [self.id, "chunk_no"])
         return ranked.join(texts, [self.id, "chunk_no"]).select(
             "query_id", "rank", self.id, "chunk_no", "score", "text"
         )
@@ -196,7 +211,8 @@ class Corpus:
         )
         asked = self.terms.select("query_id").distinct()
         short = asked.join(self._near(found), "query_id", "left").filter(F.coalesce("found", F.lit(0)) < k)
-        first = self.chunks.filter("chunk_no = 0").select(self.id).orderBy(self.id).limit(k)
+        with_words = self.documents.filter(strip_spaces(F.col("text")) != "")
+        first = with_words.select(self.id).orderBy(self.id).limit(k)
         listed = first.agg(F.array_sort(F.collect_list(self.id)).alias("first"), F.lit(1).alias("__one"))
         candidates = short.withColumn("__one", F.lit(1)).join(F.broadcast(listed), "__one")
         matched = F.coalesce("matched", F.expr("slice(first, 1, 0)"))

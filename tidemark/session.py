@@ -55,6 +55,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written to the shared folder and read back.
+
+    Like a checkpoint it survives the loss of executors, but the rows are
+    computed once, not once to count and once to save.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> tuple[DataFrame, bool]:
+    """Rows over all cores by key, if the scan has fewer splits than there are cores.
+
+    For frames that come straight from a scan. A large table has splits enough
+    and is left as it is; the flag says whether the rows were moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df, False
+    return df.repartition(cores, *keys), True
