@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["rules", "metrics", "reconcile", "cleaning", "sources", "synth", "text", "checklist"]
+AREAS = ["rules", "metrics", "reconcile", "cleaning", "sources", "synth", "text", "checklist", "streaming"]
 
 
 def _merged(attribute: str) -> dict:

@@ -8,6 +8,7 @@ from tidemark.operators import corpus as D
 from tidemark.operators import search as S
 from tidemark.operators.chunking import chunk_documents
 from tidemark.operators.vectors import vector_topk
+from tidemark.session import spread
 
 from .fixtures import view, with_views
 
@@ -58,7 +59,7 @@ def delete_documents(spark, sf_dir):
 
 
 def corpus_stats(spark, sf_dir):
-    documents = view(spark, sf_dir, "documents")
+    documents, _ = spread(view(spark, sf_dir, "documents"), "doc_id")
     return D.corpus_stats(documents, chunk_documents(documents))
 
 
@@ -75,7 +76,7 @@ def vector_neighbours(spark, sf_dir):
 
 
 QUERIES = {
-    "chunk_documents": lambda spark, sf_dir: chunk_documents(view(spark, sf_dir, "documents")),
+    "chunk_documents": lambda spark, sf_dir: chunk_documents(spread(view(spark, sf_dir, "documents"), "doc_id")[0]),
     "expand_query": lambda spark, sf_dir: S.expand_query(view(spark, sf_dir, "search_queries")),
     "idf": lambda spark, sf_dir: _rounded(_corpus(spark, sf_dir).idf(), "idf"),
     "chunk_scores": lambda spark, sf_dir: _rounded(_corpus(spark, sf_dir).chunk_scores(), "score"),

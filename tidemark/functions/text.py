@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # Everything Unicode calls white space, plus the four ASCII separators that
 # the Java class leaves out.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+WORD_CHARACTER = r"(?U)[^\s\x1c-\x1f]"
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 # Control characters, zero-width marks and the byte-order mark.

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, split_words, strip_spaces
+from ..functions.text import SPACE, WORD_CHARACTER, split_words
 from ..session import cut_lineage, spread
 from .chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents, chunks_of_word, window
 
@@ -211,7 +211,7 @@ class Corpus:
         )
         asked = self.terms.select("query_id").distinct()
         short = asked.join(self._near(found), "query_id", "left").filter(F.coalesce("found", F.lit(0)) < k)
-        with_words = self.documents.filter(strip_spaces(F.col("text")) != "")
+        with_words = self.documents.filter(F.col("text").rlike(WORD_CHARACTER))
         first = with_words.select(self.id).orderBy(self.id).limit(k)
         listed = first.agg(F.array_sort(F.collect_list(self.id)).alias("first"), F.lit(1).alias("__one"))
         candidates = short.withColumn("__one", F.lit(1)).join(F.broadcast(listed), "__one")
