@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException, PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,8 +113,10 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
 def scan_delta(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.format("delta").load(path)
-    except (AnalysisException, PySparkException) as error:
-        raise RuntimeError("reading Delta tables needs the Delta connector on the classpath") from error
+    except (PySparkException, Py4JJavaError) as error:
+        if "ClassNotFound" in str(error) or "DATA_SOURCE_NOT_FOUND" in str(error):
+            raise RuntimeError("reading Delta tables needs the Delta connector on the classpath") from error
+        raise
 
 
 def scan(spark: SparkSession, path: str, **options) -> DataFrame:
