@@ -59,7 +59,7 @@ def delete_documents(spark, sf_dir):
 
 
 def corpus_stats(spark, sf_dir):
-    documents, _ = spread(view(spark, sf_dir, "documents"), "doc_id")
+    documents = spread(view(spark, sf_dir, "documents"), "doc_id")
     return D.corpus_stats(documents, chunk_documents(documents))
 
 
@@ -76,7 +76,7 @@ def vector_neighbours(spark, sf_dir):
 
 
 QUERIES = {
-    "chunk_documents": lambda spark, sf_dir: chunk_documents(spread(view(spark, sf_dir, "documents"), "doc_id")[0]),
+    "chunk_documents": lambda spark, sf_dir: chunk_documents(spread(view(spark, sf_dir, "documents"), "doc_id")),
     "expand_query": lambda spark, sf_dir: S.expand_query(view(spark, sf_dir, "search_queries")),
     "idf": lambda spark, sf_dir: _rounded(_corpus(spark, sf_dir).idf(), "idf"),
     "chunk_scores": lambda spark, sf_dir: _rounded(_corpus(spark, sf_dir).chunk_scores(), "score"),

@@ -41,6 +41,12 @@ def test_missing(latest, items):
     assert [r["item_id"] for r in rows if r["run_id"] == 2] == [2, 3, 1, 4]
 
 
+def test_large_templates_are_met_in_blocks(latest, items, monkeypatch):
+    whole = sorted(map(tuple, K.missing_items(latest, items).collect()))
+    monkeypatch.setattr(K, "BLOCK", 1)
+    assert sorted(map(tuple, K.missing_items(latest, items).collect())) == whole
+
+
 def test_recommendations(frame, latest, items):
     docs = frame([(1, "spark.md", "spark tests are good"), (2, "null.md", "null checks matter"), (3, "x.md", "other words")], "doc_id int, filename string, text string")
     rows = {r["run_id"]: r for r in K.recommendations(latest, items, docs).collect()}

@@ -32,8 +32,10 @@ def test_corrected_target_agrees_with_gold(frame, gold):
 
 def test_gold_duplicates_are_refused(frame):
     gold = frame([("A", 1.0), ("a", 2.0), ("B", 3.0)], "k string, v double")
-    with pytest.raises(ValueError, match="Duplicate keys found in GOLD"):
-        run(gold, gold, ["k"], ["v"])
+    with pytest.raises(ValueError, match=r"Duplicate keys found in GOLD dataset: \['a'\]... \(1 total\)"):
+        run(gold, gold, ["k"], ["v"], check_gold="eager")
+    with pytest.raises(Exception, match="Duplicate keys found in GOLD dataset: a"):
+        run(gold, gold, ["k"], ["v"]).summary.collect()
 
 
 def test_missing_columns_name_the_side(frame, gold):

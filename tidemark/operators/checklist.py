@@ -1,6 +1,6 @@
 """Coverage of checklists by the marks of many runs.
 
-Items are a template of bounded size; marks grow with the runs.
+Marks grow with the runs; every per-run figure is one row per run and item.
 """
 
 from __future__ import annotations
@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from .search import Corpus
 
 TOP_ITEMS = 5
+# template rows per array
+BLOCK = 10_000
 # Fixed value: opening of the search text for missing items.
 ADVICE_QUERY = "Forneça recomendações para implementar os seguintes itens de QA de Big Data:\n"
 
 
 def latest_marks(marks: DataFrame, order_by: list[str]) -> DataFrame:
     """One status per (run, item), the one set last; combined on the map side."""
-    return marks.groupBy("run_id", "item_id").agg(F.max_by("status", F.struct(*order_by)).alias("status"))
+    last = F.max(F.struct(*order_by, "status")).getField("status")
+    return marks.groupBy("run_id", "item_id").agg(last.alias("status"))
 
 
 def coverage(latest: DataFrame, items: DataFrame) -> DataFrame:
@@ -32,32 +35,40 @@ def coverage(latest: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def run_items(latest: DataFrame, items: DataFrame) -> DataFrame:
-    """Every run with every item and its status, NULL where unmarked.
+def _with_template(latest: DataFrame, template: DataFrame) -> DataFrame:
+    """Every run with every row of the template.
 
-    The items are exploded from one array per run, then met by their marks.
+    The template is packed into arrays of about BLOCK rows; each run meets the
+    arrays by block number and unpacks them.
     """
-    template = items.agg(
-        F.collect_list(F.struct("item_id", "dimension", "priority_weight")).alias("items"), F.lit(1).alias("__one")
+    blocks = -(-template.count() // BLOCK) or 1
+    columns = template.columns
+    packed = template.groupBy(F.pmod(F.xxhash64(columns[0]), F.lit(blocks)).alias("block")).agg(
+        F.collect_list(F.struct(*columns)).alias("rows")
     )
-    runs = latest.select("run_id").distinct().withColumn("__one", F.lit(1))
-    grid = runs.join(F.broadcast(template), "__one").select("run_id", F.inline("items"))
+    runs = latest.select("run_id").distinct()
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    numbered = runs.select("run_id", numbers.alias("block"))
+    near = F.broadcast(packed) if blocks == 1 else packed
+    return numbered.join(near, "block").select("run_id", F.inline("rows"))
+
+
+def run_items(latest: DataFrame, items: DataFrame) -> DataFrame:
+    """Every run with every item and its status, NULL where unmarked."""
+    grid = _with_template(latest, items.select("item_id", "dimension", "priority_weight"))
     return grid.join(latest, ["run_id", "item_id"], "left")
 
 
 def coverage_by_dimension(latest: DataFrame, items: DataFrame) -> DataFrame:
     """Known items per dimension and how many of them each run has done."""
     sizes = items.groupBy("dimension").agg(F.count(F.lit(1)).alias("total"))
-    known = F.broadcast(items.select("item_id", "dimension"))
     done = (
         latest.filter(F.col("status") == "DONE")
-        .join(known, "item_id")
+        .join(items.select("item_id", "dimension"), "item_id")
         .groupBy("run_id", "dimension")
         .agg(F.count(F.lit(1)).alias("done"))
     )
-    template = sizes.agg(F.collect_list(F.struct("dimension", "total")).alias("d"), F.lit(1).alias("__one"))
-    runs = latest.select("run_id").distinct().withColumn("__one", F.lit(1))
-    grid = runs.join(F.broadcast(template), "__one").select("run_id", F.inline("d"))
+    grid = _with_template(latest, sizes)
     share = F.col("done") * F.lit(100.0) / F.col("total")
     return (
         grid.join(done, ["run_id", "dimension"], "left")
@@ -81,7 +92,7 @@ def recommendations(latest: DataFrame, items: DataFrame, documents: DataFrame, k
     Runs that miss the same items share one search.
     """
     top = missing_items(latest, items).filter(F.col("place") <= TOP_ITEMS)
-    named = top.join(F.broadcast(items.select("item_id", "code", "title")), "item_id")
+    named = top.join(items.select("item_id", "code", "title"), "item_id")
     listed = F.array_sort(F.collect_list(F.struct("place", "code", "title")))
     text = F.concat(
         F.lit(ADVICE_QUERY),

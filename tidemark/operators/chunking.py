@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import split_words
+from ..functions.text import has_words, split_words
 
 # Sizes in characters; four characters count as a word.
 CHUNK_SIZE = 512
@@ -34,9 +34,11 @@ def chunk_documents(
     inside the one before. A text without words has no chunks.
     """
     size, stride = window(chunk_size, overlap)
-    split = documents.select(F.col(id_column), split_words(F.col(text_column)).alias("__words"))
-    sized = split.filter(F.size("__words") > 0).withColumn("__n", F.size("__words"))
-    starts = F.sequence(F.lit(0), F.col("__n") - 1, F.lit(stride))
+    # filtered by the text, not by its words: Spark moves the filter to the scan
+    present = documents.filter(has_words(F.col(text_column)))
+    split = present.select(F.col(id_column), split_words(F.col(text_column)).alias("__words"))
+    sized = split.withColumn("__n", F.size("__words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("__n") - 1), F.lit(stride))
     placed = sized.select(id_column, "__words", "__n", F.posexplode(starts).alias("chunk_no", "start_idx"))
     return placed.select(
         id_column,

@@ -31,7 +31,9 @@ class Options:
     null_equals_zero: bool = True
     duplicate_policy: str = "keep_last"
     order_by: list[str] = field(default_factory=list)
-    check_gold: bool = True
+    # "inline": the job fails on a repeated trusted key; "eager": a pass of its
+    # own lists the repeated keys first; "off": the keys are known to be distinct
+    check_gold: str = "inline"
 
 
 class Reconciliation(NamedTuple):
@@ -65,13 +67,14 @@ def composite_key(df: DataFrame, keys: list[str], options: Options = Options())
 
 
 def gold_duplicate_keys(gold: DataFrame, keys: list[str], options: Options = Options()) -> DataFrame:
-    """Keys that occur more than once on the trusted side."""
+    """Keys that occur more than once on the trusted side, with their counts."""
     keyed = composite_key(gold, keys, options)
     counts = keyed.groupBy("composite_key").agg(F.count(F.lit(1)).alias("count"))
     return counts.filter("count > 1")
 
 
 def check_gold(gold: DataFrame, keys: list[str], options: Options = Options()) -> None:
+    """Raises with five repeated keys and their number, if there are any."""
     duplicates = gold_duplicate_keys(gold, keys, options)
     first = [r[0] for r in duplicates.orderBy("composite_key").limit(5).collect()]
     if first:
@@ -79,6 +82,20 @@ def check_gold(gold: DataFrame, keys: list[str], options: Options = Options()) -
         raise ValueError(f"Duplicate keys found in GOLD dataset: {first}... ({total} total)")
 
 
+def _distinct_or_fail(trusted: DataFrame, names: list[str]) -> DataFrame:
+    """The same rows; running them fails if a key occurs twice.
+
+    The grouping is by the join key, so it adds no shuffle to the join.
+    """
+    values = [c for c in trusted.columns if c not in names]
+    grouped = trusted.groupBy(*names).agg(
+        F.count(F.lit(1)).alias("__rows"), *[F.max(quoted(v)).alias(v) for v in values]
+    )
+    message = F.concat(F.lit("Duplicate keys found in GOLD dataset: "), F.concat_ws("||", *names))
+    failed = F.raise_error(message).cast("boolean")
+    return grouped.filter(F.when(F.col("__rows") == 1, True).otherwise(failed)).drop("__rows")
+
+
 def _number(df: DataFrame, name: str, options: Options) -> Column:
     column, dtype = F.col(quoted(name)), df.schema[name].dataType
     if isinstance(dtype, NUMERIC):
@@ -114,11 +131,11 @@ def merge_duplicates(
     if not options.order_by:
         raise ValueError("keep_last needs order_by: rows of a table have no order of their own")
     rest = [c for c in df.columns if c not in names]
-    row = F.struct(*[F.col(quoted(c)) for c in rest])
     # the whole row settles ties, so the choice never depends on the layout
-    order = F.struct(*[F.col(quoted(c)).alias(f"o{i}") for i, c in enumerate(options.order_by)], row)
-    kept = df.groupBy(*names).agg(F.max_by(row, order).alias("__row"))
-    return kept.select(*names, *[F.col("__row").getField(c).alias(c) for c in rest])
+    order = [F.col(quoted(c)).alias(f"o{i}") for i, c in enumerate(options.order_by)]
+    last = F.max(F.struct(*order, F.struct(*[F.col(quoted(c)) for c in rest]).alias("row")))
+    kept = df.groupBy(*names).agg(last.alias("__last"))
+    return kept.select(*names, *[F.col("__last.row").getField(c).alias(c) for c in rest])
 
 
 def _prepared(df: DataFrame, keys: list[str], values: list[str], side: str) -> DataFrame:
@@ -153,14 +170,17 @@ def reconcile(
     target = _prepared(target, keys, values, "TARGET")
     names = [f"__k{i}" for i in range(len(keys))]
 
-    if options.check_gold:
+    if options.check_gold == "eager":
         check_gold(gold, keys, options)
 
     for v in values:
         target = target.withColumn(v, _number(target, v, options))
     trusted = key_columns(gold, keys, options).select(
-        *names, *[_number(gold, v, options).alias(f"__g_{v}") for v in values], F.lit(True).alias("__in_gold")
+        *names, *[_number(gold, v, options).alias(f"__g_{v}") for v in values]
     )
+    if options.check_gold == "inline":
+        trusted = _distinct_or_fail(trusted, names)
+    trusted = trusted.withColumn("__in_gold", F.lit(True))
     single = merge_duplicates(key_columns(target, keys, options), keys, values, options)
     columns = [c for c in single.columns if c not in names]
     joined = single.withColumn("__in_target", F.lit(True)).join(trusted, names, "full_outer")

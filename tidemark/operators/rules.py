@@ -369,15 +369,11 @@ def valid_subset(
 
 def first_per_key(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
     """The first row of each key in the given order, combined map-side."""
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(quoted(c)) for c in rest])
-    order = F.struct(*[F.col(quoted(c)) for c in order_by])
-    best = df.groupBy(*[F.col(quoted(c)) for c in keys]).agg(F.min_by(row, order).alias("__row"))
+    rest = order_by + [c for c in df.columns if c not in keys and c not in order_by]
+    first = F.min(F.struct(*[F.col(quoted(c)) for c in rest]))
+    best = df.groupBy(*[F.col(quoted(c)) for c in keys]).agg(first.alias("__row"))
     return best.select(
-        *[
-            F.col(quoted(c)) if c in keys else F.col("__row").getField(c).alias(c)
-            for c in df.columns
-        ]
+        *[F.col(quoted(c)) if c in keys else F.col("__row").getField(c).alias(c) for c in df.columns]
     )
 
 

@@ -12,13 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, WORD_CHARACTER, split_words
+from ..functions.text import has_words, split_words
 from ..session import cut_lineage, spread
 from .chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents, chunks_of_word, window
 
 TOP_K = 8
 # Query words beyond this many are joined by shuffle, not broadcast.
-BROADCAST_TERMS = 500_000
+BROADCAST_TERMS = 200_000
 TERM_SALTS = 32
 # Scores are sums of logarithms; rounding keeps ties ties in any order of addition.
 SCORE_DIGITS = 10
@@ -67,7 +67,7 @@ QUERY_PUNCTUATION = ".,;:!?\"'()"
 
 def lower_words(column: Column) -> Column:
     """Distinct words of a text: lower case, cut at white space, punctuation kept."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(column), SPACE)), "")
+    return F.array_distinct(split_words(F.lower(column)))
 
 
 def expand_query(queries: DataFrame, id_column: str = "query_id", text_column: str = "query") -> DataFrame:
@@ -98,77 +98,84 @@ class Corpus:
         self.documents = documents.select(F.col(id_column), F.col(text_column).alias("text"))
         self.id = id_column
         self.chunk_size, self.overlap = chunk_size, overlap
-        # the words of the queries are needed in several places; they are found once
-        self.terms = cut_lineage(expand_query(queries))
-        self.queries = queries
-        self.small = self.terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        self.matches = self._matches()
+        # The words of the queries are found once and numbered; the corpus is
+        # joined and grouped by number from there on.
+        words = cut_lineage(expand_query(queries))
+        self.small = words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        distinct = words.select("term").distinct()
+        self.vocabulary = cut_lineage(distinct.withColumn("term_id", F.monotonically_increasing_id()))
+        self.terms = words.join(self._near(self.vocabulary), "term")
+        self.found = self._found()
 
     def _near(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
 
-    def _matches(self) -> DataFrame:
-        """Distinct (document, chunk_no, term) for words that occur in a query.
+    def _found(self) -> DataFrame:
+        """(document, position, term_id) of words that occur in a query, placed by document.
 
-        The rows are placed by document. A corpus of few splits is spread by
-        document before it is cut into words, any other one afterwards, when
-        only the words of the queries are left.
+        Only these rows move. Frequencies and scores both start from here, so
+        Spark cuts the texts into words once and shares the shuffle.
         """
-        documents, placed = spread(self.documents, self.id)
+        documents = spread(self.documents.filter(has_words(F.col("text"))), self.id)
         words = documents.select(
             self.id, F.posexplode(split_words(F.lower(F.col("text")))).alias("position", "term")
         )
-        vocabulary = self.terms.select("term").distinct()
-        found = words.join(self._near(vocabulary), "term", "left_semi")
-        if not placed:
-            found = found.repartition(self.id)
+        return words.join(self._near(self.vocabulary), "term").drop("term").repartition(self.id)
+
+    def matches(self) -> DataFrame:
+        """Distinct (document, chunk_no, term_id)."""
         size, stride = window(self.chunk_size, self.overlap)
         numbers = F.explode(chunks_of_word(F.col("position"), size, stride)).alias("chunk_no")
-        return found.select(self.id, numbers, "term").dropDuplicates([self.id, "chunk_no", "term"])
+        return self.found.select(self.id, numbers, "term_id").dropDuplicates([self.id, "chunk_no", "term_id"])
 
     def total_documents(self) -> int:
         return max(self.documents.count(), 1)
 
-    def idf(self) -> DataFrame:
-        """(term, document_frequency, idf) of every query term, absent ones included."""
+    def _idf(self) -> DataFrame:
         total = self.total_documents()
         frequency = (
-            self.matches.select(self.id, "term")
-            .dropDuplicates([self.id, "term"])
-            .groupBy("term")
+            self.found.select(self.id, "term_id")
+            .dropDuplicates([self.id, "term_id"])
+            .groupBy("term_id")
             .agg(F.count(F.lit(1)).alias("document_frequency"))
         )
         found = F.log(F.lit(float(total + 1)) / (F.col("document_frequency") + 1)) + 1.0
-        vocabulary = self.terms.select("term").distinct()
-        return vocabulary.join(frequency, "term", "left").select(
+        return self.vocabulary.join(frequency, "term_id", "left").select(
             "term",
+            "term_id",
             F.coalesce("document_frequency", F.lit(0).cast("long")).alias("document_frequency"),
             F.when(F.col("document_frequency").isNull(), F.lit(ABSENT_IDF)).otherwise(found).alias("idf"),
         )
 
+    def idf(self) -> DataFrame:
+        """(term, document_frequency, idf) of every query term, absent ones included."""
+        return self._idf().drop("term_id")
+
     def _weights(self) -> DataFrame:
-        """(query, term, weight): idf over the number of query terms."""
+        """(query, term_id, weight): idf over the number of query terms."""
         sizes = self.terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
         return (
-            self.terms.join(self._near(self.idf().select("term", "idf")), "term")
+            self.terms.join(self._near(self._idf().select("term_id", "idf")), "term_id")
             .join(self._near(sizes), "query_id")
-            .select("query_id", "term", (F.col("idf") / F.col("size")).alias("weight"))
+            .select("query_id", "term_id", (F.col("idf") / F.col("size")).alias("weight"))
         )
 
     def chunk_scores(self) -> DataFrame:
         """(query, document, chunk_no, score) for every pair that shares a word."""
         weights = self._weights()
         if self.small:
-            joined = self.matches.join(F.broadcast(weights), "term")
+            joined = self.matches().join(F.broadcast(weights), "term_id")
         else:
             # a frequent word is spread over many tasks
             salt = F.pmod(F.xxhash64(self.id, "chunk_no"), F.lit(TERM_SALTS)).cast("int")
             salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1)))
-            joined = self.matches.withColumn("salt", salt).join(
-                weights.withColumn("salt", salts), ["term", "salt"]
+            joined = self.matches().withColumn("salt", salt).join(
+                weights.withColumn("salt", salts), ["term_id", "salt"]
             )
+        # plain arithmetic: round() goes through decimals, row by row
+        unit = float(10**SCORE_DIGITS)
         return joined.groupBy("query_id", self.id, "chunk_no").agg(
-            F.round(F.sum("weight"), SCORE_DIGITS).alias("score")
+            (F.floor(F.sum("weight") * unit + 0.5) / unit).alias("score")
         )
 
     def best_chunks(self) -> DataFrame:
@@ -193,7 +200,9 @@ class Corpus:
         ranked = hits.unionByName(self._fill(hits, k))
         # at most k rows per query look up their text; only these documents are cut again
         wanted = ranked.select(self.id, "chunk_no").distinct()
-        cited = self.documents.join(self._near(wanted.select(self.id).distinct()), self.id, "left_semi")
+        cited = self.documents.join(
+            self._near(wanted.select(self.id).distinct()), self.id, "left_semi"
+        ).repartition(self.id)
         chunks = chunk_documents(cited, self.id, "text", self.chunk_size, self.overlap)
         texts = chunks.select(self.id, "chunk_no", "text").join(self._near(wanted), [self.id, "chunk_no"])
         return ranked.join(texts, [self.id, "chunk_no"]).select(
@@ -211,7 +220,7 @@ class Corpus:
         )
         asked = self.terms.select("query_id").distinct()
         short = asked.join(self._near(found), "query_id", "left").filter(F.coalesce("found", F.lit(0)) < k)
-        with_words = self.documents.filter(F.col("text").rlike(WORD_CHARACTER))
+        with_words = self.documents.filter(has_words(F.col("text")))
         first = with_words.select(self.id).orderBy(self.id).limit(k)
         listed = first.agg(F.array_sort(F.collect_list(self.id)).alias("first"), F.lit(1).alias("__one"))
         candidates = short.withColumn("__one", F.lit(1)).join(F.broadcast(listed), "__one")

@@ -66,13 +66,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> tuple[DataFrame, bool]:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows over all cores by key, if the scan has fewer splits than there are cores.
 
-    For frames that come straight from a scan. A large table has splits enough
-    and is left as it is; the flag says whether the rows were moved.
+    For frames that come straight from a scan and for work that is heavy per
+    row. A large table has splits enough and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df, False
-    return df.repartition(cores, *keys), True
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -159,15 +159,16 @@ def parse_delimited_lines(lines: DataFrame, names: list[str], sep: str = ",") ->
     schema = ", ".join([*(f"c{i} STRING" for i in range(len(names))), "raw STRING"])
     options = {"sep": sep, "columnNameOfCorruptRecord": "raw"}
     cells = present.withColumn("c", F.from_csv("line", schema, options))
-    first = present.groupBy("file").agg(F.min("at").alias("first_at"))
-    header = (
-        F.col("at").eqNullSafe(F.col("first_at"))
-        & F.col("c.c0").rlike(r"\p{L}")
-        & F.col("c.c0").contains("_")
+    fitting = cells.filter(F.col("c.raw").isNull()).select(
+        "file", "at", *[F.col(f"c.c{i}").alias(n) for i, n in enumerate(names)]
     )
-    fits = F.col("c.raw").isNull()
-    return (
-        cells.join(F.broadcast(first), "file")
-        .filter(fits & ~F.coalesce(header, F.lit(False)))
-        .select("file", "at", *[F.col(f"c.c{i}").alias(n) for i, n in enumerate(names)])
+    first_cell = F.get(F.split(F.col("line"), rf"\Q{sep}\E"), F.lit(0))
+    headers = (
+        present.groupBy("file")
+        .agg(F.min(F.struct("at", "line")).alias("first"))
+        .select("file", "first.*")
+        .filter(first_cell.rlike(r"\p{L}") & first_cell.contains("_"))
+        .select("file", "at")
     )
+    # joined on file and place, which no two lines share, so a long file is no hot key
+    return fitting.join(headers, ["file", "at"], "left_anti")
