@@ -143,12 +143,6 @@ def inspect_dataset(spark, sf_dir):
     return P.inspect_dataset(view(spark, sf_dir, "customer"), "parquet")
 
 
-def data_types(spark, sf_dir):
-    """Type classes of a table next to its size (schema and metadata only)."""
-    df = _dirty(spark, sf_dir)
-    return M.data_type_distribution(df).join(F.broadcast(M.dataset_info(df).select("rows")))
-
-
 def _report(name):
     return lambda spark, sf_dir: getattr(quality_report(_dirty(spark, sf_dir)), name)
 
@@ -157,6 +151,7 @@ QUERIES = {
     "completeness_columns": _on_facts(M.completeness_columns),
     "completeness_overall": _on_facts(M.completeness_overall),
     "row_uniqueness": lambda spark, sf_dir: M.row_uniqueness(view(spark, sf_dir, "dup_customer")),
+    "row_uniqueness_wide": lambda spark, sf_dir: M.row_uniqueness_wide(view(spark, sf_dir, "dup_customer")),
     "column_uniqueness": lambda spark, sf_dir: M.column_uniqueness(_dirty(spark, sf_dir)),
     "validity_columns": _on_facts(M.validity_columns),
     "validity_overall": _on_facts(M.validity_overall),
@@ -180,6 +175,14 @@ QUERIES = {
 }
 
 
+ROW_UNIQUENESS = with_views(
+    """
+    SELECT round(100.0 * u / t, 2)::DOUBLE AS overall_uniqueness, t AS total_rows, u AS unique_rows, t - u AS duplicate_rows
+    FROM (SELECT (SELECT count(*) FROM (SELECT DISTINCT * FROM dup_customer) d) AS u, (SELECT count(*) FROM dup_customer) AS t) AS x""",
+    "dup_customer",
+)
+
+
 def _numeric_sql(columns, digits, table, extra=""):
     return "\nUNION ALL\n".join(
         f"SELECT '{c}' AS \"column\", {extra.format(c=c)} round(min({c})::DOUBLE, {digits}) AS min, round(max({c})::DOUBLE, {digits}) AS max, "
@@ -190,11 +193,6 @@ def _numeric_sql(columns, digits, table, extra=""):
     )
 
 
-def _finite(c, kind):
-    # DuckDB raises on the spread of infinite values; Spark gives NaN
-    return c
-
-
 def _profile_sql(c, kind):
     number, text = kind in ("integer", "float"), kind == "text"
     std = "CAST('NaN' AS DOUBLE)" if kind == "float" else f"round(stddev_samp({c}), 2)"
@@ -240,12 +238,8 @@ ORACLE = {
         "SELECT round(100.0 * sum(rows - missing) / sum(rows), 2)::DOUBLE AS overall_completeness, sum(rows)::BIGINT AS total_cells, "
         "sum(missing)::BIGINT AS missing_cells, sum(rows - missing)::BIGINT AS filled_cells FROM facts"
     ),
-    "row_uniqueness": with_views(
-        """
-        SELECT round(100.0 * u / t, 2)::DOUBLE AS overall_uniqueness, t AS total_rows, u AS unique_rows, t - u AS duplicate_rows
-        FROM (SELECT (SELECT count(*) FROM (SELECT DISTINCT * FROM dup_customer) d) AS u, (SELECT count(*) FROM dup_customer) AS t) AS x""",
-        "dup_customer",
-    ),
+    "row_uniqueness": ROW_UNIQUENESS,
+    "row_uniqueness_wide": ROW_UNIQUENESS,
     "column_uniqueness": _sql("SELECT * FROM uniq"),
     "validity_columns": _sql("SELECT * FROM validity"),
     "validity_overall": _sql(

@@ -138,6 +138,20 @@ def rule_presets(spark, sf_dir):
     return R.rules_summary(df, rules).select("rule", "failed_count", "status")
 
 
+def check_digit(values):
+    """The last digit is the sum of the others modulo ten (on whole batches)."""
+    digits = values.astype("int64")
+    last, rest, total = digits % 10, digits // 10, 0
+    while (rest > 0).any():
+        total, rest = total + rest % 10, rest // 10
+    return total % 10 == last
+
+
+def rule_custom(spark, sf_dir):
+    rule = {"type": "custom", "column": "o_custkey", "name": "check_digit", "predicate": check_digit}
+    return R.failing_rows(view(spark, sf_dir, "dirty_orders"), rule).select("o_orderkey", "o_custkey")
+
+
 def rule_conditional(spark, sf_dir):
     rule = next(r for r in RULES if r["type"] == "conditional")
     return R.failing_rows(view(spark, sf_dir, "dirty_orders"), rule).select("o_orderkey", "o_totalprice")
@@ -213,6 +227,7 @@ QUERIES = {
     "rule_foreign_key": rule_foreign_key,
     "rule_presets": rule_presets,
     "rule_conditional": rule_conditional,
+    "rule_custom": rule_custom,
     "valid_subset": valid_subset,
     "quarantine_split": quarantine_split,
     "null_or_blank": null_or_blank,
@@ -268,6 +283,13 @@ ORACLE = {
     "rule_conditional": _failing_sql(
         CONDITIONS["conditional_o_totalprice_o_totalprice"], "o_orderkey", "o_totalprice"
     ),
+    "rule_custom": with_views(
+        """
+        SELECT o_orderkey, o_custkey FROM dirty_orders
+        WHERE o_custkey IS NOT NULL
+          AND coalesce(list_sum([CAST(d AS INT) FOR d IN string_split(CAST(o_custkey // 10 AS VARCHAR), '')]), 0) % 10 <> o_custkey % 10""",
+        "dirty_orders",
+    ),
     "valid_subset": with_views(
         f"""
         SELECT o_custkey, order_date_text, min(o_orderkey) AS o_orderkey FROM dirty_orders

@@ -36,6 +36,14 @@ def test_row_uniqueness(frame):
     assert (row["overall_uniqueness"], row["duplicate_rows"]) == (80.0, 1)
 
 
+@pytest.mark.parametrize("near", [0, 1000])
+def test_wide_rows_give_the_same(frame, near):
+    rows = [(1.0, "a"), (0.0, "z"), (-0.0, "z"), (float("nan"), None), (float("nan"), None), (1.0, "a"), (1.0, "b"), (None, None)]
+    df = frame(rows, "x double, s string")
+    assert M.row_uniqueness_wide(df, near).first() == M.row_uniqueness(df).first()
+    assert M.row_uniqueness_wide(df.limit(0), near).first()["total_rows"] == 0
+
+
 def test_column_uniqueness(frame):
     df = frame([(1.0, "a"), (0.0, "a"), (-0.0, None), (float("nan"), "b")], "x double, y string")
     exact = by_column(M.column_uniqueness(df))

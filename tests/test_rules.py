@@ -144,3 +144,10 @@ def test_suggested_rules_run(people):
 def test_timeliness_of_nothing(frame):
     empty = frame([], "ts timestamp")
     assert R.timeliness(empty, "ts", "2024-01-01 00:00:00", 3).first()["timeliness"] == 0.0
+
+
+def test_custom_predicate(frame):
+    df = frame([(1,), (2,), (None,), (4,)], "v long")
+    rule = {"type": "custom", "column": "v", "name": "even", "predicate": lambda values: values % 2 == 0}
+    assert [r["v"] for r in R.failing_rows(df, rule).collect()] == [1]
+    assert summary(df, [rule])["even"]["failed_count"] == 1

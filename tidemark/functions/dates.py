@@ -16,26 +16,28 @@ RULE_DATE_FORMATS = {
 }
 
 _YEAR_FIRST = r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$"
-_YEAR_LAST = r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{4}"
+_OTHER_NUMERIC = r"^(\d{8}$|\d{4}[/.]\d{1,2}[/.]\d|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})"
+_MONTH_NAME = r"^([A-Za-z]{3,9} \d{1,2},? \d{4}|\d{1,2} [A-Za-z]{3,9} \d{4})$"
 _NAMED_MONTH = ["[MMMM][MMM] d[,] yyyy", "d [MMMM][MMM] yyyy"]
 
 
 def timestamp_from_text(column: Column) -> Column:
     """Timestamp, or NULL where no known form fits.
 
-    Numeric forms are rewritten to year-month-day and cast; a month above
-    twelve means the day came first. Named months have two patterns.
+    The usual year-month-day is cast as it is. Other numeric forms are
+    rewritten to it first; a month above twelve means the day came before the
+    month. Named months have two patterns.
     """
     text = strip_spaces(column)
     iso = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
     iso = F.regexp_replace(iso, r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3")
     iso = F.regexp_replace(iso, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", "$3-$1-$2")
-    day_first = F.regexp_replace(iso, r"^(\d{4})-(\d{1,2})-(\d{1,2})", "$1-$3-$2")
-    swapped = F.when(text.rlike(_YEAR_LAST), day_first.try_cast("timestamp"))
+    day_first = F.regexp_replace(text, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", "$3-$2-$1")
     named = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in _NAMED_MONTH])
     return (
-        F.when(iso.rlike(_YEAR_FIRST), F.coalesce(iso.try_cast("timestamp"), swapped))
-        .when(text.rlike(r"[A-Za-z]{3,9}.* \d{4}$") & text.rlike(r"\d{1,2},? "), named)
+        F.when(text.rlike(_YEAR_FIRST), text.try_cast("timestamp"))
+        .when(text.rlike(_OTHER_NUMERIC), F.coalesce(iso.try_cast("timestamp"), day_first.try_cast("timestamp")))
+        .when(text.rlike(_MONTH_NAME), named)
     )
 
 

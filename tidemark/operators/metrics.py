@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.missing import FLOATING, INTEGRAL, NUMERIC, TEXTUAL, is_missing, null_if_missing, quoted
 from ..functions.text import strip_spaces
+from ..session import cut_lineage
 from .median import SMALL, exact_medians
 
 THRESHOLD = 80.0
@@ -125,16 +126,49 @@ def consistency_overall(facts: DataFrame) -> DataFrame:
     )
 
 
-def row_uniqueness(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each set of identical rows count as duplicates."""
-    groups = df.groupBy(*[F.col(quoted(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    total, unique = F.coalesce(F.sum("__n"), F.lit(0)).cast("long"), F.count(F.lit(1))
-    return groups.agg(
+def _uniqueness(total: Column, unique: Column) -> list[Column]:
+    return [
         _percent(unique, total).alias("overall_uniqueness"),
         total.alias("total_rows"),
         unique.alias("unique_rows"),
         (total - unique).alias("duplicate_rows"),
+    ]
+
+
+def row_uniqueness(df: DataFrame) -> DataFrame:
+    """Rows beyond the first of each set of identical rows count as duplicates."""
+    groups = df.groupBy(*[F.col(quoted(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    total = F.coalesce(F.sum("__n"), F.lit(0)).cast("long")
+    return groups.agg(*_uniqueness(total, F.count(F.lit(1))))
+
+
+def row_uniqueness_wide(df: DataFrame, near: int = 1_000_000) -> DataFrame:
+    """The same figures without shuffling whole rows, for wide tables with few duplicates.
+
+    Rows are grouped by a 64-bit hash first. A hash that occurs once is one
+    distinct row; only rows with a repeated hash are compared in full, so
+    colliding hashes do no harm. With more than ``near`` repeated hashes this
+    is no gain and the rows are grouped directly.
+    """
+
+    def cell(field: T.StructField) -> Column:
+        column = F.col(quoted(field.name))
+        # the two zeros are equal, their hashes need not be
+        return column + F.lit(0.0).cast(field.dataType) if isinstance(field.dataType, FLOATING) else column
+
+    hashed = df.withColumn("__hash", F.xxhash64(*[cell(f) for f in df.schema]))
+    repeated = cut_lineage(
+        hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
     )
+    found = repeated.agg(F.count(F.lit(1)).alias("hashes"), F.coalesce(F.sum("__n"), F.lit(0)).alias("rows")).first()
+    if found["hashes"] > near:
+        return row_uniqueness(df)
+    suspects = hashed.join(F.broadcast(repeated.select("__hash")), "__hash", "left_semi").drop("__hash")
+    distinct = suspects.groupBy(*[F.col(quoted(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    among = distinct.agg(F.count(F.lit(1)).alias("distinct"), F.lit(1).alias("__one"))
+    total = df.agg(F.count(F.lit(1)).alias("total"), F.lit(1).alias("__one"))
+    unique = F.col("total") - F.lit(found["rows"]) + F.col("distinct")
+    return total.join(F.broadcast(among), "__one").select(*_uniqueness(F.col("total"), unique))
 
 
 def cell_values(df: DataFrame) -> DataFrame:

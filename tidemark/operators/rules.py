@@ -13,6 +13,7 @@ A rule is a plain dict, so a rule set can be kept as JSON::
 
 and, described only in the documents of the original:
 
+    {"type": "custom", "column": c, "name": n, "predicate": f}  f: pandas Series -> boolean Series
     {"type": "preset", "column": c, "preset": "email" or "phone"}
     {"type": "conditional", "when": SQL condition, "then": [row rules]}
     {"type": "foreign_key", "column": c, "reference": name, "reference_column": k}
@@ -23,9 +24,10 @@ NULL never violates a comparison, set or pattern rule.
 from __future__ import annotations
 
 import operator
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from typing import Any, NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +59,7 @@ ROW_RULES = {
     "in_set",
     "regex",
     "cross_column_comparison",
+    "custom",
     "preset",
     "conditional",
 }
@@ -132,6 +135,20 @@ def _comparable(left: str, right: str, types: Mapping[str, T.DataType]) -> tuple
     return a, b
 
 
+def _series_check(predicate: Callable[[pd.Series], pd.Series]) -> Callable:
+    """The predicate, for the values present, with the hints that mark it as value by value."""
+
+    def check(values: pd.Series) -> pd.Series:
+        present = values.notna()
+        if present.all():
+            return predicate(values)
+        return predicate(values[present]).reindex(values.index, fill_value=True)
+
+    # spelled out: the hints of a module with postponed annotations are text
+    check.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return check
+
+
 def _raw_violation(rule: Rule, types: Mapping[str, T.DataType]) -> Column:
     kind = rule["type"]
     if kind == "conditional":
@@ -171,6 +188,11 @@ def _raw_violation(rule: Rule, types: Mapping[str, T.DataType]) -> Column:
         return ~column.cast("string").rlike(rule["pattern"])
     if kind == "preset":
         return ~column.cast("string").rlike(PRESETS[rule["preset"]])
+    if kind == "custom":
+        holds = F.pandas_udf(_series_check(rule["predicate"]), T.BooleanType())
+        # a NULL would turn whole numbers into floats on the way to pandas
+        filled = F.coalesce(column, F.lit(0).cast(dtype)) if isinstance(dtype, NUMERIC) else column
+        return column.isNotNull() & ~holds(filled)
     raise ValueError(f"{kind!r} is not a row rule")
 
 
