@@ -122,7 +122,7 @@ EDITS = {
     "columns": {
         "email": {"required": True, "regex_pattern": "@example"},
         "o_totalprice": {"range": {"min": 0}},
-        "o_orderkey": {"skip_range": True},
+        "o_orderkey": {"skip_range": True, "type": "string", "nullable": True},
         "o_orderstatus": {"allowed_values": ["O", "F", "P"], "unique": True},
         "order_date_text": {"format": "YYYY-MM-DD"},
     },
@@ -134,6 +134,11 @@ def suggest_rules(spark, sf_dir):
     return P.suggest_rules(P.profile_columns(_dirty(spark, sf_dir)), EDITS)
 
 
+def suggest_schema(spark, sf_dir):
+    schema = P.suggest_schema(P.profile_columns(_dirty(spark, sf_dir)), EDITS)
+    return schema.select("name", "type", "nullable")
+
+
 def profile_sampled(spark, sf_dir):
     sample = P.sample_rows(view(spark, sf_dir, "lineitem"), 10_000, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
     return P.profile_columns(sample)
@@ -170,6 +175,7 @@ QUERIES = {
         view(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderstatus", "o_orderpriority", "c_mktsegment", "c_name")),
     "suggest_rules": suggest_rules,
+    "suggest_schema": suggest_schema,
     "profile_sampled": profile_sampled,
     "inspect_dataset": inspect_dataset,
 }
@@ -296,6 +302,12 @@ ORACLE = {
           FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY {c}) AS t WHERE r <= 5"""
         for c in ("o_orderstatus", "o_orderpriority", "c_mktsegment", "c_name")
     ),
+    "suggest_schema": with_views(
+        _per_column(lambda c, t: f"SELECT '{c}' AS name, '{'string' if c == 'o_orderkey' else SPARK_TYPES[t]}' AS type, "
+                                 + ("true" if c == "o_orderkey" else f"count(*) > count({c})") + " AS nullable FROM dirty_orders"
+                                 + (" HAVING count(*) >= 0" if c == "o_orderkey" else "")),
+        "dirty_orders",
+    ),
     "suggest_rules": with_views(
         _per_column(_rule_rows)
         + "\nUNION ALL SELECT 'cross_column_comparison', 'ship_date', NULL, NULL, '>=', 'o_orderdate', false",

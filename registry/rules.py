@@ -138,16 +138,15 @@ def rule_presets(spark, sf_dir):
     return R.rules_summary(df, rules).select("rule", "failed_count", "status")
 
 
-def check_digit(values):
-    """The last digit is the sum of the others modulo ten (on whole batches)."""
-    digits = values.astype("int64")
-    last, rest, total = digits % 10, digits // 10, 0
-    while (rest > 0).any():
-        total, rest = total + rest % 10, rest // 10
-    return total % 10 == last
-
-
 def rule_custom(spark, sf_dir):
+    # a local function travels with the task
+    def check_digit(values):
+        """The last digit is the sum of the others modulo ten, on whole batches."""
+        last, rest, total = values % 10, values // 10, 0
+        while (rest > 0).any():
+            total, rest = total + rest % 10, rest // 10
+        return total % 10 == last
+
     rule = {"type": "custom", "column": "o_custkey", "name": "check_digit", "predicate": check_digit}
     return R.failing_rows(view(spark, sf_dir, "dirty_orders"), rule).select("o_orderkey", "o_custkey")
 
@@ -186,12 +185,12 @@ def timeliness(spark, sf_dir):
     return R.timeliness(view(spark, sf_dir, "events"), "ts", "2024-01-31 00:00:00", 7)
 
 
-PROBLEMS = {
-    "NULL_VALUE": [{"type": "not_null", "column": "o_totalprice"}],
-    "OUT_OF_RANGE": [{"type": "range", "column": "o_totalprice", "min": 0, "max": 450000}],
-    "INVALID_FORMAT": [{"type": "format", "column": "order_date_text", "format": "YYYY-MM-DD"}],
-    "INCONSISTENT": [{"type": "cross_column_comparison", "column1": "ship_date", "operator": ">", "column2": "o_orderdate"}],
-}
+PROBLEM_RULES = [
+    {"type": "not_null", "column": "o_totalprice"},
+    {"type": "range", "column": "o_totalprice", "min": 0, "max": 450000},
+    {"type": "format", "column": "order_date_text", "format": "YYYY-MM-DD"},
+    {"type": "cross_column_comparison", "column1": "ship_date", "operator": ">", "column2": "o_orderdate"},
+]
 
 # the defects dirty_orders was given, as labels
 EXPECTED_SQL = """
@@ -203,11 +202,7 @@ UNION ALL SELECT o_orderkey, 'INCONSISTENT' FROM orders WHERE o_orderkey % 47 =
 
 
 def detection_precision_recall(spark, sf_dir):
-    dirty = view(spark, sf_dir, "dirty_orders")
-    named = [{**rules[0], "name": kind} for kind, rules in PROBLEMS.items()]
-    found = R.with_violations(dirty, named).select(
-        "o_orderkey", F.explode("violations").alias("problem_type")
-    )
+    found = R.detected_problems(view(spark, sf_dir, "dirty_orders"), PROBLEM_RULES, "o_orderkey")
     view(spark, sf_dir, "orders").createOrReplaceTempView("orders")
     return R.detection_quality(spark.sql(EXPECTED_SQL), found, "o_orderkey")
 

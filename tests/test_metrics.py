@@ -128,3 +128,12 @@ def test_sample_does_not_depend_on_layout(spark):
     one = {r[0] for r in P.sample_rows(ids.repartition(7), 50, ["id"]).collect()}
     two = {r[0] for r in P.sample_rows(ids.coalesce(1), 50, ["id"]).collect()}
     assert one == two and len(one) == 50
+
+
+def test_booleans_have_statistics_and_schema_edits_apply(frame):
+    df = frame([(True, 1), (False, None), (True, 3)], "flag boolean, n int")
+    profile = P.profile_columns(df)
+    flag = by_column(profile)["flag"]
+    assert (flag["min"], flag["max"], flag["median"], round(flag["mean"], 4)) == (0.0, 1.0, 1.0, 0.6667)
+    schema = {r["name"]: (r["type"], r["nullable"]) for r in P.suggest_schema(profile, {"columns": {"n": {"type": "long"}}}).collect()}
+    assert schema == {"flag": ("boolean", False), "n": ("long", True)}

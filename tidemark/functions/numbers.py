@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from .text import strip_spaces
 
-_PLAIN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_SPECIAL = r"(?i)^[+-]?(inf|infinity)$"
+_NUMBER = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$"
 
 
 def _float(text: Column) -> Column:
     """Only spellings that every engine reads alike reach the cast."""
-    accepted = text.rlike(_PLAIN) | text.rlike(_SPECIAL)
-    return F.when(accepted, text.try_cast("double"))
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
 def plain_number(column: Column) -> Column:

@@ -373,7 +373,8 @@ def column_statistics(df: DataFrame, median_small: int = SMALL) -> DataFrame:
     for field in df.schema:
         column = F.col(quoted(field.name))
         present = null_if_missing(column, field.dataType)
-        number = present.cast("double") if isinstance(field.dataType, NUMERIC) else None
+        # booleans count as 0 and 1
+        number = present.cast("double") if isinstance(field.dataType, NUMERIC + (T.BooleanType,)) else None
         words = column if isinstance(field.dataType, TEXTUAL) else None
         if number is not None:
             numeric.append(field.name)

@@ -161,6 +161,21 @@ def suggest_rules(profile: DataFrame, edits: Mapping[str, Any] | None = None) ->
     return suggested
 
 
+def suggest_schema(profile: DataFrame, edits: Mapping[str, Any] | None = None) -> DataFrame:
+    """(name, type, nullable) a profile suggests, with user edits per column applied."""
+    per_column = (edits or {}).get("columns", {})
+    kind, nullable = F.col("type"), F.col("null_ratio") > 0
+    for name, edit in per_column.items():
+        here = F.col("column") == name
+        if "type" in edit:
+            kind = F.when(here, F.lit(edit["type"])).otherwise(kind)
+        if "nullable" in edit:
+            nullable = F.when(here, F.lit(bool(edit["nullable"]))).otherwise(nullable)
+    return profile.select(
+        F.col("column").alias("name"), kind.alias("type"), nullable.alias("nullable"), "null_ratio", "unique_ratio", "min", "max"
+    )
+
+
 def as_rule_dicts(suggested: DataFrame) -> list[dict[str, Any]]:
     """Suggested rules as dicts for the rule engine (a few per column)."""
     import json

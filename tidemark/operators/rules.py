@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import operator
 from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 from typing import Any, NamedTuple
 
 import pandas as pd
@@ -52,6 +53,21 @@ PRESETS = {
     "phone": r"^\+?1?-?\d{3}-?\d{3}-?\d{4}$",
 }
 
+# Problem types of labelled data, by the rule type that finds them.
+PROBLEM_TYPES = {
+    "not_null": "NULL_VALUE",
+    "uniqueness": "DUPLICATE",
+    "range": "OUT_OF_RANGE",
+    "format": "INVALID_FORMAT",
+    "regex": "INVALID_FORMAT",
+    "preset": "INVALID_FORMAT",
+    "in_set": "INVALID_FORMAT",
+    "cross_column_comparison": "INCONSISTENT",
+    "conditional": "INCONSISTENT",
+    "foreign_key": "MISSING_FK",
+    "schema": "WRONG_TYPE",
+}
+
 ROW_RULES = {
     "not_null",
     "format",
@@ -357,6 +373,11 @@ def with_violations(df: DataFrame, rules: Iterable[Rule], name: str = "violation
     return df.withColumn(name, F.array_compact(labels))
 
 
+def any_violation(df: DataFrame, rules: Iterable[Rule]) -> Column:
+    """True for rows that violate at least one row rule."""
+    return reduce(operator.or_, [c.violation for c in row_checks(df, rules)], F.lit(False))
+
+
 def rule_failure_samples(
     df: DataFrame, rules: Iterable[Rule], order_by: list[str], per_rule: int = 5
 ) -> DataFrame:
@@ -365,7 +386,7 @@ def rule_failure_samples(
     The rank limit is applied inside each input partition before the shuffle,
     so a rule that fails for most rows ships only a few of them.
     """
-    flagged = with_violations(df, rules, "__broken")
+    flagged = with_violations(df.filter(any_violation(df, rules)), rules, "__broken")
     exploded = flagged.select(F.explode("__broken").alias("rule"), *[F.col(quoted(c)) for c in df.columns])
     ranked = exploded.withColumn(
         "sample_no",
@@ -382,8 +403,7 @@ def valid_subset(
     Which of several equal-key rows stays is settled by the smallest row, and
     the aggregate combines on the map side, so a frequent key is no hot task.
     """
-    flagged = with_violations(df, rules, "__broken")
-    valid = flagged.filter(F.size("__broken") == 0).drop("__broken")
+    valid = df.filter(~any_violation(df, rules))
     if not distinct_on:
         return valid
     return first_per_key(valid, distinct_on, [c for c in df.columns if c not in distinct_on])
@@ -449,6 +469,13 @@ def timeliness(df: DataFrame, column: str, reference_time: str, days: int) -> Da
     )
 
 
+def detected_problems(df: DataFrame, rules: Iterable[Rule], row_key: str) -> DataFrame:
+    """(row_key, problem_type) of every row that violates a row rule."""
+    named = [{**r, "name": PROBLEM_TYPES[r["type"]]} for r in rules if r["type"] in PROBLEM_TYPES]
+    flagged = with_violations(df, named, "__found")
+    return flagged.select(F.col(quoted(row_key)), F.explode(F.array_distinct("__found")).alias("problem_type"))
+
+
 def detection_quality(expected: DataFrame, detected: DataFrame, row_key: str) -> DataFrame:
     """Precision and recall of detected against labelled problems, per type.
 

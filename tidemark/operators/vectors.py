@@ -48,15 +48,15 @@ def vector_topk(
     )
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-
 def _candidates(vectors: DataFrame, rows: list, k: int, id_column: str, column: str) -> DataFrame:
+    # local functions travel with the task, so workers need not import this package
+    def unit(matrix: np.ndarray) -> np.ndarray:
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+
     query_ids = np.array([r[0] for r in rows], dtype=np.int64)
-    wanted = _unit(np.array([r[1] for r in rows], dtype=np.float64))
-    width = wanted.shape[1]
+    wanted = unit(np.array([r[1] for r in rows], dtype=np.float64))
+    width, digits = wanted.shape[1], SIMILARITY_DIGITS
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.empty((len(wanted), 0), dtype=np.int64)
@@ -65,7 +65,7 @@ def _candidates(vectors: DataFrame, rows: list, k: int, id_column: str, column:
             if not batch.num_rows:
                 continue
             values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            found = np.round(wanted @ _unit(values.reshape(batch.num_rows, width)).T, SIMILARITY_DIGITS)
+            found = np.round(wanted @ unit(values.reshape(batch.num_rows, width)).T, digits)
             found_ids = np.broadcast_to(batch.column(0).to_numpy(), found.shape)
             scores = np.hstack([scores, found])
             ids = np.hstack([ids, found_ids])

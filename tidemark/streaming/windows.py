@@ -29,7 +29,8 @@ def window_metrics(
     On a stream, an event repeated within the allowed lateness counts once and
     a window is given out when the watermark has passed its end.
     """
-    stamped = events.withColumn("__at", F.col(quoted(time)).cast("timestamp"))
+    # a watermark needs an instant; local times are read in the session's time zone
+    stamped = events.withColumn("__at", F.col(quoted(time)).try_cast("timestamp"))
     if events.isStreaming:
         stamped = stamped.withWatermark("__at", lateness).dropDuplicatesWithinWatermark([key])
     else:
