@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as M
 from tidemark.operators import profile as P
-from tidemark.plans.quality import quality_report
+from tidemark.plans.quality import QualityReport
 
 from .fixtures import view, with_views
 
@@ -149,7 +149,7 @@ def inspect_dataset(spark, sf_dir):
 
 
 def _report(name):
-    return lambda spark, sf_dir: getattr(quality_report(_dirty(spark, sf_dir)), name)
+    return lambda spark, sf_dir: getattr(QualityReport(_dirty(spark, sf_dir)), name)
 
 
 QUERIES = {
@@ -162,7 +162,7 @@ QUERIES = {
     "validity_overall": _on_facts(M.validity_overall),
     "consistency_columns": _on_facts(M.consistency_columns),
     "consistency_overall": _on_facts(M.consistency_overall),
-    "quality_score": _report("score"),
+    "quality_score": lambda spark, sf_dir: M.quality_score(M.overall_metrics(_dirty(spark, sf_dir))),
     "problematic_columns": _report("problems"),
     "recommendations": _report("recommendations"),
     "column_statistics_numeric": statistics_numeric,

@@ -6,7 +6,7 @@ import pytest
 from tidemark.operators import metrics as M
 from tidemark.operators import profile as P
 from tidemark.operators.median import exact_medians
-from tidemark.plans.quality import quality_report
+from tidemark.plans.quality import QualityReport
 
 
 def by_column(df):
@@ -81,7 +81,7 @@ def test_percent_text_rounds_like_the_binary_value(spark, value, text):
 
 def test_report(frame):
     df = frame([("a", None), ("a", None), (None, 1.0), ("   ", None)], "s string, x double")
-    report = quality_report(df)
+    report = QualityReport(df)
     score = report.score.first()
     assert 0 <= score["overall_quality_score"] <= 100
     advice = {r["category"]: r for r in report.recommendations.collect()}

@@ -24,21 +24,26 @@ def _value(df: DataFrame, name: str) -> Column:
     return null_if_missing(column, df.schema[name].dataType).cast("double")
 
 
+def is_small(df: DataFrame, small: int = SMALL) -> bool:
+    """Few enough rows for ``percentile``; of a Parquet table only the footers are read."""
+    return df.select(F.count(F.lit(1))).first()[0] <= small
+
+
 def exact_medians(df: DataFrame, columns: list[str], small: int = SMALL) -> DataFrame:
     """Rows (column, median); NULL and NaN are ignored, infinities count."""
-    spark = df.sparkSession
     if not columns:
-        return spark.createDataFrame([], "column string, median double")
-    if df.select(F.count(F.lit(1))).first()[0] <= small:
+        return df.sparkSession.createDataFrame([], "column string, median double")
+    if is_small(df, small):
         rows = [
             F.struct(F.lit(c).alias("column"), F.percentile(_value(df, c), 0.5).alias("median"))
             for c in columns
         ]
         return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
-    return _bracketed(df, columns, small)
+    return bracketed_medians(df, columns, small)
 
 
-def _bracketed(df: DataFrame, columns: list[str], small: int) -> DataFrame:
+def bracketed_medians(df: DataFrame, columns: list[str], small: int = SMALL) -> DataFrame:
+    """The same for tables of any size."""
     values = df.select(*[_value(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
     counts = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first()
     # column index -> (lowest, highest, rank of the lower middle below the bracket)

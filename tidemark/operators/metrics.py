@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.missing import FLOATING, INTEGRAL, NUMERIC, TEXTUAL, is_missing, null_if_missing, quoted
 from ..functions.text import strip_spaces
 from ..session import cut_lineage
-from .median import SMALL, exact_medians
+from .median import SMALL, bracketed_medians, is_small
 
 THRESHOLD = 80.0
 
@@ -199,12 +199,13 @@ def value_counts(df: DataFrame) -> DataFrame:
     return cell_values(df).groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def column_uniqueness(df: DataFrame, approximate: bool = False) -> DataFrame:
+def column_uniqueness(df: DataFrame, approximate: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """Distinct values against present values, for every column.
 
     The exact form groups (column, value) and then (column): two shuffles that
-    combine on the map side, however many columns there are. The approximate
-    form is a single aggregation (relative error about 1 %).
+    combine on the map side, however many columns there are; ``counts`` is a
+    ``value_counts`` of the table to start from. The approximate form is a
+    single aggregation (relative error about 1 %).
     """
     names = [F.lit(c) for c in df.columns]
     if approximate:
@@ -221,7 +222,7 @@ def column_uniqueness(df: DataFrame, approximate: bool = False) -> DataFrame:
         counts = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
     else:
         found = (
-            value_counts(df)
+            (value_counts(df) if counts is None else counts)
             .groupBy("i")
             .agg(F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("total_count"))
         )
@@ -366,45 +367,57 @@ def recommendations(overall: DataFrame, problems: DataFrame) -> DataFrame:
     )
 
 
-def column_statistics(df: DataFrame, median_small: int = SMALL) -> DataFrame:
-    """Per column: type, counts, min/max/mean/median/std or lengths and distinct texts."""
+def column_statistics(
+    df: DataFrame, median_small: int = SMALL, uniqueness: DataFrame | None = None
+) -> DataFrame:
+    """Per column: type, counts, min/max/mean/median/std or lengths and distinct texts.
+
+    ``uniqueness`` is a ``column_uniqueness`` of the table, if it is at hand.
+    """
     none = F.lit(None)
+    small = is_small(df, median_small)
     rows, numeric, text = [], [], []
     for field in df.schema:
         column = F.col(quoted(field.name))
         present = null_if_missing(column, field.dataType)
+        number = words = None
         # booleans count as 0 and 1
-        number = present.cast("double") if isinstance(field.dataType, NUMERIC + (T.BooleanType,)) else None
-        words = column if isinstance(field.dataType, TEXTUAL) else None
-        if number is not None:
+        if isinstance(field.dataType, NUMERIC + (T.BooleanType,)):
+            number = present.cast("double")
             numeric.append(field.name)
-        if words is not None:
+        elif isinstance(field.dataType, TEXTUAL):
+            words = F.length(column)
             text.append(field.name)
-        std = none if number is None else F.when(
-            F.count(number) > 0, F.coalesce(F.stddev_samp(number), F.lit(0.0))
-        )
+        of_number = lambda f: (none if number is None else f(number)).cast("double")
+        of_words = lambda f, kind: (none if words is None else f(words)).cast(kind)
+        std = lambda n: F.when(F.count(n) > 0, F.coalesce(F.stddev_samp(n), F.lit(0.0)))
         rows.append(
             F.struct(
                 F.lit(field.name).alias("column"),
                 F.lit(type_class(field.dataType)).alias("data_type"),
                 F.count(present).alias("non_null_count"),
                 (F.count(F.lit(1)) - F.count(present)).alias("null_count"),
-                (none if number is None else F.min(number)).cast("double").alias("min"),
-                (none if number is None else F.max(number)).cast("double").alias("max"),
-                (none if number is None else F.avg(number)).cast("double").alias("mean"),
-                std.cast("double").alias("std"),
-                (none if words is None else F.min(F.length(words))).cast("long").alias("min_length"),
-                (none if words is None else F.max(F.length(words))).cast("long").alias("max_length"),
-                (none if words is None else F.avg(F.length(words))).cast("double").alias("avg_length"),
+                of_number(F.min).alias("min"),
+                of_number(F.max).alias("max"),
+                of_number(F.avg).alias("mean"),
+                (of_number(lambda n: F.percentile(n, 0.5)) if small else none.cast("double")).alias("median"),
+                of_number(std).alias("std"),
+                of_words(F.min, "long").alias("min_length"),
+                of_words(F.max, "long").alias("max_length"),
+                of_words(F.avg, "double").alias("avg_length"),
             )
         )
     stats = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
-    medians = exact_medians(df, numeric, median_small)
-    distinct = column_uniqueness(df.select(*[F.col(quoted(c)) for c in text])) if text else None
-    stats = stats.join(F.broadcast(medians), "column", "left")
-    if distinct is None:
-        return stats.withColumn("unique_values", F.lit(None).cast("long"))
-    counts = distinct.select("column", F.col("unique_count").alias("unique_values"))
+    if numeric and not small:
+        medians = bracketed_medians(df, numeric, median_small)
+        stats = stats.drop("median").join(F.broadcast(medians), "column", "left")
+    if not text:
+        return stats.withColumn("unique_values", none.cast("long"))
+    if uniqueness is None:
+        uniqueness = column_uniqueness(df.select(*[F.col(quoted(c)) for c in text]))
+    counts = uniqueness.filter(F.col("column").isin(text)).select(
+        "column", F.col("unique_count").alias("unique_values")
+    )
     return stats.join(F.broadcast(counts), "column", "left").withColumn(
         "unique_values", F.when(F.col("non_null_count") > 0, F.col("unique_values"))
     )

@@ -65,10 +65,14 @@ def sample_rows(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFr
     return df.orderBy(rank, *[F.col(quoted(c)) for c in key]).limit(n)
 
 
-def profile_columns(df: DataFrame, median_small: int = SMALL) -> DataFrame:
-    """One row per column; ratios are over all rows, missing ones included."""
-    stats = metrics.column_statistics(df, median_small).drop("unique_values", "min_length")
-    unique = metrics.column_uniqueness(df).select("column", "unique_count")
+def profile_columns(df: DataFrame, median_small: int = SMALL, counts: DataFrame | None = None) -> DataFrame:
+    """One row per column; ratios are over all rows, missing ones included.
+
+    ``counts`` is a ``value_counts`` of the table, if it is at hand.
+    """
+    unique = metrics.column_uniqueness(df, counts=counts)
+    stats = metrics.column_statistics(df, median_small, unique).drop("unique_values", "min_length")
+    unique = unique.select("column", "unique_count")
     types = F.create_map(*[F.lit(x) for f in df.schema for x in (f.name, spark_type_name(f.dataType))])
     rows = F.col("non_null_count") + F.col("null_count")
     ratio = lambda part: F.coalesce(F.try_divide(F.col(part).cast("double"), rows), F.lit(0.0))
@@ -89,11 +93,21 @@ def profile_columns(df: DataFrame, median_small: int = SMALL) -> DataFrame:
     )
 
 
-def top_values(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> DataFrame:
-    """The ``k`` most frequent values of each text column, ties by value."""
+def top_values(
+    df: DataFrame, k: int = 5, columns: list[str] | None = None, counts: DataFrame | None = None
+) -> DataFrame:
+    """The ``k`` most frequent values of each text column, ties by value.
+
+    ``counts`` is a ``value_counts`` of the table, if it is at hand.
+    """
     columns = columns or text_columns(df)
-    names = F.array(*[F.lit(c) for c in columns])
-    counts = metrics.value_counts(df.select(*[F.col(quoted(c)) for c in columns]))
+    if counts is None:
+        names = columns
+        counts = metrics.value_counts(df.select(*[F.col(quoted(c)) for c in columns]))
+    else:
+        names = df.columns
+        counts = counts.filter(F.col("i").isin([names.index(c) for c in columns]))
+    names = F.array(*[F.lit(c) for c in names])
     order = Window.partitionBy("i").orderBy(F.desc("n"), "value")
     return (
         counts.withColumn("rank", F.row_number().over(order))
@@ -207,8 +221,10 @@ def inspect_dataset(df: DataFrame, file_format: str, **options: str) -> DataFram
         raise ValueError("the dataset has no columns")
     if df.isEmpty():
         raise ValueError("the dataset has no data rows")
+    # one grouping of the cells serves the distinct counts and the top values
+    counts = metrics.value_counts(df)
     top = (
-        top_values(df)
+        top_values(df, counts=counts)
         .groupBy("column")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("t"))
         .select("column", F.transform("t", lambda x: x["value"]).alias("sample_values"))
@@ -220,5 +236,5 @@ def inspect_dataset(df: DataFrame, file_format: str, **options: str) -> DataFram
         F.col("rows").alias("row_count"),
         F.col("columns").alias("column_count"),
     )
-    profile = profile_columns(df).join(F.broadcast(top), "column", "left")
+    profile = profile_columns(df, counts=counts).join(F.broadcast(top), "column", "left")
     return profile.withColumn("__one", F.lit(1)).join(F.broadcast(info), "__one").drop("__one")

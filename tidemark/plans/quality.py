@@ -2,41 +2,69 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from ..operators import metrics as M
+from ..session import settled
 
 
-class QualityReport(NamedTuple):
-    completeness: DataFrame
-    uniqueness: DataFrame
-    validity: DataFrame
-    consistency: DataFrame
-    score: DataFrame
-    problems: DataFrame
-    recommendations: DataFrame
-    statistics: DataFrame
-    data_types: DataFrame
-    info: DataFrame
-
-
-def quality_report(df: DataFrame, threshold: float = M.THRESHOLD) -> QualityReport:
-    """All frames are lazy; the value scan is shared through ``column_facts``."""
-    facts = M.column_facts(df)
-    uniqueness = M.column_uniqueness(df)
-    overall = M.overall_metrics(df, facts)
-    problems = M.problematic_columns(M.column_scores(facts, uniqueness), threshold)
-    return QualityReport(
-        completeness=M.completeness_columns(facts),
-        uniqueness=uniqueness,
-        validity=M.validity_columns(facts),
-        consistency=M.consistency_columns(facts),
-        score=M.quality_score(overall),
-        problems=problems,
-        recommendations=M.recommendations(overall, problems),
-        statistics=M.column_statistics(df),
-        data_types=M.data_type_distribution(df),
-        info=M.dataset_info(df),
-    )
+class QualityReport:
+    """Metrics, score, problems and advice for one table.
+
+    The facts per column, the distinct values per column and the distinct rows
+    each take one scan when something first needs them; their results have a
+    row per column and are kept, so no later part scans the table for them.
+    """
+
+    def __init__(self, df: DataFrame, threshold: float = M.THRESHOLD):
+        self.df, self.threshold = df, threshold
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return settled(M.column_facts(self.df))
+
+    @cached_property
+    def uniqueness(self) -> DataFrame:
+        return settled(M.column_uniqueness(self.df))
+
+    @cached_property
+    def overall(self) -> DataFrame:
+        return settled(M.overall_metrics(self.df, self.facts))
+
+    @property
+    def completeness(self) -> DataFrame:
+        return M.completeness_columns(self.facts)
+
+    @property
+    def validity(self) -> DataFrame:
+        return M.validity_columns(self.facts)
+
+    @property
+    def consistency(self) -> DataFrame:
+        return M.consistency_columns(self.facts)
+
+    @property
+    def score(self) -> DataFrame:
+        return M.quality_score(self.overall)
+
+    @property
+    def problems(self) -> DataFrame:
+        return M.problematic_columns(M.column_scores(self.facts, self.uniqueness), self.threshold)
+
+    @property
+    def recommendations(self) -> DataFrame:
+        return M.recommendations(self.overall, self.problems)
+
+    @property
+    def statistics(self) -> DataFrame:
+        return M.column_statistics(self.df, uniqueness=self.uniqueness)
+
+    @property
+    def data_types(self) -> DataFrame:
+        return M.data_type_distribution(self.df)
+
+    @property
+    def info(self) -> DataFrame:
+        return M.dataset_info(self.df)

@@ -66,6 +66,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows brought to the driver once, as a local frame.
+
+    Only for results with one row per column of a table, which several later
+    frames start from: each of them would scan the table again.
+    """
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows over all cores by key, if the scan has fewer splits than there are cores.
 
