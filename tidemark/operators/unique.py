@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import quoted
-from ..session import cut_lineage
+from ..session import cut_lineage, settled
 
 # A value held by more than 1/HOT_SHARE of the open rows is hot, so there are
 # at most HOT_SHARE hot values per column.
@@ -44,20 +44,18 @@ def _kept_rows(df: DataFrame, columns: list[str], order_by: str) -> DataFrame:
     open_rows = cut_lineage(
         df.select(F.col(quoted(order_by)).alias("seq"), *[F.col(quoted(c)).alias(n) for c, n in zip(columns, names)])
     )
+    total = open_rows.count()
+    # values only lose holders, so what is not hot now never will be
+    hot = {n: _hot_values(open_rows, n, total) for n in names}
     needed = reduce(lambda a, b: a + b, [F.col(n).isNotNull().cast("int") for n in names])
     kept_parts = []
-    while True:
-        total = open_rows.count()
-        if total == 0:
-            break
+    while total:
         firsts = [
-            open_rows.filter(F.col(n).isNotNull())
-            .groupBy(n)
-            .agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("holders"))
+            open_rows.filter(F.col(n).isNotNull()).groupBy(n).agg(F.min("seq").alias("seq")).select("seq")
             for n in names
         ]
         # joined on seq, which no two rows share
-        wins = reduce(lambda a, b: a.unionByName(b), [f.select("seq") for f in firsts])
+        wins = reduce(lambda a, b: a.unionByName(b), firsts)
         won = wins.groupBy("seq").agg(F.count(F.lit(1)).alias("wins"))
         kept = cut_lineage(
             open_rows.withColumn("needed", needed)
@@ -67,22 +65,36 @@ def _kept_rows(df: DataFrame, columns: list[str], order_by: str) -> DataFrame:
         )
         kept_parts.append(kept.select("seq"))
         left = open_rows.join(kept.select("seq"), "seq", "left_anti")
-        for name, first in zip(names, firsts):
+        for name in names:
             taken = kept.filter(F.col(name).isNotNull()).select(name)
-            hot = first.filter(F.col("holders") > total / HOT_SHARE).select(name)
-            left = _without_values(left, name, taken, hot)
+            left = _without_values(left, name, taken, hot[name])
         open_rows = cut_lineage(left)
+        total = open_rows.count()
     if not kept_parts:
         return df.select(F.col(quoted(order_by))).limit(0)
     every = reduce(lambda a, b: a.unionByName(b), kept_parts)
     return every.select(F.col("seq").alias(order_by))
 
 
-def _without_values(rows: DataFrame, name: str, taken: DataFrame, hot: DataFrame) -> DataFrame:
+def _hot_values(rows: DataFrame, name: str, total: int) -> DataFrame | None:
+    """At most HOT_SHARE values, as a local frame."""
+    counts = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("holders"))
+    hot = settled(counts.filter(F.col("holders") > max(1, total // HOT_SHARE)).select(name))
+    return None if hot.isEmpty() else hot
+
+
+def _without_values(rows: DataFrame, name: str, taken: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Rows whose value is not taken.
 
     Rows of the few hot values meet a broadcast list; only the others shuffle.
     """
+    if hot is None:
+        return rows.join(taken, name, "left_anti")
     hot_taken = F.broadcast(taken.join(F.broadcast(hot), name, "left_semi"))
     cold_taken = taken.join(F.broadcast(hot), name, "left_anti")
-    return rows.join(hot_taken, name, "left_anti").join(cold_taken, name, "left_anti")
+    # hot rows that are not taken still reach the second join; told apart, they skip it
+    marked = rows.join(hot_taken, name, "left_anti").join(
+        F.broadcast(hot.withColumn("hot", F.lit(True))), name, "left"
+    )
+    cold = marked.filter("hot IS NULL").drop("hot").join(cold_taken, name, "left_anti")
+    return marked.filter("hot").drop("hot").select(*rows.columns).unionByName(cold.select(*rows.columns))
