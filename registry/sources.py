@@ -20,6 +20,17 @@ def scan_csv(spark, sf_dir):
     return tables.scan_csv(spark, path, CUSTOMER, sep=";")
 
 
+def scan_csv_detected(spark, sf_dir):
+    """Customers spread by nation over files of four dialects, which are all read back."""
+    root = scratch_path(spark, "mixed")
+    customer = view(spark, sf_dir, "customer").withColumn("c_name", F.concat("c_name", F.lit(" é")))
+    dialects = [(",", "UTF-8"), (";", "ISO-8859-1"), ("\t", "UTF-8"), ("|", "ISO-8859-1")]
+    number = F.pmod("c_nationkey", F.lit(len(dialects)))
+    for i, (sep, encoding) in enumerate(dialects):
+        sinks.write(customer.filter(number == i), f"{root}/{i}", "csv", sep=sep, encoding=encoding)
+    return tables.scan_csv_detected(spark, root, CUSTOMER)
+
+
 def scan_json(spark, sf_dir):
     path = scratch_path(spark, "customer") + ".jsonl"
     sinks.write(view(spark, sf_dir, "customer"), path, "jsonl")
@@ -129,6 +140,7 @@ def parse_lines_arity(spark, sf_dir):
 
 QUERIES = {
     "scan_csv": scan_csv,
+    "scan_csv_detected": scan_csv_detected,
     "scan_json": scan_json,
     "scan_parquet": scan_parquet,
     "detect_dialect": detect_dialect,
@@ -151,6 +163,7 @@ TAIL = """(CASE WHEN o_orderkey % 19 = 0 THEN [] ELSE [o_orderpriority] END
 
 ORACLE = {
     "scan_csv": """SELECT c_custkey, 'a;"b" ' || c_name AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""",
+    "scan_csv_detected": "SELECT c_custkey, c_name || ' é' AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "scan_json": "SELECT * FROM customer",
     "scan_parquet": "SELECT * FROM supplier",
     "csv_reject_split": f"SELECT o_orderkey AS key, {STATUS} AS status, nullif({TAIL}[1], '') AS priority FROM orders WHERE len({TAIL}) <= 1",

@@ -28,7 +28,7 @@ def _hits(spark, sf_dir):
 
 
 def search_topk(spark, sf_dir):
-    return _rounded(_hits(spark, sf_dir), "score").drop("text")
+    return _rounded(_corpus(spark, sf_dir).search(texts=False), "score")
 
 
 def snippet_relevance(spark, sf_dir):

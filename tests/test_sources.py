@@ -95,3 +95,19 @@ def test_round_trip(frame, spark, tmp_path, kind):
     path = sinks.write(df, str(tmp_path / f"out.{kind}"), kind)
     options = {} if kind == "parquet" else {"schema": df.schema}
     assert sorted(map(tuple, tables.scan(spark, path, **options).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_file_order_keeps_the_last_line(spark, tmp_path):
+    from tidemark.operators.reconcile import Options, key_columns, merge_duplicates
+
+    put(tmp_path, "a.csv", "k,v\n" + "".join(f"k{i % 10},{i}\n" for i in range(1000)))
+    put(tmp_path, "b.csv", "k,v\nk3,-1\n")
+    df = tables.with_file_order(tables.scan_csv(spark, str(tmp_path), "k string, v double"))
+    kept = merge_duplicates(key_columns(df, ["k"]), ["k"], ["v"], Options(order_by=["file_order"]))
+    assert {r["k"]: r["v"] for r in kept.collect()} == {f"k{i}": -1.0 if i == 3 else 990.0 + i for i in range(10)}
+
+
+def test_nothing_to_detect(spark, tmp_path):
+    put(tmp_path, "a.txt", "x")
+    with pytest.raises(Exception):
+        tables.scan_csv_detected(spark, str(tmp_path))

@@ -103,7 +103,7 @@ def recommendations(latest: DataFrame, items: DataFrame, documents: DataFrame, k
     )
     with_id = per_run.withColumn("query_id", F.xxhash64("query"))
     queries = with_id.select("query_id", "query").dropDuplicates(["query_id"])
-    hits = Corpus(documents, queries).search(k).filter(F.col("rank") <= shown)
+    hits = Corpus(documents, queries).search(k, texts=False).filter(F.col("rank") <= shown)
     files = (
         hits.join(documents.select("doc_id", "filename"), "doc_id")
         .groupBy("query_id")

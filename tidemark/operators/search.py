@@ -187,39 +187,42 @@ class Corpus:
             F.max_by("chunk_no", "score").alias("chunk_no"), F.max("score").alias("score")
         )
 
-    def search(self, k: int = TOP_K) -> DataFrame:
+    def search(self, k: int = TOP_K, texts: bool = True) -> DataFrame:
         """(query, rank, document, chunk_no, score, text): the k best documents per query.
 
         A query with fewer hits is filled with the first chunks of the first
-        other documents at score 0.
+        other documents at score 0. ``texts=False`` leaves out the text and
+        the pass over the documents that fetches it.
         """
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), self.id)
         hits = cut_lineage(
             self.best_chunks().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         )
-        ranked = hits.unionByName(self._fill(hits, k))
+        ranked = hits.select("query_id", "rank", self.id, "chunk_no", "score")
+        found = hits.groupBy("query_id").agg(
+            F.count(F.lit(1)).alias("found"), F.collect_set(self.id).alias("matched")
+        )
+        asked = self.terms.select("query_id").distinct()
+        short = asked.join(self._near(found), "query_id", "left").filter(F.coalesce("found", F.lit(0)) < k)
+        if not short.isEmpty():
+            ranked = ranked.unionByName(self._fill(short, k))
+        if not texts:
+            return ranked
         # at most k rows per query look up their text; only these documents are cut again
         wanted = ranked.select(self.id, "chunk_no").distinct()
         cited = self.documents.join(
             self._near(wanted.select(self.id).distinct()), self.id, "left_semi"
         ).repartition(self.id)
         chunks = chunk_documents(cited, self.id, "text", self.chunk_size, self.overlap)
-        texts = chunks.select(self.id, "chunk_no", "text").join(self._near(wanted), [self.id, "chunk_no"])
-        return ranked.join(texts, [self.id, "chunk_no"]).select(
-            "query_id", "rank", self.id, "chunk_no", "score", "text"
-        )
+        passages = chunks.select(self.id, "chunk_no", "text").join(self._near(wanted), [self.id, "chunk_no"])
+        return ranked.join(passages, [self.id, "chunk_no"]).select(*ranked.columns, "text")
 
-    def _fill(self, hits: DataFrame, k: int) -> DataFrame:
+    def _fill(self, short: DataFrame, k: int) -> DataFrame:
         """Rows at score 0 for queries with fewer than k hits.
 
         Among the first k documents at least k minus the number of hits are
         unmatched, so only these k documents can be needed.
         """
-        found = hits.groupBy("query_id").agg(
-            F.count(F.lit(1)).alias("found"), F.collect_set(self.id).alias("matched")
-        )
-        asked = self.terms.select("query_id").distinct()
-        short = asked.join(self._near(found), "query_id", "left").filter(F.coalesce("found", F.lit(0)) < k)
         with_words = self.documents.filter(has_words(F.col("text")))
         first = with_words.select(self.id).orderBy(self.id).limit(k)
         listed = first.agg(F.array_sort(F.collect_list(self.id)).alias("first"), F.lit(1).alias("__one"))
@@ -239,8 +242,10 @@ class Corpus:
         )
 
 
-def search(documents: DataFrame, queries: DataFrame, k: int = TOP_K, id_column: str = "doc_id") -> DataFrame:
-    return Corpus(documents, queries, id_column).search(k)
+def search(
+    documents: DataFrame, queries: DataFrame, k: int = TOP_K, id_column: str = "doc_id", texts: bool = True
+) -> DataFrame:
+    return Corpus(documents, queries, id_column).search(k, texts)
 
 
 def citations(hits: DataFrame) -> DataFrame:

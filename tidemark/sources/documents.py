@@ -9,7 +9,7 @@ from ..functions.missing import quoted
 from ..functions.text import strip_spaces
 
 
-def scan_text_documents(spark: SparkSession, path: str, pattern: str = "*.{txt,md}") -> DataFrame:
+def scan_text_documents(spark: SparkSession, path: str, pattern: str = "*.{[tT][xX][tT],[mM][dD]}") -> DataFrame:
     """(filename, path, size, text) of every text file below a path.
 
     Bytes that are not UTF-8 are read as Latin-1, which accepts any byte; the

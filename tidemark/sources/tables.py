@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import TEXTUAL, quoted, sanitize_frame
+from .detect import detect_dialect
 
 
 class CsvSplit(NamedTuple):
@@ -35,7 +37,7 @@ def _csv_reader(spark, sep, encoding, header, multi_line):
 
 def scan_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     schema: T.StructType | str | None = None,
     sep: str = ",",
     encoding: str = "utf-8",
@@ -94,6 +96,39 @@ def scan_csv_tolerant(
     return CsvSplit(good, rejected)
 
 
+def scan_csv_detected(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True,
+    suffix: str | None = ".csv",
+) -> DataFrame:
+    """All CSV files below a path, each read with the dialect found for it.
+
+    Files of one dialect are read together, so there are as many reads as
+    dialects (two encodings, four delimiters).
+    """
+    dialects = detect_dialect(spark, path, suffix).groupBy("encoding", "delimiter")
+    parts = [
+        scan_csv(spark, sorted(row["files"]), schema, row["delimiter"], row["encoding"], header)
+        for row in dialects.agg(F.collect_list("file").alias("files")).collect()
+    ]
+    if not parts:
+        raise ValueError(f"no files to read below {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def with_file_order(scanned: DataFrame, name: str = "file_order") -> DataFrame:
+    """Adds the place of each row in its files, for operators that take an order.
+
+    Only for a frame that comes straight from a file scan: a task reads a
+    split from front to back, so its row ids grow along the file.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return scanned.withColumn(name, place)
+
+
 def scan_json(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None
 ) -> tuple[DataFrame, str]:
