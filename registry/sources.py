@@ -163,6 +163,9 @@ TAIL = """(CASE WHEN o_orderkey % 19 = 0 THEN [] ELSE [o_orderpriority] END
 
 ORACLE = {
     "scan_csv": """SELECT c_custkey, 'a;"b" ' || c_name AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""",
+    "detect_dialect": """
+        SELECT folder, encoding, delimiter, 5::BIGINT AS columns, true AS found FROM (VALUES ('comma', 'utf-8', ','), ('semicolon', 'iso-8859-1', ';'),
+          ('tab', 'utf-8', chr(9)), ('pipe', 'iso-8859-1', '|')) AS v(folder, encoding, delimiter) WHERE (SELECT count(*) FROM customer) > 0""",
     "scan_csv_detected": "SELECT c_custkey, c_name || ' é' AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "scan_json": "SELECT * FROM customer",
     "scan_parquet": "SELECT * FROM supplier",

@@ -120,6 +120,9 @@ def test_profile(frame):
     assert [(r["value"], r["count"]) for r in top] == [("a", 3), ("b", 1)]
     with pytest.raises(ValueError):
         P.inspect_dataset(df.limit(0), "csv")
+    numbers = df.select("id", "score")
+    assert P.top_values(numbers).count() == 0
+    assert P.inspect_dataset(numbers, "csv", delimiter=";").first()["detected_options"] == "delimiter=;"
     assert P.map_reader_type("int64") == "long" and P.map_reader_type("category") == "string"
 
 

@@ -171,32 +171,24 @@ def row_uniqueness_wide(df: DataFrame, near: int = 1_000_000) -> DataFrame:
     return total.join(F.broadcast(among), "__one").select(*_uniqueness(F.col("total"), unique))
 
 
-def cell_values(df: DataFrame) -> DataFrame:
-    """(index of the column, cell as text), missing cells left out.
-
-    Adding zero makes the two zeros of floating columns one value.
-    """
-
-    def text(field: T.StructField) -> Column:
-        column = F.col(quoted(field.name))
-        if isinstance(field.dataType, FLOATING):
-            column = null_if_missing(column, field.dataType) + F.lit(0.0).cast(field.dataType)
-        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            return F.to_json(column)
-        return column.cast("string")
-
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), text(f).alias("value"))
-            for i, f in enumerate(df.schema)
-        ]
-    )
-    return df.select(F.inline(cells)).filter("value IS NOT NULL")
+def _cell_text(field: T.StructField) -> Column:
+    """A cell as text, NULL if it is missing; the two floating zeros are one value."""
+    column = F.col(quoted(field.name))
+    if isinstance(field.dataType, FLOATING):
+        column = null_if_missing(column, field.dataType) + F.lit(0.0).cast(field.dataType)
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(column)
+    return column.cast("string")
 
 
 def value_counts(df: DataFrame) -> DataFrame:
-    """(i, value, n): how often each value occurs in each column."""
-    return cell_values(df).groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(i, value, n): how often each value occurs in the column with index i."""
+    # the cells travel with the index of their column, not with its name
+    indexes = [str(i) for i in range(len(df.columns))]
+    cells = df.select(*[_cell_text(f).alias(i) for i, f in zip(indexes, df.schema)])
+    present = cells.unpivot([], indexes, "i", "value").filter("value IS NOT NULL")
+    counted = present.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("i").cast("int").alias("i"), "value", "n")
 
 
 def column_uniqueness(df: DataFrame, approximate: bool = False, counts: DataFrame | None = None) -> DataFrame:

@@ -101,6 +101,8 @@ def top_values(
     ``counts`` is a ``value_counts`` of the table, if it is at hand.
     """
     columns = columns or text_columns(df)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string, count bigint, rank int")
     if counts is None:
         names = columns
         counts = metrics.value_counts(df.select(*[F.col(quoted(c)) for c in columns]))
