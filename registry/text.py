@@ -18,11 +18,16 @@ def _corpus(spark, sf_dir):
 
 
 def _rounded(df, *names):
+    # the same arithmetic as in the SQL, so that ties round alike
     for name in names:
-        df = df.withColumn(name, F.round(name, 6))
+        df = df.withColumn(name, F.floor(F.col(name) * 1e6 + 0.5) / 1e6)
     return df
 
 
+def _rounded_sql(name):
+    return f"floor({name} * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS {name}"
+
+
 def _hits(spark, sf_dir):
     return _corpus(spark, sf_dir).search()
 
@@ -120,7 +125,7 @@ freq AS (SELECT term, count(DISTINCT doc_id) AS df FROM matched GROUP BY term),
 idf AS (SELECT DISTINCT t.term, coalesce(df, 0) AS document_frequency,
   CASE WHEN df IS NULL THEN 0.1 ELSE ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (df + 1)) + 1 END AS idf FROM terms t LEFT JOIN freq f ON t.term = f.term),
 sizes AS (SELECT query_id, count(*) AS size FROM terms GROUP BY query_id),
-scores AS (SELECT t.query_id, m.doc_id, m.chunk_no, round(sum(i.idf / s.size), 10) AS score
+scores AS (SELECT t.query_id, m.doc_id, m.chunk_no, floor(sum(i.idf / s.size) * 1e10::DOUBLE + 0.5::DOUBLE) / 1e10::DOUBLE AS score
   FROM matched m JOIN terms t ON m.term = t.term JOIN idf i ON i.term = t.term JOIN sizes s ON s.query_id = t.query_id GROUP BY ALL),
 best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_no) = 1),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM best QUALIFY rank <= 8),
@@ -150,10 +155,10 @@ _ASKED = "CASE WHEN conv_id % 9 = 0 THEN 'What sources have ' || text WHEN conv_
 ORACLE = {
     "chunk_documents": f"WITH {CHUNKS} SELECT * FROM chunks",
     "expand_query": with_views(f"WITH {TERMS} SELECT * FROM terms", "search_queries"),
-    "idf": scored("SELECT term, document_frequency, round(idf, 6) AS idf FROM idf"),
-    "chunk_scores": scored("SELECT query_id, doc_id, chunk_no, round(score, 6) AS score FROM scores"),
-    "best_chunk": scored("SELECT query_id, doc_id, chunk_no, round(score, 6) AS score FROM best"),
-    "search_topk": scored("SELECT query_id, rank, doc_id, chunk_no, round(score, 6) AS score FROM hits"),
+    "idf": scored(f"SELECT term, document_frequency, {_rounded_sql('idf')} FROM idf"),
+    "chunk_scores": scored(f"SELECT query_id, doc_id, chunk_no, {_rounded_sql('score')} FROM scores"),
+    "best_chunk": scored(f"SELECT query_id, doc_id, chunk_no, {_rounded_sql('score')} FROM best"),
+    "search_topk": scored(f"SELECT query_id, rank, doc_id, chunk_no, {_rounded_sql('score')} FROM hits"),
     "citations": scored("SELECT query_id, rank AS citation_id, substr(text, 1, 200) || '...' AS text FROM hits"),
     "snippet_relevance": scored(
         f"""SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rank) AS INT) AS place, CAST(relevance AS INT) AS relevance,
