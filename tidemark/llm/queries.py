@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import exact, mixing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +17,47 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLE: dict[str, str] = {}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(_table(spark, sf_dir, "documents"), block_words=256, weights=(1, 2, 3), most_copies=3).drop("source")
+
+
+OP4 = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+source AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * sum(size) AS cap,
+         (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM source WINDOW before AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+shares AS (
+  SELECT source, source_size, CAST(CASE WHEN cap <= level * weight THEN cap
+         ELSE weight * max(CASE WHEN cap > level * weight THEN level END) OVER () END AS DOUBLE) AS target FROM levels),
+placed AS (
+  SELECT d.doc_id, d.size, s.source_size, s.target, CAST(round(s.target) AS BIGINT) AS quota,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, quota - start))
+     + greatest(0, least(size, quota - start - source_size)) + greatest(0, least(size, quota - start - 2 * source_size)) AS BIGINT) AS taken
+FROM placed
+"""
+
+
+def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = exact.exact_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("text_sha256")).alias("text_sha256"))
+
+
+OP7 = """
+WITH lowered AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+named AS (
+  SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size, sha256(text) AS text_sha256
+  FROM lowered)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM named
+"""
+
+QUERIES = {"op1_simhash": op1_simhash, "op4_mixing": op4_mixing, "op7_exact": op7_exact}
+ORACLE = {"op4_mixing": OP4, "op7_exact": OP7}

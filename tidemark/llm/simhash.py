@@ -214,4 +214,4 @@ def simhash_keep(docs: DataFrame, shingle: int = 3, max_distance: int = 2) -> Da
     """
     groups = simhash_groups(docs, shingle, max_distance)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
