@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, mixing, simhash
+from tidemark.llm import exact, folds, language, mixing, packing, simhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer, length=2048, end_id=0)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents"), block_words=256, weights=(1, 2, 3), most_copies=3).drop("source")
 
@@ -45,6 +51,15 @@ FROM placed
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    learn = toxicity.bounded_labels(labels.where(~folds.held_out(F.col("doc_id"))), "toxic", most_rows=12_000)
+    # a bounded sample: 12,000 ids at most
+    model = toxicity.train(docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id"))
+    scored = toxicity.toxicity(docs, model)
+    return scored.select("doc_id", folds.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact.exact_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("text_sha256")).alias("text_sha256"))
@@ -59,5 +74,16 @@ named AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM named
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_mixing": op4_mixing, "op7_exact": op7_exact}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~folds.held_out(F.col("doc_id"))), docs_per_language=2000)
+    found = language.languages(docs, model)
+    return found.select("doc_id", folds.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_strings(_table(spark, sf_dir, "documents"), width=50)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_exact": op7_exact, "op8_language": op8_language, "op9_suffixes": op9_suffixes}
 ORACLE = {"op4_mixing": OP4, "op7_exact": OP7}
