@@ -13,6 +13,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # no files allocated ahead: several MB for every partition of the state, however small
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -82,7 +84,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, f
     else:
         state = cut_lineage(digest_state(spark, arriving.select("digest", "doc_id", "locator"), folder))
     hits = cut_lineage(state.where("n > 1").select("digest"))
-    hit_texts = text.select(digest(F.col("text")).cast("binary").alias("digest"), "doc_id", "text", "locator").join(hits, "digest")
+    hit_texts = text.select(digest(F.col("text")).cast("binary").alias("digest"), "doc_id", "text", "locator").join(hits.hint("shuffle_hash"), "digest")
     by_text = hit_texts.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), F.max(F.struct("doc_id", "locator")).alias("last"))
     proved = cut_lineage(by_text.groupBy("digest").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.max("last").alias("last")))
     groups = cut_lineage(state.where("n = 1").union(proved.where("texts = 1").select("digest", "n", "last")))
@@ -100,4 +102,4 @@ def exact_keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay; columns unchanged."""
     gone = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (sha256(normal(docs["text"])) == gone["gone_text"])
-    return docs.join(gone, same, "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
