@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.exact import exact_keep
+from tidemark.llm.folds import held_out
+from tidemark.llm.language import languages, train
+from tidemark.llm.mixing import mix_documents
+from tidemark.llm.packing import packed_documents
 from tidemark.llm.simhash import simhash_keep
-from tidemark.session import scratch_path
+from tidemark.session import cut_lineage, scratch_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found stay; those without a letter go."""
+    model = train(docs.where(~held_out(F.col("doc_id"))), docs_per_language=2000)
+    found = cut_lineage(languages(docs, model).where("lang_pred = 'und'").select("doc_id").distinct())
+    return docs.join(found.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]), "left_anti")
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest ``doc_id`` stays."""
+    return exact_keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,10 +32,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_keep(docs, shingle=3, max_distance=2)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them, in whole copies."""
+    return mix_documents(docs, block_words=256, weights=(1, 2, 3), most_copies=3)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with the sequence of 2048 tokens and the place they are packed at."""
+    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=0)
+
+
 STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_duplicates),
     ("simhash_near_dedup", near_duplicates),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", pack_sequences),
 ]
 
+#: Hashes, learned models and token ids are not for SQL.
 ORACLE_SQL = None
 
 

@@ -182,5 +182,5 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
     kept = kept.select(F.col("doc_id").alias("mixed_id"), copies.alias("copies")).where("copies > 0")
     kept = cut_lineage(kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("mixed_id"))
-    mixed = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["mixed_id"]))
+    mixed = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(kept["mixed_id"]))
     return mixed.select(*[docs[c] for c in docs.columns])

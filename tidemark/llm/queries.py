@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, folds, language, mixing, packing, simhash, suffixes, toxicity
+from tidemark.llm import covertree, exact, folds, html, language, mixing, packing, pii, simhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), tokenizer, length=2048, end_id=0)
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents"), block_words=256, weights=(1, 2, 3), most_copies=3).drop("source")
 
@@ -51,6 +55,10 @@ FROM placed
 """
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     learn = toxicity.bounded_labels(labels.where(~folds.held_out(F.col("doc_id"))), "toxic", most_rows=12_000)
@@ -85,5 +93,19 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_strings(_table(spark, sf_dir, "documents"), width=50)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_exact": op7_exact, "op8_language": op8_language, "op9_suffixes": op9_suffixes}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["strict"])
+
+    def digest(spans) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    counts = [F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_embeddings": op3_embeddings, "op4_mixing": op4_mixing, "op5_html": op5_html,
+    "op6_toxicity": op6_toxicity, "op7_exact": op7_exact, "op8_language": op8_language, "op9_suffixes": op9_suffixes, "op10_pii": op10_pii,
+}
 ORACLE = {"op4_mixing": OP4, "op7_exact": OP7}

@@ -7,6 +7,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +41,12 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """Columns ``doc_id`` and ``fp`` (signed long) for every document."""
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [fingerprint(t, shingle, seed) for t in batch["text"]]})
+            found = pa.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(task, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, fp long")
 
 
 def _trie_pairs(left: np.ndarray, right: np.ndarray | None, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -214,4 +216,4 @@ def simhash_keep(docs: DataFrame, shingle: int = 3, max_distance: int = 2) -> Da
     """
     groups = simhash_groups(docs, shingle, max_distance)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
 SPACE = 1 << 20
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6)
 MEMO_WORDS = 500_000
 
 
