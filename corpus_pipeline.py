@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.exact import exact_keep
 from tidemark.llm.folds import held_out
-from tidemark.llm.language import languages, train
+from tidemark.llm.language import keep_known, train
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.packing import packed_documents
 from tidemark.llm.simhash import simhash_keep
-from tidemark.session import cut_lineage, scratch_path
+from tidemark.session import scratch_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found stay; those without a letter go."""
     model = train(docs.where(~held_out(F.col("doc_id"))), docs_per_language=2000)
-    found = cut_lineage(languages(docs, model).where("lang_pred = 'und'").select("doc_id").distinct())
-    return docs.join(found.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]), "left_anti")
+    return keep_known(docs, model)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

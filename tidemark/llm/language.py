@@ -182,6 +182,43 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def keep_known(docs: DataFrame, model: Model, least_share: float = 0.0, penalty: float = 12.0) -> DataFrame:
+    """The rows of ``docs`` whose language is found, in at least ``least_share`` of their letters; columns unchanged.
+
+    Rows are judged where they lie, so nothing is joined or shuffled. Rows
+    that ``languages`` calls ``und`` go.
+    """
+    kept = docs.sparkSession.sparkContext.broadcast(vars(model))
+
+    def task(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, memo, table = _restored(kept.value), {}, []
+        for batch in arrived:
+            texts = batch.column("text").to_pylist()
+            known = []
+            for a, b in _parts(texts):
+                known += [share >= least_share and pred != "und" for pred, share, _ in _judged(texts[a:b], model, memo, table, penalty)]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
+def _judged(texts: list[str | None], model: Model, memo: dict[str, int], table: list[np.ndarray], penalty: float) -> Iterator[tuple[str, float, np.ndarray]]:
+    """Language, share of letters and languages of the words of every text."""
+    count = len(model.langs)
+    if not count:
+        for _ in texts:
+            yield "und", 0.0, np.empty(0, np.int8)
+        return
+    best, words, size = _labelled(texts, model, memo, table, penalty)
+    letters = np.fromiter(map(len, words), np.int64, len(words))
+    owner = np.repeat(np.arange(len(texts)), size)
+    held = np.bincount(owner * count + best, letters, len(texts) * count).reshape(len(texts), count)
+    total, top = held.sum(1), held.argmax(1)
+    share = held.max(1) / np.maximum(total, 1)
+    for k, own in enumerate(np.split(best, np.cumsum(size)[:-1])):
+        yield (model.langs[top[k]] if total[k] else "und"), float(share[k]), own
+
+
 def languages(docs: DataFrame, model: Model, penalty: float = 12.0, with_spans: bool = False) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` and, if asked for, ``spans`` for every row of ``docs``.
 
@@ -195,25 +232,14 @@ def languages(docs: DataFrame, model: Model, penalty: float = 12.0, with_spans:
 
     def task(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo, table = _restored(kept.value), {}, []
-        count = len(model.langs)
         for batch in arrived:
             texts = batch.column("text").to_pylist()
             preds, scores, spans = [], [], []
             for a, b in _parts(texts):
-                if not count:
-                    preds += ["und"] * (b - a)
-                    scores += [0.0] * (b - a)
-                    spans += [[]] * (b - a)
-                    continue
-                best, words, size = _labelled(texts[a:b], model, memo, table, penalty)
-                letters = np.fromiter(map(len, words), np.int64, len(words))
-                owner = np.repeat(np.arange(b - a), size)
-                held = np.bincount(owner * count + best, letters, (b - a) * count).reshape(b - a, count)
-                total, top = held.sum(1), held.argmax(1)
-                preds += [model.langs[k] if n else "und" for k, n in zip(top, total)]
-                scores += (held.max(1) / np.maximum(total, 1)).tolist()
-                if with_spans:
-                    for own in np.split(best, np.cumsum(size)[:-1]):
+                for pred, share, own in _judged(texts[a:b], model, memo, table, penalty):
+                    preds.append(pred)
+                    scores.append(share)
+                    if with_spans:
                         edges = np.flatnonzero(np.diff(own, prepend=-1))
                         spans.append([f"{model.langs[own[e]]}:{n}" for e, n in zip(edges, np.diff(np.append(edges, len(own))))])
             columns = [batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
