@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -16,29 +18,36 @@ from tokenizers import Tokenizer
 
 from tidemark.session import cut_lineage
 
-#: Between two characters that are no white space, one blank always begins a new unit of the tokenizer.
-UNIT = re.compile(r"(?<=\S) (?=\S)")
-MEMO_ENTRIES = 400_000
+#: Texts cut where the tokenizer always begins a new unit: around words of Latin letters, and between words and white space.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+UNIT = re.compile(rf" ?[{LATIN}]++(?![^\W\d_])| ?\S+|\s+(?!\S)|\s")
+#: Separators that Python takes for white space and the tokenizer does not: such texts are encoded whole.
+ODD = re.compile("[\x1c-\x1f]")
+MEMO_ENTRIES = 600_000
 
 
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes; units met before are looked up."""
 
     def __init__(self, path: str):
+        # tasks already run side by side on every core
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        units = UNIT.split(text)
-        units[1:] = [" " + u for u in units[1:]]
-        new = [u for u in dict.fromkeys(units) if u not in self.memo]
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
-            self.memo, new = {}, list(dict.fromkeys(units))
+        units = [text] if ODD.search(text) else UNIT.findall(text)
+        memo = self.memo
+        new = [u for u in set(units) if u not in memo]
+        if len(memo) + len(new) > MEMO_ENTRIES:
+            memo.clear()
+            new = list(set(units))
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             for unit, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.memo[unit] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(self.memo.__getitem__, units))
+                ids = found.ids
+                memo[unit] = struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([memo[u] for u in units])
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
