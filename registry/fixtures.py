@@ -8,6 +8,8 @@ The text is the same for Spark and DuckDB.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -124,15 +126,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """SQL over the given tables, handed over by name, so that no view of the session is touched."""
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+    for table in used:
+        sql = re.sub(rf"(?i)\b(FROM|JOIN)\s+{table}\b(?!\s*\.)", rf"\1 {{{table}}} AS {table}", sql)
+    return spark.sql(sql, **{t: load(spark, sf_dir, t) for t in used})
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or one of the views above."""
-    if name in TABLES:
-        return load(spark, sf_dir, name)
-    text = VIEWS[name]
-    for table in TABLES:
-        if table in text:
-            load(spark, sf_dir, table).createOrReplaceTempView(table)
-    return spark.sql(text)
+    return load(spark, sf_dir, name) if name in TABLES else run_sql(spark, sf_dir, VIEWS[name])
 
 
 def with_views(sql: str, *names: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import rules as R
 
-from .fixtures import view, with_views
+from .fixtures import run_sql, view, with_views
 
 RULES = [
     {"type": "not_null", "column": "o_custkey"},
@@ -28,7 +28,9 @@ RULES = [
     {"type": "foreign_key", "column": "o_custkey", "reference": "customer", "reference_column": "c_custkey"},
 ]
 
-ROW_RULES = [r for r in RULES if r["type"] in R.ROW_RULES]
+ROW_RULES = [r for r in RULES if r["type"] in R.ROW_RULES and r["column" if "column" in r else "type"] != "no_such_column"]
+# all rules that can label a row
+LABEL_RULES = [r for r in RULES if r in ROW_RULES or r["type"] in R.SET_RULES]
 
 # violation conditions in SQL, by the name the rule gets
 CONDITIONS = {
@@ -44,6 +46,23 @@ CONDITIONS = {
     "conditional_o_totalprice_o_totalprice": "o_orderstatus = 'F' AND (o_totalprice IS NULL OR o_totalprice < 0)",
 }
 
+# rules about the whole set, over dirty_orders with its groups counted
+SET_CONDITIONS = {
+    "uniqueness_o_orderkey": "n_key > 1",
+    "uniqueness_o_custkey_order_date_text": "n_pair > 1",
+    "foreign_key_o_custkey": "o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)",
+}
+COUNTED = """(SELECT *, count(*) OVER (PARTITION BY o_orderkey) AS n_key,
+  count(*) OVER (PARTITION BY o_custkey, order_date_text) AS n_pair FROM dirty_orders) AS counted"""
+FLAGGED = "(SELECT *, " + ", ".join(f"coalesce({c}, false) AS \"{n}\"" for n, c in SET_CONDITIONS.items()) + f" FROM {COUNTED}) AS flagged"
+# the labels in the order of LABEL_RULES
+LABELS = {**CONDITIONS, **{n: f'"{n}"' for n in SET_CONDITIONS}}
+ALL_SQL = (
+    "list_filter(["
+    + ", ".join(f"CASE WHEN {LABELS[R.rule_name(r)]} THEN '{R.rule_name(r)}' END" for r in LABEL_RULES)
+    + "], lambda x: x IS NOT NULL)"
+)
+
 BROKEN_SQL = (
     "list_filter(["
     + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in CONDITIONS.items())
@@ -118,7 +137,8 @@ def rule_value_distribution(spark, sf_dir):
 
 
 def rule_failure_samples(spark, sf_dir):
-    return R.rule_failure_samples(view(spark, sf_dir, "dirty_orders"), RULES, ["o_orderkey"]).select(
+    df, references = view(spark, sf_dir, "dirty_orders"), {"customer": view(spark, sf_dir, "customer")}
+    return R.rule_failure_samples(df, LABEL_RULES, ["o_orderkey"], references=references).select(
         "rule", "sample_no", "o_orderkey", "email"
     )
 
@@ -160,13 +180,16 @@ def valid_subset(spark, sf_dir):
     df = view(spark, sf_dir, "dirty_orders").select(
         "o_custkey", "order_date_text", "o_orderkey", "o_orderstatus", "o_totalprice", "email", "ship_date", "o_orderdate"
     )
-    return R.valid_subset(df, ROW_RULES, ["o_custkey", "order_date_text"]).select(
+    rules = [r for r in LABEL_RULES if r.get("columns") != ["o_custkey", "order_date_text"]]
+    references = {"customer": view(spark, sf_dir, "customer")}
+    return R.valid_subset(df, rules, ["o_custkey", "order_date_text"], references).select(
         "o_custkey", "order_date_text", "o_orderkey"
     )
 
 
 def quarantine_split(spark, sf_dir):
-    return R.rows_by_reason(view(spark, sf_dir, "dirty_orders"), RULES).select("reason", "o_orderkey")
+    references = {"customer": view(spark, sf_dir, "customer")}
+    return R.rows_by_reason(view(spark, sf_dir, "dirty_orders"), LABEL_RULES, references).select("verdict", "reason", "o_orderkey")
 
 
 def null_or_blank(spark, sf_dir):
@@ -190,6 +213,9 @@ PROBLEM_RULES = [
     {"type": "range", "column": "o_totalprice", "min": 0, "max": 450000},
     {"type": "format", "column": "order_date_text", "format": "YYYY-MM-DD"},
     {"type": "cross_column_comparison", "column1": "ship_date", "operator": ">", "column2": "o_orderdate"},
+    {"type": "uniqueness", "columns": ["o_custkey", "order_date_text"]},
+    {"type": "foreign_key", "column": "o_custkey", "reference": "customer", "reference_column": "c_custkey"},
+    {"type": "schema", "column": "order_date_text", "dtype": "date"},
 ]
 
 # the defects dirty_orders was given, as labels
@@ -198,13 +224,17 @@ SELECT o_orderkey, 'NULL_VALUE' AS problem_type FROM orders WHERE o_orderkey % 4
 UNION ALL SELECT o_orderkey, 'OUT_OF_RANGE' FROM orders WHERE o_orderkey % 37 = 0 OR o_orderkey % 67 = 0
 UNION ALL SELECT o_orderkey, 'INVALID_FORMAT' FROM orders WHERE o_orderkey % 31 = 0
 UNION ALL SELECT o_orderkey, 'INCONSISTENT' FROM orders WHERE o_orderkey % 47 = 0
+UNION ALL SELECT o_orderkey, 'MISSING_FK' FROM orders WHERE o_orderkey % 59 = 0 AND o_orderkey % 29 <> 0
+UNION ALL SELECT o_orderkey, 'WRONG_TYPE' FROM orders WHERE o_orderkey % 31 = 0
+UNION ALL SELECT o_orderkey, 'DUPLICATE' FROM (
+  SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE)) AS n FROM orders) AS x WHERE n > 1
 """
 
 
 def detection_precision_recall(spark, sf_dir):
-    found = R.detected_problems(view(spark, sf_dir, "dirty_orders"), PROBLEM_RULES, "o_orderkey")
-    view(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return R.detection_quality(spark.sql(EXPECTED_SQL), found, "o_orderkey")
+    references = {"customer": view(spark, sf_dir, "customer")}
+    found = R.detected_problems(view(spark, sf_dir, "dirty_orders"), PROBLEM_RULES, "o_orderkey", references)
+    return R.detection_quality(run_sql(spark, sf_dir, EXPECTED_SQL), found, "o_orderkey")
 
 
 QUERIES = {
@@ -256,7 +286,7 @@ ORACLE = {
         f"""
         SELECT rule, CAST(sample_no AS INT) AS sample_no, o_orderkey, email FROM (
           SELECT rule, o_orderkey, email, row_number() OVER (PARTITION BY rule ORDER BY o_orderkey) AS sample_no
-          FROM (SELECT unnest({BROKEN_SQL}) AS rule, o_orderkey, email FROM dirty_orders) AS e
+          FROM (SELECT unnest({ALL_SQL}) AS rule, o_orderkey, email FROM {FLAGGED}) AS e
         ) AS r WHERE sample_no <= 5""",
         "dirty_orders",
     ),
@@ -287,14 +317,15 @@ ORACLE = {
     ),
     "valid_subset": with_views(
         f"""
-        SELECT o_custkey, order_date_text, min(o_orderkey) AS o_orderkey FROM dirty_orders
-        WHERE len({BROKEN_SQL}) = 0 GROUP BY o_custkey, order_date_text""",
+        SELECT o_custkey, order_date_text, min(o_orderkey) AS o_orderkey FROM {FLAGGED}
+        WHERE len({BROKEN_SQL}) = 0 AND NOT "uniqueness_o_orderkey" AND NOT "foreign_key_o_custkey"
+        GROUP BY o_custkey, order_date_text""",
         "dirty_orders",
     ),
     "quarantine_split": with_views(
         f"""
-        SELECT 'valid' AS reason, o_orderkey FROM dirty_orders WHERE len({BROKEN_SQL}) = 0
-        UNION ALL SELECT unnest({BROKEN_SQL}) AS reason, o_orderkey FROM dirty_orders""",
+        SELECT 'valid' AS verdict, NULL AS reason, o_orderkey FROM {FLAGGED} WHERE len({ALL_SQL}) = 0
+        UNION ALL SELECT 'quarantine', unnest({ALL_SQL}) AS reason, o_orderkey FROM {FLAGGED}""",
         "dirty_orders",
     ),
     "null_or_blank": with_views(
@@ -330,6 +361,9 @@ ORACLE = {
           UNION ALL SELECT o_orderkey, 'OUT_OF_RANGE' FROM dirty_orders WHERE o_totalprice < 0 OR o_totalprice > 450000
           UNION ALL SELECT o_orderkey, 'INVALID_FORMAT' FROM dirty_orders WHERE order_date_text = 'not a date'
           UNION ALL SELECT o_orderkey, 'INCONSISTENT' FROM dirty_orders WHERE NOT (ship_date > o_orderdate)
+          UNION ALL SELECT o_orderkey, 'MISSING_FK' FROM {FLAGGED} WHERE "foreign_key_o_custkey"
+          UNION ALL SELECT o_orderkey, 'WRONG_TYPE' FROM dirty_orders WHERE order_date_text IS NOT NULL AND TRY_CAST(order_date_text AS DATE) IS NULL
+          UNION ALL SELECT o_orderkey, 'DUPLICATE' FROM {FLAGGED} WHERE n_pair > 1
         ),
         m AS (
           SELECT coalesce(e.problem_type, d.problem_type) AS problem_type,

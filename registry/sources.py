@@ -8,7 +8,7 @@ from tidemark.functions.missing import sanitize_frame
 from tidemark.session import scratch_path
 from tidemark.sources import detect, documents, sinks, tables
 
-from .fixtures import view, with_views
+from .fixtures import run_sql, view, with_views
 
 CUSTOMER = "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"
 
@@ -73,8 +73,7 @@ FROM orders
 
 def _split(spark, sf_dir):
     path = scratch_path(spark, "lines")
-    view(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    spark.sql(RAW_LINES).write.text(path)
+    run_sql(spark, sf_dir, RAW_LINES).write.text(path)
     return tables.scan_csv_tolerant(spark, path, "key BIGINT, status STRING, priority STRING", header=False)
 
 
@@ -131,10 +130,12 @@ def roundtrip_write(spark, sf_dir):
 
 
 def parse_lines_arity(spark, sf_dir):
-    view(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    lines = spark.sql(
-        RAW_LINES.replace("AS line", "AS line, o_custkey % 8 AS file, o_orderkey AS at")
-    ).unionByName(spark.range(8).select(F.lit("order_key,status,priority").alias("line"), F.col("id").alias("file"), F.lit(-1).cast("long").alias("at")))
+    lines = run_sql(
+        spark, sf_dir, RAW_LINES.replace("AS line", "AS line, o_custkey % 8 AS file, o_orderkey AS at")
+    )
+    # every file begins with two lines that look like headers
+    for place, header in ((-2, "file_of,orders,here"), (-1, "order_key,status,priority")):
+        lines = lines.unionByName(spark.range(8).select(F.lit(header).alias("line"), F.col("id").alias("file"), F.lit(place).cast("long").alias("at")))
     return tables.parse_delimited_lines(lines, ["key", "status", "priority"])
 
 

@@ -74,10 +74,9 @@ def markdown_titles(spark, sf_dir):
 
 
 def vector_neighbours(spark, sf_dir):
-    """The first vector of every label as query, over all vectors."""
+    """Every vector as query, over all vectors."""
     vectors = view(spark, sf_dir, "embeddings")
-    queries = vectors.groupBy(F.col("label").cast("long").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
-    return vector_topk(vectors, queries)
+    return vector_topk(vectors, vectors.select(F.col("vec_id").alias("query_id"), "embedding"))
 
 
 QUERIES = {
@@ -183,7 +182,7 @@ ORACLE = {
     "markdown_title": with_views(
         "SELECT doc_id, CASE WHEN filename LIKE '%.md' AND trim(split_part(text, chr(10), 1)) LIKE '#%' THEN trim(ltrim(trim(split_part(text, chr(10), 1)), '#')) END AS title FROM doc_files", "doc_files"),
     "vector_topk": """
-        WITH q AS (SELECT label::BIGINT AS query_id, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label),
+        WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings),
         s AS (SELECT query_id, vec_id, round(list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INT) AS rank, vec_id, similarity FROM s QUALIFY rank <= 8""",
 }

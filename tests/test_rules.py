@@ -151,3 +151,47 @@ def test_custom_predicate(frame):
     rule = {"type": "custom", "column": "v", "name": "even", "predicate": lambda values: values % 2 == 0}
     assert [r["v"] for r in R.failing_rows(df, rule).collect()] == [1]
     assert summary(df, [rule])["even"]["failed_count"] == 1
+
+
+def test_rules_about_the_whole_set_label_rows(frame):
+    rows = [(1, 10, "a"), (1, 11, "b"), (2, 12, "3"), (None, 10, "4"), (None, None, "5"), (3, 99, None)]
+    df = frame(rows, "id int, ref int, code string")
+    rules = [
+        {"type": "uniqueness", "columns": ["id"]},
+        {"type": "foreign_key", "column": "ref", "reference": "other", "reference_column": "k"},
+        {"type": "schema", "column": "code", "dtype": "int"},
+        {"type": "range", "column": "ref", "max": 50},
+        {"type": "range", "column": "ref", "min": 11},
+    ]
+    other = {"other": frame([(10,), (11,), (12,)], "k int")}
+    found = {(r["id"], r["ref"]): r["v"] for r in R.with_violations(df, rules, "v", other).collect()}
+    assert found == {
+        (1, 10): ["uniqueness_id", "schema_code", "range_ref_2"], (1, 11): ["uniqueness_id", "schema_code"], (2, 12): [],
+        (None, 10): ["uniqueness_id", "range_ref_2"], (None, None): ["uniqueness_id"], (3, 99): ["foreign_key_ref", "range_ref"],
+    }
+    assert [tuple(r) for r in R.valid_subset(df, rules, references=other).collect()] == [(2, 12, "3")]
+    samples = R.rule_failure_samples(df, rules, ["code"], 1, other).collect()
+    assert {r["rule"] for r in samples} == {"uniqueness_id", "foreign_key_ref", "schema_code", "range_ref", "range_ref_2"} and len(samples) == 5
+    types = {(r["code"], r["problem_type"]) for r in R.detected_problems(df, rules, "code", other).collect()}
+    assert ("a", "DUPLICATE") in types and (None, "MISSING_FK") in types and ("b", "WRONG_TYPE") in types and ("a", "OUT_OF_RANGE") in types
+
+
+def test_a_rule_may_be_called_valid(frame):
+    df = frame([(1,), (2,)], "id int")
+    valid, bad = R.quarantine_split(df, [{"type": "range", "column": "id", "max": 1, "name": "valid"}])
+    assert [r["id"] for r in valid.collect()] == [1] and [(r["id"], r["reason"]) for r in bad.collect()] == [(2, "valid")]
+
+
+@pytest.mark.parametrize("rule, message", [
+    ({"type": "value_distribution", "column": "id", "value": 1, "min_freq": 0, "max_freq": 1}, "cannot label"),
+    ({"type": "not_null", "column": "nowhere"}, "not there"),
+    ({"type": "foreign_key", "column": "id", "reference": "nowhere", "reference_column": "k"}, "needs the table"),
+])
+def test_rules_that_label_no_row_are_refused(frame, rule, message):
+    df = frame([(1,)], "id int")
+    for use in (lambda: R.with_violations(df, [rule]), lambda: R.valid_subset(df, [rule]), lambda: R.rule_failure_samples(df, [rule], ["id"])):
+        with pytest.raises(ValueError, match=message):
+            use()
+    if rule["type"] == "value_distribution":
+        with pytest.raises(ValueError, match="no problem type"):
+            R.detected_problems(df, [rule], "id")

@@ -83,10 +83,10 @@ def test_table_lines(frame):
 
 
 def test_lines_of_the_right_arity(frame):
-    rows = [("f", 1, "col_a,col_b"), ("f", 2, "1,2"), ("f", 3, " , "), ("f", 4, "1,2,3"), ("f", 5, "1"), ("f", 6, '"a,b",'), ("g", 1, "x1,y")]
+    rows = [("f", -1, "some_header,x"), ("f", 0, "too_many,a,b"), ("f", 1, "col_a,col_b"), ("f", 2, "1,2"), ("f", 7, "later_name,z"), ("h", 1, "only_header,x"), ("f", 3, " , "), ("f", 4, "1,2,3"), ("f", 5, "1"), ("f", 6, '"a,b",'), ("g", 1, "x1,y")]
     lines = frame(rows, "file string, at int, line string")
     found = {(r["file"], r["at"]): (r["a"], r["b"]) for r in tables.parse_delimited_lines(lines, ["a", "b"]).collect()}
-    assert found == {("f", 2): ("1", "2"), ("f", 6): ("a,b", None), ("g", 1): ("x1", "y")}
+    assert found == {("f", 2): ("1", "2"), ("f", 6): ("a,b", None), ("f", 7): ("later_name", "z"), ("g", 1): ("x1", "y")}
 
 
 @pytest.mark.parametrize("kind", ["csv", "json", "parquet"])

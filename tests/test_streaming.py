@@ -50,3 +50,23 @@ def test_windows_equal_batch_where_closed(spark, source):
     assert closed and closed <= batch
     # the last event is at 23:15, so the windows up to 18:00 are closed
     assert {r[0].hour for r in closed} == {0, 6, 12}
+
+
+def test_rules_about_the_whole_set_are_refused(spark, source):
+    df, path = source
+    stream = spark.readStream.schema(df.schema).parquet(path)
+    with pytest.raises(ValueError, match="cannot label"):
+        SR.start_rule_stream(stream, [{"type": "uniqueness", "columns": ["id"]}], "unused", "unused")
+
+
+def test_unreadable_times_are_counted_or_refused(spark, frame):
+    rows = [(1, "2024-01-01 10:00:00", "a", 1.0), (2, "whenever", "a", 20.0), (3, None, "b", None)]
+    df = frame(rows, "id int, at string, status string, value double")
+    build = lambda d: SW.window_metrics(d, "at", "id", "status", "value", F.col("value") > 10)
+    found = {(r["window_start"] is None, r["group"]): (r["rows"], r["bad"]) for r in build(df).collect()}
+    assert found == {(False, "a"): (1, 0), (True, "a"): (1, 1), (True, "b"): (1, 0)}
+    path = scratch_path(spark, "untimed")
+    df.write.parquet(path)
+    metrics = build(spark.readStream.schema(df.schema).parquet(path))
+    with pytest.raises(Exception, match="unreadable event time"):
+        SW.start_window_stream(metrics, scratch_path(spark, "o"), scratch_path(spark, "c")).awaitTermination()

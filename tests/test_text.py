@@ -130,8 +130,15 @@ def test_vectors_like_numpy(spark, monkeypatch):
         expected[q] = [int(i) for i in np.lexsort((np.arange(200), -score))[:5]]
     read = lambda: {q: [r["vec_id"] for r in rows] for q, rows in _grouped(vector_topk(df, queries, 5)).items()}
     assert read() == expected
-    monkeypatch.setattr("tidemark.operators.vectors.BLOCK", 3)
+    monkeypatch.setattr("tidemark.operators.vectors.QUERY_ROWS", 3)
+    monkeypatch.setattr("tidemark.operators.vectors.STORED_ROWS", 11)
     assert read() == expected
+    wrong = df.unionByName(spark.createDataFrame([(900, [1.0, 2.0]), (901, None)], "vec_id long, embedding array<float>"))
+    with pytest.raises(Exception, match="components"):
+        vector_topk(wrong, queries, 5).collect()
+    missing = df.unionByName(spark.createDataFrame([(901, None)], "vec_id long, embedding array<float>"))
+    assert vector_topk(missing, queries, 5).count() == 35
+    assert vector_topk(df, queries.limit(0), 5).collect() == []
 
 
 def _grouped(df):

@@ -17,6 +17,7 @@ from ..functions.missing import TEXTUAL, is_missing, quoted
 from ..functions.numbers import number_from_text, plain_number
 from ..functions.text import trim_invisible
 from .headers import normalize_headers
+from .metrics import same_cells
 
 
 @dataclass(frozen=True)
@@ -132,7 +133,8 @@ def apply_plan(df: DataFrame, plan: Plan, options: CleanOptions = CleanOptions()
         if options.keep_unparsed and name in plan.dates:
             columns.append(F.when(F.col(f"d{i}").isNull(), F.col(f"t{i}")).alias(f"{name}__unparsed"))
     cleaned = staged.select(*columns)
-    return cleaned.dropDuplicates() if options.drop_duplicates else cleaned
+    # NaN and NULL are both missing, the two zeros equal
+    return cleaned.select(*same_cells(cleaned)).dropDuplicates() if options.drop_duplicates else cleaned
 
 
 def cleaning_report(df: DataFrame, plan: Plan, options: CleanOptions = CleanOptions()) -> DataFrame:

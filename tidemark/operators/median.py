@@ -1,119 +1,52 @@
-"""Exact medians of many columns without one task sorting a whole column.
+"""Exact medians of many columns without one task or one buffer holding a whole column.
 
-``percentile`` keeps every distinct value of a column in one buffer. Above
-``small`` rows a sketch first brackets the middle of each column, a second
-pass counts what lies below and inside the bracket, and the bracket shrinks
-until it is small enough to finish exactly.
+All columns are one table of (column, value, number of rows), ordered by range
+partitions. The sums of the partitions tell in which of them the middle of
+each column lies, so only those two at most are read row by row, each on its
+own. The same path serves every size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.missing import null_if_missing, quoted
-
-SMALL = 2_000_000
-ACCURACY = 10_000
-MAX_ROUNDS = 12
+from ..session import cut_lineage
 
 
 def _value(df: DataFrame, name: str) -> Column:
     column = F.col(quoted(name))
-    return null_if_missing(column, df.schema[name].dataType).cast("double")
-
+    # the two zeros are one value
+    return null_if_missing(column, df.schema[name].dataType).cast("double") + F.lit(0.0)
 
-def is_small(df: DataFrame, small: int = SMALL) -> bool:
-    """Few enough rows for ``percentile``; of a Parquet table only the footers are read."""
-    return df.select(F.count(F.lit(1))).first()[0] <= small
 
+def exact_medians(df: DataFrame, columns: list[str], partitions: int | None = None) -> DataFrame:
+    """Rows (column, median); NULL and NaN are ignored, infinities count.
 
-def exact_medians(df: DataFrame, columns: list[str], small: int = SMALL) -> DataFrame:
-    """Rows (column, median); NULL and NaN are ignored, infinities count."""
+    ``partitions`` is the number of range partitions, by default that of any shuffle.
+    """
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, median double")
-    if is_small(df, small):
-        rows = [
-            F.struct(F.lit(c).alias("column"), F.percentile(_value(df, c), 0.5).alias("median"))
-            for c in columns
-        ]
-        return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
-    return bracketed_medians(df, columns, small)
-
-
-def bracketed_medians(df: DataFrame, columns: list[str], small: int = SMALL) -> DataFrame:
-    """The same for tables of any size."""
-    values = df.select(*[_value(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    counts = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first()
-    # column index -> (lowest, highest, rank of the lower middle below the bracket)
-    total = {i: counts[f"n{i}"] for i in range(len(columns)) if counts[f"n{i}"]}
-    bracket = {i: (float("-inf"), float("inf")) for i in total}
-    below = dict.fromkeys(total, 0)
-    inside = dict(total)
-
-    for _ in range(MAX_ROUNDS):
-        wide = [i for i in total if inside[i] > small and bracket[i][0] < bracket[i][1]]
-        if not wide:
-            break
-        sketches = []
-        for i in wide:
-            low, high = bracket[i]
-            middle = ((total[i] - 1) / 2 - below[i] + 0.5) / inside[i]
-            edges = [max(0.0, middle - 3 / ACCURACY), min(1.0, middle + 3 / ACCURACY)]
-            column = F.when(F.col(f"v{i}").between(low, high), F.col(f"v{i}"))
-            sketches.append(F.percentile_approx(column, edges, ACCURACY).alias(f"e{i}"))
-        edges = values.agg(*sketches).first()
-        checks = []
-        for i in wide:
-            low, high = edges[f"e{i}"]
-            checks.append(F.count_if(F.col(f"v{i}") < low).alias(f"b{i}"))
-            checks.append(F.count_if(F.col(f"v{i}").between(low, high)).alias(f"i{i}"))
-        found = values.agg(*checks).first()
-        narrowed = False
-        for i in wide:
-            low, high = edges[f"e{i}"]
-            first, last = (total[i] - 1) // 2, total[i] // 2
-            holds = found[f"b{i}"] <= first and last < found[f"b{i}"] + found[f"i{i}"]
-            if holds and found[f"i{i}"] < inside[i]:
-                bracket[i], below[i], inside[i] = (low, high), found[f"b{i}"], found[f"i{i}"]
-                narrowed = True
-        if not narrowed:
-            break
-
-    # Equal values collapse first, so a frequent value is one row here.
-    kept = F.array(
-        *[
-            F.when(
-                F.col(f"v{i}").between(*bracket[i]),
-                F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("value")),
-            )
-            for i in total
-        ]
-    )
-    per_value = (
-        values.select(F.inline(F.array_compact(kept))).groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    running = Window.partitionBy("i").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = per_value.withColumn("upto", F.sum("n").over(running))
-    picks = None
-    for i in total:
-        first, last = (total[i] - 1) // 2 - below[i], total[i] // 2 - below[i]
-        condition = F.col("i") == i
-        hit = (F.col("upto") > first) & (F.col("upto") - F.col("n") <= last)
-        picks = F.when(condition, hit) if picks is None else picks.when(condition, hit)
-    names = F.array(*[F.lit(c) for c in columns])
-    if picks is None:
-        medians = values.sparkSession.createDataFrame([], "column string, median double")
-    else:
-        medians = (
-            ranked.filter(picks)
-            .groupBy("i")
-            .agg(((F.min("value") + F.max("value")) / 2).alias("median"))
-            .select(F.get(names, F.col("i")).alias("column"), "median")
-        )
-    empty = [c for i, c in enumerate(columns) if i not in total]
-    if empty:
-        schema = T.StructType([T.StructField("column", T.StringType()), T.StructField("median", T.DoubleType())])
-        medians = medians.unionByName(df.sparkSession.createDataFrame([(c, None) for c in empty], schema))
-    return medians
+    cells = F.array_compact(F.array(*[
+        F.when(_value(df, c).isNotNull(), F.struct(F.lit(i).alias("i"), _value(df, c).alias("value"))) for i, c in enumerate(columns)
+    ]))
+    per_value = df.select(F.inline(cells)).groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+    keys = ["i", "value"]
+    ranged = per_value.repartitionByRange(partitions, *keys) if partitions else per_value.repartitionByRange(*keys)
+    held = cut_lineage(ranged.withColumn("part", F.spark_partition_id()))
+    # a row per column and partition
+    order = Window.partitionBy("i").orderBy("part")
+    parts = held.groupBy("i", "part").agg(F.sum("n").alias("rows"))
+    parts = parts.withColumn("before", F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    parts = parts.withColumn("before", F.coalesce("before", F.lit(0))).withColumn("total", F.sum("rows").over(Window.partitionBy("i")))
+    first, last = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    middle = parts.withColumn("first", first).withColumn("last", last)
+    middle = middle.where("before <= last and first < before + rows").drop("rows")
+    # two partitions of each column at most
+    near = held.join(F.broadcast(middle), ["i", "part"])
+    running = Window.partitionBy("i", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("upto", F.col("before") + F.sum("n").over(running))
+    picked = near.where("upto > first and upto - n <= last").groupBy("i").agg(((F.min("value") + F.max("value")) / 2).alias("median"))
+    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)], "i int, column string")
+    return names.join(F.broadcast(picked), "i", "left").select("column", "median")

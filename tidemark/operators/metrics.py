@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.missing import FLOATING, INTEGRAL, NUMERIC, TEXTUAL, is_missing, null_if_missing, quoted
 from ..functions.text import strip_spaces
 from ..session import cut_lineage
-from .median import SMALL, bracketed_medians, is_small
+from .median import exact_medians
 
 THRESHOLD = 80.0
 
@@ -136,39 +136,41 @@ def _uniqueness(total: Column, unique: Column) -> list[Column]:
 
 
 def row_uniqueness(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each set of identical rows count as duplicates."""
-    groups = df.groupBy(*[F.col(quoted(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    """Rows beyond the first of each set of identical rows count as duplicates; NaN is missing like NULL."""
+    groups = df.groupBy(*same_cells(df)).agg(F.count(F.lit(1)).alias("__n"))
     total = F.coalesce(F.sum("__n"), F.lit(0)).cast("long")
     return groups.agg(*_uniqueness(total, F.count(F.lit(1))))
 
 
-def row_uniqueness_wide(df: DataFrame, near: int = 1_000_000) -> DataFrame:
+def row_uniqueness_wide(df: DataFrame) -> DataFrame:
     """The same figures without shuffling whole rows, for wide tables with few duplicates.
 
     Rows are grouped by a 64-bit hash first. A hash that occurs once is one
     distinct row; only rows with a repeated hash are compared in full, so
-    colliding hashes do no harm. With more than ``near`` repeated hashes this
-    is no gain and the rows are grouped directly.
+    colliding hashes do no harm.
     """
+    plain = df.select(*same_cells(df))
+    hashed = plain.withColumn("__hash", F.xxhash64(*[F.col(quoted(c)) for c in df.columns]))
+    per_hash = cut_lineage(hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n")))
+    suspects = hashed.join(per_hash.filter("__n > 1").select("__hash"), "__hash", "left_semi")
+    # rows with the same hash are told apart under it, so no key holds more than its equal rows
+    distinct = suspects.groupBy("__hash", *[F.col(quoted(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    figures = per_hash.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("total"), F.count_if(F.col("__n") == 1).alias("once"))
+    # one row joined with one row
+    both = figures.crossJoin(F.broadcast(distinct.agg(F.count(F.lit(1)).alias("distinct"))))
+    return both.select(*_uniqueness(F.col("total"), F.col("once") + F.col("distinct")))
+
+
+def same_cells(df: DataFrame) -> list[Column]:
+    """The columns with NaN as NULL and one floating zero: rows equal in these are duplicates."""
 
     def cell(field: T.StructField) -> Column:
         column = F.col(quoted(field.name))
-        # the two zeros are equal, their hashes need not be
-        return column + F.lit(0.0).cast(field.dataType) if isinstance(field.dataType, FLOATING) else column
+        if isinstance(field.dataType, FLOATING):
+            column = F.nanvl(column, F.lit(None).cast(field.dataType)) + F.lit(0.0).cast(field.dataType)
+        return column.alias(field.name)
 
-    hashed = df.withColumn("__hash", F.xxhash64(*[cell(f) for f in df.schema]))
-    repeated = cut_lineage(
-        hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
-    )
-    found = repeated.agg(F.count(F.lit(1)).alias("hashes"), F.coalesce(F.sum("__n"), F.lit(0)).alias("rows")).first()
-    if found["hashes"] > near:
-        return row_uniqueness(df)
-    suspects = hashed.join(F.broadcast(repeated.select("__hash")), "__hash", "left_semi").drop("__hash")
-    distinct = suspects.groupBy(*[F.col(quoted(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    among = distinct.agg(F.count(F.lit(1)).alias("distinct"), F.lit(1).alias("__one"))
-    total = df.agg(F.count(F.lit(1)).alias("total"), F.lit(1).alias("__one"))
-    unique = F.col("total") - F.lit(found["rows"]) + F.col("distinct")
-    return total.join(F.broadcast(among), "__one").select(*_uniqueness(F.col("total"), unique))
+    return [cell(f) for f in df.schema]
 
 
 def _cell_text(field: T.StructField) -> Column:
@@ -360,14 +362,13 @@ def recommendations(overall: DataFrame, problems: DataFrame) -> DataFrame:
 
 
 def column_statistics(
-    df: DataFrame, median_small: int = SMALL, uniqueness: DataFrame | None = None
+    df: DataFrame, uniqueness: DataFrame | None = None
 ) -> DataFrame:
     """Per column: type, counts, min/max/mean/median/std or lengths and distinct texts.
 
     ``uniqueness`` is a ``column_uniqueness`` of the table, if it is at hand.
     """
     none = F.lit(None)
-    small = is_small(df, median_small)
     rows, numeric, text = [], [], []
     for field in df.schema:
         column = F.col(quoted(field.name))
@@ -392,7 +393,7 @@ def column_statistics(
                 of_number(F.min).alias("min"),
                 of_number(F.max).alias("max"),
                 of_number(F.avg).alias("mean"),
-                (of_number(lambda n: F.percentile(n, 0.5)) if small else none.cast("double")).alias("median"),
+                none.cast("double").alias("median"),
                 of_number(std).alias("std"),
                 of_words(F.min, "long").alias("min_length"),
                 of_words(F.max, "long").alias("max_length"),
@@ -400,9 +401,9 @@ def column_statistics(
             )
         )
     stats = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
-    if numeric and not small:
-        medians = bracketed_medians(df, numeric, median_small)
-        stats = stats.drop("median").join(F.broadcast(medians), "column", "left")
+    if numeric:
+        medians = exact_medians(df, numeric).withColumnRenamed("median", "__median")
+        stats = stats.join(F.broadcast(medians), "column", "left").withColumn("median", F.col("__median")).drop("__median")
     if not text:
         return stats.withColumn("unique_values", none.cast("long"))
     if uniqueness is None:

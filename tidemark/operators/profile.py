@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from ..functions.missing import is_missing, quoted, text_columns
 from . import metrics
-from .median import SMALL
 
 
 def spark_type_name(dtype: T.DataType) -> str:
@@ -65,13 +64,13 @@ def sample_rows(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFr
     return df.orderBy(rank, *[F.col(quoted(c)) for c in key]).limit(n)
 
 
-def profile_columns(df: DataFrame, median_small: int = SMALL, counts: DataFrame | None = None) -> DataFrame:
+def profile_columns(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """One row per column; ratios are over all rows, missing ones included.
 
     ``counts`` is a ``value_counts`` of the table, if it is at hand.
     """
     unique = metrics.column_uniqueness(df, counts=counts)
-    stats = metrics.column_statistics(df, median_small, unique).drop("unique_values", "min_length")
+    stats = metrics.column_statistics(df, unique).drop("unique_values", "min_length")
     unique = unique.select("column", "unique_count")
     types = F.create_map(*[F.lit(x) for f in df.schema for x in (f.name, spark_type_name(f.dataType))])
     rows = F.col("non_null_count") + F.col("null_count")

@@ -17,6 +17,12 @@ and, described only in the documents of the original:
     {"type": "preset", "column": c, "preset": "email" or "phone"}
     {"type": "conditional", "when": SQL condition, "then": [row rules]}
     {"type": "foreign_key", "column": c, "reference": name, "reference_column": k}
+    {"type": "schema", "column": c, "dtype": SQL type the value must be readable as}
+
+In results with one line per row a uniqueness rule is broken by every row of a
+group of equal keys, and a foreign key by every row without a partner. A
+distribution speaks of no row: results per row refuse it, as they refuse rules
+on columns that are not there.
 
 NULL never violates a comparison, set or pattern rule.
 """
@@ -78,7 +84,10 @@ ROW_RULES = {
     "custom",
     "preset",
     "conditional",
+    "schema",
 }
+# rules that need the other rows, or another table, to tell whether a row breaks them
+SET_RULES = {"uniqueness", "foreign_key"}
 
 
 class RowCheck(NamedTuple):
@@ -204,6 +213,9 @@ def _raw_violation(rule: Rule, types: Mapping[str, T.DataType]) -> Column:
         return ~column.cast("string").rlike(rule["pattern"])
     if kind == "preset":
         return ~column.cast("string").rlike(PRESETS[rule["preset"]])
+    if kind == "schema":
+        wanted = column.try_cast(rule["dtype"])
+        return column.isNotNull() & wanted.isNull()
     if kind == "custom":
         holds = F.pandas_udf(_series_check(rule["predicate"]), T.BooleanType())
         # a NULL would turn whole numbers into floats on the way to pandas
@@ -225,12 +237,29 @@ def _applicable(df: DataFrame, rule: Rule) -> bool:
     return all(c in df.columns for c in rule_columns(rule))
 
 
+def named_rules(df: DataFrame, rules: Iterable[Rule], kinds: Iterable[str]) -> list[Rule]:
+    """The effective rules, each under a name of its own; rules that cannot label a row are refused."""
+    named: list[Rule] = []
+    taken: dict[str, int] = {}
+    for rule in rules:
+        if not is_effective(rule):
+            continue
+        if rule["type"] not in kinds:
+            raise ValueError(f"a {rule['type']!r} rule cannot label a row here: {rule_name(rule)}")
+        if not _applicable(df, rule):
+            raise ValueError(f"rule {rule_name(rule)} needs columns that are not there: {rule_columns(rule)}")
+        name = rule_name(rule)
+        taken[name] = taken.get(name, 0) + 1
+        named.append({**rule, "name": name if taken[name] == 1 else f"{name}_{taken[name]}"})
+    return named
+
+
 def row_checks(df: DataFrame, rules: Iterable[Rule]) -> list[RowCheck]:
+    """The checks of rules that one row alone can break; other kinds are refused."""
     types = column_types(df)
     return [
         RowCheck(rule_name(r), r["type"], ",".join(rule_columns(r)), violation(r, types))
-        for r in rules
-        if r["type"] in ROW_RULES and is_effective(r) and _applicable(df, r)
+        for r in named_rules(df, rules, ROW_RULES)
     ]
 
 
@@ -364,29 +393,55 @@ def rules_summary(
     return results.select(F.inline("r"))
 
 
-def with_violations(df: DataFrame, rules: Iterable[Rule], name: str = "violations") -> DataFrame:
-    """Adds the names of the row rules each row violates."""
-    checks = row_checks(df, rules)
-    if not checks:
-        return df.withColumn(name, F.array().cast("array<string>"))
-    labels = F.array(*[F.when(c.violation, F.lit(c.name)) for c in checks])
-    return df.withColumn(name, F.array_compact(labels))
-
+def _marked(df: DataFrame, rule: Rule, references: Mapping[str, DataFrame], mark: str) -> DataFrame:
+    """Adds ``mark``: whether the row breaks a rule about the whole set.
 
-def any_violation(df: DataFrame, rules: Iterable[Rule]) -> Column:
-    """True for rows that violate at least one row rule."""
-    return reduce(operator.or_, [c.violation for c in row_checks(df, rules)], F.lit(False))
+    Keys are grouped first, so only the broken ones are joined back. Both sides
+    of the join are plain exchanges, which adaptive execution splits where one
+    key holds very many rows.
+    """
+    columns = rule_columns(rule)
+    if rule["type"] == "uniqueness":
+        broken = duplicate_groups(df, columns).drop("count")
+    else:
+        reference = references.get(rule["reference"])
+        if reference is None:
+            raise ValueError(f"rule {rule_name(rule)} needs the table {rule['reference']!r}")
+        broken = broken_references(df, rule["column"], reference, rule["reference_column"]).select(F.col("value").alias(columns[0]))
+    keys = [f"{mark}_{i}" for i in range(len(columns))]
+    broken = broken.select(*[F.col(quoted(c)).alias(k) for c, k in zip(columns, keys)], F.lit(True).alias(mark))
+    same = [F.col(quoted(c)).eqNullSafe(F.col(k)) for c, k in zip(columns, keys)]
+    return df.join(broken, reduce(operator.and_, same), "left").drop(*keys)
+
+
+def with_violations(
+    df: DataFrame, rules: Iterable[Rule], name: str = "violations", references: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """Adds the names of the rules each row breaks; equal names are numbered."""
+    types = column_types(df)
+    flagged, labels, marks = df, [], []
+    for number, rule in enumerate(named_rules(df, rules, ROW_RULES | SET_RULES)):
+        if rule["type"] in SET_RULES:
+            marks.append(f"__rule_{number}")
+            flagged = _marked(flagged, rule, references or {}, marks[-1])
+            broken = F.coalesce(F.col(marks[-1]), F.lit(False))
+        else:
+            broken = violation(rule, types)
+        labels.append(F.when(broken, F.lit(rule["name"])))
+    if not labels:
+        return df.withColumn(name, F.array().cast("array<string>"))
+    return flagged.withColumn(name, F.array_compact(F.array(*labels))).drop(*marks)
 
 
 def rule_failure_samples(
-    df: DataFrame, rules: Iterable[Rule], order_by: list[str], per_rule: int = 5
+    df: DataFrame, rules: Iterable[Rule], order_by: list[str], per_rule: int = 5, references: Mapping[str, DataFrame] | None = None
 ) -> DataFrame:
-    """The first failing rows of every row rule, all rules in one pass.
+    """The first failing rows of every rule.
 
     The rank limit is applied inside each input partition before the shuffle,
     so a rule that fails for most rows ships only a few of them.
     """
-    flagged = with_violations(df.filter(any_violation(df, rules)), rules, "__broken")
+    flagged = with_violations(df, rules, "__broken", references).filter(F.size("__broken") > 0)
     exploded = flagged.select(F.explode("__broken").alias("rule"), *[F.col(quoted(c)) for c in df.columns])
     ranked = exploded.withColumn(
         "sample_no",
@@ -396,14 +451,14 @@ def rule_failure_samples(
 
 
 def valid_subset(
-    df: DataFrame, rules: Iterable[Rule], distinct_on: list[str] | None = None
+    df: DataFrame, rules: Iterable[Rule], distinct_on: list[str] | None = None, references: Mapping[str, DataFrame] | None = None
 ) -> DataFrame:
-    """Rows that pass every row rule, then one row per key if keys are given.
+    """Rows that pass every rule, then one row per key if keys are given.
 
     Which of several equal-key rows stays is settled by the smallest row, and
     the aggregate combines on the map side, so a frequent key is no hot task.
     """
-    valid = df.filter(~any_violation(df, rules))
+    valid = with_violations(df, rules, "__broken", references).filter(F.size("__broken") == 0).drop("__broken")
     if not distinct_on:
         return valid
     return first_per_key(valid, distinct_on, [c for c in df.columns if c not in distinct_on])
@@ -419,22 +474,28 @@ def first_per_key(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFr
     )
 
 
-def rows_by_reason(df: DataFrame, rules: Iterable[Rule], valid: str = "valid") -> DataFrame:
-    """Each row once per broken rule with its ``reason``; clean rows once as ``valid``.
+VALID, QUARANTINE = "valid", "quarantine"
+
 
-    One pass, ready for ``write.partitionBy("reason")``.
+def rows_by_reason(df: DataFrame, rules: Iterable[Rule], references: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Each row once per broken rule with ``verdict`` quarantine and its ``reason``; clean rows once as valid, without one.
+
+    Ready for ``write.partitionBy("verdict", "reason")``.
     """
-    flagged = with_violations(df, rules, "__broken")
-    reasons = F.when(F.size("__broken") == 0, F.array(F.lit(valid))).otherwise(F.col("__broken"))
-    return flagged.select(F.explode(reasons).alias("reason"), *[F.col(quoted(c)) for c in df.columns])
+    flagged = with_violations(df, rules, "__broken", references)
+    verdict = F.when(F.col("__reason").isNull(), VALID).otherwise(QUARANTINE)
+    rows = flagged.select(F.explode_outer("__broken").alias("__reason"), *[F.col(quoted(c)) for c in df.columns])
+    return rows.select(verdict.alias("verdict"), F.col("__reason").alias("reason"), *[F.col(quoted(c)) for c in df.columns])
 
 
-def quarantine_split(df: DataFrame, rules: Iterable[Rule]) -> tuple[DataFrame, DataFrame]:
+def quarantine_split(
+    df: DataFrame, rules: Iterable[Rule], references: Mapping[str, DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(valid rows, one quarantined row per broken rule with its ``reason``)."""
-    rows = rows_by_reason(df, rules)
+    rows = rows_by_reason(df, rules, references)
     return (
-        rows.filter(F.col("reason") == "valid").drop("reason"),
-        rows.filter(F.col("reason") != "valid"),
+        rows.filter(F.col("verdict") == VALID).drop("verdict", "reason"),
+        rows.filter(F.col("verdict") == QUARANTINE).drop("verdict"),
     )
 
 
@@ -469,11 +530,21 @@ def timeliness(df: DataFrame, column: str, reference_time: str, days: int) -> Da
     )
 
 
-def detected_problems(df: DataFrame, rules: Iterable[Rule], row_key: str) -> DataFrame:
-    """(row_key, problem_type) of every row that violates a row rule."""
-    named = [{**r, "name": PROBLEM_TYPES[r["type"]]} for r in rules if r["type"] in PROBLEM_TYPES]
-    flagged = with_violations(df, named, "__found")
-    return flagged.select(F.col(quoted(row_key)), F.explode(F.array_distinct("__found")).alias("problem_type"))
+def detected_problems(
+    df: DataFrame, rules: Iterable[Rule], row_key: str, references: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """(row_key, problem_type) of every row that breaks a rule; a rule without a problem type is refused."""
+    rules = [r for r in rules if is_effective(r)]
+    if unknown := [r["type"] for r in rules if r["type"] not in PROBLEM_TYPES]:
+        raise ValueError(f"no problem type for rules of type {sorted(set(unknown))}")
+    # names are numbered, so the type follows from the rule, not from its label
+    named = named_rules(df, rules, ROW_RULES | SET_RULES)
+    types = F.create_map(*[F.lit(x) for r in named for x in (r["name"], PROBLEM_TYPES[r["type"]])]) if named else None
+    flagged = with_violations(df, named, "__found", references)
+    if types is None:
+        return flagged.select(F.col(quoted(row_key)), F.explode("__found").alias("problem_type"))
+    found = F.array_distinct(F.transform("__found", lambda n: types[n]))
+    return flagged.select(F.col(quoted(row_key)), F.explode(found).alias("problem_type"))
 
 
 def detection_quality(expected: DataFrame, detected: DataFrame, row_key: str) -> DataFrame:

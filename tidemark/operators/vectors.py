@@ -9,79 +9,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Query vectors scored together: 4,096 of them with 1,024 doubles are 32 MB.
-BLOCK = 4096
+# A task multiplies a block of query vectors with a block of stored vectors: scores of 32 MB at most.
+QUERY_ROWS = 1024
+STORED_ROWS = 4096
 SIMILARITY_DIGITS = 6
 
 
+def _blocks(vectors: DataFrame, id_column: str, column: str, rows: int) -> DataFrame:
+    """Vectors of every partition packed into rows of ``rows`` vectors at most: ``ids`` and ``cells``."""
+
+    # local functions travel with the task, so workers need not import this package
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+                widths = np.array([len(v) for v in part.column(1)], "<i8")
+                if (widths != widths[0]).any():
+                    wrong = int(np.flatnonzero(widths != widths[0])[0])
+                    raise ValueError(f"vector {ids[wrong]} has {widths[wrong]} components, vector {ids[0]} has {widths[0]}")
+                cells = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, cells)], ["ids", "cells"])
+
+    present = vectors.filter(F.col(column).isNotNull()).select(F.col(id_column).cast("long"), column)
+    return present.mapInArrow(pack, "ids binary, cells binary")
+
+
 def vector_topk(
     vectors: DataFrame, queries: DataFrame, k: int = 8, id_column: str = "vec_id", column: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, id, similarity): the k nearest vectors of every query.
 
-    Each task multiplies its vectors with a block of query vectors and keeps k
-    candidates per query, so a block moves at most k rows per query and task.
-    More queries than a block holds take one pass over the vectors per block.
+    Queries and vectors are packed into blocks. Every block of queries meets
+    every block of vectors, which are dealt out by the number of the query
+    block; a meeting passes on k rows per query. NULL vectors are left out; a
+    vector of another width than the queries fails the job.
     """
-    total = queries.count()
-    blocks = max(1, -(-total // BLOCK))
-    parts = []
-    for block in range(blocks):
-        chosen = queries if blocks == 1 else queries.filter(
-            F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block
-        )
-        rows = chosen.select("query_id", column).collect()
-        if rows:
-            parts.append(_candidates(vectors, rows, k, id_column, column))
-    schema = f"query_id long, {id_column} long, similarity double"
-    if not parts:
-        candidates = vectors.sparkSession.createDataFrame([], schema)
-    else:
-        candidates = parts[0]
-        for part in parts[1:]:
-            candidates = candidates.unionByName(part)
+    digits = SIMILARITY_DIGITS
+    total = max(1, -(-queries.count() // QUERY_ROWS))
+    asked = queries.repartition(total, "query_id")
+    # several small blocks of one partition may share a number
+    asked = _blocks(asked, "query_id", column, QUERY_ROWS).select(
+        F.spark_partition_id().alias("block"), F.col("ids").alias("query_ids"), F.col("cells").alias("query_cells")
+    )
+    stored = _blocks(vectors, id_column, column, STORED_ROWS).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit(ids: np.ndarray, cell: bytes) -> np.ndarray:
+            matrix = np.frombuffer(cell, "<f8").reshape(len(ids), -1)
+            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+            return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+
+        for batch in batches:
+            for cells in zip(*(batch.column(c) for c in ("query_ids", "query_cells", "ids", "cells"))):
+                query_ids, query_cells, ids, stored_cells = (c.as_py() for c in cells)
+                query_ids, ids = np.frombuffer(query_ids, "<i8"), np.frombuffer(ids, "<i8")
+                wanted, held = unit(query_ids, query_cells), unit(ids, stored_cells)
+                if wanted.shape[1] != held.shape[1]:
+                    raise ValueError(f"vector {ids[0]} has {held.shape[1]} components, query {query_ids[0]} has {wanted.shape[1]}")
+                scores = np.round(wanted @ held.T, digits)
+                if len(ids) > k:
+                    # all that reach the k-th score, so that ties go by id
+                    least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+                    row, place = np.nonzero(scores >= least[:, None])
+                else:
+                    row, place = np.divmod(np.arange(scores.size), len(ids))
+                order = np.lexsort((ids[place], -scores[row, place], row))
+                row, place = row[order], place[order]
+                first = np.searchsorted(row, row, "left")
+                best = np.arange(len(row)) - first < k
+                row, place = row[best], place[best]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(query_ids[row]), pa.array(ids[place]), pa.array(scores[row, place])],
+                    names=["query_id", id_column, "similarity"],
+                )
+
+    candidates = asked.join(stored, "block").drop("block").mapInArrow(nearest, f"query_id long, {id_column} long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_column)
     return (
         candidates.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", id_column, "similarity")
     )
-
-
-def _candidates(vectors: DataFrame, rows: list, k: int, id_column: str, column: str) -> DataFrame:
-    # local functions travel with the task, so workers need not import this package
-    def unit(matrix: np.ndarray) -> np.ndarray:
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-    query_ids = np.array([r[0] for r in rows], dtype=np.int64)
-    wanted = unit(np.array([r[1] for r in rows], dtype=np.float64))
-    width, digits = wanted.shape[1], SIMILARITY_DIGITS
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.empty((len(wanted), 0), dtype=np.int64)
-        scores = np.empty((len(wanted), 0))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            found = np.round(wanted @ unit(values.reshape(batch.num_rows, width)).T, digits)
-            found_ids = np.broadcast_to(batch.column(0).to_numpy(), found.shape)
-            scores = np.hstack([scores, found])
-            ids = np.hstack([ids, found_ids])
-            # best first, smaller id on ties
-            order = np.lexsort((ids, -scores), axis=1)[:, :k]
-            scores = np.take_along_axis(scores, order, axis=1)
-            ids = np.take_along_axis(ids, order, axis=1)
-        if scores.shape[1]:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(query_ids, scores.shape[1])),
-                    pa.array(ids.ravel()),
-                    pa.array(scores.ravel()),
-                ],
-                names=["query_id", id_column, "similarity"],
-            )
-
-    present = vectors.filter(F.size(column) == width).select(F.col(id_column).cast("long"), column)
-    return present.mapInArrow(nearest, f"query_id long, {id_column} long, similarity double")

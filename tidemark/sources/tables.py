@@ -186,24 +186,22 @@ def preview(df: DataFrame, order_by: list[str], n: int = 10) -> DataFrame:
 def parse_delimited_lines(lines: DataFrame, names: list[str], sep: str = ",") -> DataFrame:
     """Raw delimited lines (``file``, ``at``, ``line``) to text columns.
 
-    Blank lines and lines of another arity go, and so does a first line of a
-    file whose first cell looks like a column name (a letter and ``_``).
+    Blank lines and lines of another arity go, and so do the lines at the
+    beginning of a file that look like headers (a first cell with a letter and
+    ``_``), up to the first line that is kept.
     """
     present = lines.filter(F.regexp_replace("line", rf"(?U)[\s\Q{sep}\E]", "") != "")
     # "raw" stays empty exactly where the line has the expected arity
     schema = ", ".join([*(f"c{i} STRING" for i in range(len(names))), "raw STRING"])
     options = {"sep": sep, "columnNameOfCorruptRecord": "raw"}
     cells = present.withColumn("c", F.from_csv("line", schema, options))
-    fitting = cells.filter(F.col("c.raw").isNull()).select(
-        "file", "at", *[F.col(f"c.c{i}").alias(n) for i, n in enumerate(names)]
-    )
     first_cell = F.get(F.split(F.col("line"), rf"\Q{sep}\E"), F.lit(0))
-    headers = (
-        present.groupBy("file")
-        .agg(F.min(F.struct("at", "line")).alias("first"))
-        .select("file", "first.*")
-        .filter(first_cell.rlike(r"\p{L}") & first_cell.contains("_"))
-        .select("file", "at")
+    fitting = cells.filter(F.col("c.raw").isNull()).select(
+        "file", "at", *[F.col(f"c.c{i}").alias(n) for i, n in enumerate(names)],
+        (first_cell.rlike(r"\p{L}") & first_cell.contains("_")).alias("__header"),
     )
-    # joined on file and place, which no two lines share, so a long file is no hot key
-    return fitting.join(headers, ["file", "at"], "left_anti")
+    # the place of the first line that is data, per file; combined where the lines lie
+    begins = fitting.groupBy("file").agg(F.min(F.when(~F.col("__header"), F.col("at"))).alias("__begin"))
+    # files are the key of the join: a very long one is split by adaptive execution
+    placed = fitting.join(begins, "file")
+    return placed.filter(F.col("at") >= F.col("__begin")).drop("__header", "__begin")

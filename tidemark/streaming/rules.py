@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.rules import with_violations
-
-VALID, QUARANTINE = "valid", "quarantine"
+from ..operators.rules import QUARANTINE, ROW_RULES, VALID, named_rules, with_violations
 
 
 def require_columns(df: DataFrame, expected: Iterable[str]) -> None:
@@ -38,8 +36,10 @@ def start_rule_stream(
     """Writes each micro-batch once, split into ``verdict=valid`` and ``verdict=quarantine``.
 
     A batch owns the folder ``batch=<id>`` and overwrites it, so a batch that
-    is repeated after a failure leaves no second copy.
+    is repeated after a failure leaves no second copy. A rule about the whole
+    set cannot be judged batch by batch and is refused before the stream starts.
     """
+    named_rules(stream, rules, ROW_RULES)
     if expected_columns is not None:
         require_columns(stream, expected_columns)
 

@@ -27,18 +27,27 @@ def window_metrics(
     """Rows, nulls, bad values and bounds per window and group.
 
     On a stream, an event repeated within the allowed lateness counts once and
-    a window is given out when the watermark has passed its end.
+    a window is given out when the watermark has passed its end. Events whose
+    time cannot be read are counted under a window that is NULL; a stream has
+    no time to give such a window out, so it fails at the first one.
     """
     # a watermark needs an instant; local times are read in the session's time zone
     stamped = events.withColumn("__at", F.col(quoted(time)).try_cast("timestamp"))
+    at, measures = F.col("__at"), _measures(value, bad)
+    name = F.col(quoted(group)).alias("group")
     if events.isStreaming:
+        refused = F.raise_error(F.concat(F.lit("unreadable event time: "), F.coalesce(F.col(quoted(time)).cast("string"), F.lit("NULL"))))
+        stamped = stamped.withColumn("__at", F.coalesce(at, refused.cast("timestamp")))
         stamped = stamped.withWatermark("__at", lateness).dropDuplicatesWithinWatermark([key])
-    else:
-        stamped = stamped.dropDuplicates([key])
-    grouped = stamped.groupBy(F.window("__at", width).alias("w"), F.col(quoted(group)).alias("group"))
-    return grouped.agg(*_measures(value, bad)).select(
-        F.col("w.start").alias("window_start"), "group", "rows", "nulls", "bad", "min", "max"
-    )
+        return stamped.groupBy(F.window("__at", width).alias("w"), name).agg(*measures).select(*_columns(F.col("w.start")))
+    stamped = stamped.dropDuplicates([key])
+    timed = stamped.groupBy(F.window("__at", width).alias("w"), name).agg(*measures).select(*_columns(F.col("w.start")))
+    untimed = stamped.where(at.isNull()).groupBy(name).agg(*measures).select(*_columns(F.lit(None).cast("timestamp")))
+    return timed.unionByName(untimed)
+
+
+def _columns(start: Column) -> list[Column]:
+    return [start.alias("window_start"), *[F.col(c) for c in ("group", "rows", "nulls", "bad", "min", "max")]]
 
 
 def start_window_stream(metrics: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
