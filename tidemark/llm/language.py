@@ -109,7 +109,7 @@ def train(docs: DataFrame, docs_per_language: int = 2000) -> Model:
     counted = thinned(known, "doc_id", "lang", docs_per_language).select("lang", "text").mapInArrow(count, schema)
     # a row of fixed size for each language
     rows = sorted(counted.groupBy("lang").applyInArrow(add, schema).collect(), key=lambda r: r["lang"])
-    tables = [np.array([np.frombuffer(r[name]) for r in rows]).reshape(len(rows), -1) for name in ("grams", "scripts")]
+    tables = [np.array([np.frombuffer(r[name]) for r in rows]).reshape(len(rows), n) for name, n in (("grams", TABLE), ("scripts", len(SCRIPT_NAMES)))]
     return Model([r["lang"] for r in rows], *tables)
 
 

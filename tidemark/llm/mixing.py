@@ -44,7 +44,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_copies:
     source = source.withColumn("level", F.max(F.when(~F.col("stops"), F.col("level"))).over(whole))
     target = F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("weight"))
     source = source.withColumn("target", target)
-    up_to = F.sum("target").over(W.orderBy("sid")) / F.sum("target").over(whole)
+    up_to = F.try_divide(F.sum("target").over(W.orderBy("sid")), F.sum("target").over(whole))
     hi = F.when(F.col("sid") == F.max("sid").over(whole), F.lit(ONE)).otherwise(F.floor(F.coalesce(up_to, F.lit(0.0)) * ONE))
     source = source.withColumn("hi", F.least(hi, F.lit(ONE)).cast("long"))
     source = source.withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy("sid")), F.lit(0).cast("long")))

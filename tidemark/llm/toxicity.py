@@ -71,6 +71,15 @@ def fit(present: np.ndarray, label: np.ndarray, factors: int = 4, rounds: int =
     return float(params[0][0]), params[1], params[2]
 
 
+def thinned_terms(present: np.ndarray, label: np.ndarray, copies: int = 2, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The rows, and copies of the toxic ones that keep half of their terms, as a new form of a known word does."""
+    rng = np.random.default_rng(seed)
+    toxic = np.repeat(present[label == 1], copies, axis=0)
+    toxic = toxic * (rng.random(toxic.shape) < 0.5)
+    toxic = toxic[toxic.any(1)].astype(present.dtype)
+    return np.concatenate([present, toxic]), np.concatenate([label, np.ones(len(toxic))])
+
+
 def _choose(terms: np.ndarray, owner: np.ndarray, label: np.ndarray, most: int, least: float) -> np.ndarray:
     """Terms that go with the label most clearly, by the signed root of the chi-squared statistic."""
     n, positive = len(label), label.sum()
@@ -119,7 +128,7 @@ def train(labelled: DataFrame, most_terms: int = 512, factors: int = 4) -> Model
         known = (place < len(chosen)) & (chosen[np.minimum(place, max(len(chosen) - 1, 0))] == terms) if len(chosen) else np.zeros(len(terms), bool)
         present = np.zeros((len(cells), len(chosen)), np.float32)
         present[owner[known], place[known]] = 1
-        bias, weight, v = fit(present, label, factors)
+        bias, weight, v = fit(*thinned_terms(present, label), factors)
         parts = [chosen.astype("<i8").tobytes(), np.array([bias]).tobytes(), weight.tobytes(), v.tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], ["terms", "bias", "weight", "factors"])
 
