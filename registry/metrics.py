@@ -142,13 +142,30 @@ def suggest_schema(spark, sf_dir):
     return schema.select("name", "type", "nullable")
 
 
+SAMPLE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+PROFILE_NUMBERS = ["null_ratio", "unique_ratio", "min", "max", "mean", "median", "std", "avg_length"]
+LINEITEM = {
+    **dict.fromkeys(["l_orderkey", "l_partkey", "l_suppkey"], ("integer", "long")), "l_linenumber": ("integer", "integer"),
+    **dict.fromkeys(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ("decimal", "double")),
+    **dict.fromkeys(["l_returnflag", "l_linestatus"], ("text", "string")), "l_shipdate": ("datetime", "timestamp"),
+}
+CUSTOMER = {
+    "c_custkey": ("integer", "long"), "c_name": ("text", "string"), "c_nationkey": ("integer", "integer"), "c_acctbal": ("decimal", "double"),
+    "c_mktsegment": ("text", "string"),
+}
+
+
 def profile_sampled(spark, sf_dir):
-    sample = P.sample_rows(view(spark, sf_dir, "lineitem"), 10_000, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    return P.profile_columns(sample)
+    sample = P.sample_rows(view(spark, sf_dir, "lineitem"), 10_000, SAMPLE_KEY)
+    return _rounded(P.profile_columns(sample), *PROFILE_NUMBERS, digits=2)
 
 
 def inspect_dataset(spark, sf_dir):
-    return P.inspect_dataset(view(spark, sf_dir, "customer"), "parquet")
+    return _rounded(P.inspect_dataset(view(spark, sf_dir, "customer"), "parquet"), *PROFILE_NUMBERS, digits=2)
+
+
+def data_type_distribution(spark, sf_dir):
+    return M.data_type_distribution(view(spark, sf_dir, "lineitem"))
 
 
 def _report(name):
@@ -181,6 +198,7 @@ QUERIES = {
     "suggest_schema": suggest_schema,
     "profile_sampled": profile_sampled,
     "inspect_dataset": inspect_dataset,
+    "data_type_distribution": data_type_distribution,
 }
 
 
@@ -202,11 +220,11 @@ def _numeric_sql(columns, digits, table, extra=""):
     )
 
 
-def _profile_sql(c, kind):
-    number, text = kind in ("integer", "float"), kind == "text"
+def _profile_sql(c, kind, table="dirty_orders", name=None):
+    number, text = kind in ("integer", "float", "decimal"), kind == "text"
     std = "CAST('NaN' AS DOUBLE)" if kind == "float" else f"round(stddev_samp({c}), 2)"
     return (
-        f"SELECT '{c}' AS \"column\", '{SPARK_TYPES[kind]}' AS type, count(*) - count({c}) AS null_count, "
+        f"SELECT '{c}' AS \"column\", '{name or SPARK_TYPES[kind]}' AS type, count(*) - count({c}) AS null_count, "
         f"round((count(*) - count({c}))::DOUBLE / count(*), 2) AS null_ratio, count(DISTINCT {c}) AS unique_count, "
         f"round(count(DISTINCT {c})::DOUBLE / count(*), 2) AS unique_ratio, "
         + (f"round(min({c})::DOUBLE, 2) AS min, round(max({c})::DOUBLE, 2) AS max, round(avg({c}), 2) AS mean, "
@@ -214,7 +232,7 @@ def _profile_sql(c, kind):
            else "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS median, NULL::DOUBLE AS std, ")
         + (f"round(avg(length({c})), 2) AS avg_length, max(length({c})) AS max_length" if text
            else "NULL::DOUBLE AS avg_length, NULL::BIGINT AS max_length")
-        + " FROM dirty_orders"
+        + f" FROM {table}"
     )
 
 
@@ -299,6 +317,24 @@ ORACLE = {
         _per_column(lambda c, t: f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS null_count FROM dirty_orders"), "dirty_orders"
     ),
     "profile_columns": with_views(_per_column(_profile_sql), "dirty_orders"),
+    "profile_sampled": f"""
+        WITH sample AS (SELECT * FROM lineitem ORDER BY md5(concat_ws('|', '42', {', '.join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in SAMPLE_KEY)})), {', '.join(SAMPLE_KEY)} LIMIT 10000)
+        """ + "\nUNION ALL\n".join(_profile_sql(c, kind, "sample", name) for c, (kind, name) in LINEITEM.items()),
+    "inspect_dataset": """
+        SELECT p.*, sample_values, 'parquet' AS format, '' AS detected_options, (SELECT count(*) FROM customer) AS row_count, 5::BIGINT AS column_count FROM ("""
+    + "\nUNION ALL\n".join(_profile_sql(c, kind, "customer", name) for c, (kind, name) in CUSTOMER.items())
+    + ") AS p LEFT JOIN ("
+    + "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS name, list(v ORDER BY n DESC, v) AS sample_values FROM (
+          SELECT {c} AS v, count(*) AS n FROM customer GROUP BY {c} ORDER BY n DESC, v LIMIT 5) AS t"""
+        for c, (kind, _) in CUSTOMER.items() if kind == "text"
+    )
+    + ') AS s ON p."column" = s.name',
+    "data_type_distribution": """
+        SELECT CASE WHEN t IN ('BIGINT', 'INTEGER') THEN 'integer' WHEN t = 'DOUBLE' THEN 'float' WHEN t = 'VARCHAR' THEN 'text' ELSE 'datetime' END AS data_type,
+          count(*) AS columns FROM (SELECT unnest(["""
+    + ", ".join(f"typeof({c})" for c in LINEITEM)
+    + """]) AS t FROM (SELECT * FROM lineitem LIMIT 1) AS one) AS types GROUP BY 1""",
     "top_values": "\nUNION ALL\n".join(
         f"""SELECT '{c}' AS "column", v AS value, n AS count, CAST(r AS INT) AS rank FROM (
           SELECT {c} AS v, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) AS r

@@ -53,7 +53,7 @@ def detect_dialect(spark, sf_dir):
 
 def detect_encoding(spark, sf_dir):
     root = scratch_path(spark, "encodings")
-    text = view(spark, sf_dir, "documents").select(F.regexp_replace("text", "[^\\x00-\\xff]", "?").alias("text"), "lang")
+    text = view(spark, sf_dir, "documents").select(F.concat(F.regexp_replace("text", "[^\\x00-\\xff]", "?"), F.lit(" é")).alias("text"), "lang")
     for name, encoding in (("utf", "UTF-8"), ("latin", "ISO-8859-1")):
         sinks.write(text, f"{root}/{name}", "csv", encoding=encoding, partition_by=["lang"])
     found = detect.detect_encoding(spark, root, ".csv")
@@ -108,10 +108,10 @@ def sanitized(spark, sf_dir):
 
 def scan_text_docs(spark, sf_dir):
     root = scratch_path(spark, "texts")
-    text = view(spark, sf_dir, "documents").select("text", "lang")
-    text.write.partitionBy("lang").text(root)
+    # one file per document
+    view(spark, sf_dir, "documents").select("text", "doc_id").write.partitionBy("doc_id").text(root)
     found = documents.scan_text_documents(spark, root)
-    return found.select(F.regexp_extract("path", r"lang=(\w+)", 1).alias("lang"), "size", F.length("text").alias("chars"))
+    return found.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "size", F.length("text").alias("chars"))
 
 
 def table_to_document(spark, sf_dir):
@@ -163,6 +163,10 @@ TAIL = """(CASE WHEN o_orderkey % 19 = 0 THEN [] ELSE [o_orderpriority] END
   || CASE WHEN o_orderkey % 23 = 0 THEN ['extra'] WHEN o_orderkey % 29 = 0 THEN [''] WHEN o_orderkey % 37 = 0 THEN ['', 'x'] ELSE [] END)"""
 
 ORACLE = {
+    "detect_encoding": """
+        SELECT folder, lang, encoding, true AS found FROM (SELECT DISTINCT lang FROM documents) AS l,
+          (VALUES ('utf', 'utf-8'), ('latin', 'iso-8859-1')) AS f(folder, encoding)""",
+    "scan_text_docs": "SELECT doc_id, strlen(text) + 1 AS size, CAST(length(text) + 1 AS INT) AS chars FROM documents",
     "scan_csv": """SELECT c_custkey, 'a;"b" ' || c_name AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""",
     "detect_dialect": """
         SELECT folder, encoding, delimiter, 5::BIGINT AS columns, true AS found FROM (VALUES ('comma', 'utf-8', ','), ('semicolon', 'iso-8859-1', ';'),

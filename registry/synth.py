@@ -64,11 +64,29 @@ def enforce_unique_single(spark, sf_dir):
     return U.enforce_unique(view(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], "o_orderkey")
 
 
+def _banded(spark, sf_dir):
+    band = F.when(F.col("o_orderstatus") != "P", F.round(F.col("o_totalprice") / 250)).alias("band")
+    return view(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", band)
+
+
 def enforce_unique_multi(spark, sf_dir):
-    lines = view(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "P", F.round(F.col("o_totalprice") / 250)).alias("band")
+    return U.enforce_unique(_banded(spark, sf_dir), ["o_custkey", "band"], "o_orderkey")
+
+
+def enforce_unique_multi_proof(spark, sf_dir):
+    """Kept values that occur twice, dropped rows without a kept earlier row of the same value, and all rows: 0, 0, rows."""
+    lines = _banded(spark, sf_dir)
+    kept = U.enforce_unique(lines, ["o_custkey", "band"], "o_orderkey")
+    judged = lines.join(kept.select("o_orderkey", F.lit(True).alias("kept")), "o_orderkey", "left")
+    for name in ("o_custkey", "band"):
+        held = kept.filter(F.col(name).isNotNull()).groupBy(name)
+        judged = judged.join(held.agg(F.min("o_orderkey").alias(f"first_{name}"), F.count(F.lit(1)).alias(f"n_{name}")), name, "left")
+    dropped = F.col("kept").isNull()
+    earlier = F.coalesce(F.least("first_o_custkey", "first_band") < F.col("o_orderkey"), F.lit(False))
+    repeated = ~dropped & (F.greatest(F.coalesce("n_o_custkey", F.lit(1)), F.coalesce("n_band", F.lit(1))) > 1)
+    return judged.agg(
+        F.count_if(repeated).alias("repeated"), F.count_if(dropped & ~earlier).alias("dropped_without_cause"), F.count(F.lit(1)).alias("rows")
     )
-    return U.enforce_unique(lines, ["o_custkey", "band"], "o_orderkey")
 
 
 QUERIES = {
@@ -79,6 +97,7 @@ QUERIES = {
     "synth_unique": synth_unique,
     "enforce_unique_single": enforce_unique_single,
     "enforce_unique_multi": enforce_unique_multi,
+    "enforce_unique_multi_proof": enforce_unique_multi_proof,
 }
 
 
@@ -128,5 +147,6 @@ ORACLE = {
         SELECT o_orderkey AS id, CASE WHEN {_unit('maybe:null')} >= 0.25 THEN {_draw('maybe')} % 9 + 1 END AS maybe,
           CASE WHEN {_unit('rarely:null')} >= 0.05 THEN {_pick(['x', 'y'], 'rarely')} END AS rarely FROM orders""",
     "synth_unique": "SELECT count(*) AS rows, count(*) AS codes, count(*) AS emails, true AS in_range FROM lineitem",
+    "enforce_unique_multi_proof": "SELECT 0::BIGINT AS repeated, 0::BIGINT AS dropped_without_cause, count(*) AS rows FROM orders",
     "enforce_unique_single": "SELECT min(o_orderkey) AS o_orderkey, o_custkey FROM orders GROUP BY o_custkey",
 }

@@ -161,11 +161,12 @@ ORACLE = {
     "citations": scored("SELECT query_id, rank AS citation_id, substr(text, 1, 200) || '...' AS text FROM hits"),
     "snippet_relevance": scored(
         f"""SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rank) AS INT) AS place, CAST(relevance AS INT) AS relevance,
-          CASE WHEN cut LIKE '%.' THEN cut ELSE cut || '.' END AS snippet
+          CASE WHEN relevance = 0 THEN opening WHEN cut LIKE '%.' THEN cut ELSE cut || '.' END AS snippet
         FROM (SELECT h.query_id, h.rank, {_RELEVANCE} AS relevance,
+            CASE WHEN len(string_split(h.text, '. ')) > 2 THEN array_to_string(string_split(h.text, '. ')[1:2], '. ') || '.' ELSE h.text END AS opening,
             CASE WHEN len(string_split(h.text, '. ')) > 3 THEN array_to_string(string_split(h.text, '. ')[1:3], '. ') || '.' ELSE h.text END AS cut
           FROM hits h JOIN search_queries q ON q.query_id = h.query_id
-          WHERE length('[' || h.rank || '] ' || trim(h.text)) > 50) AS r WHERE relevance > 0"""),
+          WHERE length('[' || h.rank || '] ' || trim(h.text)) > 50) AS r QUALIFY relevance > 0 OR place = 1"""),
     "intent_list_sources": f"""
         SELECT conv_id, turn, {_contains('m', S.LIST_PHRASES)} OR (list_has_any(w, {S.LIST_VERBS!r}) AND list_has_any(w, {S.SOURCE_NOUNS!r})) AS asks
         FROM (SELECT conv_id, turn, lower({_ASKED}) AS m, {words_sql(f'lower({_ASKED})')} AS w FROM conversations) AS x""",

@@ -114,3 +114,12 @@ def test_separator_does_not_join_distinct_keys(frame):
     options = dict(strip_punctuation=False)
     assert run(gold, target, ["x", "y"], ["v"], **options).summary.first()["common_keys"] == 0
     assert composite_key(gold, ["x", "y"]).first()["composite_key"] == "a||b"
+
+
+def test_summary_and_differences_leave_other_columns_unread(spark, tmp_path):
+    rows = [(i, float(i), i % 3, f"note {i}") for i in range(50)]
+    spark.createDataFrame(rows, "id int, price double, seq int, note string").write.parquet(str(tmp_path / "t"))
+    gold = spark.createDataFrame([(i, float(i)) for i in range(40)], "id int, price double")
+    result = reconcile(gold, spark.read.parquet(str(tmp_path / "t")), ["id"], ["price"], Options(order_by=["seq"]))
+    read = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "note" not in read(result.summary) and "note" not in read(result.diffs) and "note" in read(result.corrected)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.missing import is_missing, quoted, text_columns
 from . import metrics
+from ..session import cut_lineage
 
 
 def spark_type_name(dtype: T.DataType) -> str:
@@ -59,9 +60,9 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
-    """``n`` rows chosen by a hash of their key: the same on any layout."""
-    rank = F.xxhash64(F.lit(seed), *[F.col(quoted(c)) for c in key])
-    return df.orderBy(rank, *[F.col(quoted(c)) for c in key]).limit(n)
+    """``n`` rows chosen by md5 of seed and key: the same on any layout. They are drawn once and kept."""
+    rank = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(quoted(c)).cast("string"), F.lit("")) for c in key]))
+    return cut_lineage(df.orderBy(rank, *[F.col(quoted(c)) for c in key]).limit(n))
 
 
 def profile_columns(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:

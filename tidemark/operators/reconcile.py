@@ -37,7 +37,7 @@ class Options:
 
 
 class Reconciliation(NamedTuple):
-    """Lazy results over one joined frame; persist ``joined`` to share it."""
+    """Lazy results; each reads the columns it needs."""
 
     joined: DataFrame
     summary: DataFrame
@@ -130,12 +130,13 @@ def merge_duplicates(
         )
     if not options.order_by:
         raise ValueError("keep_last needs order_by: rows of a table have no order of their own")
-    rest = [c for c in df.columns if c not in names]
+    # values and keys first: the choice among equal rows is the same whether or not the other columns are read
+    rest = [c for c in dict.fromkeys(values + keys + df.columns) if c not in names]
     # the whole row settles ties, so the choice never depends on the layout
     order = [F.col(quoted(c)).alias(f"o{i}") for i, c in enumerate(options.order_by)]
     last = F.max(F.struct(*order, F.struct(*[F.col(quoted(c)) for c in rest]).alias("row")))
     kept = df.groupBy(*names).agg(last.alias("__last"))
-    return kept.select(*names, *[F.col("__last.row").getField(c).alias(c) for c in rest])
+    return kept.select(*names, *[F.col("__last.row").getField(c).alias(c) for c in df.columns if c not in names])
 
 
 def _prepared(df: DataFrame, keys: list[str], values: list[str], side: str) -> DataFrame:
@@ -163,7 +164,11 @@ def reconcile(
     values: list[str],
     options: Options = Options(),
 ) -> Reconciliation:
-    """Join, compare, report and correct in one plan."""
+    """Join, compare, report and correct.
+
+    Summary and differences read keys, values and the order columns of the
+    target only; the joined and the corrected rows read all of them.
+    """
     keys = [normalize_name(k) for k in keys]
     values = [normalize_name(v) for v in values]
     gold = _prepared(gold, keys, values, "GOLD")
@@ -181,15 +186,21 @@ def reconcile(
     if options.check_gold == "inline":
         trusted = _distinct_or_fail(trusted, names)
     trusted = trusted.withColumn("__in_gold", F.lit(True))
-    single = merge_duplicates(key_columns(target, keys, options), keys, values, options)
-    columns = [c for c in single.columns if c not in names]
-    joined = single.withColumn("__in_target", F.lit(True)).join(trusted, names, "full_outer")
-    joined = joined.withColumn(
-        "origin",
-        F.when(F.col("__in_gold") & F.col("__in_target"), "both")
-        .when(F.col("__in_target"), "extra_in_target")
-        .otherwise("missing_in_target"),
-    ).drop("__in_gold", "__in_target")
+
+    def joined_with(rows: DataFrame) -> DataFrame:
+        single = merge_duplicates(key_columns(rows, keys, options), keys, values, options)
+        both_sides = single.withColumn("__in_target", F.lit(True)).join(trusted, names, "full_outer")
+        return both_sides.withColumn(
+            "origin",
+            F.when(F.col("__in_gold") & F.col("__in_target"), "both")
+            .when(F.col("__in_target"), "extra_in_target")
+            .otherwise("missing_in_target"),
+        ).drop("__in_gold", "__in_target")
+
+    joined = joined_with(target)
+    columns = [c for c in joined.columns if c not in names and c != "origin" and not c.startswith("__g_")]
+    needed = [c for c in dict.fromkeys(keys + values + list(options.order_by)) if c in target.columns]
+    compared = joined_with(target.select(*[F.col(quoted(c)) for c in needed]))
 
     both = F.col("origin") == "both"
     wrong = {
@@ -201,8 +212,8 @@ def reconcile(
 
     return Reconciliation(
         joined=joined,
-        summary=_summary(joined, wrong),
-        diffs=_diffs(joined, keys, wrong, fixed),
+        summary=_summary(compared, wrong),
+        diffs=_diffs(compared, keys, wrong, fixed),
         corrected=joined.filter(F.col("origin") != "missing_in_target").select(
             *[
                 F.when(wrong[c], fixed[c]).otherwise(F.col(quoted(c))).alias(c) if c in wrong else F.col(quoted(c))

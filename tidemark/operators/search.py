@@ -269,7 +269,9 @@ def snippet_relevance(hits: DataFrame, queries: DataFrame, k: int = TOP_K) -> Da
     """(query, place, relevance, snippet): passages that bear on the question.
 
     Points are given per topic and for any shared word; the snippet is the
-    first three sentences. ``hits`` holds at most k passages per query.
+    first three sentences. A question that no passage bears on gets the first
+    two sentences of its first passage, with relevance 0. ``hits`` holds at most
+    k passages per query.
     """
     numbered = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.trim("text"))
     long_enough = hits.filter(F.length(numbered) > MIN_PASSAGE)
@@ -288,13 +290,16 @@ def snippet_relevance(hits: DataFrame, queries: DataFrame, k: int = TOP_K) -> Da
         F.size(sentences) > 3, F.concat(F.array_join(F.slice(sentences, 1, 3), ". "), F.lit("."))
     ).otherwise(F.col("text"))
     snippet = F.when(cut.endswith("."), cut).otherwise(F.concat(cut, F.lit(".")))
+    opening = F.when(
+        F.size(sentences) > 2, F.concat(F.array_join(F.slice(sentences, 1, 2), ". "), F.lit("."))
+    ).otherwise(F.col("text"))
+    # a window holds the k passages of one query
     place = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "rank")
     return (
         asked.withColumn("relevance", score)
-        .filter("relevance > 0")
         .withColumn("place", F.row_number().over(place))
-        .filter(F.col("place") <= k)
-        .select("query_id", "place", "relevance", snippet.alias("snippet"))
+        .filter((F.col("place") <= k) & ((F.col("relevance") > 0) | (F.col("place") == 1)))
+        .select("query_id", "place", "relevance", F.when(F.col("relevance") > 0, snippet).otherwise(opening).alias("snippet"))
     )
 
 
