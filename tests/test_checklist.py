@@ -52,3 +52,17 @@ def test_recommendations(frame, latest, items):
     rows = {r["run_id"]: r for r in K.recommendations(latest, items, docs).collect()}
     assert rows[1]["missing_codes"] == ["I3", "I1", "I4"] and rows[1]["sources"][0] == "spark.md"
     assert set(rows[2]["sources"][:2]) == {"spark.md", "null.md"}
+
+
+def test_heaviest_missing_is_the_head_of_all_missing(spark):
+    import random
+
+    rng = random.Random(3)
+    items = spark.createDataFrame([(i, f"d{i % 3}", rng.randrange(4)) for i in range(40)], "item_id long, dimension string, priority_weight int")
+    marks = [(run, rng.randrange(45), rng.choice(["DONE", "NOT_DONE"])) for run in range(12) for _ in range(run * 6 + 1)]
+    marks += [(99, i, "DONE") for i in range(40)]
+    latest = spark.createDataFrame(sorted(set((r, i) for r, i, _ in marks)), "run_id long, item_id long").join(
+        spark.createDataFrame(marks, "run_id long, item_id long, status string").dropDuplicates(["run_id", "item_id"]), ["run_id", "item_id"])
+    latest = spark.createDataFrame(latest.collect(), latest.schema)
+    head = K.missing_items(latest, items).filter("place <= 5")
+    assert sorted(map(tuple, K.heaviest_missing(latest, items).collect())) == sorted(map(tuple, head.collect()))

@@ -86,12 +86,33 @@ def missing_items(latest: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def heaviest_missing(latest: DataFrame, items: DataFrame, n: int = TOP_ITEMS) -> DataFrame:
+    """The first ``n`` of ``missing_items`` of every run, without meeting the rest of the template.
+
+    They lie among the first n items of the template and as many more as the
+    run has done, so a run meets no more items than it has marks, and n.
+    """
+    # the template is sorted once; a run has a row per mark
+    ranked = items.select(
+        "item_id", "dimension", "priority_weight",
+        F.row_number().over(Window.orderBy(F.desc("priority_weight"), "item_id")).alias("at"),
+    )
+    done = latest.filter(F.col("status") == "DONE").join(ranked.select("item_id"), "item_id", "left_semi").select("run_id", "item_id")
+    counts = done.groupBy("run_id").agg(F.count(F.lit(1)).cast("int").alias("done"))
+    runs = latest.select("run_id").distinct().join(counts, "run_id", "left")
+    reach = F.sequence(F.lit(1), F.lit(n) + F.coalesce("done", F.lit(0)))
+    near = runs.select("run_id", F.explode(reach).alias("at")).join(ranked, "at")
+    place = Window.partitionBy("run_id").orderBy("at")
+    still_open = near.join(done, ["run_id", "item_id"], "left_anti").withColumn("place", F.row_number().over(place))
+    return still_open.filter(F.col("place") <= n).select("run_id", "item_id", "dimension", "priority_weight", "place")
+
+
 def recommendations(latest: DataFrame, items: DataFrame, documents: DataFrame, k: int = 5, shown: int = 3) -> DataFrame:
     """Per run: its heaviest missing items and the files found for them.
 
     Runs that miss the same items share one search.
     """
-    top = missing_items(latest, items).filter(F.col("place") <= TOP_ITEMS)
+    top = heaviest_missing(latest, items)
     named = top.join(items.select("item_id", "code", "title"), "item_id")
     listed = F.array_sort(F.collect_list(F.struct("place", "code", "title")))
     text = F.concat(
