@@ -160,33 +160,70 @@ class Corpus:
             .select("query_id", "term_id", (F.col("idf") / F.col("size")).alias("weight"))
         )
 
-    def chunk_scores(self) -> DataFrame:
-        """(query, document, chunk_no, score) for every pair that shares a word."""
-        weights = self._weights()
+    def _meeting(self, matches: DataFrame, words: DataFrame) -> DataFrame:
+        """Matches with the query words they are; a frequent word is spread over many tasks."""
         if self.small:
-            joined = self.matches().join(F.broadcast(weights), "term_id")
-        else:
-            # a frequent word is spread over many tasks
-            salt = F.pmod(F.xxhash64(self.id, "chunk_no"), F.lit(TERM_SALTS)).cast("int")
-            salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1)))
-            joined = self.matches().withColumn("salt", salt).join(
-                weights.withColumn("salt", salts), ["term_id", "salt"]
-            )
+            return matches.join(F.broadcast(words), "term_id")
+        salt = F.pmod(F.xxhash64(*matches.columns), F.lit(TERM_SALTS)).cast("int")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1)))
+        return matches.withColumn("salt", salt).join(words.withColumn("salt", salts), ["term_id", "salt"]).drop("salt")
+
+    def _summed(self, joined: DataFrame) -> DataFrame:
         # plain arithmetic: round() goes through decimals, row by row
         unit = float(10**SCORE_DIGITS)
         return joined.groupBy("query_id", self.id, "chunk_no").agg(
             (F.floor(F.sum("weight") * unit + 0.5) / unit).alias("score")
         )
 
+    def chunk_scores(self) -> DataFrame:
+        """(query, document, chunk_no, score) for every pair that shares a word."""
+        return self._summed(self._meeting(self.matches(), self._weights()))
+
     def best_chunks(self) -> DataFrame:
         """(query, document, chunk_no, score): the first chunk with the highest score."""
+        return self._best(self.chunk_scores())
+
+    def _best(self, scores: DataFrame) -> DataFrame:
         # Fixed-width buffers keep all three aggregates hash based; the first of
         # them leaves one chunk per score, so the last has no ties to settle.
-        firsts = self.chunk_scores().groupBy("query_id", self.id, "score").agg(F.min("chunk_no").alias("chunk_no"))
+        firsts = scores.groupBy("query_id", self.id, "score").agg(F.min("chunk_no").alias("chunk_no"))
         return firsts.groupBy("query_id", self.id).agg(
             F.max_by("chunk_no", "score").alias("chunk_no"), F.max("score").alias("score")
         )
 
+    def _leading(self, k: int) -> DataFrame:
+        """``best_chunks`` of all documents that can be among the k best of a query.
+
+        Only documents with one of the heavy words of a query (half of its
+        weight) are scored first. Their k-th score is a bound that the best
+        documents reach, so words whose weights together stay below it bring in
+        no other document; the words between the two are looked at next.
+        """
+        weights = cut_lineage(self._weights())
+        matches = cut_lineage(self.matches())
+        per_document = matches.select(self.id, "term_id").distinct()
+        heavy = Window.partitionBy("query_id").orderBy(F.desc("weight"), "term_id")
+        light = Window.partitionBy("query_id").orderBy("weight", F.desc("term_id"))
+        whole = Window.partitionBy("query_id")
+        ranked = weights.withColumn("above", F.sum("weight").over(heavy) - F.col("weight"))
+        ranked = ranked.withColumn("below", F.sum("weight").over(light)).withColumn("all", F.sum("weight").over(whole))
+        ranked = cut_lineage(ranked.withColumn("leads", F.col("above") < F.col("all") / 2))
+
+        def scored(candidates: DataFrame) -> DataFrame:
+            """All words of the candidates count, not only those that named them."""
+            found = matches.join(candidates, self.id).join(self._near(weights), ["query_id", "term_id"])
+            return cut_lineage(self._best(self._summed(found)))
+
+        first = cut_lineage(self._meeting(per_document, ranked.filter("leads").select("query_id", "term_id")).select("query_id", self.id).distinct())
+        best = scored(first)
+        kth = Window.partitionBy("query_id").orderBy(F.desc("score"), self.id)
+        bounds = best.withColumn("rank", F.row_number().over(kth)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+        # two rounding steps of a score below the bound
+        skipped = F.coalesce(F.col("below") < F.col("bound") - 2.0 / 10**SCORE_DIGITS, F.lit(False))
+        more = ranked.join(self._near(bounds), "query_id", "left").filter(~F.col("leads") & ~skipped).select("query_id", "term_id")
+        second = self._meeting(per_document, more).select("query_id", self.id).distinct().join(first, ["query_id", self.id], "left_anti")
+        return best.unionByName(scored(second))
+
     def search(self, k: int = TOP_K, texts: bool = True) -> DataFrame:
         """(query, rank, document, chunk_no, score, text): the k best documents per query.
 
@@ -196,7 +233,7 @@ class Corpus:
         """
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), self.id)
         hits = cut_lineage(
-            self.best_chunks().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            self._leading(k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         )
         ranked = hits.select("query_id", "rank", self.id, "chunk_no", "score")
         found = hits.groupBy("query_id").agg(
