@@ -54,7 +54,9 @@ def detect_dialect(spark, sf_dir):
 def detect_encoding(spark, sf_dir):
     root = scratch_path(spark, "encodings")
     text = view(spark, sf_dir, "documents").select(F.concat(F.regexp_replace("text", "[^\\x00-\\xff]", "?"), F.lit(" é")).alias("text"), "lang")
-    for name, encoding in (("utf", "UTF-8"), ("latin", "ISO-8859-1")):
+    for name, encoding in (("utf", "UTF-8"), ("latin", "ISO-8859-1"), ("windows", "ISO-8859-1")):
+        # a euro sign in windows-1252 is one byte, which ISO-8859-1 writes for U+0080
+        text = text.withColumn("text", F.concat("text", F.lit(" \x80"))) if name == "windows" else text
         sinks.write(text, f"{root}/{name}", "csv", encoding=encoding, partition_by=["lang"])
     found = detect.detect_encoding(spark, root, ".csv")
     folder = F.regexp_extract("file", r"/(\w+)/lang=(\w+)/", 1)
@@ -165,7 +167,7 @@ TAIL = """(CASE WHEN o_orderkey % 19 = 0 THEN [] ELSE [o_orderpriority] END
 ORACLE = {
     "detect_encoding": """
         SELECT folder, lang, encoding, true AS found FROM (SELECT DISTINCT lang FROM documents) AS l,
-          (VALUES ('utf', 'utf-8'), ('latin', 'iso-8859-1')) AS f(folder, encoding)""",
+          (VALUES ('utf', 'utf-8'), ('latin', 'iso-8859-1'), ('windows', 'windows-1252')) AS f(folder, encoding)""",
     "scan_text_docs": "SELECT doc_id, strlen(text) + 1 AS size, CAST(length(text) + 1 AS INT) AS chars FROM documents",
     "scan_csv": """SELECT c_custkey, 'a;"b" ' || c_name AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""",
     "detect_dialect": """

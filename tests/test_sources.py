@@ -111,3 +111,13 @@ def test_nothing_to_detect(spark, tmp_path):
     put(tmp_path, "a.txt", "x")
     with pytest.raises(Exception):
         tables.scan_csv_detected(spark, str(tmp_path))
+
+
+def test_windows_text(spark, tmp_path):
+    signs = "€ „quoted“ — naïve Œuvre"
+    (tmp_path / "w.csv").write_bytes(f"k,v\n1,{signs}\n".encode("windows-1252"))
+    (tmp_path / "l.csv").write_bytes("k,v\n2,naïve\n".encode("iso-8859-1"))
+    found = {r["file"].rsplit("/", 1)[1]: r["encoding"] for r in detect.detect_encoding(spark, str(tmp_path)).collect()}
+    assert found == {"w.csv": "windows-1252", "l.csv": "iso-8859-1"}
+    rows = tables.scan_csv_detected(spark, str(tmp_path), "k int, v string").collect()
+    assert {r["k"]: r["v"] for r in rows} == {1: signs, 2: "naïve"}

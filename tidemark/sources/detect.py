@@ -20,15 +20,20 @@ def _lines(spark: SparkSession, path: str, suffix: str | None) -> DataFrame:
 
 
 def detect_encoding(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
-    """(file, encoding): UTF-8 if every line of the file is valid, else ISO-8859-1.
+    """(file, encoding): UTF-8 if every line of the file is valid, else one of two single-byte encodings.
+
+    Bytes 0x80 to 0x9f are control characters in ISO-8859-1 and printed ones in
+    windows-1252, so a file that has some is the latter.
 
     The text source hands bytes over unchanged, so validity is tested on the
     whole file, split by split, rather than on its first bytes.
     """
     lines = _lines(spark, path, suffix)
     valid = F.bool_and(F.is_valid_utf8("value"))
+    plain = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    printed = F.bool_or(~F.is_valid_utf8("value") & plain.rlike(r"[\x80-\x9f]"))
     return lines.groupBy("file").agg(
-        F.when(valid, F.lit("utf-8")).otherwise(F.lit("iso-8859-1")).alias("encoding")
+        F.when(valid, F.lit("utf-8")).when(printed, F.lit("windows-1252")).otherwise(F.lit("iso-8859-1")).alias("encoding")
     )
 
 

@@ -48,10 +48,23 @@ def scan_csv(
 
     ``multi_line`` allows line breaks inside quotes but keeps each file in one task.
     """
-    reader = _csv_reader(spark, sep, encoding, header, multi_line)
-    if schema is None:
-        return reader.option("inferSchema", True).csv(path)
-    return reader.schema(schema).csv(path)
+    windows = encoding.lower() in ("windows-1252", "cp1252")
+    reader = _csv_reader(spark, sep, "iso-8859-1" if windows else encoding, header, multi_line)
+    rows = reader.option("inferSchema", True).csv(path) if schema is None else reader.schema(schema).csv(path)
+    return _windows_text(rows) if windows else rows
+
+
+# What windows-1252 prints where ISO-8859-1 has control characters (five bytes are unused).
+WINDOWS_BYTES = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+WINDOWS_SIGNS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+
+
+def _windows_text(rows: DataFrame) -> DataFrame:
+    """Text read as ISO-8859-1 with the signs of windows-1252, which Spark's reader does not know."""
+    return rows.select(*[
+        F.translate(F.col(quoted(f.name)), WINDOWS_BYTES, WINDOWS_SIGNS).alias(f.name) if isinstance(f.dataType, TEXTUAL) else F.col(quoted(f.name))
+        for f in rows.schema
+    ])
 
 
 def scan_csv_tolerant(
