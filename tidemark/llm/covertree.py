@@ -18,7 +18,9 @@ SLACK = 1e-9
 SAMPLE = 512
 CENTERS = 32
 TASK_ROWS = 4096
-LOCAL_LEAF = 48
+LOCAL_LEAF = 128
+#: Trees kept at hand by a task: a block meets many others in turn.
+TREES = 8
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -50,10 +52,10 @@ def _net(points: np.ndarray, radius: float, least: int, most: int) -> np.ndarray
 class Tree:
     """Nested levels of one block of unit vectors: every node has a centre and the radius that covers its points."""
 
-    def __init__(self, points: np.ndarray):
-        self.points = points
+    def __init__(self, raw: np.ndarray):
+        self.raw, self.points, self.length = raw, _unit(raw), np.linalg.norm(raw, axis=1)
         self.nodes: list[tuple[np.ndarray, np.ndarray, float, list[int]]] = []
-        self.root = self._grow(np.arange(len(points)), 2.0)
+        self.root = self._grow(np.arange(len(raw)), 2.0)
 
     def _grow(self, inside: np.ndarray, radius: float) -> int:
         own = self.points[inside]
@@ -69,7 +71,7 @@ class Tree:
         return len(self.nodes) - 1
 
 
-def _links(left: Tree, right: Tree | None, raw_left: np.ndarray, raw_right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def _links(left: Tree, right: Tree | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Pairs of index lists that link: (i, j) element by element, or all of i with all of j."""
     same = right is None
     right = left if same else right
@@ -87,8 +89,7 @@ def _links(left: Tree, right: Tree | None, raw_left: np.ndarray, raw_right: np.n
             yield ia, ib, True
             continue
         if not childa and not childb:
-            x, y = raw_left[ia], raw_right[ib]
-            cosine = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None])
+            cosine = (left.raw[ia] @ right.raw[ib].T) / (left.length[ia][:, None] * right.length[ib][None])
             i, j = np.nonzero(np.triu(cosine >= threshold, 1) if own else cosine >= threshold)
             if len(i):
                 yield ia[i], ib[j], False
@@ -104,15 +105,23 @@ def _walk_blocks(threshold: float):
     """Task: for every pair of blocks, how many rows each vector links with (kind 0) and a spanning forest of the links (kind 1)."""
 
     def task(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[bytes, Tree] = {}
+
+        def grown(ids: bytes, cell: bytes) -> Tree:
+            if ids not in trees:
+                if len(trees) >= TREES:
+                    del trees[next(iter(trees))]
+                trees[ids] = Tree(np.frombuffer(cell, "<f4").astype(np.float64).reshape(len(ids) // 8, -1))
+            return trees[ids]
+
         for batch in arrived:
             kinds, first, second = [], [], []
             for cells in zip(*(batch.column(c) for c in ("ids_a", "copies_a", "vectors_a", "ids_b", "copies_b", "vectors_b", "same"))):
                 ids_a, copies_a, va, ids_b, copies_b, vb, same = (c.as_py() for c in cells)
+                left, right = grown(ids_a, va), None if same else grown(ids_b, vb)
                 ids_a, copies_a = np.frombuffer(ids_a, "<i8"), np.frombuffer(copies_a, "<i8")
                 ids_b, copies_b = np.frombuffer(ids_b, "<i8"), np.frombuffer(copies_b, "<i8")
-                va, vb = np.frombuffer(va, "<f4").astype(np.float64).reshape(len(ids_a), -1), np.frombuffer(vb, "<f4").astype(np.float64).reshape(len(ids_b), -1)
                 na, nb = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
-                left, right = Tree(_unit(va)), None if same else Tree(_unit(vb))
                 parent = list(range(len(ids_a) + (0 if same else len(ids_b))))
                 shift = 0 if same else len(ids_a)
 
@@ -121,7 +130,7 @@ def _walk_blocks(threshold: float):
                         parent[x] = x = parent[parent[x]]
                     return x
 
-                for i, j, every in _links(left, right, va, vb, threshold):
+                for i, j, every in _links(left, right, threshold):
                     if every and same and i is j:
                         na[i] += copies_a[i].sum() - copies_a[i]
                     elif every:
