@@ -56,7 +56,6 @@ def test_unique_columns(spark):
     "spec, message",
     [
         ([], "At least one column"),
-        ([{"name": "a", "type": "integer"}] * 51, "Maximum 50"),
         ([{"name": "a", "type": "integer"}, {"name": "a", "type": "uuid"}], "Duplicate"),
         ([{"name": "a", "type": "blob"}], "unsupported type"),
         ([{"name": "a", "type": "integer", "options": {"min": 5, "max": 5}}], "min must be less"),
@@ -71,6 +70,12 @@ def test_bad_specs(spark, spec, message):
         S.generate(spark, spec, 5)
 
 
+def test_the_caller_limits_columns():
+    spec = [{"name": f"c{i}", "type": "integer"} for i in range(51)]
+    assert S.validate_spec(spec) == [] and S.validate_spec(spec, max_columns=51) == []
+    assert S.validate_spec(spec, max_columns=50) == ["at most 50 columns are allowed, the spec has 51"]
+
+
 def test_row_limits(spark):
     with pytest.raises(ValueError, match="at least 1"):
         S.generate(spark, SPEC, 0)

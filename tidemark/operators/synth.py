@@ -19,7 +19,6 @@ TYPES = (
     "string", "integer", "float", "boolean", "date", "datetime", "category", "email",
     "phone", "address", "product_name", "price", "uuid", "custom_pattern",
 )
-MAX_COLUMNS = 50
 MAX_PREVIEW = 100
 
 FIRST = ["ana", "bruno", "carla", "diego", "elisa", "fabio", "gina", "hugo", "iris", "joao"]
@@ -30,13 +29,13 @@ ADJECTIVES = ["Basic", "Smart", "Ultra", "Eco", "Classic", "Mini", "Prime"]
 WORDS = ["alpha", "delta", "river", "stone", "cloud", "amber", "north", "field"]
 
 
-def validate_spec(spec: list[Mapping[str, Any]]) -> list[str]:
-    """Everything that is wrong with a spec, as messages."""
+def validate_spec(spec: list[Mapping[str, Any]], max_columns: int | None = None) -> list[str]:
+    """Everything that is wrong with a spec, as messages; ``max_columns`` is the caller's limit, if any."""
     errors: list[str] = []
     if not isinstance(spec, list) or not spec:
         return ["At least one column is required"]
-    if len(spec) > MAX_COLUMNS:
-        return [f"Maximum {MAX_COLUMNS} columns allowed"]
+    if max_columns is not None and len(spec) > max_columns:
+        return [f"at most {max_columns} columns are allowed, the spec has {len(spec)}"]
     seen: set[str] = set()
     for i, column in enumerate(spec):
         name = column.get("name") if isinstance(column, Mapping) else None
