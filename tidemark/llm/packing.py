@@ -6,8 +6,10 @@ import math
 import os
 import re
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,31 +25,53 @@ LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 UNIT = re.compile(rf" ?[{LATIN}]++(?![^\W\d_])| ?\S+|\s+(?!\S)|\s")
 #: Separators that Python takes for white space and the tokenizer does not: such texts are encoded whole.
 ODD = re.compile("[\x1c-\x1f]")
+#: A whole unit of the tokenizer, which its model takes without cutting it again.
+WORD = re.compile(rf" ?[{LATIN}]+")
 MEMO_ENTRIES = 600_000
 
 
+def _byte_signs() -> dict[int, str]:
+    """The signs that byte-level models read for bytes: printed ones stand for themselves, the others follow from 256 on."""
+    printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printed]
+    return {b: chr(b) if b in printed else chr(256 + others.index(b)) for b in range(256)}
+
+
+BYTE_SIGNS = _byte_signs()
+
+
 class Ids:
-    """Token ids of texts as little-endian unsigned 32-bit bytes; units met before are looked up."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes, by a byte-level BPE; units met before are looked up."""
 
     def __init__(self, path: str):
         # tasks already run side by side on every core
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        # functions travel by value, so their globals end with the task; what is hung on the interpreter serves the worker's next tasks
+        kept = vars(sys).setdefault("_tidemark_ids", {})
+        if path not in kept:
+            kept[path] = (Tokenizer.from_file(path), {})
+        self.tokenizer: Tokenizer = kept[path][0]
+        self.memo: dict[str, bytes] = kept[path][1]
 
     def __call__(self, text: str) -> bytes:
         units = [text] if ODD.search(text) else UNIT.findall(text)
         memo = self.memo
         new = [u for u in set(units) if u not in memo]
         if len(memo) + len(new) > MEMO_ENTRIES:
-            memo.clear()
-            new = list(set(units))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for unit, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = found.ids
+            # the older half goes
+            for unit in list(islice(memo, MEMO_ENTRIES // 2)):
+                del memo[unit]
+            new = [u for u in set(units) if u not in memo]
+        tokens, others = self.tokenizer.model.tokenize, []
+        for unit in new:
+            if WORD.fullmatch(unit):
+                ids = [t.id for t in tokens(unit.encode().decode("latin-1").translate(BYTE_SIGNS))]
                 memo[unit] = struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join([memo[u] for u in units])
+            else:
+                others.append(unit)
+        for unit, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ()):
+            memo[unit] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        return b"".join(map(memo.__getitem__, units))
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
