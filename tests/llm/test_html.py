@@ -21,6 +21,22 @@ def test_pages_without_article_tags():
     assert main_blocks(soup) == ["Title", "A story with enough words to be the text of the page."]
 
 
+def test_linked_blocks_inside_the_article_stay():
+    nav = "<nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav>"
+    long = "A paragraph of plain words that is long enough to be told as the text of the page by itself. " * 3
+    title, linked, items = "A title of some thirty letters", "Twenty letters linked", ["First reference of it", "Second one", "A third"]
+    refs = "".join(f"<li><a href=r>{x}</a></li>" for x in items)
+    for tag in ("article", "main"):
+        page = f"{nav}<{tag}><h1><a href=/p>{title}</a></h1><p>{long}</p><p><a href=q>{linked}</a></p><p>{long}</p><ol>{refs}</ol></{tag}><footer><a href=z>Imprint</a></footer>"
+        assert main_blocks(page) == [title, long.strip(), linked, long.strip(), *items]
+    assert main_blocks(f"{nav}<article><nav><a href=n>Next one</a></nav><h1><a href=/p>{title}</a></h1><p>{long}</p></article>") == [title, long.strip()]
+
+
+def test_formulas_are_text():
+    page = "<article><p>Energy is <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation encoding='application/x-tex'>E=m</annotation></semantics></math> here.</p><math><mtr><mtd>1</mtd><mtd>2</mtd></mtr></math></article>"
+    assert main_blocks(page) == ["Energy is E=m here.", "1 2"]
+
+
 def test_broken_pages_do_not_fail():
     for page in (None, "", "<", "<!--", "<script>", "</p></div>", '<a title="x', "<p" * 500, "<div>" * 3000 + "deep", "&#xZZ; &bogus; &#0;", "<table><tr><td>a<td>b</table>"):
         assert isinstance(main_blocks(page), list)

@@ -19,7 +19,9 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements by the role they have in the HTML standard.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "select", "button", "audio", "video", "canvas", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "button", "audio", "video", "canvas", "xmp", "noembed", "noframes"}
+#: Other encodings of a formula that <math> shows already; browsers do not show them.
+ENCODED = {"annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
@@ -147,7 +149,7 @@ def blocks(html: str) -> list[Block]:
             if tag in ("br", "wbr", "hr") or tag == "img":
                 held.append((" ", False)) if tag != "wbr" else None
             continue
-        if tag in ("td", "th"):
+        if tag in ("td", "th", "mtd"):
             held.append((" ", False))
         _, _, aside, main, links, hidden = stack[-1]
         if tag in BLOCK or len(rest) > 1:
@@ -155,16 +157,16 @@ def blocks(html: str) -> list[Block]:
         else:
             own_aside, own_main, own_hidden = 0, 0, False
         number += 1
-        stack.append((tag, number, aside + own_aside, main + own_main, links + (tag == "a"), hidden or own_hidden))
+        stack.append((tag, number, aside + own_aside, main + own_main, links + (tag == "a"), hidden or own_hidden or tag in ENCODED))
     flush()
     return out
 
 
 def gain(block: Block) -> float:
-    """How much more a block looks like the article than like anything else."""
+    """How much more a block looks like the article than like anything else. Links tell navigation only outside what is marked as the article."""
     size = len(block.text)
     share = min(1.0, block.linked / size)
-    value = -0.5 + min(size / 120, 2.5) - 4.0 * share * (share > 0.4)
+    value = -0.5 + min(size / 120, 2.5) - 4.0 * share * (share > 0.4 and not block.main)
     value += 0.6 * (block.text[-1] in ".!?:;\"'»”…") + 3.0 * (block.main > 0) + 0.5 * block.heading
     if block.aside:
         value -= 8.0
