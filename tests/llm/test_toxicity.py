@@ -38,6 +38,30 @@ def test_learns_words_and_beginnings(spark):
     assert all((scores[i] >= 0.3) == bool(y) for i, _, y in test)
 
 
+def paired(seed, n):
+    """Each of four words is as common in toxic as in clean texts; which two stand together tells."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        a, b = i % 2, i // 2 % 2
+        words = prose(rng, 12).split() + [("blorp", "zonk")[a], ("quix", "fnord")[b]]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a == b)))
+    return rows
+
+
+def test_learns_pairs_of_terms_that_tell_nothing_alone(spark):
+    model = train(spark.createDataFrame(paired(1, 1200), "doc_id long, text string, label int"))
+    test = paired(2, 200)
+    scores = {r.doc_id: r.score for r in toxicity(spark.createDataFrame([t[:2] for t in test], "doc_id long, text string"), model).collect()}
+    assert all((scores[i] > 0.5) == bool(y) for i, _, y in test)
+
+
+def test_terms_are_not_limited_in_number(spark):
+    rows = [(i, f"{''.join(chr(97 + int(d)) for d in str(i % 1000).zfill(3))}q", i % 2) for i in range(4000)]
+    assert len(train(spark.createDataFrame(rows, "doc_id long, text string, label int")).place) >= 1000
+
+
 def test_awkward_rows(spark):
     model = train(spark.createDataFrame(labelled(1, 400) + [(None, None, 1), (7, "", None)], "doc_id long, text string, label int"))
     docs = edge_docs(spark)

@@ -23,7 +23,7 @@ def _terms(word: str) -> list[int]:
 
 
 class Model:
-    """Chosen terms with a weight and a vector of factors each; terms that were not chosen weigh nothing."""
+    """Learned terms with a weight and a vector of factors each; terms that are not among them weigh nothing."""
 
     def __init__(self, terms: np.ndarray, bias: float, weight: np.ndarray, factors: np.ndarray):
         self.bias, self.weight, self.factors = bias, weight, factors
@@ -31,7 +31,7 @@ class Model:
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def found(self, text: str | None) -> list[int]:
-        """Places of the chosen terms in a text, each once."""
+        """Places of the learned terms in a text, each once."""
         memo, out = self.memo, set()
         if len(memo) > MEMO_WORDS:
             memo.clear()
@@ -44,7 +44,7 @@ class Model:
         return sorted(out)
 
     def score(self, text: str | None) -> float:
-        at = self.found(text)
+        at = np.array(self.found(text), np.int64)
         sums = self.factors[at].sum(0)
         pairs = 0.5 * float((sums**2 - (self.factors[at] ** 2).sum(0)).sum())
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weight[at].sum() + pairs, -500, 500))))
@@ -80,6 +80,53 @@ def thinned_terms(present: np.ndarray, label: np.ndarray, copies: int = 2, seed:
     return np.concatenate([present, toxic]), np.concatenate([label, np.ones(len(toxic))])
 
 
+def thinned_cells(cells: list[np.ndarray], label: np.ndarray, copies: int = 2, seed: int = 5) -> tuple[list[np.ndarray], np.ndarray]:
+    """As ``thinned_terms``, of rows given by the places of their terms."""
+    rng = np.random.default_rng(seed)
+    more = [c[rng.random(len(c)) < 0.5] for c, toxic in zip(cells, label) if toxic for _ in range(copies)]
+    more = [c for c in more if len(c)]
+    return cells + more, np.concatenate([label, np.ones(len(more))])
+
+
+def fit_all(cells: list[np.ndarray], label: np.ndarray, start: tuple, size: int, rounds: int = 10, batch: int = 256, rate: float = 0.03, seed: int = 5):
+    """Bias, weights and factors of all ``size`` terms, by AdaGrad over the rows in batches, each the places of its terms.
+
+    ``start`` has the bias, and places, weights and factors of the terms that are known already. Weights and factors are
+    drawn to where they start: all others at no weight and small factors, so that a pair is learned whatever its terms do alone.
+    Small samples take more rounds, for 400 batches in all.
+    """
+    rng = np.random.default_rng(seed)
+    n, (bias, known, weight, factors) = len(cells), start
+    params = np.zeros((size, 1 + factors.shape[1]))
+    params[known] = np.column_stack([weight, factors])
+    home = params.copy()
+    params[:, 1:] += (params[:, 1:] == 0) * rng.normal(0, 0.01, (size, factors.shape[1]))
+    seen, bias_seen, pull = np.ones_like(params), 1.0, np.array([3.0] + [20.0] * factors.shape[1])
+    for _ in range(max(rounds, -(-400 * batch // n))):
+        order = rng.permutation(n)
+        for first in range(0, n, batch):
+            rows = order[first : first + batch]
+            own = [cells[i] for i in rows]
+            owner = np.repeat(np.arange(len(rows)), [len(c) for c in own])
+            used, place = np.unique(np.concatenate(own), return_inverse=True)
+            now = params[used]
+            v = now[place, 1:]
+            sums = np.column_stack([np.bincount(owner, column, len(rows)) for column in v.T])
+            raw = bias + np.bincount(owner, now[place, 0], len(rows)) + 0.5 * ((sums**2).sum(1) - np.bincount(owner, (v**2).sum(1), len(rows)))
+            off = 1 / (1 + np.exp(-np.clip(raw, -500, 500))) - label[rows]
+            bias_seen += off.sum() ** 2
+            bias -= rate * off.sum() / bias_seen**0.5
+            back = np.bincount(place, off[owner], len(used))
+            slopes = np.column_stack([back] + [np.bincount(place, (off[:, None] * sums)[owner, f], len(used)) - back * now[:, f + 1] for f in range(v.shape[1])])
+            slopes += pull * (now - home[used]) * len(rows) / n
+            seen[used] += slopes**2
+            pace = rate / np.sqrt(seen[used])
+            moved = now - home[used] - pace * slopes
+            moved[:, 0] = np.sign(moved[:, 0]) * np.maximum(0, np.abs(moved[:, 0]) - pace[:, 0] * 5.0 * len(rows) / n)
+            params[used] = home[used] + moved
+    return float(bias), params[:, 0], params[:, 1:]
+
+
 def _choose(terms: np.ndarray, owner: np.ndarray, label: np.ndarray, most: int, least: float) -> np.ndarray:
     """Terms that go with the label most clearly, by the signed root of the chi-squared statistic."""
     n, positive = len(label), label.sum()
@@ -100,11 +147,13 @@ def _restored(values: dict) -> Model:
     return model
 
 
-def train(labelled: DataFrame, most_terms: int = 512, factors: int = 4) -> Model:
+def train(labelled: DataFrame, start_terms: int = 512, least_rows: int = 3, factors: int = 4) -> Model:
     """Learns from ``text`` and ``label`` (0 or 1) of a bounded sample of rows, as ``bounded_labels`` draws it.
 
     The rows are hashed into terms where they lie; the terms of the sample are
-    fitted in one task. Rows with a null label are left out.
+    fitted in one task: first the ``start_terms`` at most that go with the label by
+    themselves, and from there all that ``least_rows`` rows hold, together.
+    Rows with a null label are left out.
     """
 
     def hashed(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,12 +172,18 @@ def train(labelled: DataFrame, most_terms: int = 512, factors: int = 4) -> Model
             return
         owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
         terms = np.concatenate(cells)
-        chosen = np.sort(_choose(terms, owner, label, most_terms, 6.0))
-        place = np.searchsorted(chosen, terms)
-        known = (place < len(chosen)) & (chosen[np.minimum(place, max(len(chosen) - 1, 0))] == terms) if len(chosen) else np.zeros(len(terms), bool)
-        present = np.zeros((len(cells), len(chosen)), np.float32)
+        clear = np.sort(_choose(terms, owner, label, start_terms, 6.0))
+        place = np.searchsorted(clear, terms)
+        known = (place < len(clear)) & (clear[np.minimum(place, max(len(clear) - 1, 0))] == terms) if len(clear) else np.zeros(len(terms), bool)
+        present = np.zeros((len(cells), len(clear)), np.float32)
         present[owner[known], place[known]] = 1
         bias, weight, v = fit(*thinned_terms(present, label), factors)
+        chosen = np.union1d(clear, np.flatnonzero(np.bincount(terms, minlength=SPACE) >= least_rows))
+        if len(chosen):
+            at = np.full(SPACE, -1, np.int32)
+            at[chosen] = np.arange(len(chosen))
+            cells = [places[places >= 0] for places in (at[c] for c in cells)]
+            bias, weight, v = fit_all(*thinned_cells(cells, label), (bias, at[clear], weight, v), len(chosen))
         parts = [chosen.astype("<i8").tobytes(), np.array([bias]).tobytes(), weight.tobytes(), v.tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], ["terms", "bias", "weight", "factors"])
 
@@ -149,7 +204,7 @@ def bounded_labels(labels: DataFrame, label: str, most_rows: int = 12_000, seed:
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id`` and ``score`` of every row of ``docs``; reads ``doc_id`` and ``text`` only.
 
-    Whole texts are scored; a null or empty text, or one without a chosen term,
+    Whole texts are scored; a null or empty text, or one without a learned term,
     has the score of the bias. A model that has learned nothing gives 0.5.
     """
     kept = docs.sparkSession.sparkContext.broadcast(vars(model))
