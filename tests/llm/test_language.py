@@ -65,3 +65,10 @@ def test_nothing_learned_and_empty(spark, model):
     nothing = train(edge_docs(spark, []))
     assert isinstance(nothing, Model) and {r.lang_pred for r in languages(edge_docs(spark), nothing).collect()} == {"und"}
     assert languages(edge_docs(spark, []), model).collect() == []
+
+
+def test_keep_without_a_learned_language(spark):
+    rows = [(1, "a clean text"), (2, "12 34"), (3, None), (4, ""), (5, "чистый текст"), (6, "_ 7 é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nothing = train(docs.selectExpr("doc_id", "text", "cast(null as string) as lang"))
+    assert {r.doc_id for r in keep_known(docs, nothing).collect()} == {1, 5, 6}

@@ -186,7 +186,8 @@ def keep_known(docs: DataFrame, model: Model, least_share: float = 0.0, penalty:
     """The rows of ``docs`` whose language is found, in at least ``least_share`` of their letters; columns unchanged.
 
     Rows are judged where they lie, so nothing is joined or shuffled. Rows
-    that ``languages`` calls ``und`` go.
+    that ``languages`` calls ``und`` go. With a model that has learned no
+    language all rows with a letter stay.
     """
     kept = docs.sparkSession.sparkContext.broadcast(vars(model))
 
@@ -194,8 +195,8 @@ def keep_known(docs: DataFrame, model: Model, least_share: float = 0.0, penalty:
         model, memo, table = _restored(kept.value), {}, []
         for batch in arrived:
             texts = batch.column("text").to_pylist()
-            known = []
-            for a, b in _parts(texts):
+            known = [] if model.langs else [WORD.search(t or "") is not None for t in texts]
+            for a, b in _parts(texts if model.langs else []):
                 known += [share >= least_share and pred != "und" for pred, share, _ in _judged(texts[a:b], model, memo, table, penalty)]
             yield batch.filter(pa.array(known, pa.bool_()))
 
