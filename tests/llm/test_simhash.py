@@ -60,6 +60,13 @@ def test_keep_leaves_columns_and_one_of_each_group(spark):
     assert 105 not in ids and 106 not in ids and 1 in ids and ids.count(None) == 2
 
 
+def test_another_text_under_a_used_id_stays(spark):
+    near, clean = "one text that is here twice under two ids", "something else entirely, which nothing in this table is like"
+    docs = spark.createDataFrame([(1, near), (2, near), (2, clean), (3, "a third text with words of its own in it")], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash_keep(docs).collect()]
+    assert len(kept) == 3 and (2, clean) in kept and (2, near) not in kept
+
+
 def test_empty_table(spark):
     assert simhash_groups(edge_docs(spark, [])).collect() == []
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.components import components
 from tidemark.session import cut_lineage
@@ -209,11 +210,21 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_distance: int = 2, see
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def simhash_keep(docs: DataFrame, shingle: int = 3, max_distance: int = 2) -> DataFrame:
+def simhash_keep(docs: DataFrame, shingle: int = 3, max_distance: int = 2, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` is the smallest of their group; columns unchanged.
 
-    Rows without a ``doc_id`` cannot be told apart and all stay.
+    A row goes by its ``doc_id`` and its own fingerprint, so another text under the same ``doc_id`` is judged by itself.
+    Rows without a ``doc_id`` cannot be told apart and all stay, and so do rows of one group that share its smallest ``doc_id``.
     """
-    groups = simhash_groups(docs, shingle, max_distance)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    groups = simhash_groups(docs, shingle, max_distance, seed)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone_id"), F.col("fp").alias("__gone_fp")).distinct()
+    text_at = docs.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(text_at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "__row_fp"])
+
+    marked = docs.mapInArrow(task, StructType([*docs.schema.fields, StructField("__row_fp", LongType())]))
+    same = (marked["doc_id"].cast("long") == gone["__gone_id"]) & (marked["__row_fp"] == gone["__gone_fp"])
+    return marked.join(gone.hint("shuffle_hash"), same, "left_anti").drop("__row_fp")
