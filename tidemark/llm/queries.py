@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import covertree, exact, folds, html, language, mixing, packing, pii, simhash, suffixes, toxicity
+from tidemark.llm import covertree, exact, folds, html, language, licenses, mixing, packing, periodic, pii, simhash, suffixes, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,8 +107,103 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_notices(_table(spark, sf_dir, "documents"))
+
+    def joined(labels: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    starts, base = F.col("places.start"), F.col("places.label")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, F.col("spans.label"))).alias("labels"), "score",
+    )
+
+
+def _values(listed: list[tuple[str, str]], first: int) -> str:
+    return ", ".join(f"({i}, '{label}', '{text.translate(str.maketrans(licenses.UPPER, licenses.LOWER))}')" for i, (label, text) in enumerate(listed, first))
+
+
+OP11 = rf"""
+WITH phrase(template, label, text) AS (VALUES {_values(licenses.PHRASES, 0)}),
+notice(template, label, text) AS (VALUES {_values(licenses.NOTICES, len(licenses.PHRASES))}),
+listed AS (
+  SELECT template, label, exact, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM (SELECT *, true AS exact FROM phrase UNION ALL SELECT *, false FROM notice)),
+spoken AS (
+  SELECT row_number() OVER () AS "row", doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+known AS (
+  SELECT template, label, exact, len(words) AS size, unnest(range(len(words) - 2)) AS place, words FROM listed),
+said AS (SELECT "row", unnest(range(len(words) - 2)) AS pos, words FROM spoken),
+vote AS (
+  SELECT s."row", k.template, k.label, k.exact, k.size, k.place, s.pos FROM said s JOIN known k
+  ON s.words[s.pos + 1] = k.words[k.place + 1] AND s.words[s.pos + 2] = k.words[k.place + 2] AND s.words[s.pos + 3] = k.words[k.place + 3]),
+places AS (
+  SELECT "row", label, pos - place AS start FROM vote WHERE exact GROUP BY "row", template, label, size, pos - place HAVING count(*) = size - 2),
+stepped AS (
+  SELECT *, coalesce(pos - place - lag(pos - place) OVER near > 8, false) AS apart FROM vote WHERE NOT exact
+  WINDOW near AS (PARTITION BY "row", template ORDER BY pos - place)),
+stretched AS (
+  SELECT *, sum(apart::INT) OVER (PARTITION BY "row", template ORDER BY pos - place) AS stretch FROM stepped),
+span AS (
+  SELECT "row", template, label, min(pos) AS start, max(pos) + 3 AS "end",
+         CAST(len(list_distinct(flatten(list([place, place + 1, place + 2])))) AS DOUBLE) / greatest(any_value(size), max(pos) + 3 - min(pos)) AS share
+  FROM stretched GROUP BY "row", template, label, stretch),
+chained AS (
+  SELECT *, coalesce(max("end") OVER (before ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= start, false) AS apart FROM span WHERE share >= 0.75
+  WINDOW before AS (PARTITION BY "row" ORDER BY start, "end", template)),
+numbered AS (SELECT *, sum(apart::INT) OVER (PARTITION BY "row" ORDER BY start, "end", template) AS chain FROM chained),
+best AS (SELECT "row", label FROM numbered QUALIFY row_number() OVER (PARTITION BY "row", chain ORDER BY share DESC, "end" - start DESC, template) = 1),
+base AS (
+  SELECT "row", count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places GROUP BY "row"),
+every AS (
+  SELECT "row", string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT "row", label FROM places UNION ALL SELECT "row", label FROM best) GROUP BY "row"),
+scored AS (SELECT "row", max(share) AS share FROM span GROUP BY "row")
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM spoken LEFT JOIN base USING ("row") LEFT JOIN every USING ("row") LEFT JOIN scored USING ("row")
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8)
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """The contract's texts: with h = crc32(doc_id) divisible by ten, the words from a place on repeat some of them.
+
+    Others, and rows without an id, keep their text.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))
+    n, a, g = F.size("words"), F.col("a"), F.col("g")
+    placed = split.withColumn("a", F.when(n > 0, g % n).cast("int")).withColumn("p", (1 + F.floor((n - a) / (3 + g % 8))).cast("int"))
+    source = F.transform(F.sequence(a, n - 1), lambda i: F.get("words", a + (i - a) % F.col("p")))
+    whole = F.array_join(F.concat(F.slice("words", F.lit(1), a), source), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), whole).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(repeated_tails(_table(spark, sf_dir, "documents")), least_words=6, least_periods=4)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    # by start, then period, so the first of equal ones stays
+    more = lambda best, r: r["length"] * best["period"] > best["length"] * r["period"]
+    best = F.aggregate("runs", none, lambda best, r: F.when(best.isNull() | more(best, r), r).otherwise(best))
+    line = lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_embeddings": op3_embeddings, "op4_mixing": op4_mixing, "op5_html": op5_html,
     "op6_toxicity": op6_toxicity, "op7_exact": op7_exact, "op8_language": op8_language, "op9_suffixes": op9_suffixes, "op10_pii": op10_pii,
+    "op11_licenses": op11_licenses, "op12_whitening": op12_whitening, "op13_periodic": op13_periodic,
 }
-ORACLE = {"op4_mixing": OP4, "op7_exact": OP7}
+ORACLE = {"op4_mixing": OP4, "op7_exact": OP7, "op11_licenses": OP11}
