@@ -13,8 +13,23 @@ from tidemark.session import spread
 from .fixtures import view, with_views
 
 
-def _corpus(spark, sf_dir):
-    return S.Corpus(view(spark, sf_dir, "documents"), view(spark, sf_dir, "search_queries"))
+# the index of each table, by the files it was made of; a session of its own finds none
+_INDEXES: dict[tuple, object] = {}
+
+
+def _index(spark, sf_dir):
+    """The stored index of ``documents``: built by the first query that searches, opened by the others."""
+    documents = view(spark, sf_dir, "documents")
+    # one row per file
+    files = documents.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
+    key = (spark.sparkContext.applicationId, *sorted(map(str, files)))
+    if key not in _INDEXES:
+        _INDEXES[key] = S.index_documents(documents)
+    return _INDEXES[key]
+
+
+def _search(spark, sf_dir):
+    return S.Search(_index(spark, sf_dir), view(spark, sf_dir, "search_queries"))
 
 
 def _rounded(df, *names):
@@ -29,11 +44,23 @@ def _rounded_sql(name):
 
 
 def _hits(spark, sf_dir):
-    return _corpus(spark, sf_dir).search()
+    return _search(spark, sf_dir).hits()
+
+
+def _by_document(df):
+    return df.withColumnRenamed("id", "doc_id")
 
 
 def search_topk(spark, sf_dir):
-    return _rounded(_corpus(spark, sf_dir).search(texts=False), "score")
+    return _by_document(_rounded(_search(spark, sf_dir).hits(texts=False), "score"))
+
+
+def search_after_upkeep(spark, sf_dir):
+    """Documents with labels first, the others imported on top, the toxic ones deleted, all segments merged."""
+    documents, labels = view(spark, sf_dir, "documents"), view(spark, sf_dir, "labels")
+    index = S.index_documents(documents.join(labels.select("doc_id"), "doc_id", "left_semi"))
+    index = index.add(documents).delete(labels.where("toxic = 1")).merge()
+    return _by_document(_rounded(S.Search(index, view(spark, sf_dir, "search_queries")).hits(texts=False), "score"))
 
 
 def snippet_relevance(spark, sf_dir):
@@ -82,10 +109,11 @@ def vector_neighbours(spark, sf_dir):
 QUERIES = {
     "chunk_documents": lambda spark, sf_dir: chunk_documents(spread(view(spark, sf_dir, "documents"), "doc_id")),
     "expand_query": lambda spark, sf_dir: S.expand_query(view(spark, sf_dir, "search_queries")),
-    "idf": lambda spark, sf_dir: _rounded(_corpus(spark, sf_dir).idf(), "idf"),
-    "chunk_scores": lambda spark, sf_dir: _rounded(_corpus(spark, sf_dir).chunk_scores(), "score"),
-    "best_chunk": lambda spark, sf_dir: _rounded(_corpus(spark, sf_dir).best_chunks(), "score"),
+    "idf": lambda spark, sf_dir: _rounded(_search(spark, sf_dir).idf(), "idf"),
+    "chunk_scores": lambda spark, sf_dir: _by_document(_rounded(_search(spark, sf_dir).chunk_scores(), "score")),
+    "best_chunk": lambda spark, sf_dir: _by_document(_rounded(_search(spark, sf_dir).best_chunks(), "score")),
     "search_topk": search_topk,
+    "search_after_upkeep": search_after_upkeep,
     "citations": lambda spark, sf_dir: S.citations(_hits(spark, sf_dir)),
     "snippet_relevance": snippet_relevance,
     "intent_list_sources": intent_list_sources,
@@ -155,9 +183,11 @@ ORACLE = {
     "chunk_documents": f"WITH {CHUNKS} SELECT * FROM chunks",
     "expand_query": with_views(f"WITH {TERMS} SELECT * FROM terms", "search_queries"),
     "idf": scored(f"SELECT term, document_frequency, {_rounded_sql('idf')} FROM idf"),
-    "chunk_scores": scored(f"SELECT query_id, doc_id, chunk_no, {_rounded_sql('score')} FROM scores"),
-    "best_chunk": scored(f"SELECT query_id, doc_id, chunk_no, {_rounded_sql('score')} FROM best"),
+    "chunk_scores": scored(f"SELECT query_id, doc_id, chunk_no, {_rounded_sql('score')} FROM scores SEMI JOIN top USING (query_id, doc_id)"),
+    "best_chunk": scored(f"SELECT query_id, doc_id, chunk_no, {_rounded_sql('score')} FROM top"),
     "search_topk": scored(f"SELECT query_id, rank, doc_id, chunk_no, {_rounded_sql('score')} FROM hits"),
+    "search_after_upkeep": scored(f"SELECT query_id, rank, doc_id, chunk_no, {_rounded_sql('score')} FROM hits").replace(
+        "FROM documents", "FROM (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS documents"),
     "citations": scored("SELECT query_id, rank AS citation_id, substr(text, 1, 200) || '...' AS text FROM hits"),
     "snippet_relevance": scored(
         f"""SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rank) AS INT) AS place, CAST(relevance AS INT) AS relevance,

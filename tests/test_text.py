@@ -72,15 +72,6 @@ def test_search_like_the_plain_loop(frame, seed):
     assert found == brute_force(documents, queries, 6)
 
 
-def test_search_without_broadcast_gives_the_same(frame, monkeypatch):
-    docs = frame([(i, f"the data w{i % 5} of " * (i % 7)) for i in range(40)], "doc_id int, text string")
-    asked = frame([(1, "the w1"), (2, "data of w2"), (3, "zzz")], "query_id int, query string")
-    rows = lambda: sorted((r["query_id"], r["rank"], r["doc_id"], r["chunk_no"], r["score"]) for r in S.search(docs, asked, 5).collect())
-    near = rows()
-    monkeypatch.setattr(S, "BROADCAST_TERMS", 0)
-    assert rows() == near
-
-
 def test_citations_and_relevance(frame):
     hits = frame(
         [(1, 1, 7, "Check the null values. Fix them. Then report. Done now. " * 3), (1, 2, 8, "short"), (1, 3, 9, "completely unrelated passage with more than fifty characters in it")],

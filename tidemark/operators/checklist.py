@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import Corpus
+from .search import search
 
 TOP_ITEMS = 5
 # template rows per array
@@ -124,7 +124,7 @@ def recommendations(latest: DataFrame, items: DataFrame, documents: DataFrame, k
     )
     with_id = per_run.withColumn("query_id", F.xxhash64("query"))
     queries = with_id.select("query_id", "query").dropDuplicates(["query_id"])
-    hits = Corpus(documents, queries).search(k, texts=False).filter(F.col("rank") <= shown)
+    hits = search(documents, queries, k, texts=False).filter(F.col("rank") <= shown)
     files = (
         hits.join(documents.select("doc_id", "filename"), "doc_id")
         .groupBy("query_id")

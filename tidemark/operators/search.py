@@ -1,28 +1,17 @@
-"""TF-IDF search of many queries at once over chunked documents.
-
-The tokens of the corpus are cut down to the words of the queries before
-anything moves. Those (document, chunk, word) rows are placed by document
-once; document frequencies, chunk scores and the best chunk of a document all
-reuse that placement, and the rank limit runs inside each partition, so the
-last shuffle carries at most k rows per query and partition.
-"""
+"""TF-IDF search of many queries at once over an index of chunked documents."""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_words, split_words
-from ..session import cut_lineage, spread
-from .chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents, chunks_of_word, window
+from ..functions.text import split_words
+from ..session import cut_lineage, scratch_path
+from .index import SearchIndex
 
 TOP_K = 8
-# Query words beyond this many are joined by shuffle, not broadcast.
-BROADCAST_TERMS = 200_000
-TERM_SALTS = 32
-# Scores are sums of logarithms; rounding keeps ties ties in any order of addition.
-SCORE_DIGITS = 10
-ABSENT_IDF = 0.1
 
 # Portuguese words and the English words added for them.
 TRANSLATIONS = {
@@ -83,206 +72,78 @@ def expand_query(queries: DataFrame, id_column: str = "query_id", text_column: s
     return own.select(id_column, F.explode(F.array_distinct(F.concat("w", added))).alias("term"))
 
 
-class Corpus:
-    """Documents prepared for one set of queries."""
-
-    def __init__(
-        self,
-        documents: DataFrame,
-        queries: DataFrame,
-        id_column: str = "doc_id",
-        text_column: str = "text",
-        chunk_size: int = CHUNK_SIZE,
-        overlap: int = CHUNK_OVERLAP,
-    ):
-        self.documents = documents.select(F.col(id_column), F.col(text_column).alias("text"))
-        self.id = id_column
-        self.chunk_size, self.overlap = chunk_size, overlap
-        # The words of the queries are found once and numbered; the corpus is
-        # joined and grouped by number from there on.
-        words = cut_lineage(expand_query(queries))
-        self.small = words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        distinct = words.select("term").distinct()
-        self.vocabulary = cut_lineage(distinct.withColumn("term_id", F.monotonically_increasing_id()))
-        self.terms = words.join(self._near(self.vocabulary), "term")
-        self.found = self._found()
-
-    def _near(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.small else df
-
-    def _found(self) -> DataFrame:
-        """(document, position, term_id) of words that occur in a query, placed by document.
-
-        Only these rows move. Frequencies and scores both start from here, so
-        Spark cuts the texts into words once and shares the shuffle.
-        """
-        documents = spread(self.documents.filter(has_words(F.col("text"))), self.id)
-        words = documents.select(
-            self.id, F.posexplode(split_words(F.lower(F.col("text")))).alias("position", "term")
-        )
-        return words.join(self._near(self.vocabulary), "term").drop("term").repartition(self.id)
-
-    def matches(self) -> DataFrame:
-        """Distinct (document, chunk_no, term_id)."""
-        size, stride = window(self.chunk_size, self.overlap)
-        numbers = F.explode(chunks_of_word(F.col("position"), size, stride)).alias("chunk_no")
-        return self.found.select(self.id, numbers, "term_id").dropDuplicates([self.id, "chunk_no", "term_id"])
-
-    def total_documents(self) -> int:
-        return max(self.documents.count(), 1)
-
-    def _idf(self) -> DataFrame:
-        total = self.total_documents()
-        frequency = (
-            self.found.select(self.id, "term_id")
-            .dropDuplicates([self.id, "term_id"])
-            .groupBy("term_id")
-            .agg(F.count(F.lit(1)).alias("document_frequency"))
-        )
-        found = F.log(F.lit(float(total + 1)) / (F.col("document_frequency") + 1)) + 1.0
-        return self.vocabulary.join(frequency, "term_id", "left").select(
-            "term",
-            "term_id",
-            F.coalesce("document_frequency", F.lit(0).cast("long")).alias("document_frequency"),
-            F.when(F.col("document_frequency").isNull(), F.lit(ABSENT_IDF)).otherwise(found).alias("idf"),
-        )
+class Search:
+    """Many queries at once over a stored index."""
+
+    def __init__(self, index: SearchIndex, queries: DataFrame, k: int = TOP_K):
+        self.index, self.k = index, k
+        self.terms = cut_lineage(expand_query(queries))
 
     def idf(self) -> DataFrame:
         """(term, document_frequency, idf) of every query term, absent ones included."""
-        return self._idf().drop("term_id")
-
-    def _weights(self) -> DataFrame:
-        """(query, term_id, weight): idf over the number of query terms."""
-        sizes = self.terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
-        return (
-            self.terms.join(self._near(self._idf().select("term_id", "idf")), "term_id")
-            .join(self._near(sizes), "query_id")
-            .select("query_id", "term_id", (F.col("idf") / F.col("size")).alias("weight"))
-        )
-
-    def _meeting(self, matches: DataFrame, words: DataFrame) -> DataFrame:
-        """Matches with the query words they are; a frequent word is spread over many tasks."""
-        if self.small:
-            return matches.join(F.broadcast(words), "term_id")
-        salt = F.pmod(F.xxhash64(*matches.columns), F.lit(TERM_SALTS)).cast("int")
-        salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1)))
-        return matches.withColumn("salt", salt).join(words.withColumn("salt", salts), ["term_id", "salt"]).drop("salt")
-
-    def _summed(self, joined: DataFrame) -> DataFrame:
-        # plain arithmetic: round() goes through decimals, row by row
-        unit = float(10**SCORE_DIGITS)
-        return joined.groupBy("query_id", self.id, "chunk_no").agg(
-            (F.floor(F.sum("weight") * unit + 0.5) / unit).alias("score")
-        )
+        return self.index.idf(self.terms)
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return self.index.weights(self.terms)
+
+    @cached_property
+    def best(self) -> DataFrame:
+        return cut_lineage(self.index.top_documents(self.weights, self.k))
 
     def chunk_scores(self) -> DataFrame:
-        """(query, document, chunk_no, score) for every pair that shares a word."""
-        return self._summed(self._meeting(self.matches(), self._weights()))
+        """(query, id, chunk_no, score): all chunks of the k best documents that share a word with the query."""
+        return self.index.chunk_scores(self.weights, self.best)
 
     def best_chunks(self) -> DataFrame:
-        """(query, document, chunk_no, score): the first chunk with the highest score."""
-        return self._best(self.chunk_scores())
-
-    def _best(self, scores: DataFrame) -> DataFrame:
-        # Fixed-width buffers keep all three aggregates hash based; the first of
-        # them leaves one chunk per score, so the last has no ties to settle.
-        firsts = scores.groupBy("query_id", self.id, "score").agg(F.min("chunk_no").alias("chunk_no"))
-        return firsts.groupBy("query_id", self.id).agg(
-            F.max_by("chunk_no", "score").alias("chunk_no"), F.max("score").alias("score")
-        )
-
-    def _leading(self, k: int) -> DataFrame:
-        """``best_chunks`` of all documents that can be among the k best of a query.
-
-        Only documents with one of the heavy words of a query (half of its
-        weight) are scored first. Their k-th score is a bound that the best
-        documents reach, so words whose weights together stay below it bring in
-        no other document; the words between the two are looked at next.
-        """
-        weights = cut_lineage(self._weights())
-        matches = cut_lineage(self.matches())
-        per_document = matches.select(self.id, "term_id").distinct()
-        heavy = Window.partitionBy("query_id").orderBy(F.desc("weight"), "term_id")
-        light = Window.partitionBy("query_id").orderBy("weight", F.desc("term_id"))
-        whole = Window.partitionBy("query_id")
-        ranked = weights.withColumn("above", F.sum("weight").over(heavy) - F.col("weight"))
-        ranked = ranked.withColumn("below", F.sum("weight").over(light)).withColumn("all", F.sum("weight").over(whole))
-        ranked = cut_lineage(ranked.withColumn("leads", F.col("above") < F.col("all") / 2))
-
-        def scored(candidates: DataFrame) -> DataFrame:
-            """All words of the candidates count, not only those that named them."""
-            found = matches.join(candidates, self.id).join(self._near(weights), ["query_id", "term_id"])
-            return cut_lineage(self._best(self._summed(found)))
-
-        first = cut_lineage(self._meeting(per_document, ranked.filter("leads").select("query_id", "term_id")).select("query_id", self.id).distinct())
-        best = scored(first)
-        kth = Window.partitionBy("query_id").orderBy(F.desc("score"), self.id)
-        bounds = best.withColumn("rank", F.row_number().over(kth)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-        # two rounding steps of a score below the bound
-        skipped = F.coalesce(F.col("below") < F.col("bound") - 2.0 / 10**SCORE_DIGITS, F.lit(False))
-        more = ranked.join(self._near(bounds), "query_id", "left").filter(~F.col("leads") & ~skipped).select("query_id", "term_id")
-        second = self._meeting(per_document, more).select("query_id", self.id).distinct().join(first, ["query_id", self.id], "left_anti")
-        return best.unionByName(scored(second))
-
-    def search(self, k: int = TOP_K, texts: bool = True) -> DataFrame:
-        """(query, rank, document, chunk_no, score, text): the k best documents per query.
+        """(query, id, chunk_no, score): the first chunk with the highest score of the k best documents."""
+        return self.best.select("query_id", "id", "chunk_no", "score")
+
+    def hits(self, texts: bool = True) -> DataFrame:
+        """(query, rank, id, chunk_no, score, text): the k best documents per query.
 
         A query with fewer hits is filled with the first chunks of the first
         other documents at score 0. ``texts=False`` leaves out the text and
-        the pass over the documents that fetches it.
+        the pass over the stored words that fetches it.
         """
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), self.id)
-        hits = cut_lineage(
-            self._leading(k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        )
-        ranked = hits.select("query_id", "rank", self.id, "chunk_no", "score")
-        found = hits.groupBy("query_id").agg(
-            F.count(F.lit(1)).alias("found"), F.collect_set(self.id).alias("matched")
-        )
+        columns = ["query_id", "rank", "segment", "bucket", "id", "chunk_no", "score"]
+        ranked = self.best.select(*columns)
+        found = self.best.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.collect_set("id").alias("matched"))
         asked = self.terms.select("query_id").distinct()
-        short = asked.join(self._near(found), "query_id", "left").filter(F.coalesce("found", F.lit(0)) < k)
+        short = cut_lineage(asked.join(found, "query_id", "left").where(F.coalesce("found", F.lit(0)) < self.k))
         if not short.isEmpty():
-            ranked = ranked.unionByName(self._fill(short, k))
-        if not texts:
-            return ranked
-        # at most k rows per query look up their text; only these documents are cut again
-        wanted = ranked.select(self.id, "chunk_no").distinct()
-        cited = self.documents.join(
-            self._near(wanted.select(self.id).distinct()), self.id, "left_semi"
-        ).repartition(self.id)
-        chunks = chunk_documents(cited, self.id, "text", self.chunk_size, self.overlap)
-        passages = chunks.select(self.id, "chunk_no", "text").join(self._near(wanted), [self.id, "chunk_no"])
-        return ranked.join(passages, [self.id, "chunk_no"]).select(*ranked.columns, "text")
-
-    def _fill(self, short: DataFrame, k: int) -> DataFrame:
+            ranked = ranked.unionByName(self._fill(short).select(*columns))
+        return self.index.passages(ranked).select("query_id", "rank", "id", "chunk_no", "score", "text") if texts else ranked.drop("segment", "bucket")
+
+    def _fill(self, short: DataFrame) -> DataFrame:
         """Rows at score 0 for queries with fewer than k hits.
 
         Among the first k documents at least k minus the number of hits are
         unmatched, so only these k documents can be needed.
         """
-        with_words = self.documents.filter(has_words(F.col("text")))
-        first = with_words.select(self.id).orderBy(self.id).limit(k)
-        listed = first.agg(F.array_sort(F.collect_list(self.id)).alias("first"), F.lit(1).alias("__one"))
-        candidates = short.withColumn("__one", F.lit(1)).join(F.broadcast(listed), "__one")
-        matched = F.coalesce("matched", F.expr("slice(first, 1, 0)"))
-        unmatched = F.filter("first", lambda d: ~F.array_contains(matched, d))
-        room = F.lit(k) - F.coalesce("found", F.lit(0)).cast("int")
-        filled = candidates.select(
-            "query_id", "found", F.posexplode(F.slice(unmatched, F.lit(1), room)).alias("place", self.id)
-        )
-        return filled.select(
-            "query_id",
-            self.id,
-            F.lit(0).alias("chunk_no"),
-            F.lit(0.0).alias("score"),
-            (F.coalesce("found", F.lit(0)) + F.col("place") + 1).cast("int").alias("rank"),
-        )
+        first = self.index.first_documents(self.k)
+        # k documents, whatever the size of the index
+        listed = first.agg(F.array_sort(F.collect_list(F.struct("id", "segment", "bucket"))).alias("first"))
+        candidates = short.crossJoin(F.broadcast(listed))
+        matched = F.coalesce("matched", F.transform(F.slice("first", 1, 0), lambda d: d["id"]))
+        unmatched = F.filter("first", lambda d: ~F.array_contains(matched, d["id"]))
+        count = F.coalesce("found", F.lit(0)).cast("int")
+        filled = candidates.select("query_id", count.alias("found"), F.posexplode(F.slice(unmatched, F.lit(1), F.lit(self.k) - count)).alias("place", "d"))
+        return filled.select("query_id", "d.*", F.lit(0).alias("chunk_no"), F.lit(0.0).alias("score"), (F.col("found") + F.col("place") + 1).cast("int").alias("rank"))
+
+
+def index_documents(documents: DataFrame, id_column: str = "doc_id", path: str | None = None) -> SearchIndex:
+    """A fresh index of ``documents``, below the shared folder unless a path is given."""
+    spark = documents.sparkSession
+    id_type = documents.select(id_column).schema[0].dataType.simpleString()
+    return SearchIndex.create(spark, path or scratch_path(spark, "index"), id_type).add(documents, id_column)
 
 
 def search(
     documents: DataFrame, queries: DataFrame, k: int = TOP_K, id_column: str = "doc_id", texts: bool = True
 ) -> DataFrame:
-    return Corpus(documents, queries, id_column).search(k, texts)
+    """One search over documents that have no index yet; ``Search`` over a kept index is for more."""
+    return Search(index_documents(documents, id_column), queries, k).hits(texts).withColumnRenamed("id", id_column)
 
 
 def citations(hits: DataFrame) -> DataFrame:
