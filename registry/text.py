@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import corpus as D
 from tidemark.operators import search as S
 from tidemark.operators.chunking import chunk_documents
-from tidemark.operators.vectors import vector_topk
+from tidemark.operators.vectors import VectorIndex
 from tidemark.session import spread
 
 from .fixtures import view, with_views
@@ -17,19 +17,19 @@ from .fixtures import view, with_views
 _INDEXES: dict[tuple, object] = {}
 
 
-def _index(spark, sf_dir):
-    """The stored index of ``documents``: built by the first query that searches, opened by the others."""
-    documents = view(spark, sf_dir, "documents")
+def _index(spark, sf_dir, table, build):
+    """The stored index of a table: built by the first query that searches it, opened by the others."""
+    rows = view(spark, sf_dir, table)
     # one row per file
-    files = documents.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
+    files = rows.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
     key = (spark.sparkContext.applicationId, *sorted(map(str, files)))
     if key not in _INDEXES:
-        _INDEXES[key] = S.index_documents(documents)
+        _INDEXES[key] = build(rows)
     return _INDEXES[key]
 
 
 def _search(spark, sf_dir):
-    return S.Search(_index(spark, sf_dir), view(spark, sf_dir, "search_queries"))
+    return S.Search(_index(spark, sf_dir, "documents", S.index_documents), view(spark, sf_dir, "search_queries"))
 
 
 def _rounded(df, *names):
@@ -102,8 +102,8 @@ def markdown_titles(spark, sf_dir):
 
 def vector_neighbours(spark, sf_dir):
     """Every vector as query, over all vectors."""
-    vectors = view(spark, sf_dir, "embeddings")
-    return vector_topk(vectors, vectors.select(F.col("vec_id").alias("query_id"), "embedding"))
+    queries = view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _index(spark, sf_dir, "embeddings", VectorIndex).search(queries).withColumnRenamed("id", "vec_id")
 
 
 QUERIES = {

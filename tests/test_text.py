@@ -7,7 +7,7 @@ import pytest
 from tidemark.operators import corpus as D
 from tidemark.operators import search as S
 from tidemark.operators.chunking import chunk_documents, window
-from tidemark.operators.vectors import vector_topk
+from tidemark.operators.vectors import VectorIndex, vector_topk
 from pyspark.sql import functions as F
 
 
@@ -124,6 +124,8 @@ def test_vectors_like_numpy(spark, monkeypatch):
     monkeypatch.setattr("tidemark.operators.vectors.QUERY_ROWS", 3)
     monkeypatch.setattr("tidemark.operators.vectors.STORED_ROWS", 11)
     assert read() == expected
+    monkeypatch.setattr("tidemark.operators.vectors.CELL_ROWS", 9)
+    assert read() == expected
     wrong = df.unionByName(spark.createDataFrame([(900, [1.0, 2.0]), (901, None)], "vec_id long, embedding array<float>"))
     with pytest.raises(Exception, match="components"):
         vector_topk(wrong, queries, 5).collect()
@@ -132,6 +134,32 @@ def test_vectors_like_numpy(spark, monkeypatch):
     assert vector_topk(df, queries.limit(0), 5).collect() == []
 
 
+def test_clustered_vectors_meet_few_cells(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16))
+    data = np.concatenate([centres.repeat(40, 0) + rng.normal(size=(480, 16)) * 0.05, np.zeros((3, 16)), np.tile(centres[0], (200, 1))])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(5)
+    monkeypatch.setattr("tidemark.operators.vectors.CELL_ROWS", 20)
+    monkeypatch.setattr("tidemark.operators.vectors.STORED_ROWS", 32)
+    index = VectorIndex(df)
+    # the copies of one vector are one cell, in parts
+    assert len(index.cells) > 12 and index.parts.max() > 5 and -1 in index.cells
+    asked = df.where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    pairs = []
+    reached = VectorIndex._reached
+    monkeypatch.setattr(VectorIndex, "_reached", lambda self, *a, **o: pairs.append(reached(self, *a, **o)) or pairs[-1])
+    found = {q: [(r["id"], r["similarity"]) for r in rows] for q, rows in _grouped(index.search(asked, 6)).items()}
+    norms = np.linalg.norm(data, axis=1, keepdims=True)
+    unit = np.divide(data, norms, out=np.zeros_like(data), where=norms > 0)
+    for q in range(0, len(data), 7):
+        score = np.round(unit @ unit[q], 6)
+        order = np.lexsort((np.arange(len(data)), -score))[:6]
+        assert [i for i, _ in found[q]] == order.tolist()
+    # of all pairs of a query and a part of a cell; the zero query meets all
+    met = sum(p.where("query_id != 483").count() for p in pairs)
+    assert met < 0.35 * asked.count() * index.parts.sum()
+
+
 def _grouped(df):
     out = {}
     for r in df.orderBy("query_id", "rank").collect():

@@ -1,93 +1,216 @@
-"""Nearest vectors by cosine similarity."""
+"""Nearest vectors by cosine similarity.
+
+Stored vectors lie in cells around pivots, a sample of them. A cell knows the
+smallest and the largest angle between its pivot and its members, so the angle
+between a query and the pivot bounds the similarity of every member. A query
+meets the cells with the highest bounds first; their k-th similarity decides
+which of the other cells it meets at all.
+"""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+# tasks get these functions by value, so executors need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A task multiplies a block of query vectors with a block of stored vectors: scores of 32 MB at most.
 QUERY_ROWS = 1024
 STORED_ROWS = 4096
+#: A pivot for so many vectors; beyond the largest number of pivots, which every task knows, cells get larger.
+CELL_ROWS = 4096
+MOST_PIVOTS = 8192
 SIMILARITY_DIGITS = 6
+# two rounding steps, and the rounding of angles
+SLACK = 4.0 / 10**SIMILARITY_DIGITS
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+
+
+def _matrix(batch: pa.RecordBatch, ids: str, vectors: str, width: int | None, like: str) -> np.ndarray:
+    """The vectors of a batch as rows; one of another width is an error."""
+    column = batch.column(vectors)
+    widths = np.diff(column.offsets.to_numpy())
+    expected = width if width is not None else widths[0]
+    if (widths != expected).any():
+        wrong = int(np.flatnonzero(widths != expected)[0])
+        raise ValueError(f"vector {batch.column(ids)[wrong]} has {widths[wrong]} components, {like} has {expected}")
+    return column.flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(batch.num_rows, -1)
 
 
-def _blocks(vectors: DataFrame, id_column: str, column: str, rows: int) -> DataFrame:
-    """Vectors of every partition packed into rows of ``rows`` vectors at most: ``ids`` and ``cells``."""
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
 
-    # local functions travel with the task, so workers need not import this package
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-                widths = np.array([len(v) for v in part.column(1)], "<i8")
-                if (widths != widths[0]).any():
-                    wrong = int(np.flatnonzero(widths != widths[0])[0])
-                    raise ValueError(f"vector {ids[wrong]} has {widths[wrong]} components, vector {ids[0]} has {widths[0]}")
-                cells = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, cells)], ["ids", "cells"])
 
-    present = vectors.filter(F.col(column).isNotNull()).select(F.col(id_column).cast("long"), column)
-    return present.mapInArrow(pack, "ids binary, cells binary")
+def _packed(batches: Iterator[pa.RecordBatch], keys: list[str], ids: str, vectors: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by the keys as blocks of at most ``rows`` vectors: the keys, ``<ids>s`` and ``cells``."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(c).to_numpy() for c in keys], 1)
+        edges = np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1
+        out = []
+        for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+            for at in range(a, b, rows):
+                part = batch.slice(at, min(rows, b - at))
+                cells = part.column(vectors).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                out.append((*values[a].tolist(), part.column(ids).to_numpy().astype("<i8").tobytes(), cells.tobytes()))
+        types = [pa.int32()] * len(keys) + [pa.binary()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [*keys, f"{ids}s", "cells"])
+
+
+class _Bounds(NamedTuple):
+    """Cells by number, -1 the one of zero vectors, with their pivots and the angles of their members."""
+
+    pivots: np.ndarray
+    cells: np.ndarray
+    nearest: np.ndarray
+    furthest: np.ndarray
+
+    def of(self, unit: np.ndarray) -> np.ndarray:
+        """The largest similarity that a member of each cell can have with each vector."""
+        angle = _angles(unit, self.pivots)
+        apart = np.maximum(np.maximum(angle - self.furthest, self.nearest - angle), 0.0)
+        # a zero vector on either side has similarity 0 and no angle
+        return np.where((self.cells < 0)[None, :] | ~unit.any(1)[:, None], 0.0, np.cos(apart))
+
+
+class VectorIndex:
+    """Vectors in cells, kept below the shared folder for any number of searches.
+
+    NULL vectors are left out; vectors of different widths fail the job that
+    reads them. Zero vectors have similarity 0 with everything.
+    """
+
+    def __init__(self, vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding"):
+        spark = self.spark = vectors.sparkSession
+        named = vectors.where(F.col(column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("vector"))
+        count = named.count()
+        wanted = min(MOST_PIVOTS, -(-count // CELL_ROWS))
+        # a bounded sample that any layout gives; the cells are exact whatever it holds
+        sampled = named.orderBy(F.xxhash64("id"), "id").limit(max(wanted, 1)).collect()
+        self.width = len(sampled[0]["vector"]) if sampled else 0
+        self.first = sampled[0]["id"] if sampled else None
+        pivots = _unit(np.array([r["vector"] for r in sampled if len(r["vector"]) == self.width], "<f8").reshape(-1, self.width))
+        pivots = pivots[np.linalg.norm(pivots, axis=1) > 0] if len(pivots) > 1 else pivots
+        width, like = self.width, f"vector {self.first}"
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, STORED_ROWS):
+                    part = batch.slice(at, STORED_ROWS)
+                    unit = _unit(_matrix(part, "id", "vector", width, like))
+                    angle = _angles(unit, pivots)
+                    cell = angle.argmin(1)
+                    near = angle[np.arange(len(cell)), cell]
+                    # zero vectors have no angle: a cell of their own
+                    cell[~unit.any(1)] = -1
+                    flat = pa.ListArray.from_arrays(np.arange(0, unit.size + 1, width, dtype=np.int32), unit.ravel())
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(cell, pa.int32()), pa.array(near), flat], ["id", "cell", "angle", "vector"])
+
+        placed = cut_lineage(named.mapInArrow(place, "id long, cell int, angle double, vector array<double>"))
+        # a row per pivot
+        found = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("nearest"), F.max("angle").alias("furthest")).orderBy("cell").collect()
+        self.cells = np.array([r["cell"] for r in found], np.int64)
+        self.sizes = np.array([r["n"] for r in found], np.int64)
+        nearest, furthest = (np.array([r[c] for r in found]) for c in ("nearest", "furthest"))
+        self.bounds = _Bounds(pivots[np.maximum(self.cells, 0)] if len(found) else np.empty((0, self.width)), self.cells, nearest, furthest)
+        # a large cell is several parts
+        self.parts = -(-self.sizes // STORED_ROWS)
+        known = spark.createDataFrame([(int(c), int(p)) for c, p in zip(self.cells, self.parts)], "cell int, parts int")
+        dealt = placed.join(F.broadcast(known), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        dealt = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").select("cell", "part", "id", "vector")
+        pack = lambda batches: _packed(batches, ["cell", "part"], "id", "vector", STORED_ROWS)
+        self.blocks = cut_lineage(dealt.mapInArrow(pack, "cell int, part int, ids binary, cells binary"))
+
+    def _reached(self, queries: DataFrame, k: int, later: bool) -> DataFrame:
+        """(query_id, vector, cell, part): the first cells of each query, which hold k vectors, or those after them that can hold a better one."""
+        sizes, cells, parts, width, first = self.sizes, self.cells, self.parts, self.width, self.first
+        bounds = self.bounds
+
+        def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, QUERY_ROWS):
+                    some = batch.slice(at, QUERY_ROWS)
+                    unit = _unit(_matrix(some, "query_id", "vector", width, f"vector {first}"))
+                    bound = bounds.of(unit)
+                    order = np.argsort(-bound, axis=1, kind="stable")
+                    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                    mine = (before >= k) & (np.take_along_axis(bound, order, 1) >= some.column("least").to_numpy()[:, None] - SLACK) if later else before < k
+                    row, place = np.nonzero(mine)
+                    cell = order[row, place]
+                    # every part of a cell
+                    many = parts[cell]
+                    row, cell = np.repeat(row, many), np.repeat(cell, many)
+                    part = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column("query_id").take(pa.array(row)), some.column("vector").take(pa.array(row)), pa.array(cells[cell], pa.int32()), pa.array(part, pa.int32())],
+                        ["query_id", "vector", "cell", "part"],
+                    )
+
+        return queries.mapInArrow(reach, "query_id long, vector array<double>, cell int, part int")
+
+    def _met(self, reached: DataFrame, k: int) -> DataFrame:
+        """(query_id, id, similarity): the k nearest of each query in each block it meets."""
+        pack = lambda batches: _packed(batches, ["cell", "part"], "query_id", "vector", QUERY_ROWS)
+        asked = reached.repartition("cell", "part").sortWithinPartitions("cell", "part").select("cell", "part", "query_id", "vector")
+        asked = asked.mapInArrow(pack, "cell int, part int, query_ids binary, cells binary").withColumnRenamed("cells", "query_cells")
+        pairs = asked.join(self.blocks, ["cell", "part"]).select("query_ids", "query_cells", "ids", "cells")
+        nearest = lambda batches: _nearest(batches, k)
+        return pairs.mapInArrow(nearest, "query_id long, id long, similarity double")
+
+    def search(self, queries: DataFrame, k: int = 8, column: str = "embedding") -> DataFrame:
+        """(query_id, rank, id, similarity): the k nearest vectors of every query, equal ones by id."""
+        asked = queries.where(F.col(column).isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col(column).cast("array<double>").alias("vector"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+        best = lambda rows: rows.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+        found = best(self._met(self._reached(asked, k, later=False), k))
+        if len(self.cells) > 1:
+            found = cut_lineage(found)
+            least = found.where(F.col("rank") == k).select("query_id", F.col("similarity").alias("least"))
+            rest = asked.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+            found = best(found.drop("rank").unionByName(self._met(self._reached(rest, k, later=True), k)))
+        return found.select("query_id", "rank", "id", "similarity")
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for cells in zip(*(batch.column(c) for c in ("query_ids", "query_cells", "ids", "cells"))):
+            query_ids, query_cells, ids, stored = (c.as_py() for c in cells)
+            query_ids, ids = np.frombuffer(query_ids, "<i8"), np.frombuffer(ids, "<i8")
+            wanted = _unit(np.frombuffer(query_cells, "<f8").reshape(len(query_ids), -1))
+            # these were made units when they were placed
+            held = np.frombuffer(stored, "<f8").reshape(len(ids), -1)
+            scores = np.round(wanted @ held.T, SIMILARITY_DIGITS)
+            if len(ids) > k:
+                # all that reach the k-th score, so that ties go by id
+                least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+                row, place = np.nonzero(scores >= least[:, None])
+            else:
+                row, place = np.divmod(np.arange(scores.size), len(ids))
+            order = np.lexsort((ids[place], -scores[row, place], row))
+            row, place = row[order], place[order]
+            first = np.searchsorted(row, row, "left")
+            best = np.arange(len(row)) - first < k
+            row, place = row[best], place[best]
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(ids[place]), pa.array(scores[row, place])], ["query_id", "id", "similarity"])
 
 
 def vector_topk(
     vectors: DataFrame, queries: DataFrame, k: int = 8, id_column: str = "vec_id", column: str = "embedding"
 ) -> DataFrame:
-    """(query_id, rank, id, similarity): the k nearest vectors of every query.
-
-    Queries and vectors are packed into blocks. Every block of queries meets
-    every block of vectors, which are dealt out by the number of the query
-    block; a meeting passes on k rows per query. NULL vectors are left out; a
-    vector of another width than the queries fails the job.
-    """
-    digits = SIMILARITY_DIGITS
-    total = max(1, -(-queries.count() // QUERY_ROWS))
-    asked = queries.repartition(total, "query_id")
-    # several small blocks of one partition may share a number
-    asked = _blocks(asked, "query_id", column, QUERY_ROWS).select(
-        F.spark_partition_id().alias("block"), F.col("ids").alias("query_ids"), F.col("cells").alias("query_cells")
-    )
-    stored = _blocks(vectors, id_column, column, STORED_ROWS).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unit(ids: np.ndarray, cell: bytes) -> np.ndarray:
-            matrix = np.frombuffer(cell, "<f8").reshape(len(ids), -1)
-            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-            return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-        for batch in batches:
-            for cells in zip(*(batch.column(c) for c in ("query_ids", "query_cells", "ids", "cells"))):
-                query_ids, query_cells, ids, stored_cells = (c.as_py() for c in cells)
-                query_ids, ids = np.frombuffer(query_ids, "<i8"), np.frombuffer(ids, "<i8")
-                wanted, held = unit(query_ids, query_cells), unit(ids, stored_cells)
-                if wanted.shape[1] != held.shape[1]:
-                    raise ValueError(f"vector {ids[0]} has {held.shape[1]} components, query {query_ids[0]} has {wanted.shape[1]}")
-                scores = np.round(wanted @ held.T, digits)
-                if len(ids) > k:
-                    # all that reach the k-th score, so that ties go by id
-                    least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-                    row, place = np.nonzero(scores >= least[:, None])
-                else:
-                    row, place = np.divmod(np.arange(scores.size), len(ids))
-                order = np.lexsort((ids[place], -scores[row, place], row))
-                row, place = row[order], place[order]
-                first = np.searchsorted(row, row, "left")
-                best = np.arange(len(row)) - first < k
-                row, place = row[best], place[best]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(query_ids[row]), pa.array(ids[place]), pa.array(scores[row, place])],
-                    names=["query_id", id_column, "similarity"],
-                )
-
-    candidates = asked.join(stored, "block").drop("block").mapInArrow(nearest, f"query_id long, {id_column} long, similarity double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_column)
-    return (
-        candidates.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", id_column, "similarity")
-    )
+    """(query_id, rank, id, similarity): the k nearest vectors of every query; ``VectorIndex`` serves several searches."""
+    return VectorIndex(vectors, id_column, column).search(queries, k, column).withColumnRenamed("id", id_column)
