@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tidemark.operators import synth as S
+from tidemark.operators import unique
 from tidemark.operators.unique import enforce_unique
 
 SPEC = [
@@ -112,3 +113,34 @@ def test_unique_like_the_sequential_loop(spark, seed, hot):
 def test_unique_of_nothing(spark):
     df = spark.createDataFrame([], "seq int, a int, b int")
     assert enforce_unique(df, ["a", "b"], "seq").count() == 0
+
+
+def chains(n, rng):
+    """Rows that each share a value with the next one of their chain, which no round over all rows settles quickly."""
+    rows = []
+    for c, length in enumerate((n, 300, 40, 40, 1, 1)):
+        rows += [(f"{c}:{i // 2}", f"{c}:{(i + 1) // 2}", None if i % 5 else 0.0 - c) for i in range(length)]
+    return [(i, *r) for i, r in enumerate(rows)]
+
+
+def test_a_long_chain_takes_a_handful_of_rounds(spark, monkeypatch):
+    rows = chains(10_000, random.Random(1))
+    df = spark.createDataFrame(rows, "seq long, a string, b string, c double").repartition(4)
+    rounds = []
+    first = unique._first_of_all
+    monkeypatch.setattr(unique, "_first_of_all", lambda *a: rounds.append(1) or first(*a))
+    assert sorted(r["seq"] for r in enforce_unique(df, ["a", "b", "c"], "seq").collect()) == greedy(rows, "abc")
+    assert len(rounds) == unique.ROUNDS
+
+
+def test_components_and_first_rows_equal_the_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(unique, "TASK_ROWS", 350)
+    rows = chains(450, random.Random(2))
+    df = spark.createDataFrame(rows, "seq long, a string, b string, c double")
+    assert sorted(r["seq"] for r in enforce_unique(df, ["a", "b"], "seq").collect()) == greedy([r[:3] for r in rows], "ab")
+
+
+def test_components(spark):
+    rows = [(1, "x", None), (2, "y", "p"), (3, "x", "q"), (4, "z", "q"), (5, None, None), (6, "w", "p"), (7, "w", "r"), (8, "v", "r")]
+    df = spark.createDataFrame(rows, "seq long, v0 string, v1 string")
+    assert {r["seq"]: r["label"] for r in unique._components(df, ["v0", "v1"]).collect()} == {1: 1, 3: 1, 4: 1, 2: 2, 6: 2, 7: 2, 8: 2, 5: 5}
