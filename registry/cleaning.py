@@ -63,9 +63,13 @@ def _cleaned(spark, sf_dir):
 
 
 def clean_numeric(spark, sf_dir):
-    df = view(spark, sf_dir, "dirty_text").select("p_partkey", "size_text", "amount_text")
-    options = C.CleanOptions(parse_dates=False)
-    return C.clean_dataset(df, options).data
+    return C.clean_dataset(view(spark, sf_dir, "dirty_text"), C.CleanOptions(parse_dates=False)).data
+
+
+def drop_empty_columns(spark, sf_dir):
+    data = C.drop_empty_columns(view(spark, sf_dir, "dirty_orders"))
+    # times as text on both sides
+    return data.select(*[F.col(n).cast("string").alias(n) if kind.startswith("timestamp") else F.col(n) for n, kind in data.dtypes])
 
 
 def clean_dates(spark, sf_dir):
@@ -86,8 +90,7 @@ QUERIES = {
     "trim_invisible": trim_text,
     "parse_dates": parse_dates,
     "coerce_types": coerce_types,
-    "drop_empty_columns": lambda spark, sf_dir: C.drop_empty_columns(
-        view(spark, sf_dir, "dirty_orders").drop("o_orderdate", "ship_date")),
+    "drop_empty_columns": drop_empty_columns,
     "clean_trim_counts": trim_counts,
     "clean_numeric": clean_numeric,
     "clean_dates": clean_dates,
@@ -146,7 +149,7 @@ ORACLE = {
           CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS flag, o_orderpriority AS day
         FROM orders""",
     "drop_empty_columns": with_views(
-        "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, order_date_text, email FROM dirty_orders", "dirty_orders"),
+        "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, CAST(ship_date AS VARCHAR) AS ship_date, order_date_text, email FROM dirty_orders", "dirty_orders"),
     "clean_trim_counts": with_views(
         "\nUNION ALL\n".join(
             [f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {_trim_sql(c)} IS DISTINCT FROM {c}) AS trimmed FROM dirty_text"
@@ -155,7 +158,7 @@ ORACLE = {
         "dirty_text",
     ),
     "clean_numeric": with_views(
-        f"SELECT p_partkey, {NUMBER_SQL.format(c=f'({SIZE})')} AS size_text, {AMOUNT} AS amount_text FROM dirty_text", "dirty_text"),
+        f"SELECT p_partkey, {NAME} AS name_text, {NUMBER_SQL.format(c=f'({SIZE})')} AS size_text, {AMOUNT} AS amount_text FROM dirty_text", "dirty_text"),
     "clean_dates": with_views(
         f"SELECT o_orderkey, CAST(CAST({DATE_SQL} AS DATE) AS VARCHAR) AS date_text, CASE WHEN {DATE_SQL} IS NULL THEN date_text END AS date_text__unparsed FROM date_text",
         "date_text"),

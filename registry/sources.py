@@ -53,12 +53,20 @@ def detect_dialect(spark, sf_dir):
 
 def detect_encoding(spark, sf_dir):
     root = scratch_path(spark, "encodings")
-    text = view(spark, sf_dir, "documents").select(F.concat(F.regexp_replace("text", "[^\\x00-\\xff]", "?"), F.lit(" é")).alias("text"), "lang")
-    for name, encoding in (("utf", "UTF-8"), ("latin", "ISO-8859-1"), ("windows", "ISO-8859-1")):
-        # a euro sign in windows-1252 is one byte, which ISO-8859-1 writes for U+0080
-        text = text.withColumn("text", F.concat("text", F.lit(" \x80"))) if name == "windows" else text
-        sinks.write(text, f"{root}/{name}", "csv", encoding=encoding, partition_by=["lang"])
-    found = detect.detect_encoding(spark, root, ".csv")
+    text = view(spark, sf_dir, "documents").select(F.concat("text", F.lit(" é")).alias("text"), "lang")
+    latin = text.withColumn("text", F.regexp_replace("text", "[^\\x00-\\xff]", "?"))
+    # a euro sign in windows-1252 is one byte, which ISO-8859-1 writes for U+0080
+    windows = latin.withColumn("text", F.concat("text", F.lit(" \x80")))
+    marked = text.withColumn("text", F.concat(F.lit("\ufeff"), "text"))
+    written = {
+        "utf": (text, "UTF-8"), "latin": (latin, "ISO-8859-1"), "windows": (windows, "ISO-8859-1"),
+        # UTF-16 writes a byte-order mark, UTF-16LE none
+        "marked16": (text, "UTF-16"), "little16": (text, "UTF-16LE"),
+    }
+    for name, (rows, encoding) in written.items():
+        sinks.write(rows, f"{root}/{name}", "csv", encoding=encoding, partition_by=["lang"])
+    marked.write.partitionBy("lang").text(f"{root}/marked")
+    found = detect.detect_encoding(spark, root)
     folder = F.regexp_extract("file", r"/(\w+)/lang=(\w+)/", 1)
     lang = F.regexp_extract("file", r"/(\w+)/lang=(\w+)/", 2)
     return found.groupBy(folder.alias("folder"), lang.alias("lang"), "encoding").agg(F.lit(True).alias("found"))
@@ -117,7 +125,7 @@ def scan_text_docs(spark, sf_dir):
 
 
 def table_to_document(spark, sf_dir):
-    return documents.table_to_lines(view(spark, sf_dir, "customer").drop("c_acctbal"), ["c_custkey"])
+    return documents.table_to_lines(view(spark, sf_dir, "customer"), ["c_custkey"])
 
 
 def roundtrip_write(spark, sf_dir):
@@ -167,7 +175,8 @@ TAIL = """(CASE WHEN o_orderkey % 19 = 0 THEN [] ELSE [o_orderpriority] END
 ORACLE = {
     "detect_encoding": """
         SELECT folder, lang, encoding, true AS found FROM (SELECT DISTINCT lang FROM documents) AS l,
-          (VALUES ('utf', 'utf-8'), ('latin', 'iso-8859-1'), ('windows', 'windows-1252')) AS f(folder, encoding)""",
+          (VALUES ('utf', 'utf-8'), ('latin', 'iso-8859-1'), ('windows', 'windows-1252'),
+            ('marked16', 'utf-16be'), ('little16', 'utf-16le'), ('marked', 'utf-8')) AS f(folder, encoding)""",
     "scan_text_docs": "SELECT doc_id, strlen(text) + 1 AS size, CAST(length(text) + 1 AS INT) AS chars FROM documents",
     "scan_csv": """SELECT c_custkey, 'a;"b" ' || c_name AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""",
     "detect_dialect": """
@@ -183,8 +192,8 @@ ORACLE = {
         "SELECT o_orderkey, CASE WHEN NOT isinf(o_totalprice) THEN o_totalprice END AS o_totalprice, o_orderstatus FROM dirty_orders ORDER BY o_orderkey LIMIT 100", "dirty_orders"),
     "sanitize_values": with_views(
         "SELECT o_orderkey, CASE WHEN NOT isinf(o_totalprice) THEN o_totalprice END AS o_totalprice FROM dirty_orders", "dirty_orders"),
-    "table_to_document": """SELECT NULL AS position, 'c_custkey | c_name | c_nationkey | c_mktsegment' AS line
-      UNION ALL SELECT '{"c_custkey":' || c_custkey || '}', concat_ws(' | ', c_custkey, c_name, c_nationkey, c_mktsegment) FROM customer""",
+    "table_to_document": """SELECT NULL AS position, 'c_custkey | c_name | c_nationkey | c_acctbal | c_mktsegment' AS line
+      UNION ALL SELECT '{"c_custkey":' || c_custkey || '}', concat_ws(' | ', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) FROM customer""",
     "roundtrip_write": "SELECT c.*, f.format FROM customer c, (VALUES ('csv'), ('json'), ('parquet')) AS f(format)",
     "parse_lines_arity": f"SELECT o_custkey % 8 AS file, o_orderkey AS at, CAST(o_orderkey AS VARCHAR) AS key, {STATUS} AS status, nullif({TAIL}[1], '') AS priority FROM orders WHERE len({TAIL}) = 1",
 }

@@ -121,3 +121,28 @@ def test_windows_text(spark, tmp_path):
     assert found == {"w.csv": "windows-1252", "l.csv": "iso-8859-1"}
     rows = tables.scan_csv_detected(spark, str(tmp_path), "k int, v string").collect()
     assert {r["k"]: r["v"] for r in rows} == {1: signs, 2: "naïve"}
+
+
+def test_marks_and_sixteen_bits(spark, tmp_path):
+    text = "k,v\n1,naïve\n2,Ċ\n"
+    for name, content in {"s.csv": text.encode("utf-8-sig"), "l.csv": text.encode("utf-16-le"), "b.csv": text.encode("utf-16-be"), "m.csv": text.encode("utf-16"), "u.csv": text.encode()}.items():
+        put(tmp_path, name, content)
+    found = {r["file"].rsplit("/", 1)[1]: r["encoding"] for r in detect.detect_encoding(spark, str(tmp_path)).collect()}
+    assert found == {"s.csv": "utf-8", "l.csv": "utf-16le", "b.csv": "utf-16be", "m.csv": "utf-16le", "u.csv": "utf-8"}
+    rows = tables.scan_csv(spark, str(tmp_path / "l.csv"), "k int, v string", encoding="utf-16le").collect()
+    assert {r["k"]: r["v"] for r in rows} == {1: "naïve", 2: "Ċ"}
+    with pytest.raises(Exception, match="read it with scan_csv"):
+        tables.scan_csv_detected(spark, str(tmp_path), "k int, v string").collect()
+
+
+def test_files_of_all_dialects_in_one_scan(spark, tmp_path):
+    put(tmp_path, "a.csv", 'id,name,at,x,ok\n1,"a,b",2024-01-01 10:00:00,1.5,true\n\n2,"q""r",,2,false\n')
+    put(tmp_path, "b.csv", "\n  \nid;name;at;x;ok\n3;São;2024-01-02 00:00:00;;true\n".encode("latin-1"))
+    put(tmp_path, "c.csv", "id\tname\tat\tx\tok\n4\t€\t\t7\t\n".encode("windows-1252"))
+    put(tmp_path, "d.csv", "id|name|at|x|ok\n5|a;b||8|\n".encode("utf-8-sig"))
+    df = tables.scan_csv_detected(spark, str(tmp_path))
+    assert df.dtypes == [("id", "int"), ("name", "string"), ("at", "timestamp"), ("x", "double"), ("ok", "boolean")]
+    assert {r["id"]: (r["name"], r["x"], r["ok"]) for r in df.collect()} == {
+        1: ("a,b", 1.5, True), 2: ('q"r', 2.0, False), 3: ("São", None, True), 4: ("€", 7.0, None), 5: ("a;b", 8.0, None)}
+    # however many files there are, their names stay out of the plan
+    assert "a.csv" not in df._jdf.queryExecution().optimizedPlan().toString()

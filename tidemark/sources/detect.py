@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 DELIMITERS = [",", ";", "\t", "|"]
 
 
-def _lines(spark: SparkSession, path: str, suffix: str | None) -> DataFrame:
+def lines_of(spark: SparkSession, path: str, suffix: str | None) -> DataFrame:
+    """(value, file, block_start): every line below a path, its bytes unchanged."""
     reader = spark.read.option("recursiveFileLookup", "true")
     if suffix:
         reader = reader.option("pathGlobFilter", f"*{suffix}")
@@ -20,21 +21,34 @@ def _lines(spark: SparkSession, path: str, suffix: str | None) -> DataFrame:
 
 
 def detect_encoding(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
-    """(file, encoding): UTF-8 if every line of the file is valid, else one of two single-byte encodings.
+    """(file, encoding): by the byte-order mark, else UTF-8 if every line of the file is valid, else one of two single-byte encodings.
 
-    Bytes 0x80 to 0x9f are control characters in ISO-8859-1 and printed ones in
+    A mark tells ``utf-16le`` and ``utf-16be``; without one, a zero among the
+    first two bytes is half of a UTF-16 character. Spark's readers take the mark
+    off UTF-8 files. Bytes 0x80 to
+    0x9f are control characters in ISO-8859-1 and printed ones in
     windows-1252, so a file that has some is the latter.
 
     The text source hands bytes over unchanged, so validity is tested on the
     whole file, split by split, rather than on its first bytes.
     """
-    lines = _lines(spark, path, suffix)
-    valid = F.bool_and(F.is_valid_utf8("value"))
+    lines = lines_of(spark, path, suffix).withColumn("at", F.monotonically_increasing_id())
+    # of the file's first split, whose smallest id is line one
+    first = F.min_by(F.hex(F.substring(F.col("value").cast("binary"), 1, 2)), F.when(F.col("block_start") == 0, F.col("at")))
     plain = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    printed = F.bool_or(~F.is_valid_utf8("value") & plain.rlike(r"[\x80-\x9f]"))
-    return lines.groupBy("file").agg(
-        F.when(valid, F.lit("utf-8")).when(printed, F.lit("windows-1252")).otherwise(F.lit("iso-8859-1")).alias("encoding")
+    found = lines.groupBy("file").agg(
+        first.alias("mark"),
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"),
+        F.bool_or(~F.is_valid_utf8("value") & plain.rlike(r"[\x80-\x9f]")).alias("printed"),
     )
+    encoding = (
+        F.when(F.col("mark").startswith("FFFE") | (F.substring("mark", 3, 2) == "00"), "utf-16le")
+        .when(F.col("mark").startswith("FEFF") | (F.substring("mark", 1, 2) == "00"), "utf-16be")
+        .when(F.col("valid"), "utf-8")
+        .when(F.col("printed"), "windows-1252")
+        .otherwise("iso-8859-1")
+    )
+    return found.select("file", encoding.alias("encoding"))
 
 
 def _occurrences(text, mark: str):
@@ -46,7 +60,7 @@ def detect_delimiter(spark: SparkSession, path: str, suffix: str | None = None)
 
     Marks inside quotes do not count; on a tie the order ``, ; tab |`` decides.
     """
-    numbered = _lines(spark, path, suffix).withColumn("at", F.monotonically_increasing_id())
+    numbered = lines_of(spark, path, suffix).withColumn("at", F.monotonically_increasing_id())
     # A file's first split is read by one task in order, so its smallest id is line one.
     first = (
         numbered.filter((F.col("block_start") == 0) & (F.trim("value") != ""))

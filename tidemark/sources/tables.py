@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import csv
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import TEXTUAL, quoted, sanitize_frame
-from .detect import detect_dialect
+from .detect import DELIMITERS, detect_dialect, lines_of
 
 
 class CsvSplit(NamedTuple):
@@ -50,6 +50,8 @@ def scan_csv(
     """
     windows = encoding.lower() in ("windows-1252", "cp1252")
     reader = _csv_reader(spark, sep, "iso-8859-1" if windows else encoding, header, multi_line)
+    # such lines end in two bytes
+    reader = reader.option("lineSep", "\n") if encoding.lower().startswith("utf-16") and not multi_line else reader
     rows = reader.option("inferSchema", True).csv(path) if schema is None else reader.schema(schema).csv(path)
     return _windows_text(rows) if windows else rows
 
@@ -115,17 +117,72 @@ def scan_csv_detected(
 ) -> DataFrame:
     """All CSV files below a path, each read with the dialect found for it.
 
-    Files of one dialect are read together, so there are as many reads as
-    dialects (two encodings, four delimiters).
+    The lines are read once, as bytes, and joined with the dialect of their
+    file, so no list of files is held anywhere. The files share their columns,
+    by position; a line break inside quotes ends the line. Without a schema
+    the names are those of the first file, and the types are found in a pass
+    over all values. A UTF-16 file fails the job: its lines cannot be told from
+    its bytes; ``scan_csv`` reads it by its encoding.
     """
-    dialects = detect_dialect(spark, path, suffix).groupBy("encoding", "delimiter")
-    parts = [
-        scan_csv(spark, sorted(row["files"]), schema, row["delimiter"], row["encoding"], header)
-        for row in dialects.agg(F.collect_list("file").alias("files")).collect()
-    ]
-    if not parts:
+    lines = lines_of(spark, path, suffix).withColumn("at", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    dialects = detect_dialect(spark, path, suffix).select("file", "encoding", "delimiter")
+    if dialects.isEmpty():
         raise ValueError(f"no files to read below {path}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    placed = lines.join(dialects, "file")
+    if header:
+        first = lines.where(F.col("block_start") == 0).groupBy("file").agg(F.min("at").alias("first"))
+        placed = placed.join(first, "file", "left").where(~F.col("at").eqNullSafe(F.col("first")))
+    fields = _struct(schema).fields if schema is not None else None
+    if fields is None:
+        names = _header_names(lines.join(dialects, "file"), header)
+        texts = _parsed(placed, [T.StructField(n, T.StringType()) for n in names])
+        fields = _found_types(texts)
+    return _parsed(placed, fields)
+
+
+def _decoded() -> Column:
+    """The text of a line by its file's ``encoding``."""
+    value, encoding = F.col("value"), F.col("encoding")
+    plain = F.decode(value.cast("binary"), "ISO-8859-1")
+    refused = F.raise_error(F.concat(F.col("file"), F.lit(" is written in "), encoding, F.lit(": read it with scan_csv"))).cast("string")
+    return (
+        F.when(encoding == "utf-8", value)
+        .when(encoding == "windows-1252", F.translate(plain, WINDOWS_BYTES, WINDOWS_SIGNS))
+        .when(encoding == "iso-8859-1", plain)
+        .otherwise(refused)
+    )
+
+
+def _parsed(lines: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """Lines with their ``encoding`` and ``delimiter`` as rows: a parser for each delimiter."""
+    row = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in fields)
+    cells = F.lit(None).cast(f"struct<{', '.join(f'{quoted(f.name)}: {f.dataType.simpleString()}' for f in fields)}>")
+    for mark in DELIMITERS:
+        parsed = F.from_csv("line", row, {"sep": mark, "quote": '"', "escape": '"'})
+        cells = F.when(F.col("delimiter") == mark, parsed).otherwise(cells)
+    return lines.withColumn("line", _decoded()).select(cells.alias("cells")).select("cells.*")
+
+
+def _header_names(lines: DataFrame, header: bool) -> list[str]:
+    """Column names from the first line of the first file."""
+    first = lines.where(F.col("block_start") == 0).withColumn("line", _decoded()).orderBy("file", "at").select("line", "delimiter").first()
+    cells = next(csv.reader([first["line"]], delimiter=first["delimiter"]))
+    return cells if header else [f"_c{i}" for i in range(len(cells))]
+
+
+def _found_types(texts: DataFrame) -> list[T.StructField]:
+    """The first type that all values of a column have; one pass for all columns."""
+    kinds = [T.IntegerType(), T.LongType(), T.DoubleType(), T.TimestampType(), T.BooleanType()]
+    fits = [
+        F.bool_and(F.col(quoted(n)).isNull() | F.col(quoted(n)).try_cast(k).isNotNull()).alias(f"{i}_{j}")
+        for i, n in enumerate(texts.columns) for j, k in enumerate(kinds)
+    ]
+    counts = [F.count(F.col(quoted(n))).alias(f"n_{i}") for i, n in enumerate(texts.columns)]
+    found = texts.agg(*fits, *counts).first()
+    return [
+        T.StructField(n, next((k for j, k in enumerate(kinds) if found[f"n_{i}"] and found[f"{i}_{j}"]), T.StringType()))
+        for i, n in enumerate(texts.columns)
+    ]
 
 
 def with_file_order(scanned: DataFrame, name: str = "file_order") -> DataFrame:
