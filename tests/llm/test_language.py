@@ -72,3 +72,15 @@ def test_keep_without_a_learned_language(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     nothing = train(docs.selectExpr("doc_id", "text", "cast(null as string) as lang"))
     assert {r.doc_id for r in keep_known(docs, nothing).collect()} == {1, 5, 6}
+
+
+def test_three_hundred_languages(spark):
+    word = lambda k: "".join(chr(97 + (k * 7 + i * (k % 11 + 3)) % 26) for i in range(6)) + "abcdefghijklmnopqrstuvwxyz"[k % 26] * 2 + str("xyz"[k % 3]) + "qwertyuiop"[k // 30]
+    rows = [(k, " ".join([word(k)] * 12), f"l{k:03d}") for k in range(300)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = languages(spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string"), model).collect()
+    assert len(model.langs) == 300 and sum(r.lang_pred == f"l{r.doc_id:03d}" for r in found) > 290
+    # back pointers to languages beyond what one byte numbers
+    scores = np.full((6, 300), -10.0, np.float32)
+    scores[:3, 299], scores[3:, 131] = 0, 0
+    assert viterbi(scores, np.array([6]), 5.0).tolist() == [299] * 3 + [131] * 3

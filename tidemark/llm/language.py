@@ -123,7 +123,9 @@ def viterbi(scores: np.ndarray, size: np.ndarray, penalty: float) -> np.ndarray:
     order = np.argsort(-size, kind="stable")
     begin = (np.cumsum(size) - size)[order]
     length = size[order]
-    best = np.empty(len(scores), np.int8)
+    # the smallest integers that number the languages
+    kind = np.min_scalar_type(-scores.shape[1] - 1)
+    best = np.empty(len(scores), kind)
     steps = int(length.max(initial=0))
     going = np.searchsorted(-length, -np.arange(steps), "left")
     level = np.zeros((len(size), scores.shape[1]), np.float32)
@@ -134,10 +136,10 @@ def viterbi(scores: np.ndarray, size: np.ndarray, penalty: float) -> np.ndarray:
             top = now.argmax(1)
             change = now[np.arange(len(now)), top] - penalty
             stays = now >= change[:, None]
-            back[here] = np.where(stays, np.arange(now.shape[1], dtype=np.int8), top[:, None].astype(np.int8))
+            back[here] = np.where(stays, np.arange(now.shape[1], dtype=kind), top[:, None].astype(kind))
             now = np.where(stays, now, change[:, None])
         else:
-            back = np.zeros(scores.shape, np.int8)
+            back = np.zeros(scores.shape, kind)
         now = now + scores[here]
         # differences decide; the level itself would grow with the text
         level[: going[t]] = now - now.max(1, keepdims=True)
