@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -83,3 +84,13 @@ def test_sum_of_squares_against_the_plain_rule():
         assert offset == used[place]
         used[place] += size
     assert [40 - used[k] for k in range(len(gaps))] == gaps.tolist()
+
+
+def test_added_tokens_are_cut_out_first():
+    tokenizer, encode = Tokenizer.from_file(PATH), Ids(PATH)
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    rng = random.Random(8)
+    parts = [*added, " ", "\n\n", "word", " the", "é", "<|", "\x1c", "12", "\t"]
+    texts = ["The end.\n\n<|endoftext|>Next"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(2000)]
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text

@@ -23,7 +23,7 @@ from tidemark.session import cut_lineage
 #: Texts cut where the tokenizer always begins a new unit: around words of Latin letters, and between words and white space.
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 UNIT = re.compile(rf" ?[{LATIN}]++(?![^\W\d_])| ?\S+|\s+(?!\S)|\s")
-#: Separators that Python takes for white space and the tokenizer does not: such texts are encoded whole.
+#: Separators that Python takes for white space and the tokenizer does not: such texts are encoded whole, too.
 ODD = re.compile("[\x1c-\x1f]")
 #: A whole unit of the tokenizer, which its model takes without cutting it again.
 WORD = re.compile(rf" ?[{LATIN}]+")
@@ -41,7 +41,12 @@ BYTE_SIGNS = _byte_signs()
 
 
 class Ids:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, by a byte-level BPE; units met before are looked up."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes, by a byte-level BPE; units met before are looked up.
+
+    The tokenizer and the units are kept on the ``sys`` module, by path, for
+    all tasks that one Python worker runs. Texts that hold an added token of the
+    tokenizer, which it cuts out before all else, are encoded whole.
+    """
 
     def __init__(self, path: str):
         # tasks already run side by side on every core
@@ -49,12 +54,19 @@ class Ids:
         # functions travel by value, so their globals end with the task; what is hung on the interpreter serves the worker's next tasks
         kept = vars(sys).setdefault("_tidemark_ids", {})
         if path not in kept:
-            kept[path] = (Tokenizer.from_file(path), {})
+            tokenizer = Tokenizer.from_file(path)
+            added = sorted(t.content for t in tokenizer.get_added_tokens_decoder().values())
+            whole = re.compile("|".join([ODD.pattern, *map(re.escape, added)]))
+            kept[path] = (tokenizer, {}, whole)
         self.tokenizer: Tokenizer = kept[path][0]
         self.memo: dict[str, bytes] = kept[path][1]
+        self.whole: re.Pattern = kept[path][2]
 
     def __call__(self, text: str) -> bytes:
-        units = [text] if ODD.search(text) else UNIT.findall(text)
+        if self.whole.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        units = UNIT.findall(text)
         memo = self.memo
         new = [u for u in set(units) if u not in memo]
         if len(memo) + len(new) > MEMO_ENTRIES:
