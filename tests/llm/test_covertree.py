@@ -1,3 +1,4 @@
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -8,7 +9,7 @@ from tidemark.llm.covertree import near_vectors
 from .documents import by_key
 
 
-def brute(rows, threshold):
+def brute(rows, threshold, kind=np.float32):
     links, root, groups = [0] * len(rows), list(range(len(rows))), defaultdict(list)
 
     def find(x):
@@ -20,7 +21,8 @@ def brute(rows, threshold):
         if i is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
             groups[label, len(v)].append(k)
     for members in groups.values():
-        m = np.array([rows[k][1] for k in members], np.float32).astype(np.float64)
+        m = np.array([rows[k][1] for k in members], kind).astype(np.float64)
+        m = np.ldexp(m, -np.frexp(np.abs(m).max(1))[1][:, None])
         norm = np.linalg.norm(m, axis=1)
         near = m @ m.T / norm[:, None] / norm[None] >= threshold
         np.fill_diagonal(near, False)
@@ -61,3 +63,16 @@ def test_links_equal_all_pairs(spark, leaf_rows):
 
 def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=8)
+    rows = [(i, (base + rng.normal(size=8) * 0.3).tolist(), 1) for i in range(60)]
+    # beyond the range of floats, apart only in digits that floats lack
+    rows += [(100, [1e200, 1.0], 2), (101, [1e200, 2.0], 2), (102, [1e-200, 0.0], 2), (103, [-1e300, 0.0], 2)]
+    rows += [(200, [0.93, math.sqrt(1 - 0.93**2)], 3), (201, [1.0, 0.0], 3), (202, [0.93 - 1e-12, math.sqrt(1 - (0.93 - 1e-12) ** 2)], 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = near_vectors(frame, 0.93).collect()
+    assert by_key(got) == by_key(brute(rows, 0.93, np.float64))
+    assert {r.vec_id: r.n_links for r in got if r.vec_id in (100, 103)} == {100: 2, 103: 0}

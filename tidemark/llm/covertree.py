@@ -53,6 +53,8 @@ class Tree:
     """Nested levels of one block of unit vectors: every node has a centre and the radius that covers its points."""
 
     def __init__(self, raw: np.ndarray):
+        # by powers of two, which changes no digit, so that squares neither overflow nor vanish
+        raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(1))[1][:, None])
         self.raw, self.points, self.length = raw, _unit(raw), np.linalg.norm(raw, axis=1)
         self.nodes: list[tuple[np.ndarray, np.ndarray, float, list[int]]] = []
         self.root = self._grow(np.arange(len(raw)), 2.0)
@@ -101,7 +103,7 @@ def _links(left: Tree, right: Tree | None, threshold: float) -> Iterator[tuple[n
             stack += [(a, c) for c in childb]
 
 
-def _walk_blocks(threshold: float):
+def _walk_blocks(threshold: float, cell_type: str):
     """Task: for every pair of blocks, how many rows each vector links with (kind 0) and a spanning forest of the links (kind 1)."""
 
     def task(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +113,7 @@ def _walk_blocks(threshold: float):
             if ids not in trees:
                 if len(trees) >= TREES:
                     del trees[next(iter(trees))]
-                trees[ids] = Tree(np.frombuffer(cell, "<f4").astype(np.float64).reshape(len(ids) // 8, -1))
+                trees[ids] = Tree(np.frombuffer(cell, cell_type).astype(np.float64).reshape(len(ids) // 8, -1))
             return trees[ids]
 
         for batch in arrived:
@@ -192,9 +194,13 @@ def _assign(key, rows: pa.Table, centres: pa.Table) -> pa.Table:
     })
 
 
+def _cell_type(single: bool) -> str:
+    return "<f4" if single else "<f8"
+
+
 def _block(table: pa.Table) -> pa.Table:
     """Grouped task: the vectors of one leaf as one row."""
-    vectors = _matrix(table.column("vector")).astype("<f4")
+    vectors = _matrix(table.column("vector")).astype(_cell_type(table.schema.field("vector").type.value_type == pa.float32()))
     cells = [np.asarray(table.column(c)).astype("<i8").tobytes() for c in ("vertex", "copies")] + [vectors.tobytes()]
     return pa.table({"node": table.column("node").slice(0, 1), **{n: pa.array([c], pa.binary()) for n, c in zip(("ids", "copies", "vectors"), cells)}})
 
@@ -217,7 +223,8 @@ def vector_links(vertices: DataFrame, threshold: float, leaf_rows: int = 1024) -
     counted, not listed.
     """
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-    kinds = "vertex long, copies long, vector array<float>, parent string, node string, away double"
+    vector = vertices.schema["vector"].dataType.simpleString()
+    kinds = f"vertex long, copies long, vector {vector}, parent string, node string, away double"
     inside = cut_lineage(vertices.select("vertex", "copies", "vector", F.col("tree").alias("node")))
     nodes = cut_lineage(inside.groupBy("node").agg(F.count("*").alias("n")))
     pairs = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
@@ -261,7 +268,7 @@ def vector_links(vertices: DataFrame, threshold: float, leaf_rows: int = 1024) -
     blocks = cut_lineage(leaves.groupBy("node").applyInArrow(_block, "node string, ids binary, copies binary, vectors binary"))
     sides = [blocks.select(*[F.col(c).alias("ab"[s] if c == "node" else f"{c}_{'ab'[s]}") for c in blocks.columns]) for s in (0, 1)]
     walked = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("same", F.col("a") == F.col("b")).drop("a", "b")
-    return walked.mapInArrow(_walk_blocks(threshold), "kind int, a long, b long")
+    return walked.mapInArrow(_walk_blocks(threshold, _cell_type(vector == "array<float>")), "kind int, a long, b long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, leaf_rows: int = 1024) -> DataFrame:
@@ -276,7 +283,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, leaf_rows: int = 1
     is the smallest ``vec_id`` reachable, a row's own without links (null if
     it has none). An empty table gives an empty result.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"), F.col("label").cast("string").alias("label"))
+    # doubles stay doubles
+    exact = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(exact).alias("vector"), F.col("label").cast("string").alias("label"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
