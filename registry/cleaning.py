@@ -10,6 +10,8 @@ from tidemark.functions.text import normalize_key, strip_accents, trim_invisible
 from tidemark.operators import cleaning as C
 from tidemark.operators import headers, schema
 
+from tidemark.session import scratch_path
+
 from .fixtures import view, with_views
 
 
@@ -77,6 +79,15 @@ def clean_dates(spark, sf_dir):
     return data.withColumn("date_text", F.col("date_text").cast("date").cast("string"))
 
 
+def cleaning_observed(spark, sf_dir):
+    """The report, counted while the cleaned rows are written."""
+    return C.write_clean(view(spark, sf_dir, "dirty_text"), scratch_path(spark, "cleaned")).report
+
+
+def written_clean(spark, sf_dir):
+    return C.write_clean(view(spark, sf_dir, "dirty_text"), scratch_path(spark, "cleaned")).data
+
+
 def trim_counts(spark, sf_dir):
     return _cleaned(spark, sf_dir).report.select("column", "trimmed")
 
@@ -97,6 +108,8 @@ QUERIES = {
     "clean_drop_duplicates": lambda spark, sf_dir: C.clean_dataset(
         view(spark, sf_dir, "dup_customer"), C.CleanOptions(drop_duplicates=True)).data,
     "cleaning_report": lambda spark, sf_dir: _cleaned(spark, sf_dir).report,
+    "cleaning_observed": cleaning_observed,
+    "clean_written": written_clean,
     "cleaning_totals": lambda spark, sf_dir: C.clean_dataset(
         view(spark, sf_dir, "dup_customer").withColumn("Empty Col", F.lit(None).cast("string")),
         C.CleanOptions(drop_duplicates=True)).totals,
@@ -180,3 +193,4 @@ ORACLE = {
     "clean_dataset": with_views(
         f"SELECT p_partkey, {NAME} AS name_text, {AMOUNT} AS amount_text, {NUMBER_SQL.format(c=f'({SIZE})')} AS size_text FROM dirty_text", "dirty_text"),
 }
+ORACLE["cleaning_observed"], ORACLE["clean_written"] = ORACLE["cleaning_report"], ORACLE["clean_dataset"]

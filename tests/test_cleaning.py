@@ -1,5 +1,8 @@
 import datetime as dt
 
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
 from tidemark.operators import cleaning as C
 from tidemark.operators.schema import schema_conformance
 
@@ -59,3 +62,22 @@ def test_conformance(frame):
     rows = {r["column"]: r for r in schema_conformance(df, {"a": "integer", "b": "integer", "c": "date"}).collect()}
     assert (rows["a"]["status"], rows["a"]["bad_values"]) == ("type_differs", 1)
     assert rows["b"]["status"] == "ok" and rows["c"]["status"] == "missing"
+
+
+def test_report_and_rows_come_from_one_pass(spark, frame, tmp_path):
+    rows = [("  a ", "1,5", "2024-01-01", None, "x", 1.5), ("", "2.000,25", "2024-01-02", None, "7", float("nan")), (None, "3", "oops", None, "8", None), ("  a ", "1,5", "2024-01-01", None, "x", 1.5)]
+    df = frame(rows, "`Col One` string, Amount string, Day string, `Empty Column` string, Mixed string, Number double")
+    source = str(tmp_path / "source")
+    df.write.parquet(source)
+    for options in (C.CleanOptions(), C.CleanOptions(drop_duplicates=True, keep_unparsed=True)):
+        written = C.write_clean(spark.read.parquet(source), str(tmp_path / f"out{options.drop_duplicates}"), options)
+        found = written.report.collect(), written.totals.collect()
+        apart = C.clean_dataset(spark.read.parquet(source), options)
+        assert sorted(map(tuple, found[0])) == sorted(map(tuple, apart.report.collect())) and found[1] == apart.totals.collect()
+        assert sorted(map(str, written.data.collect())) == sorted(map(str, apart.data.collect()))
+    # the rows are counted on their way to the files: one scan below both counters
+    plan = C.decide(spark.read.parquet(source))
+    staged = C._staged(spark.read.parquet(source), C.CleanOptions(), plan.numeric, plan.dates)
+    shown = C._chosen(staged.observe(Observation(), F.count(F.lit(1)).alias("rows")), spark.read.parquet(source), plan, C.CleanOptions())
+    text = shown._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "CollectMetrics" in text

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.dates import timestamp_from_text
@@ -124,7 +124,11 @@ def _final(staged: DataFrame, df: DataFrame, i: int, plan: Plan) -> Column:
 
 
 def apply_plan(df: DataFrame, plan: Plan, options: CleanOptions = CleanOptions()) -> DataFrame:
-    staged = _staged(df, options, plan.numeric, plan.dates)
+    return _chosen(_staged(df, options, plan.numeric, plan.dates), df, plan, options)
+
+
+def _chosen(staged: DataFrame, df: DataFrame, plan: Plan, options: CleanOptions) -> DataFrame:
+    """The cleaned columns of staged rows."""
     columns = []
     for i, name in enumerate(df.columns):
         if name in plan.dropped:
@@ -145,6 +149,12 @@ def cleaning_report(df: DataFrame, plan: Plan, options: CleanOptions = CleanOpti
     ``unparsed_dates`` cells of date columns that became NULL.
     """
     staged = _staged(df, options, plan.numeric, plan.dates)
+    rows = [F.struct(*[m.alias(n) for n, m in row.items()]) for row in _measures(df, staged, plan)]
+    return staged.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
+def _measures(df: DataFrame, staged: DataFrame, plan: Plan) -> list[dict[str, Column]]:
+    """The report of each column as aggregates over the staged rows."""
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
     rows = []
     for i, field in enumerate(df.schema):
@@ -160,19 +170,17 @@ def cleaning_report(df: DataFrame, plan: Plan, options: CleanOptions = CleanOpti
             if name in plan.dates:
                 parsed = F.count(final)
                 unparsed = F.count_if(text.isNotNull() & final.isNull())
-        rows.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.lit(name in plan.dropped).alias("removed"),
-                F.count_if(is_missing(raw, field.dataType)).alias("nulls_before"),
-                (none if name in plan.dropped else F.count_if(after)).alias("nulls_after"),
-                trimmed.alias("trimmed"),
-                numbers.alias("made_numeric"),
-                parsed.alias("parsed_dates"),
-                unparsed.alias("unparsed_dates"),
-            )
-        )
-    return staged.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+        rows.append({
+            "column": F.lit(name),
+            "removed": F.lit(name in plan.dropped),
+            "nulls_before": F.count_if(is_missing(raw, field.dataType)),
+            "nulls_after": none if name in plan.dropped else F.count_if(after),
+            "trimmed": trimmed,
+            "made_numeric": numbers,
+            "parsed_dates": parsed,
+            "unparsed_dates": unparsed,
+        })
+    return rows
 
 
 def totals(df: DataFrame, cleaned: DataFrame, plan: Plan) -> DataFrame:
@@ -195,3 +203,44 @@ def clean_dataset(df: DataFrame, options: CleanOptions = CleanOptions()) -> Clea
     plan = decide(df, options)
     data = apply_plan(df, plan, options)
     return Cleaned(data, plan, cleaning_report(df, plan, options), totals(df, data, plan))
+
+
+REPORT = "column string, removed boolean, nulls_before long, nulls_after long, trimmed long, made_numeric long, parsed_dates long, unparsed_dates long"
+TOTALS = "rows_read long, rows_written long, columns_before long, columns_after long, removed_columns string"
+
+
+def write_clean(df: DataFrame, path: str, options: CleanOptions = CleanOptions(), mode: str = "errorifexists") -> Cleaned:
+    """``clean_dataset`` written as Parquet, its report and totals counted while the rows are written.
+
+    After the pass that decides about the columns the rows are read once more,
+    not again for the report. A task that runs twice counts once.
+    """
+    if options.normalize_headers:
+        df = normalize_headers(df)
+    plan = decide(df, options)
+    staged = _staged(df, options, plan.numeric, plan.dates)
+    measures = _measures(df, staged, plan)
+    # what holds for a column whatever its rows is no aggregate
+    counted = {(i, n): m for i, row in enumerate(measures) for n, m in row.items() if n not in ("column", "removed")}
+    before, after = Observation(), Observation()
+    seen = staged.observe(before, F.count(F.lit(1)).alias("rows"), *[F.max(F.lit(None).cast("long")).alias(f"{n}_{i}") if _constant(n, i, df, plan) else m.alias(f"{n}_{i}") for (i, n), m in counted.items()])
+    data = _chosen(seen, df, plan, options)
+    data.observe(after, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
+    spark, found = df.sparkSession, before.get
+    rows = []
+    for i, name in enumerate(df.columns):
+        values = [found[f"{n}_{i}"] for n in ("nulls_before", "nulls_after", "trimmed", "made_numeric", "parsed_dates", "unparsed_dates")]
+        rows.append((name, name in plan.dropped, *[v if v is not None or n == 1 else 0 for n, v in enumerate(values)]))
+    total = [(found["rows"], after.get["rows"], len(df.columns), len(data.columns), ",".join(plan.dropped))]
+    return Cleaned(spark.read.schema(data.schema).parquet(path), plan, spark.createDataFrame(rows, REPORT), spark.createDataFrame(total, TOTALS))
+
+
+def _constant(measure: str, i: int, df: DataFrame, plan: Plan) -> bool:
+    """Whether a count of the report does not look at the rows."""
+    name = df.columns[i]
+    if measure == "nulls_before":
+        return False
+    if measure == "nulls_after":
+        return name in plan.dropped
+    needed = {"trimmed": True, "made_numeric": name in plan.numeric, "parsed_dates": name in plan.dates, "unparsed_dates": name in plan.dates}
+    return not (needed[measure] and _is_text(df, name))
