@@ -60,3 +60,28 @@ def test_cut_is_the_least_of_all_labellings():
             return sum(abs(g) for g, x in zip(gain, label) if x != (g > 0)) + sum(w for a, b, w in edges if label[a] != label[b])
 
         assert abs(cost(labels(gain, edges)) - min(map(cost, product([False, True], repeat=n)))) < 1e-9
+
+
+LONG = "A sentence of the article that is long enough to be told from a menu, with commas and a full stop at its end."
+
+
+def page(inside, attributes=""):
+    return f"<html><body><nav><a href=/>Home</a><a href=/x>More</a></nav><article{attributes}><p>{LONG}</p>{inside}<p>{LONG}</p></article><footer>All rights reserved</footer></body></html>"
+
+
+def test_names_on_the_article_do_not_outweigh_it():
+    for attributes in (' class="post category-privacy tag-search"', ' class="post-content privacy"', ' id="content" class="tag-cookies"'):
+        assert main_blocks(page("", attributes)) == [LONG, LONG]
+    # comments are articles of their own, and stay out
+    assert main_blocks(page('<article class="comment"><p>I do not agree with a word of this, and say so here.</p></article>')) == [LONG, LONG]
+    assert main_blocks(page("<address>Written by A. Author, 12 Some Street, who can be reached there on most days.</address>"))[1].startswith("Written by")
+
+
+def test_elements_that_are_not_closed_end_with_their_block():
+    for inside in ('<p>One <svg class="x" viewBox="0 0 1 1"/> two.</p>', "<p>One <button>press</p><p>two.</p>", "<div><select><option>a</div><p>One two.</p>"):
+        found = main_blocks(page(inside))
+        assert found[0] == LONG and found[-1] == LONG and "two." in " ".join(found), inside
+        assert "press" not in " ".join(found)
+    twice = "<p>One <button>first</p><p>between the two.</p><p><button>second</button> after.</p>"
+    assert "after." in " ".join(main_blocks(page(twice))) and "second" not in " ".join(main_blocks(page(twice)))
+    assert main_blocks(page("<svg><svg><text>no</text></svg><text>no</text></svg>")) == [LONG, LONG]

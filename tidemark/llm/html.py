@@ -20,6 +20,10 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements by the role they have in the HTML standard.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "button", "audio", "video", "canvas", "xmp", "noembed", "noframes"}
+#: Those of them that hold elements: one that is not closed ends with its parent, the others with the page.
+OPEN = {"noscript", "svg", "object", "select", "button", "audio", "video", "canvas"}
+#: How publishing systems begin classes that name a page's topics.
+TOPIC = ("category-", "cat-", "tag-", "topic-")
 #: Other encodings of a formula that <math> shows already; browsers do not show them.
 ENCODED = {"annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -58,7 +62,7 @@ class Block:
 
 def _said(tag: str, rest: str, in_main: bool) -> tuple[int, int, bool]:
     """What an element says of its inside: aside, main, hidden."""
-    aside = int(tag in ASIDE_TAGS or tag == "header" and not in_main)
+    aside = int(tag in ASIDE_TAGS and not (tag == "address" and in_main) or tag == "header" and not in_main)
     main = int(tag in ("article", "main"))
     hidden = False
     if rest and tag not in ("html", "body"):
@@ -69,8 +73,12 @@ def _said(tag: str, rest: str, in_main: bool) -> tuple[int, int, bool]:
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 hidden |= name == "hidden"
             else:
-                parts = {p.lower() for p in NAME_PART.findall(value)}
+                words = [w for w in value.split() if not w.lower().startswith(TOPIC)]
+                parts = {p.lower() for w in words for p in NAME_PART.findall(w)}
                 named = parts & ASIDE_NAMES
+                if tag in ("article", "main") and not in_main and parts & MAIN_NAMES:
+                    # the element itself says more than further names on it
+                    named = set()
                 if parts & MAIN_NAMES and (tag in ("article", "main") or in_main or named <= {"header", "banner"}):
                     main += 1
                     named -= {"header", "banner"}
@@ -125,8 +133,16 @@ def blocks(html: str) -> list[Block]:
                     flush()
             continue
         if tag in RAW:
+            if tag == "svg" and m.group("rest").endswith("/>"):
+                continue
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, pos)
-            pos = end.end() if end else len(html)
+            again = re.compile(rf"<{tag}\b", re.I).search(html, pos, end.start() if end else len(html)) if tag in OPEN else None
+            if tag in OPEN and (again or not end):
+                # not closed, or others of its kind inside
+                number += 1
+                stack.append((tag, number, *stack[-1][2:5], True))
+            else:
+                pos = end.end() if end else len(html)
             continue
         if tag in BLOCK:
             for depth in range(len(stack) - 1, 0, -1):
