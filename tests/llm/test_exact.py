@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.exact import digest_state, exact_groups, exact_keep, sha256
+from tidemark.llm.exact import BROADCAST_HITS, digest_state, exact_groups, exact_keep, sha256
 from tidemark.session import scratch_path
 
 from .documents import by_key, edge_docs, edge_rows
@@ -26,16 +26,18 @@ def plain(rows):
     return out
 
 
+@pytest.mark.parametrize("broadcast_hits", [BROADCAST_HITS, 0])
 @pytest.mark.parametrize("digest", [sha256, lambda text: F.length(text).cast("string")])
-def test_groups_even_if_texts_share_a_digest(spark, digest):
-    rows = edge_rows() + [(900, "abc"), (901, "xyz"), (902, "ABC"), (903, "uvw")]
-    got = exact_groups(edge_docs(spark, rows), digest).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("text_sha256"))).collect()
+def test_groups_even_if_texts_share_a_digest(spark, digest, broadcast_hits):
+    rows = edge_rows() + [(900, "abc"), (901, "xyz"), (902, "ABC"), (903, "uvw")] + [(1000 + i, "a copy of many") for i in range(200)]
+    got = exact_groups(edge_docs(spark, rows), digest, broadcast_hits=broadcast_hits).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("text_sha256"))).collect()
     assert by_key(got) == by_key(plain(rows))
 
 
-def test_keep(spark):
+@pytest.mark.parametrize("broadcast_gone", [BROADCAST_HITS, 0])
+def test_keep(spark, broadcast_gone):
     docs = edge_docs(spark)
-    kept = exact_keep(docs)
+    kept = exact_keep(docs, broadcast_gone)
     assert kept.columns == docs.columns
     want = [(i, t) for (i, t), p in zip(edge_rows(), plain(edge_rows())) if p[3]]
     assert by_key((r.doc_id, r.text) for r in kept.collect()) == by_key(want)

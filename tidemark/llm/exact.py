@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage, scratch_path
 
+#: Up to so many digests (75 MB with what is known of them) go to every task; more meet the rows in a shuffle that
+#: deals each of them out in so many parts.
+BROADCAST_HITS, PARTS = 250_000, 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -58,7 +61,18 @@ def digest_state(spark: SparkSession, arriving: DataFrame, folder: str) -> DataF
     return changed.groupBy("digest").agg(F.max("n").alias("n"), F.max("last").alias("last"))
 
 
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 100_000) -> DataFrame:
+def _meet(rows: DataFrame, listed: DataFrame, how: str, most: int) -> DataFrame:
+    """``rows`` joined by ``digest`` with a table of distinct ones; the rows of one digest are never all moved to one task."""
+    if listed.count() <= most:
+        return rows.join(F.broadcast(listed), "digest", how)
+    parts = listed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    return dealt.join(parts.hint("shuffle_hash"), ["digest", "part"], how).drop("part")
+
+
+def exact_groups(
+    docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 100_000, broadcast_hits: int = BROADCAST_HITS
+) -> DataFrame:
     """``doc_id``, ``text_sha256``, ``keep_id``, ``group_size``, ``locator`` and ``kept`` for every row of ``docs``.
 
     Reads ``doc_id`` and ``text`` only. Texts are equal if they are identical
@@ -69,8 +83,8 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, f
     the file that the kept row was read from (empty if it came from no file).
 
     A digest that was met more than once is only a hit: the whole texts of its
-    rows are grouped byte by byte, and texts that merely share a digest become
-    groups of their own.
+    rows, and no others, are grouped byte by byte, copies within a task first,
+    and texts that merely share a digest become groups of their own.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "exact")
@@ -83,23 +97,30 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, f
         state = spark.createDataFrame([], "digest binary, n long, last struct<doc_id: bigint, locator: string>")
     else:
         state = cut_lineage(digest_state(spark, arriving.select("digest", "doc_id", "locator"), folder))
-    hits = cut_lineage(state.where("n > 1").select("digest"))
-    hit_texts = text.select(digest(F.col("text")).cast("binary").alias("digest"), "doc_id", "text", "locator").join(hits.hint("shuffle_hash"), "digest")
-    by_text = hit_texts.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), F.max(F.struct("doc_id", "locator")).alias("last"))
-    proved = cut_lineage(by_text.groupBy("digest").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.max("last").alias("last")))
-    groups = cut_lineage(state.where("n = 1").union(proved.where("texts = 1").select("digest", "n", "last")))
+    hits = cut_lineage(state.where("n > 1"))
+    by_digest = text.select(digest(F.col("text")).cast("binary").alias("digest"), "doc_id", "text", "locator")
+    hit_texts = _meet(by_digest, hits.select("digest"), "left_semi", broadcast_hits)
+    collided = cut_lineage(hit_texts.select("digest", "text").distinct().groupBy("digest").count().where("count > 1").select("digest"))
+    # the state has the answer for a digest whose texts are all the same bytes; one met once is its own
+    met = _meet(marked, hits.select("digest", "n", "last"), "left", broadcast_hits)
+    alone = F.struct("doc_id", "locator")
+    met = met.withColumn("last", F.when(F.col("n").isNull(), alone).otherwise(F.col("last"))).withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
     answer = ["doc_id", "text_sha256", F.col("last.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("last.locator").alias("locator")]
-    result = marked.drop("locator").join(groups, "digest").select(*answer)
-    collided = proved.where("texts > 1").select("digest")
-    if not collided.isEmpty():
-        apart = hit_texts.join(collided, "digest").drop("locator")
-        own = apart.join(by_text.join(collided, "digest").drop("keep_id"), ["digest", "text"])
-        result = result.union(own.withColumn("text_sha256", sha256(F.col("text"))).select(*answer))
+    if collided.isEmpty():
+        result = met.select(*answer)
+    else:
+        apart = _meet(by_digest, collided, "left_semi", broadcast_hits)
+        by_text = apart.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "locator")).alias("last"))
+        own = apart.drop("locator").join(by_text, ["digest", "text"])
+        whole = met.join(collided, "digest", "left_anti")
+        result = whole.select(*answer).union(own.withColumn("text_sha256", sha256(F.col("text"))).select(*answer))
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
-def exact_keep(docs: DataFrame) -> DataFrame:
+def exact_keep(docs: DataFrame, broadcast_gone: int = BROADCAST_HITS) -> DataFrame:
     """The rows of ``docs`` that stay; columns unchanged."""
     gone = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (sha256(normal(docs["text"])) == gone["gone_text"])
-    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    gone = cut_lineage(gone)
+    listed = F.broadcast(gone) if gone.count() <= broadcast_gone else gone.hint("shuffle_hash")
+    same = docs["doc_id"].cast("long").eqNullSafe(listed["gone_id"]) & (sha256(normal(docs["text"])) == listed["gone_text"])
+    return docs.join(listed, same, "left_anti")
