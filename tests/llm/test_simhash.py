@@ -2,9 +2,10 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
-from tidemark.llm.simhash import fingerprint, simhash_groups, simhash_keep, trie_links
+from tidemark.llm.simhash import BROADCAST_GONE, fingerprint, simhash_groups, simhash_keep, trie_links
 
 from .documents import by_key, edge_docs, edge_rows
 
@@ -52,9 +53,10 @@ def test_groups_with_awkward_rows(spark):
     assert by_key(simhash_groups(edge_docs(spark)).collect()) == by_key(want)
 
 
-def test_keep_leaves_columns_and_one_of_each_group(spark):
+@pytest.mark.parametrize("broadcast_gone", [BROADCAST_GONE, 0])
+def test_keep_leaves_columns_and_one_of_each_group(spark, broadcast_gone):
     docs = edge_docs(spark)
-    kept = simhash_keep(docs)
+    kept = simhash_keep(docs, broadcast_gone=broadcast_gone)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert 105 not in ids and 106 not in ids and 1 in ids and ids.count(None) == 2

@@ -19,6 +19,8 @@ from tidemark.session import cut_lineage
 BITS = 64
 CHUNK = 1 << 16
 LEAF_CELLS = 1 << 10
+#: Up to so many dropped rows (16 MB) go to every task; more meet the documents in a shuffle.
+BROADCAST_GONE = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -200,7 +202,11 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_distance: int = 2, see
     is none). Rows with a repeated or null ``doc_id`` each give their own row.
     An empty table gives an empty result.
     """
-    marked = cut_lineage(fingerprints(docs, shingle, seed))
+    return _grouped(cut_lineage(fingerprints(docs, shingle, seed)), max_distance)
+
+
+def _grouped(marked: DataFrame, max_distance: int) -> DataFrame:
+    """The groups of rows (``doc_id``, ``fp``) that lie in a table."""
     vertices = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(trie_links(vertices, max_distance), "a", "b").withColumnRenamed("vertex", "fp")
     rooted = vertices.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
@@ -210,14 +216,13 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_distance: int = 2, see
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def simhash_keep(docs: DataFrame, shingle: int = 3, max_distance: int = 2, seed: int = 42) -> DataFrame:
+def simhash_keep(docs: DataFrame, shingle: int = 3, max_distance: int = 2, seed: int = 42, broadcast_gone: int = BROADCAST_GONE) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` is the smallest of their group; columns unchanged.
 
     A row goes by its ``doc_id`` and its own fingerprint, so another text under the same ``doc_id`` is judged by itself.
     Rows without a ``doc_id`` cannot be told apart and all stay, and so do rows of one group that share its smallest ``doc_id``.
+    The rows are written with their fingerprints once; the groups and the rows that stay are both read from there.
     """
-    groups = simhash_groups(docs, shingle, max_distance, seed)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone_id"), F.col("fp").alias("__gone_fp")).distinct()
     text_at = docs.columns.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +230,10 @@ def simhash_keep(docs: DataFrame, shingle: int = 3, max_distance: int = 2, seed:
             found = pa.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(text_at)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "__row_fp"])
 
-    marked = docs.mapInArrow(task, StructType([*docs.schema.fields, StructField("__row_fp", LongType())]))
-    same = (marked["doc_id"].cast("long") == gone["__gone_id"]) & (marked["__row_fp"] == gone["__gone_fp"])
-    return marked.join(gone.hint("shuffle_hash"), same, "left_anti").drop("__row_fp")
+    marked = cut_lineage(docs.mapInArrow(task, StructType([*docs.schema.fields, StructField("__row_fp", LongType())])))
+    groups = _grouped(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row_fp").alias("fp")), max_distance)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone_id"), F.col("fp").alias("__gone_fp")).distinct()
+    gone = cut_lineage(gone)
+    listed = F.broadcast(gone) if gone.count() <= broadcast_gone else gone.hint("shuffle_hash")
+    same = (marked["doc_id"].cast("long") == listed["__gone_id"]) & (marked["__row_fp"] == listed["__gone_fp"])
+    return marked.join(listed, same, "left_anti").drop("__row_fp")
