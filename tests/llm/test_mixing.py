@@ -63,8 +63,27 @@ def test_mix_of_awkward_rows(spark):
         size[r.source] += r.size
     for source, target in plain_targets(size).items():
         assert abs(sums[source] - target) <= 1
-    again = taken_words(docs.repartition(7), block_words=64).collect()
+    again = taken_words(docs.repartition(7), block_words=16).collect()
     assert by_key(again) == by_key(rows)
+    coarse = taken_words(docs, block_words=64).drop("first_slot").collect()
+    assert by_key(coarse) == by_key(taken_words(docs, block_words=16).drop("first_slot").collect())
+
+
+def test_first_slots_keep_the_weights_at_every_place(spark):
+    texts = [(i, " ".join(["word"] * (5 + i % 40))) for i in range(600)]
+    docs = spark.createDataFrame([(i, t, "abc"[i % 3]) for i, t in texts], "doc_id long, text string, source string")
+    mix, _ = mixture(docs, block_words=16)
+    slots = sorted({(p.slot, p.sid) for p in mix.collect()})
+    for upto in (60, 200, len(slots)):
+        for sid in range(3):
+            assert abs(sum(s == sid for _, s in slots[:upto]) - upto * (sid + 1) / 6) <= 8
+    for r in taken_words(docs, block_words=16).collect():
+        assert (r.first_slot is None) == (r.taken == 0)
+    first = {r.doc_id: r.first_slot for r in taken_words(docs, block_words=16).collect()}
+    seen = defaultdict(list)
+    for p in mix.collect():
+        seen[p.sid, p.bucket, p.nth].append(p.slot)
+    assert sorted(min(v) for v in seen.values()) == sorted(v for v in first.values() if v is not None)
 
 
 def test_blocks_are_equal_and_cover_each_copy_once(spark):

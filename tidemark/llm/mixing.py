@@ -163,11 +163,17 @@ def mixture(docs: DataFrame, block_words: int = 256, weights: tuple[int, ...] =
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target`` and ``taken`` (words in the mix, copies counted) per row."""
+    """``doc_id``, ``size``, ``source``, ``source_size``, ``target``, ``taken`` and ``first_slot`` per row.
+
+    ``taken`` are the words in the mix, copies counted. ``first_slot`` is the
+    first slot of the schedule that holds words of the row (null if none does):
+    in its order the rows come in the weights of their sources from the start.
+    """
     mix, rows = mixture(docs, **options)
     key = ["sid", "bucket", "nth"]
-    taken = mix.groupBy(*key).agg(F.sum("words").alias("taken"))
-    return rows.join(taken, key, "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    taken = mix.groupBy(*key).agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    rows = rows.join(taken, key, "left")
+    return rows.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

@@ -35,23 +35,41 @@ OP4 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 source AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * sum(size) AS cap,
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * sum(size) AS cap, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS sid,
          (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight
   FROM sized GROUP BY source),
 levels AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
   FROM source WINDOW before AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 shares AS (
-  SELECT source, source_size, CAST(CASE WHEN cap <= level * weight THEN cap
+  SELECT sid, source, source_size, CAST(CASE WHEN cap <= level * weight THEN cap
          ELSE weight * max(CASE WHEN cap > level * weight THEN level END) OVER () END AS DOUBLE) AS target FROM levels),
+ranges AS (
+  SELECT *, CAST(round(target) AS BIGINT) AS quota,
+         CASE WHEN sid = max(sid) OVER () THEN 1.0 ELSE coalesce(sum(target) OVER (ORDER BY sid) / nullif(sum(target) OVER (), 0), 0) END AS hi,
+         coalesce(sum(target) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / nullif(sum(target) OVER (), 0), 0) AS lo
+  FROM shares),
+point AS (
+  SELECT i AS slot, list_sum(list_transform(range(40), lambda k: ((i >> k) & 1) / CAST(2 ** (k + 1) AS DOUBLE))) AS x
+  FROM range((SELECT CAST(ceil(coalesce(sum(source_size), 0) / 256) AS BIGINT) FROM source)) t(i)),
+planned AS (
+  SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS block FROM point JOIN ranges ON lo <= x AND x < hi
+  UNION ALL
+  SELECT (SELECT count(*) FROM point) + sid, sid, 0 FROM ranges r WHERE NOT EXISTS (SELECT 1 FROM point WHERE r.lo <= x AND x < r.hi)),
+blocks AS (SELECT sid, least(count(*), any_value(quota)) AS blocks FROM planned JOIN ranges USING (sid) GROUP BY sid),
 placed AS (
-  SELECT d.doc_id, d.size, s.source_size, s.target, CAST(round(s.target) AS BIGINT) AS quota,
+  SELECT d.doc_id, d.size, s.sid, s.source_size, s.target, s.quota,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source)
+  FROM sized d JOIN ranges s ON d.source IS NOT DISTINCT FROM s.source),
+met AS (
+  SELECT *, CASE WHEN size > 0 AND start < quota AND start < (quota % blocks) * (quota // blocks + 1) THEN start // (quota // blocks + 1)
+                 WHEN size > 0 AND start < quota THEN quota % blocks + (start - (quota % blocks) * (quota // blocks + 1)) // (quota // blocks) END AS block
+  FROM placed LEFT JOIN blocks USING (sid))
 SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, quota - start))
-     + greatest(0, least(size, quota - start - source_size)) + greatest(0, least(size, quota - start - 2 * source_size)) AS BIGINT) AS taken
-FROM placed
+     + greatest(0, least(size, quota - start - source_size)) + greatest(0, least(size, quota - start - 2 * source_size)) AS BIGINT) AS taken,
+     CAST(slot AS BIGINT) AS first_slot
+FROM met LEFT JOIN planned USING (sid, block)
 """
 
 
