@@ -113,7 +113,7 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("point", _reversed(F.col("slot")))
     points = points.withColumn("cell", F.shiftright("point", cell))
     placed = points.join(ranges, "cell").where("lo <= point and point < hi").select("slot", "sid", _rank(F.col("slot")).alias("rank"))
-    extra = sources.where("slots = 1 and given = 0").select((F.lit(slots) + F.col("sid")).cast("long").alias("slot"), "sid", F.lit(0).cast("long").alias("rank"))
+    extra = sources.where("slots > 0 and given = 0").select((F.lit(slots) + F.col("sid")).cast("long").alias("slot"), "sid", F.lit(0).cast("long").alias("rank"))
     return placed.union(extra)
 
 
@@ -124,10 +124,13 @@ def mixture(docs: DataFrame, block_words: int = 256, weights: tuple[int, ...] =
     pieces of the mix: ``slot``, ``block``, the row (``sid``, ``bucket``,
     ``nth``), ``copy``, ``from_word`` and ``words``. The second has a row for
     every row of ``docs``: the same key, ``doc_id``, ``size``, ``source``,
-    ``source_size``, ``target``. A source's rows, in shuffled order and as often as
-    its target needs, are cut into equal blocks (to one word) of about
-    ``block_words`` words, and block k goes to the k-th slot of the source, so
-    each source gives its target, rounded to a word. Rows that are equal in
+    ``source_size``, ``target``. A slot holds ``block_words`` words of any source, and
+    the schedule alone says how many slots a source has: its rows, in shuffled
+    order and as often as they are needed, are cut into blocks of that size,
+    and block k goes to the k-th slot of the source. What a source gives is
+    within a few blocks of its target, as the points of the schedule are
+    spread, and never above ``most_copies`` times its size (its last slots then
+    stay empty). A target of less than one block is one shorter block. Rows that are equal in
     all columns take neighbouring places; which of them comes first does not
     matter. Null ``doc_id`` is ordered as an empty one. Texts without words
     take no place. An empty table, or one without any words, gives an empty mix.
@@ -138,55 +141,58 @@ def mixture(docs: DataFrame, block_words: int = 256, weights: tuple[int, ...] =
     slots = math.ceil(total / block_words)
     source = source.withColumn("lo_turned", _reversed(F.col("lo"))).withColumn("hi_turned", _reversed(F.col("hi")))
     source = source.withColumn("given", _rank(F.lit(slots).cast("long")))
-    source = cut_lineage(source.withColumn("slots", F.least(F.greatest("given", F.lit(1)), "quota")))
+    source = source.withColumn("slots", F.when(F.col("quota") > 0, F.greatest("given", F.lit(1))).otherwise(0))
+    filled = F.least(F.col("slots") * block_words, most_copies * F.col("source_size"))
+    source = cut_lineage(source.withColumn("words", F.when(F.col("quota") < block_words, F.col("quota")).otherwise(filled)))
     placed = cut_lineage(_places(sized, source, seed))
 
-    # words [at, to) of the endless row of copies; the first blocks have one word more
-    short, longer = F.call_function("div", F.col("quota"), F.col("slots")), F.col("quota") % F.col("slots")
-
     def block_of(word: Column) -> Column:
-        edge = longer * (short + 1)
-        return F.when(word < edge, F.call_function("div", word, short + 1)).otherwise(longer + F.call_function("div", word - edge, short))
-
-    def block_start(block: Column) -> Column:
-        return block * short + F.least(block, longer)
+        return F.call_function("div", word, F.lit(block_words))
 
-    copies = placed.where("size > 0 and slots > 0").withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(most_copies)])))
-    copies = copies.withColumn("at", F.col("copy") * F.col("source_size") + F.col("start")).where("at < quota")
-    copies = copies.withColumn("to", F.least(F.col("at") + F.col("size"), F.col("quota")))
+    # words [at, to) of the endless row of copies
+    copies = placed.where("size > 0").withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(most_copies)])))
+    copies = copies.withColumn("at", F.col("copy") * F.col("source_size") + F.col("start")).where("at < words")
+    copies = copies.withColumn("to", F.least(F.col("at") + F.col("size"), F.col("words")))
     pieces = copies.withColumn("block", F.explode(F.sequence(block_of(F.col("at")), block_of(F.col("to") - 1))))
-    first = F.greatest(block_start(F.col("block")), F.col("at"))
-    last = F.least(block_start(F.col("block") + 1), F.col("to"))
+    first = F.greatest(F.col("block") * block_words, F.col("at"))
+    last = F.least((F.col("block") + 1) * block_words, F.col("to"))
     pieces = pieces.select("sid", "bucket", "nth", "copy", "block", (first - F.col("at")).alias("from_word"), (last - first).alias("words"))
     planned = schedule(source, slots).withColumnRenamed("rank", "block")
-    return pieces.join(planned, ["sid", "block"]), placed.drop("lo", "hi", "lo_turned", "hi_turned", "given", "slots", "quota", "start")
+    return pieces.join(planned, ["sid", "block"]), placed.drop("lo", "hi", "lo_turned", "hi_turned", "given", "slots", "quota", "words", "start")
+
+
+def _taken(docs: DataFrame, most_copies: int, options: dict) -> DataFrame:
+    """Rows with ``taken`` and ``slots``: for every copy the first slot that holds words of it."""
+    mix, rows = mixture(docs, most_copies=most_copies, **options)
+    key = ["sid", "bucket", "nth"]
+    firsts = F.array(*[F.min(F.when(F.col("copy") == i, F.col("slot"))) for i in range(most_copies)])
+    return rows.join(mix.groupBy(*key).agg(F.sum("words").alias("taken"), firsts.alias("slots")), key, "left")
 
 
-def taken_words(docs: DataFrame, **options) -> DataFrame:
+def taken_words(docs: DataFrame, most_copies: int = 3, **options) -> DataFrame:
     """``doc_id``, ``size``, ``source``, ``source_size``, ``target``, ``taken`` and ``first_slot`` per row.
 
     ``taken`` are the words in the mix, copies counted. ``first_slot`` is the
     first slot of the schedule that holds words of the row (null if none does):
     in its order the rows come in the weights of their sources from the start.
     """
-    mix, rows = mixture(docs, **options)
-    key = ["sid", "bucket", "nth"]
-    taken = mix.groupBy(*key).agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
-    rows = rows.join(taken, key, "left")
-    return rows.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
+    first = F.array_min("slots").alias("first_slot")
+    return _taken(docs, most_copies, options).select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), first)
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, in whole copies; columns unchanged.
+def mix_documents(docs: DataFrame, most_copies: int = 3, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, in whole copies and in order of the schedule; columns unchanged.
 
     A document of which the mix takes a part goes in whole if at least half of
-    it is taken, so a source misses its target by less than one document.
-    Texts without words are in no block; they stay once. Rows that share a
-    ``doc_id`` get the copies of all of them, shared out by size.
+    it is taken, so what a source gives changes by less than one document. Each
+    copy stands where the first of its slots does. Texts without words are in
+    no block; they stay once, at the end. Rows that share a ``doc_id`` get the
+    copies of all of them, shared out by size, at the first slots of any.
     """
-    kept = taken_words(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    kept = kept.select(F.col("doc_id").alias("mixed_id"), copies.alias("copies")).where("copies > 0")
-    kept = cut_lineage(kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("mixed_id"))
+    slots = [F.min(F.get("slots", F.lit(i))) for i in range(most_copies)]
+    kept = _taken(docs, most_copies, options).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.array(*slots).alias("slots"))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.coalesce("taken", F.lit(0)) / F.col("size"))).cast("int")
+    kept = kept.withColumn("copies", copies).where("copies > 0").select(F.col("doc_id").alias("mixed_id"), F.posexplode(F.slice("slots", F.lit(1), F.col("copies"))).alias("copy", "slot"))
+    kept = cut_lineage(kept.select("mixed_id", "slot"))
     mixed = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(kept["mixed_id"]))
-    return mixed.select(*[docs[c] for c in docs.columns])
+    return mixed.orderBy(kept["slot"].asc_nulls_last(), kept["mixed_id"]).select(*[docs[c] for c in docs.columns])

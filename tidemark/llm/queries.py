@@ -28,7 +28,7 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken_words(_table(spark, sf_dir, "documents"), block_words=256, weights=(1, 2, 3), most_copies=3).drop("source")
+    return mixing.taken_words(_table(spark, sf_dir, "documents"), block_words=64, weights=(1, 2, 3), most_copies=3).drop("source")
 
 
 OP4 = r"""
@@ -51,23 +51,22 @@ ranges AS (
   FROM shares),
 point AS (
   SELECT i AS slot, list_sum(list_transform(range(40), lambda k: ((i >> k) & 1) / CAST(2 ** (k + 1) AS DOUBLE))) AS x
-  FROM range((SELECT CAST(ceil(coalesce(sum(source_size), 0) / 256) AS BIGINT) FROM source)) t(i)),
+  FROM range((SELECT CAST(ceil(coalesce(sum(source_size), 0) / 64) AS BIGINT) FROM source)) t(i)),
 planned AS (
   SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS block FROM point JOIN ranges ON lo <= x AND x < hi
   UNION ALL
   SELECT (SELECT count(*) FROM point) + sid, sid, 0 FROM ranges r WHERE NOT EXISTS (SELECT 1 FROM point WHERE r.lo <= x AND x < r.hi)),
-blocks AS (SELECT sid, least(count(*), any_value(quota)) AS blocks FROM planned JOIN ranges USING (sid) GROUP BY sid),
+filled AS (
+  SELECT sid, CASE WHEN any_value(quota) < 64 THEN any_value(quota) ELSE least(count(*) * 64, 3 * any_value(source_size)) END AS words
+  FROM planned JOIN ranges USING (sid) GROUP BY sid),
 placed AS (
-  SELECT d.doc_id, d.size, s.sid, s.source_size, s.target, s.quota,
+  SELECT d.doc_id, d.size, s.sid, s.source_size, s.target,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM sized d JOIN ranges s ON d.source IS NOT DISTINCT FROM s.source),
-met AS (
-  SELECT *, CASE WHEN size > 0 AND start < quota AND start < (quota % blocks) * (quota // blocks + 1) THEN start // (quota // blocks + 1)
-                 WHEN size > 0 AND start < quota THEN quota % blocks + (start - (quota % blocks) * (quota // blocks + 1)) // (quota // blocks) END AS block
-  FROM placed LEFT JOIN blocks USING (sid))
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, quota - start))
-     + greatest(0, least(size, quota - start - source_size)) + greatest(0, least(size, quota - start - 2 * source_size)) AS BIGINT) AS taken,
+met AS (SELECT *, CASE WHEN size > 0 AND start < words THEN start // 64 END AS block FROM placed LEFT JOIN filled USING (sid))
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, words - start))
+     + greatest(0, least(size, words - start - source_size)) + greatest(0, least(size, words - start - 2 * source_size)) AS BIGINT) AS taken,
      CAST(slot AS BIGINT) AS first_slot
 FROM met LEFT JOIN planned USING (sid, block)
 """
