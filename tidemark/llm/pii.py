@@ -19,13 +19,13 @@ STRICT = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-END = r"(?=[.,;:!?)\x22']*+(?:\s|$))"
-#: What may be an identifier of a kind if its context says so: whole words that need not pass the strict checks.
+END = r"(?![\p{L}\p{N}@])"
+#: What may be an identifier of a kind if its context says so: runs of their own characters, after a blank or any other sign.
 LOOSE = {
-    "email": r"(?<!\S)[A-Za-z0-9._%+-]++(?:@|\[at\]|\(at\))[A-Za-z0-9-]++(?:(?:\.|\[dot\]|\(dot\))[A-Za-z0-9-]++)*+" + END,
-    "ip": r"(?<!\S)(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}" + END,
-    "card": r"(?<!\S)[0-9](?:[\x20-]?[0-9]){11,18}+" + END,
-    "phone": r"(?<!\S)\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}+" + END,
+    "email": r"(?<![A-Za-z0-9._%+@\])-])[A-Za-z0-9._%+-]++(?:@|\[at\]|\(at\))[A-Za-z0-9-]++(?:(?:\.|\[dot\]|\(dot\))[A-Za-z0-9-]++)*+" + END,
+    "ip": r"(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}" + END,
+    "card": r"(?<![\p{L}\p{N}+.,_-])[0-9](?:[\x20-]?[0-9]){11,18}+" + END,
+    "phone": r"(?<![\p{L}\p{N}+.,_-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}+" + END,
 }
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
@@ -78,9 +78,14 @@ def matches(scanned: DataFrame) -> DataFrame:
     each = one.select("row", "kind", "strict", F.posexplode(zipped).alias("nth", "z")).select("row", "kind", "strict", "nth", "z.*")
     own = W.partitionBy("row", "kind", "strict").orderBy("nth").rowsBetween(W.unboundedPreceding, W.currentRow)
     each = each.withColumn("end", F.sum(F.col("before.n") + F.length("text")).over(own)).withColumn("start", F.col("end") - F.length("text"))
-    words = F.split(F.lower(F.trim(F.col("before.tail"))), r"\s+")
+    tail, head = F.lower("before.tail"), F.lower("after.head")
+    words = F.split(F.trim(tail), r"\s+")
     each = each.withColumn("l1", F.element_at(words, -1)).withColumn("l2", F.when(F.size(words) > 1, F.element_at(words, -2)).otherwise(F.lit("")))
-    each = each.withColumn("r1", F.element_at(F.split(F.lower(F.trim(F.col("after.head"))), r"\s+"), 1))
+    each = each.withColumn("r1", F.element_at(F.split(F.trim(head), r"\s+"), 1))
+    # the last letters before it, and the signs between them and it
+    each = each.withColumn("label", F.regexp_extract(tail, r"(\p{L}+)[^\p{L}]{0,8}$", 1))
+    signs = F.regexp_replace(F.regexp_extract(tail, r"\p{L}([^\p{L}]{0,8})$", 1), r"\s+", "")
+    each = each.withColumn("signs", F.concat(signs, F.lit("_"), F.regexp_extract(head, r"^[^\p{L}\p{N}\s]", 0)))
     return each.where(~F.col("strict") | _valid(F.col("kind"), F.col("text"))).drop("before", "after", "nth")
 
 
@@ -94,35 +99,56 @@ def _apart(spans: DataFrame) -> DataFrame:
 
 
 def _patterns() -> Column:
-    """The contexts of a match: the word before, two words before, the words on both sides."""
-    l1, l2, r1 = F.col("l1"), F.col("l2"), F.col("r1")
-    return F.array(F.concat(l1, F.lit(" _")), F.concat_ws(" ", l2, l1, F.lit("_")), F.concat_ws(" ", l1, F.lit("_"), r1))
+    """The contexts of a match: the word before, two words before, the words on both sides, the last letters before it, and those with the signs around it."""
+    l1, l2, r1, label = F.col("l1"), F.col("l2"), F.col("r1"), F.col("label")
+    # signs alone are no context
+    spoken = F.when(l1.rlike(r"[\p{L}\p{N}]"), l1)
+    worded = F.array(F.concat(spoken, F.lit(" _")), F.concat_ws(" ", l2, l1, F.lit("_")), F.concat(spoken, F.lit(" _ "), r1))
+    shaped = F.array(F.concat(label, F.lit("~_")), F.concat(label, F.lit("~"), F.col("signs")))
+    return F.array_distinct(F.array_compact(F.when(label != "", F.concat(worded, shaped)).otherwise(worded)))
 
 
-def learned(spans: DataFrame, rounds: int = 3, least_seeds: float = 3.0, least_pattern: float = 0.6, least_instance: float = 0.9) -> DataFrame:
+def _wrong() -> Column:
+    """Loose matches that have the full form of their kind and fail its check."""
+    digits = F.length(F.regexp_replace("text", "[^0-9]", ""))
+    return ~F.col("strict") & (F.col("kind") == "card") & digits.between(16, 19)
+
+
+def learned(spans: DataFrame, least_seeds: float = 3.0, least_pattern: float = 0.7, least_instance: float = 0.9, unknown_wrong: float = 0.25) -> DataFrame:
     """Loose matches that high-confidence contexts name, with the strict ones as seeds.
 
     The graph has an edge between a context and each distinct value seen in
-    it. A context's confidence for a kind is the confidence its values have on
-    average, counting one unknown more, if they add up to ``least_seeds``; a
-    loose value's confidence is that of at least one of its contexts of
-    ``least_pattern`` or more being right. After the rounds a match is taken if
-    its value reaches ``least_instance`` and it stands in such a context itself.
+    it. A strict value is sure, one that fails the check of its full form is
+    wrong, all others are unknown. A context's confidence for a kind is the
+    share of its values that are sure, if they add up to ``least_seeds``: the
+    sure part of each, over that, all that is wrong, ``unknown_wrong`` of what is
+    unknown, and one. A value that is not strict is as sure as that at least one of
+    its contexts of ``least_pattern`` or more is right, in thousandths. Scores
+    only rise, and the rounds end when none does. Then a match is taken if its
+    value reaches ``least_instance`` and it stands in such a context itself.
     """
-    seen = cut_lineage(spans.withColumn("pattern", F.explode(_patterns())).select("row", "kind", "strict", "text", "start", "end", "pattern"))
-    edges = cut_lineage(seen.groupBy("kind", "pattern", "text").agg(F.max("strict").alias("strict")))
+    seen = cut_lineage(spans.withColumn("wrong", _wrong()).withColumn("pattern", F.explode(_patterns())).select("row", "kind", "strict", "wrong", "text", "start", "end", "pattern"))
+    edges = cut_lineage(seen.groupBy("kind", "pattern", "text").agg(F.max("strict").alias("strict"), F.min("wrong").alias("wrong")))
     # contexts that hold no unknown value decide nothing
-    useful = edges.where(~F.col("strict")).select("kind", "pattern").distinct()
-    edges = cut_lineage(edges.join(useful, ["kind", "pattern"], "left_semi").withColumn("sure", F.col("strict").cast("double")))
-    for _ in range(rounds):
-        total = F.sum("sure")
-        scored = cut_lineage(edges.groupBy("kind", "pattern").agg(F.when(total >= least_seeds, total / (F.count("*") + 1)).otherwise(0.0).alias("trust")).where(F.col("trust") >= least_pattern))
+    useful = edges.where("not strict and not wrong").select("kind", "pattern").distinct()
+    edges = cut_lineage(edges.join(useful, ["kind", "pattern"], "left_semi").withColumn("sure", F.when(F.col("strict"), 1000).otherwise(0).cast("long")))
+    reached = None
+    while True:
+        sure = F.sum("sure") / 1000
+        against = F.sum(F.when(F.col("wrong"), F.lit(1000.0)).otherwise((1000 - F.col("sure")) * unknown_wrong)) / 1000
+        scored = edges.groupBy("kind", "pattern").agg(F.when(sure >= least_seeds, sure / (sure + against + 1)).otherwise(0.0).alias("trust"))
+        scored = cut_lineage(scored.where(F.col("trust") >= least_pattern))
         doubt = F.exp(F.sum(F.log1p(-F.col("trust"))))
-        known = cut_lineage(edges.where(~F.col("strict")).join(scored, ["kind", "pattern"]).groupBy("kind", "text").agg((1 - doubt).alias("found")))
-        edges = edges.select("kind", "pattern", "text", "strict").join(known, ["kind", "text"], "left")
-        edges = cut_lineage(edges.withColumn("sure", F.when(F.col("strict"), 1.0).otherwise(F.coalesce("found", F.lit(0.0)))).drop("found"))
-    sure = known.where(F.col("found") >= least_instance).select("kind", "text")
-    named = seen.where(~F.col("strict")).join(scored.select("kind", "pattern"), ["kind", "pattern"], "left_semi").join(sure, ["kind", "text"], "left_semi")
+        known = edges.where("not strict and not wrong").join(scored, ["kind", "pattern"]).groupBy("kind", "text").agg(F.floor(1000 * (1 - doubt)).cast("long").alias("found"))
+        known = cut_lineage(known)
+        now = known.agg(F.sum("found")).first()[0] or 0
+        if now == reached:
+            break
+        reached = now
+        edges = edges.drop("sure").join(known, ["kind", "text"], "left")
+        edges = cut_lineage(edges.withColumn("sure", F.when(F.col("strict"), 1000).otherwise(F.coalesce("found", F.lit(0))).cast("long")).drop("found"))
+    taken = known.where(F.col("found") >= 1000 * least_instance).select("kind", "text")
+    named = seen.where("not strict and not wrong").join(scored.select("kind", "pattern"), ["kind", "pattern"], "left_semi").join(taken, ["kind", "text"], "left_semi")
     return named.select("row", "kind", "start", "end").distinct()
 
 
