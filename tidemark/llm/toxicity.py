@@ -88,12 +88,13 @@ def thinned_cells(cells: list[np.ndarray], label: np.ndarray, copies: int = 2, s
     return cells + more, np.concatenate([label, np.ones(len(more))])
 
 
-def fit_all(cells: list[np.ndarray], label: np.ndarray, start: tuple, size: int, rounds: int = 10, batch: int = 256, rate: float = 0.03, seed: int = 5):
+def fit_all(cells: list[np.ndarray], label: np.ndarray, start: tuple, size: int, rounds: int = 10, batch: int = 256, rate: float = 0.03, pulls: tuple[float, float] = (3.0, 20.0), shrink: float = 1.0, seed: int = 5):
     """Bias, weights and factors of all ``size`` terms, by AdaGrad over the rows in batches, each the places of its terms.
 
     ``start`` has the bias, and places, weights and factors of the terms that are known already. Weights and factors are
     drawn to where they start: all others at no weight and small factors, so that a pair is learned whatever its terms do alone.
-    Small samples take more rounds, for 400 batches in all.
+    Small samples take more rounds, for 400 batches in all. ``pulls`` of weights and factors and the ``shrink`` of weights
+    were chosen on rows of the sample that were left out of the fit, by their logistic loss.
     """
     rng = np.random.default_rng(seed)
     n, (bias, known, weight, factors) = len(cells), start
@@ -101,7 +102,7 @@ def fit_all(cells: list[np.ndarray], label: np.ndarray, start: tuple, size: int,
     params[known] = np.column_stack([weight, factors])
     home = params.copy()
     params[:, 1:] += (params[:, 1:] == 0) * rng.normal(0, 0.01, (size, factors.shape[1]))
-    seen, bias_seen, pull = np.ones_like(params), 1.0, np.array([3.0] + [20.0] * factors.shape[1])
+    seen, bias_seen, pull = np.ones_like(params), 1.0, np.array([pulls[0]] + [pulls[1]] * factors.shape[1])
     for _ in range(max(rounds, -(-400 * batch // n))):
         order = rng.permutation(n)
         for first in range(0, n, batch):
@@ -122,7 +123,7 @@ def fit_all(cells: list[np.ndarray], label: np.ndarray, start: tuple, size: int,
             seen[used] += slopes**2
             pace = rate / np.sqrt(seen[used])
             moved = now - home[used] - pace * slopes
-            moved[:, 0] = np.sign(moved[:, 0]) * np.maximum(0, np.abs(moved[:, 0]) - pace[:, 0] * 5.0 * len(rows) / n)
+            moved[:, 0] = np.sign(moved[:, 0]) * np.maximum(0, np.abs(moved[:, 0]) - pace[:, 0] * shrink * len(rows) / n)
             params[used] = home[used] + moved
     return float(bias), params[:, 0], params[:, 1:]
 
