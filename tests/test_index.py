@@ -131,3 +131,47 @@ def test_empty_index_and_awkward_rows(spark, empty):
     assert {r["term"]: r["document_frequency"] for r in S.Search(gone, asked).idf().collect()} == {"the": 0, "data": 0}
     text = SearchIndex.create(spark, scratch_path(spark, "index"), "string").add(spark.createDataFrame([("b", "the"), ("a", "the")], "name string, body string"), "name", "body")
     assert [r["id"] for r in S.Search(text, asked).hits().orderBy("rank").collect()] == ["a", "b"]
+
+
+def plain_scores(documents):
+    """(query, id, chunk) and its score, pair by pair."""
+    chunked = {d: [set(w[at : at + 128]) for at in range(0, len(w), 116)] for d, w in ((d, t.lower().split()) for d, t in documents.items())}
+    every = {}
+    for q, text in QUERIES.items():
+        words = text.lower().split()
+        terms = {t for w in words for t in (w, *S.TRANSLATIONS.get(w.strip(S.QUERY_PUNCTUATION), []))}
+        frequency = {t: sum(any(t in c for c in chunks) for chunks in chunked.values()) for t in terms}
+        weight = {t: (np.log((len(documents) + 1) / (f + 1)) + 1 if f else 0.1) / len(terms) for t, f in frequency.items()}
+        for d, chunks in chunked.items():
+            for n, c in enumerate(chunks):
+                if terms & c:
+                    every[q, d, n] = round(sum(weight[t] for t in terms & c), 6)
+    return every
+
+
+def test_scores_of_all_chunks_and_documents(spark, empty):
+    """More documents than a search returns, some over several blocks, some deleted."""
+    documents = texts(random.Random(8), range(60), lengths=(0, 3, 150, 700, 16000))
+    index = empty.add(frame_of(spark, documents), buckets=3).delete(spark.createDataFrame([(4,), (17,)], "doc_id long"))
+    asked = spark.createDataFrame(list(QUERIES.items()), "query_id int, query string")
+    searching = S.Search(index, asked, k=2)
+    expected = plain_scores({d: t for d, t in documents.items() if d not in (4, 17)})
+    rows = searching.chunk_scores().collect()
+    assert len(rows) == len(expected)
+    assert {(r["query_id"], r["id"], r["chunk_no"]): round(r["score"], 6) for r in rows} == expected
+    best = {}
+    for (q, d, n), score in sorted(expected.items()):
+        if score > best.get((q, d), (0, 0))[0]:
+            best[q, d] = (score, n)
+    rows = searching.best_chunks().collect()
+    assert len(rows) == len(best)
+    assert {(r["query_id"], r["id"]): (round(r["score"], 6), r["chunk_no"]) for r in rows} == best
+
+
+def test_buckets_grow_with_the_text(spark, empty, monkeypatch):
+    monkeypatch.setattr("tidemark.operators.index.BUCKET_BYTES", 2_000)
+    index = empty.add(frame_of(spark, {i: "word " * 100 for i in range(60)}))
+    assert index._table("documents").select("bucket").distinct().count() > 4
+    other = index.add(frame_of(spark, {i: "word " * 100 for i in range(60, 70)})).merge()
+    assert other._table("documents").select("bucket").distinct().count() > 4
+    assert other.total_documents() == 70

@@ -20,6 +20,7 @@ from __future__ import annotations
 import random
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,12 @@ from .chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunks_of_word, window
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 64
+#: Bytes of text for a bucket; a task builds a few, with about 40 times as much memory.
+BUCKET_BYTES = 4_000_000
 #: Words of queries that are searched in one pass and known to every task; more queries take more passes.
 PASS_WORDS = 200_000
+#: Passages that are met as a broadcast list by the stored texts; for more of them the texts are shuffled.
+MOST_HITS = 200_000
 # Scores are sums of logarithms; rounding keeps ties ties in any order of addition.
 SCORE_DIGITS = 10
 ABSENT_IDF = 0.1
@@ -147,13 +152,13 @@ class SearchIndex:
         begin = F.coalesce(F.sum(F.col("chunks").cast("long")).over(before), F.lit(0).cast("long"))
         return rows.repartition(buckets, "bucket").withColumn("begin", begin)
 
-    def _store_blocks(self, segment: int) -> None:
+    def _store_blocks(self, segment: int, buckets: int) -> None:
         """The document and the number of each chunk of a block, by slot."""
         each = self._new("documents", segment).where("chunks > 0")
         each = each.select("bucket", "id", "begin", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("number"))
         at = F.col("begin") + F.col("number")
         placed = F.struct((at % BLOCK).cast("int").alias("slot"), "id", "number")
-        blocks = each.groupBy("bucket", F.floor(at / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(placed)).alias("slots"))
+        blocks = each.repartition(buckets, "bucket").groupBy("bucket", F.floor(at / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(placed)).alias("slots"))
         self._store(blocks.select("bucket", "block", F.col("slots.id").alias("ids"), F.col("slots.number").alias("numbers")), "blocks", segment)
 
     @staticmethod
@@ -168,10 +173,13 @@ class SearchIndex:
         Only the new texts are read; they are cut into words once. A null id
         is left out, ids are taken to differ within one import. A document
         without words counts as a document and has no chunks. ``buckets`` are
-        as many as the session has shuffle partitions, unless given.
+        one per ``BUCKET_BYTES`` of text, at least as many as the session has
+        shuffle partitions, unless given.
         """
-        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         segment = _fresh()
+        if not buckets:
+            size = documents.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+            buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
         named = spread(documents.select(F.col(id_column).cast(self.id_type).alias("id"), F.col(text_column).alias("text")), "id")
         fresh = named.select("id", split_words(F.col("text")).alias("words")).where("id IS NOT NULL")
         if self.segments:
@@ -182,20 +190,25 @@ class SearchIndex:
         counted = texts.select("bucket", "id", F.ceil(F.size("words") / self.stride).cast("int").alias("chunks"))
         numbered = self._numbered(counted, buckets).withColumn("origin", F.lit(segment)).withColumn("home", F.col("bucket"))
         self._store(numbered, "documents", segment)
-        self._store_blocks(segment)
+        self._store_blocks(segment, buckets)
         # words in place: the stored texts with the number of their first chunk
-        said = texts.join(self._new("documents", segment).select("bucket", "id", "begin"), ["bucket", "id"])
+        begins = self._new("documents", segment).select("bucket", "id", "begin").repartition(buckets, "bucket", "id")
+        said = texts.select("bucket", "id", "words").repartition(buckets, "bucket", "id").join(begins, ["bucket", "id"])
         said = said.select("bucket", "begin", F.posexplode("words").alias("position", "term"))
         numbers = F.explode(chunks_of_word(F.col("position"), self.words, self.stride)).alias("chunk_no")
         said = said.select("bucket", F.lower("term").alias("term"), "begin", numbers).withColumn("at", F.col("begin") + F.col("chunk_no"))
         said = said.select("bucket", "term", F.floor(F.col("at") / BLOCK).alias("block"), _bit(F.col("at") % BLOCK).alias("bit"))
-        postings = said.groupBy("bucket", "block", "term").agg(F.bit_or("bit").alias("bits"))
-        # sorted, so that parts of a file hold narrow ranges of words
-        self._store(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "block"), "postings", segment)
+        self._store_postings(said, segment, buckets)
         distinct = texts.select(F.explode(F.array_distinct(F.transform("words", lambda w: F.lower(w)))).alias("term"))
         self._store_terms(distinct.groupBy("term").agg(F.count(F.lit(1)).alias("frequency")), "terms", segment)
         return self._changed([*self.segments, segment], self.marks)
 
+    def _store_postings(self, bits: DataFrame, segment: int, buckets: int) -> None:
+        """(bucket, block, term, bit) as postings: one shuffle, a bucket whole in its task."""
+        postings = bits.repartition(buckets, "bucket").groupBy("bucket", "block", "term").agg(F.bit_or("bit").alias("bits"))
+        # sorted, so that parts of a file hold narrow ranges of words
+        self._store(postings.sortWithinPartitions("bucket", "term", "block"), "postings", segment)
+
     def _store_terms(self, terms: DataFrame, name: str, segment: int) -> None:
         self._store(terms.withColumn("bucket", F.lit(0)), name, segment)
 
@@ -242,21 +255,24 @@ class SearchIndex:
         chosen = small[: len(small) - most_segments + 1]
         if len(chosen) < 2 and not (chosen and self.marks):
             return self
-        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         segment = _fresh()
         inside = F.col("segment").isin(chosen)
+        buckets = buckets or max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self._bucket_count(inside))
         moved = self.documents().where(inside).select("id", "chunks", "origin", "home")
         moved = moved.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
         self._store(self._numbered(moved, buckets), "documents", segment)
-        self._store_blocks(segment)
+        self._store_blocks(segment, buckets)
         new = self._chunks(self._new("blocks", segment)).select("id", "chunk_no", F.col("bucket").alias("to"), F.col("block").alias("new_block"), _bit(F.col("slot")).alias("bit"))
         # an id may be dead in one of the segments and alive in another
         alive = self.documents().where(inside).select("segment", "id")
         places = self._chunks(self._table("blocks").where(inside)).join(alive, ["segment", "id"], "left_semi").join(new, ["id", "chunk_no"]).drop("id", "chunk_no")
-        slots = self._postings().where(inside).select(*ADDRESS, "term", "bits", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1))).alias("slot"))
-        slots = slots.where(F.col("bits").bitwiseAND(_bit(F.col("slot"))) != 0)
-        postings = slots.join(places, [*ADDRESS, "slot"]).groupBy(F.col("to").alias("bucket"), F.col("new_block").alias("block"), "term").agg(F.bit_or("bit").alias("bits"))
-        self._store(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "block"), "postings", segment)
+        # a row per old block, which says where each of its slots goes
+        moves = places.groupBy(*ADDRESS).agg(F.collect_list(F.struct("slot", "to", "new_block", "bit")).alias("moves"))
+        held = lambda m: F.col("bits").bitwiseAND(_bit(m["slot"])) != 0
+        met = self._postings().where(inside).repartition(buckets, *ADDRESS).join(moves.repartition(buckets, *ADDRESS), ADDRESS)
+        moved = met.select("term", F.explode(F.filter("moves", held)).alias("m"))
+        moved = moved.select(F.col("m.to").alias("bucket"), F.col("m.new_block").alias("block"), "term", F.col("m.bit").alias("bit"))
+        self._store_postings(moved, segment, buckets)
         terms = self._frequencies(inside).where("frequency > 0")
         self._store_terms(terms, "terms", segment)
         return self._changed([s for s in self.segments if s not in chosen] + [segment], self.marks if len(chosen) < len(self.segments) else [])
@@ -296,12 +312,7 @@ class SearchIndex:
 
         ``PASS_WORDS`` words of queries, about, are searched in a pass over their postings.
         """
-        passes = max(1, -(-weights.count() // PASS_WORDS))
-        number = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-        parts = [self._best_of_tasks(weights.where(number == p), k) for p in range(passes)]
-        found = parts[0]
-        for more in parts[1:]:
-            found = found.unionByName(more)
+        found = reduce(DataFrame.unionByName, [self._best_of_tasks(w, k) for w in self._passes(weights)])
         # a document may reach into blocks of several tasks
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         keys = ["query_id", "segment", "bucket", "id"]
@@ -309,8 +320,14 @@ class SearchIndex:
         best = firsts.groupBy(*keys).agg(F.max_by("chunk_no", "score").alias("chunk_no"), F.max("score").alias("score"))
         return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    def _best_of_tasks(self, weights: DataFrame, k: int) -> DataFrame:
-        """The k best documents of a query in each task."""
+    @staticmethod
+    def _passes(weights: DataFrame) -> list[DataFrame]:
+        passes = max(1, -(-weights.count() // PASS_WORDS))
+        number = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+        return [weights.where(number == p) for p in range(passes)]
+
+    def _dealt(self, weights: DataFrame, keys: list[str]):
+        """The queries with their words as a broadcast, and the postings of these words behind their blocks, dealt out by ``keys``."""
         # PASS_WORDS rows, about
         asked = weights.select("query_id", "term", "weight").collect()
         queries, words = sorted({r["query_id"] for r in asked}), sorted({r["term"] for r in asked})
@@ -321,10 +338,21 @@ class SearchIndex:
         postings = self._postings().join(F.broadcast(vocabulary), "term").select(*ADDRESS, "word", "bits")
         blocks = self._table("blocks").select(*ADDRESS, F.lit(-1).alias("word"), F.lit(0).cast("long").alias("bits"), "ids", "numbers")
         # the row of the block itself comes first
-        dealt = postings.unionByName(blocks, allowMissingColumns=True).repartition(*ADDRESS).sortWithinPartitions(*ADDRESS, "word")
+        rows = postings.unionByName(blocks, allowMissingColumns=True)
+        # a task per bucket, at least: they hold a bounded share of the text
+        tasks = max(self._bucket_count(), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return held, rows.repartition(tasks, *keys).sortWithinPartitions(*ADDRESS, "word")
+
+    def _bucket_count(self, which: Column | None = None) -> int:
+        rows = self._table("documents")
+        return (rows if which is None else rows.where(which)).select("segment", "bucket").distinct().count()
+
+    def _best_of_tasks(self, weights: DataFrame, k: int) -> DataFrame:
+        """The k best documents of a query in each task."""
+        held, dealt = self._dealt(weights, ADDRESS)
         query_type = weights.schema["query_id"].dataType
         schema = f"query_id {query_type.simpleString()}, segment int, bucket int, id {self.id_type}, chunk_no int, score double"
-        types = [to_arrow_type(t) for t in (query_type, IntegerType(), IntegerType(), blocks.schema["ids"].dataType.elementType, IntegerType(), DoubleType())]
+        types = [to_arrow_type(t) for t in (query_type, IntegerType(), IntegerType(), dealt.schema["ids"].dataType.elementType, IntegerType(), DoubleType())]
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             queries, *pairs = held.value
@@ -340,17 +368,36 @@ class SearchIndex:
 
         return dealt.mapInArrow(task, schema)
 
-    def chunk_scores(self, weights: DataFrame, documents: DataFrame) -> DataFrame:
-        """(query_id, id, chunk_no, score) of every chunk of (query_id, segment, bucket, id) that shares a word with the query."""
-        keys = ["segment", "bucket", "id"]
-        where = documents.select("query_id", *keys).join(self._table("documents").select(*keys, "begin", "chunks"), keys)
-        last = F.floor((F.col("begin") + F.col("chunks") - 1) / BLOCK)
-        reached = where.select("query_id", *keys, "begin", "chunks", F.explode(F.sequence(F.floor(F.col("begin") / BLOCK), last)).alias("block"))
-        met = reached.join(weights, "query_id").join(self._postings(), [*ADDRESS, "term"])
-        each = met.select("query_id", "id", "begin", "chunks", "block", "weight", "bits", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1))).alias("slot"))
-        number = F.col("block") * BLOCK + F.col("slot") - F.col("begin")
-        own = each.withColumn("chunk_no", number.cast("int")).where((F.col("bits").bitwiseAND(_bit(F.col("slot"))) != 0) & F.col("chunk_no").between(0, F.col("chunks") - 1))
-        return own.groupBy("query_id", "id", "chunk_no").agg(_rounded(F.sum("weight")).alias("score"))
+    def chunk_scores(self, weights: DataFrame) -> DataFrame:
+        """(query_id, id, chunk_no, score) of every chunk that shares a word with a query."""
+        return self._of_blocks(weights, ADDRESS, _every_chunk)
+
+    def best_chunks(self, weights: DataFrame) -> DataFrame:
+        """(query_id, id, chunk_no, score): the first chunk with the highest score of every document that shares a word with a query.
+
+        The blocks of a bucket meet in one task in their order, so a document that reaches over several is known whole there.
+        """
+        return self._of_blocks(weights, ADDRESS[:2], _best_of_documents)
+
+    def _of_blocks(self, weights: DataFrame, keys: list[str], read) -> DataFrame:
+        parts = [self._scored(w, keys, read) for w in self._passes(weights)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _scored(self, weights: DataFrame, keys: list[str], read) -> DataFrame:
+        """What ``read`` makes of the blocks with words of queries; they are scored where they lie, and no score is shuffled."""
+        held, dealt = self._dealt(weights, keys)
+        query_type, id_type = weights.schema["query_id"].dataType, dealt.schema["ids"].dataType.elementType
+        schema = f"query_id {query_type.simpleString()}, id {self.id_type}, chunk_no int, score double"
+        types = [to_arrow_type(t) for t in (query_type, id_type)]
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            queries, *pairs = held.value
+            names = pa.array(queries, types[0])
+            for query, ids, number, score in read(_whole_blocks(batches), pairs, len(queries)):
+                columns = [names.take(pa.array(query)), pa.array(ids, types[1]), pa.array(number, pa.int32()), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "chunk_no", "score"])
+
+        return dealt.mapInArrow(task, schema)
 
     def first_documents(self, k: int) -> DataFrame:
         """(segment, bucket, id) of the k smallest ids that have words."""
@@ -359,13 +406,15 @@ class SearchIndex:
     def passages(self, hits: DataFrame) -> DataFrame:
         """``hits`` (segment, bucket, id, chunk_no, ...) with their ``text``: only the buckets they lie in are read."""
         where = self._table("documents").select("segment", "bucket", "id", "origin", "home")
-        placed = hits.join(where, ["segment", "bucket", "id"]).drop("segment", "bucket")
+        # k rows per query: counted, and few unless there are very many queries
+        few = F.broadcast if hits.count() <= MOST_HITS else lambda rows: rows
+        placed = where.join(few(hits), ["segment", "bucket", "id"]).drop("segment", "bucket")
         # texts stay in the segment they came with, merged or not
         columns = f"{TABLES['texts'].format(id=self.id_type)}, segment int, bucket int"
         stored = self.spark.read.schema(columns).parquet(f"{self.path}/texts") if self.segments else self.spark.createDataFrame([], columns)
         stored = stored.select("id", "words", F.col("segment").alias("origin"), F.col("bucket").alias("home"))
         text = F.array_join(F.slice("words", F.col("chunk_no") * self.stride + 1, self.words), " ")
-        return placed.join(stored, ["origin", "home", "id"]).withColumn("text", text).drop("origin", "home", "words")
+        return stored.join(few(placed), ["origin", "home", "id"]).withColumn("text", text).drop("origin", "home", "words")
 
 
 def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -390,6 +439,80 @@ def _block(rows: pa.Table) -> Iterator[tuple]:
         yield (*first.values(), rows.column("word").to_numpy()[1:], rows.column("bits").to_numpy()[1:])
 
 
+def _matched(of_word: np.ndarray, words: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of words and queries that a block meets, with the bits of their words."""
+    low, high = np.searchsorted(of_word, words, "left"), np.searchsorted(of_word, words, "right")
+    count = high - low
+    return np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum()), np.repeat(bits, count)
+
+
+def _summed(query: np.ndarray, weight: np.ndarray, held: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The queries that occur, and a row of scores by slot for each."""
+    order = np.argsort(query, kind="stable")
+    query, weight, held = query[order], weight[order], held[order]
+    first = np.flatnonzero(np.diff(query, prepend=-1))
+    stands = (held[:, None] >> np.arange(slots)) & 1
+    unit = float(10**SCORE_DIGITS)
+    return query[first], np.floor(np.add.reduceat(weight[:, None] * stands, first) * unit + 0.5) / unit
+
+
+def _block_scores(blocks: Iterator[tuple], pairs: list[np.ndarray]) -> Iterator[tuple]:
+    """(segment, bucket, ids, numbers, queries, scores) of the blocks."""
+    of_word, of_query, weight = pairs
+    for segment, bucket, ids, numbers, words, bits in blocks:
+        pair, held = _matched(of_word, words, bits)
+        yield segment, bucket, ids, np.array(numbers), *_summed(of_query[pair], weight[pair], held, len(ids))
+
+
+def _every_chunk(blocks: Iterator[tuple], pairs: list[np.ndarray], queries: int) -> Iterator[tuple]:
+    """(query, id, number, score) of every chunk with a word of a query, block by block."""
+    for _, _, ids, numbers, query, score in _block_scores(blocks, pairs):
+        row, slot = np.nonzero(score > 0)
+        yield query[row], [ids[s] for s in slot.tolist()], numbers[slot], score[row, slot]
+
+
+def _best_of_documents(blocks: Iterator[tuple], pairs: list[np.ndarray], queries: int) -> Iterator[tuple]:
+    """(query, id, number, score) of the best chunk of every document; blocks of a bucket come in their order."""
+    last = None
+    far = np.iinfo(np.int64).max
+
+    def finished(name, best, number):
+        query = np.flatnonzero(best > 0)
+        return query, [name] * len(query), number[query], best[query]
+
+    for segment, bucket, ids, numbers, query, score in _block_scores(blocks, pairs):
+        # the chunks of a document stand side by side
+        starts = [0] + [s for s in range(1, len(ids)) if ids[s] != ids[s - 1]]
+        run = np.repeat(np.arange(len(starts)), np.diff([*starts, len(ids)]))
+        top = np.maximum.reduceat(score, starts, axis=1)
+        first = np.minimum.reduceat(np.where(score == top[:, run], numbers, far), starts, axis=1)
+        begun = (segment, bucket, ids[0])
+        if last is not None and last[0] == begun:
+            # it came in the block before: an equal score counts where its chunk is the first
+            _, best, number = last
+            better = (top[:, 0] > best[query]) | ((top[:, 0] == best[query]) & (first[:, 0] < number[query]))
+            top[:, 0], first[:, 0] = np.where(better, top[:, 0], best[query]), np.where(better, first[:, 0], number[query])
+            absent = np.ones(queries, bool)
+            absent[query] = False
+            if len(starts) > 1:
+                yield finished(ids[0], np.where(absent, best, 0.0), number)
+            else:
+                best, number = best.copy(), number.copy()
+                best[query], number[query] = top[:, 0], first[:, 0]
+                last = (begun, best, number)
+                continue
+        elif last is not None:
+            yield finished(last[0][2], *last[1:])
+        # the last document may reach into the next block
+        best, number = np.zeros(queries), np.full(queries, far)
+        best[query], number[query] = top[:, -1], first[:, -1]
+        last = ((segment, bucket, ids[-1]), best, number)
+        row, place = np.nonzero(top[:, :-1] > 0)
+        yield query[row], [ids[starts[p]] for p in place.tolist()], first[row, place], top[row, place]
+    if last is not None:
+        yield finished(last[0][2], *last[1:])
+
+
 class _Best:
     """The k best documents of each query among the blocks seen so far."""
 
@@ -402,29 +525,21 @@ class _Best:
         self.query, self.segment, self.bucket, self.id, self.number, self.score = none, none, none, none, none, np.empty(0)
 
     def see(self, segment: int, bucket: int, ids: list, numbers: list[int], words: np.ndarray, bits: np.ndarray) -> None:
-        low, high = np.searchsorted(self.of_word, words, "left"), np.searchsorted(self.of_word, words, "right")
-        count = high - low
-        pair = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        query, weight, held = self.of_query[pair], self.weight[pair], np.repeat(bits, count)
+        pair, held = _matched(self.of_word, words, bits)
+        query, weight = self.of_query[pair], self.weight[pair]
         # two rounding steps
         slack = 2.0 / 10**SCORE_DIGITS
         bound = np.bincount(query, weight, len(self.least))
         reached = bound[query] >= self.least[query] - slack
         if not reached.any():
             return
-        query, weight, held = query[reached], weight[reached], held[reached]
-        order = np.argsort(query, kind="stable")
-        query, weight, held = query[order], weight[order], held[order]
-        first = np.flatnonzero(np.diff(query, prepend=-1))
-        stands = (held[:, None] >> np.arange(len(ids))) & 1
-        unit = float(10**SCORE_DIGITS)
-        score = np.floor(np.add.reduceat(weight[:, None] * stands, first) * unit + 0.5) / unit
-        row, slot = np.nonzero((score > 0) & (score >= self.least[query[first]][:, None]))
+        query, score = _summed(query[reached], weight[reached], held[reached], len(ids))
+        row, slot = np.nonzero((score > 0) & (score >= self.least[query][:, None]))
         if not len(row):
             return
         ids, numbers = np.array(ids), np.array(numbers)
         same = lambda value: np.full(len(row), value)
-        own = (query[first][row], same(segment), same(bucket), ids[slot], numbers[slot], score[row, slot])
+        own = (query[row], same(segment), same(bucket), ids[slot], numbers[slot], score[row, slot])
         if len(self.query):
             own = [np.concatenate(pair) for pair in zip((self.query, self.segment, self.bucket, self.id, self.number, self.score), own)]
         self._keep(*own)

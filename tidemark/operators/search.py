@@ -92,12 +92,12 @@ class Search:
         return cut_lineage(self.index.top_documents(self.weights, self.k))
 
     def chunk_scores(self) -> DataFrame:
-        """(query, id, chunk_no, score): all chunks of the k best documents that share a word with the query."""
-        return self.index.chunk_scores(self.weights, self.best)
+        """(query, id, chunk_no, score): all chunks that share a word with the query."""
+        return self.index.chunk_scores(self.weights)
 
     def best_chunks(self) -> DataFrame:
-        """(query, id, chunk_no, score): the first chunk with the highest score of the k best documents."""
-        return self.best.select("query_id", "id", "chunk_no", "score")
+        """(query, id, chunk_no, score): the first chunk with the highest score of every document that shares a word with the query."""
+        return self.index.best_chunks(self.weights)
 
     def hits(self, texts: bool = True) -> DataFrame:
         """(query, rank, id, chunk_no, score, text): the k best documents per query.
