@@ -146,3 +146,13 @@ def test_files_of_all_dialects_in_one_scan(spark, tmp_path):
         1: ("a,b", 1.5, True), 2: ('q"r', 2.0, False), 3: ("São", None, True), 4: ("€", 7.0, None), 5: ("a;b", 8.0, None)}
     # however many files there are, their names stay out of the plan
     assert "a.csv" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_encodings_are_found_without_sorting_the_lines(spark, tmp_path):
+    put(tmp_path, "a.csv", "\n")
+    put(tmp_path, "b.csv", b"\xff")
+    put(tmp_path, "c.csv", b"\x00a\x00\n")
+    found = detect.detect_encoding(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert {r["file"].rsplit("/", 1)[1]: r["encoding"] for r in found.collect()} == {"a.csv": "utf-8", "b.csv": "iso-8859-1", "c.csv": "utf-16be"}

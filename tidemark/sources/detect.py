@@ -33,14 +33,22 @@ def detect_encoding(spark: SparkSession, path: str, suffix: str | None = None) -
     whole file, split by split, rather than on its first bytes.
     """
     lines = lines_of(spark, path, suffix).withColumn("at", F.monotonically_increasing_id())
-    # of the file's first split, whose smallest id is line one
-    first = F.min_by(F.hex(F.substring(F.col("value").cast("binary"), 1, 2)), F.when(F.col("block_start") == 0, F.col("at")))
     plain = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    found = lines.groupBy("file").agg(
-        first.alias("mark"),
-        F.bool_and(F.is_valid_utf8("value")).alias("valid"),
-        F.bool_or(~F.is_valid_utf8("value") & plain.rlike(r"[\x80-\x9f]")).alias("printed"),
+    # numbers and truth values only: grouping them is hashed, strings would have the lines sorted by file
+    start = F.hex(F.substring(F.col("value").cast("binary"), 1, 2))
+    facts = lines.select(
+        "file",
+        F.when(F.col("block_start") == 0, F.col("at")).alias("at"),
+        # a leading digit keeps zeros and the length
+        F.conv(F.concat(F.lit("1"), start), 16, 10).cast("int").alias("start"),
+        F.is_valid_utf8("value").alias("valid"),
+        (~F.is_valid_utf8("value") & plain.rlike(r"[\x80-\x9f]")).alias("printed"),
+    )
+    # of the file's first split, whose smallest id is line one
+    found = facts.groupBy("file").agg(
+        F.min_by("start", "at").alias("start"), F.bool_and("valid").alias("valid"), F.bool_or("printed").alias("printed")
     )
+    found = found.withColumn("mark", F.substring(F.hex("start"), 2, 4))
     encoding = (
         F.when(F.col("mark").startswith("FFFE") | (F.substring("mark", 3, 2) == "00"), "utf-16le")
         .when(F.col("mark").startswith("FEFF") | (F.substring("mark", 1, 2) == "00"), "utf-16be")
