@@ -65,7 +65,7 @@ def _counted(spark, sf_dir, **options):
     root, out = scratch_path(spark, "events"), scratch_path(spark, "counts")
     counting = SW.Counting("at", "event_id", "event_type", "value", F.col("value") > 200, **options)
     for part in (events.where(~seventh), late):
-        part.coalesce(1).write.mode("append").parquet(root)
+        part.write.mode("append").parquet(root)
         stream = spark.readStream.schema(part.schema).parquet(root)
         SW.start_counting(stream, counting, out, f"{out}-state").awaitTermination()
     return out, counting

@@ -166,3 +166,20 @@ def test_unreadable_times_are_counted_or_refused(spark, frame):
     metrics = build(spark.readStream.schema(df.schema).parquet(path))
     with pytest.raises(Exception, match="unreadable event time"):
         SW.start_window_stream(metrics, scratch_path(spark, "o"), scratch_path(spark, "c")).awaitTermination()
+
+
+def test_batches_of_the_registered_streams_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from registry import streaming as R
+
+    rows = spark.range(400).selectExpr(
+        "id AS event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, cast(id AS int)) AS ts", "'click' AS event_type", "id % 5 AS user_id", "1.0D AS value")
+    rows.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(R, "scratch_path", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    try:
+        progress = R.stream_aside(spark, str(tmp_path)).collect()[0]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    # every seventh is in the second batch with its repeats: 31 of the 343 others by 11, 31 of all by 13
+    assert (progress["rows"], progress["unreadable"]) == (343 + 57 + sum(i % 11 == 0 and i % 7 != 0 for i in range(400)) + 31, 31)
+    assert len(list((tmp_path / "events").glob("*.parquet"))) > 2
