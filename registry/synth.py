@@ -34,6 +34,10 @@ NULLS = [
     {"name": "maybe", "type": "integer", "options": {"min": 1, "max": 9, "allow_nulls": 25}},
     {"name": "rarely", "type": "category", "options": {"categories": ["x", "y"], "allow_nulls": 5}},
 ]
+#: Rows whose values one task tells apart.
+TASK_ROWS = 1_000_000
+
+
 def _for_orders(spec):
     def query(spark, sf_dir):
         ids = view(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
@@ -52,12 +56,17 @@ def synth_unique(spark, sf_dir):
         {"name": "email", "type": "email", "options": {"unique": True}},
     ]
     made = S.generate(spark, unique, rows)
-    return made.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("code").alias("codes"),
-        F.count_distinct("email").alias("emails"),
+    # every value in one of so many partitions: a task counts those of a bounded number of rows
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    emails = made.select("email").repartition(tasks, "email").distinct().agg(F.count("email").alias("emails"))
+    codes = made.select("code").repartition(tasks, "code").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    facts = codes.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.count("code").alias("codes"),
         ((F.min("code") >= 1) & (F.max("code") <= highest)).alias("in_range"),
     )
+    # a row on either side
+    return facts.crossJoin(F.broadcast(emails)).select("rows", "codes", "emails", "in_range")
 
 
 def enforce_unique_single(spark, sf_dir):

@@ -144,3 +144,14 @@ def test_components(spark):
     rows = [(1, "x", None), (2, "y", "p"), (3, "x", "q"), (4, "z", "q"), (5, None, None), (6, "w", "p"), (7, "w", "r"), (8, "v", "r")]
     df = spark.createDataFrame(rows, "seq long, v0 string, v1 string")
     assert {r["seq"]: r["label"] for r in unique._components(df, ["v0", "v1"]).collect()} == {1: 1, 3: 1, 4: 1, 2: 2, 6: 2, 7: 2, 8: 2, 5: 5}
+
+
+def test_unique_values_are_counted_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    from registry import synth as R
+
+    spark.range(3_000).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(R, "TASK_ROWS", 500)
+    made = R.synth_unique(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "REPARTITION_BY_NUM" in plan and ", 6)" in plan
+    assert [tuple(r) for r in made.collect()] == [(3_000, 3_000, 3_000, True)]
