@@ -156,3 +156,13 @@ def test_encodings_are_found_without_sorting_the_lines(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
     assert {r["file"].rsplit("/", 1)[1]: r["encoding"] for r in found.collect()} == {"a.csv": "utf-8", "b.csv": "iso-8859-1", "c.csv": "utf-16be"}
+
+
+def test_a_file_per_text_but_not_a_folder(spark, frame, tmp_path):
+    path = f"{tmp_path}/texts"
+    sinks.write_texts(frame([(i, f"é {i}") for i in range(300)] + [(7, "twice"), (400, None), (401, " ")], "doc_id long, text string"), path, "doc_id", "text")
+    files = list((tmp_path / "texts").glob("*/*"))
+    assert len(files) == 302 and len({f.parent for f in files}) == 1
+    found = {r["filename"]: (r["size"], r["text"]) for r in documents.scan_text_documents(spark, path).collect()}
+    assert len(found) == 300 and found["doc_id=12.txt"] == (6, "é 12\n")
+    assert sorted(found["doc_id=7.txt"][1].splitlines()) == ["twice", "é 7"]
