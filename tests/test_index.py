@@ -175,3 +175,11 @@ def test_buckets_grow_with_the_text(spark, empty, monkeypatch):
     other = index.add(frame_of(spark, {i: "word " * 100 for i in range(60, 70)})).merge()
     assert other._table("documents").select("bucket").distinct().count() > 4
     assert other.total_documents() == 70
+
+
+def test_scores_of_a_repeated_id_add_up(spark, empty):
+    index = empty.add(spark.createDataFrame([(1, "null data"), (1, "null data"), (2, "null")], "doc_id long, text string"), buckets=1)
+    asked = spark.createDataFrame([(9, "null")], "query_id int, query string")
+    rows = S.Search(index, asked).chunk_scores()
+    assert rows.columns == ["query_id", "id", "chunk_no", "score"]
+    assert sorted((r["id"], round(r["score"], 6)) for r in rows.collect()) == [(1, 2.0), (2, 1.0)]

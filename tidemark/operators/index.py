@@ -369,8 +369,17 @@ class SearchIndex:
         return dealt.mapInArrow(task, schema)
 
     def chunk_scores(self, weights: DataFrame) -> DataFrame:
-        """(query_id, id, chunk_no, score) of every chunk that shares a word with a query."""
-        return self._of_blocks(weights, ADDRESS, _every_chunk)
+        """(query_id, id, chunk_no, score) of every chunk that shares a word with a query.
+
+        Rows that share an id add up, chunk by chunk.
+        """
+        rows = self._of_blocks(weights, ADDRESS, _every_chunk)
+        repeated = self.documents().groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+        if repeated.isEmpty():
+            return rows
+        several = rows.join(repeated, "id", "left_semi").groupBy("query_id", "id", "chunk_no")
+        added = rows.join(repeated, "id", "left_anti").unionByName(several.agg(_rounded(F.sum("score")).alias("score")))
+        return added.select(*rows.columns)
 
     def best_chunks(self, weights: DataFrame) -> DataFrame:
         """(query_id, id, chunk_no, score): the first chunk with the highest score of every document that shares a word with a query.
