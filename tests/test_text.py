@@ -160,6 +160,60 @@ def test_clustered_vectors_meet_few_cells(spark, monkeypatch):
     assert met < 0.35 * asked.count() * index.parts.sum()
 
 
+def _nearest_by_loop(ids, data, asked, k):
+    """The k nearest of each asked id, all rows that share an id together."""
+    norms = np.linalg.norm(data, axis=1, keepdims=True)
+    unit = np.divide(data, norms, out=np.zeros_like(data), where=norms > 0)
+    out = {}
+    for q in asked:
+        score = np.round(unit[ids == q] @ unit.T, 6).ravel()
+        found = np.tile(ids, int((ids == q).sum()))
+        out[q] = [(int(found[i]), float(score[i])) for i in np.lexsort((found, -score))[:k]]
+    return out
+
+
+def _small_blocks(monkeypatch):
+    for name, rows in {"CELL_ROWS": 20, "STORED_ROWS": 32, "QUERY_ROWS": 16}.items():
+        monkeypatch.setattr(f"tidemark.operators.vectors.{name}", rows)
+
+
+def test_vectors_without_clusters_are_shuffled_a_fixed_number_of_times(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    # the copies are a cell of many parts; some ids come twice, with other vectors
+    data = np.concatenate([rng.normal(size=(400, 16)), np.tile(rng.normal(size=16), (300, 1)), np.zeros((2, 16))])
+    ids = np.arange(len(data))
+    ids[5:9] = ids[50:54]
+    df = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, data)], "vec_id long, embedding array<double>").repartition(5)
+    _small_blocks(monkeypatch)
+    shipped = []
+    reached = VectorIndex._reached
+    monkeypatch.setattr(VectorIndex, "_reached", lambda self, *a, **o: shipped.append(reached(self, *a, **o)) or shipped[-1])
+    index = VectorIndex(df)
+    assert len(index.cells) > 8 and index.parts.max() > 5
+    found = index.search(df.select(F.col("vec_id").alias("query_id"), "embedding"), 6)
+    assert {q: [(r["id"], r["similarity"]) for r in rows] for q, rows in _grouped(found).items()} == _nearest_by_loop(ids, data, sorted(set(ids.tolist())), 6)
+    # before, each vector was sent to all parts of all cells
+    assert sum(s.count() for s in shipped) < 2 * len(data)
+
+
+def test_blocks_of_clustered_queries_meet_few_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(12, 16)).repeat(60, 0) + rng.normal(size=(720, 16)) * 0.05
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(5)
+    _small_blocks(monkeypatch)
+    pairs = []
+    met = VectorIndex._met
+    monkeypatch.setattr(VectorIndex, "_met", lambda self, asked: pairs.append((met(self, asked), asked.count() * self.blocks.count())) or pairs[-1][0])
+    found = VectorIndex(df).search(df.select(F.col("vec_id").alias("query_id"), "embedding"), 6)
+    assert {q: [(r["id"], r["similarity"]) for r in rows] for q, rows in _grouped(found).items()} == _nearest_by_loop(np.arange(720), data, range(720), 6)
+    # the first parts, then the cells that can hold a better vector
+    shares = [p.count() / full for p, full in pairs]
+    assert len(shares) == 2 and max(shares) < 0.25, shares
+    # vectors are read where they lie
+    plan = pairs[1][0]._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
 def _grouped(df):
     out = {}
     for r in df.orderBy("query_id", "rank").collect():

@@ -3,8 +3,11 @@
 Stored vectors lie in cells around pivots, a sample of them. A cell knows the
 smallest and the largest angle between its pivot and its members, so the angle
 between a query and the pivot bounds the similarity of every member. A query
-meets the cells with the highest bounds first; their k-th similarity decides
-which of the other cells it meets at all.
+meets a part of the cells with the highest bounds first; the k-th similarity
+there decides which cells it meets at all. Then queries are packed into blocks
+of neighbours, and tasks read blocks of queries and groups of stored blocks
+where they were written: a query is shuffled a fixed number of times, however
+many cells it meets, and a task gives only its k best of a whole group.
 """
 
 from __future__ import annotations
@@ -30,6 +33,9 @@ STORED_ROWS = 4096
 #: A pivot for so many vectors; beyond the largest number of pivots, which every task knows, cells get larger.
 CELL_ROWS = 4096
 MOST_PIVOTS = 8192
+#: A task holds a group of stored blocks of so many bytes and passes blocks of queries by it.
+GROUP_BYTES = 64 << 20
+LEAST_GROUPS = 4
 SIMILARITY_DIGITS = 6
 # two rounding steps, and the rounding of angles
 SLACK = 4.0 / 10**SIMILARITY_DIGITS
@@ -80,6 +86,10 @@ class _Bounds(NamedTuple):
     nearest: np.ndarray
     furthest: np.ndarray
 
+    def only(self, cell: int) -> _Bounds:
+        at = np.searchsorted(self.cells, [cell])
+        return _Bounds(*(x[at] for x in self))
+
     def of(self, unit: np.ndarray) -> np.ndarray:
         """The largest similarity that a member of each cell can have with each vector."""
         angle = _angles(unit, self.pivots)
@@ -96,7 +106,9 @@ class VectorIndex:
     """
 
     def __init__(self, vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding"):
-        spark = self.spark = vectors.sparkSession
+        spark = vectors.sparkSession
+        # blocks are written to a fixed number of files, so that a small table is not left to one task
+        self.files = spark.sparkContext.defaultParallelism
         named = vectors.where(F.col(column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("vector"))
         count = named.count()
         wanted = min(MOST_PIVOTS, -(-count // CELL_ROWS))
@@ -132,81 +144,137 @@ class VectorIndex:
         self.parts = -(-self.sizes // STORED_ROWS)
         known = spark.createDataFrame([(int(c), int(p)) for c, p in zip(self.cells, self.parts)], "cell int, parts int")
         dealt = placed.join(F.broadcast(known), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        dealt = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").select("cell", "part", "id", "vector")
+        # ids ascend in a block
+        dealt = dealt.repartition(self.files, "cell", "part").sortWithinPartitions("cell", "part", "id").select("cell", "part", "id", "vector")
         pack = lambda batches: _packed(batches, ["cell", "part"], "id", "vector", STORED_ROWS)
         self.blocks = cut_lineage(dealt.mapInArrow(pack, "cell int, part int, ids binary, cells binary"))
 
-    def _reached(self, queries: DataFrame, k: int, later: bool) -> DataFrame:
-        """(query_id, vector, cell, part): the first cells of each query, which hold k vectors, or those after them that can hold a better one."""
-        sizes, cells, parts, width, first = self.sizes, self.cells, self.parts, self.width, self.first
-        bounds = self.bounds
+    def _reached(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, vector, cell, part, home): of each query's first cells, which hold k vectors, a part each; ``home`` is true for the first one."""
+        cells, parts, width, first = self.cells, self.parts, self.width, self.first
+        bounds, held = self.bounds, self.sizes // np.maximum(self.parts, 1)
 
         def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, QUERY_ROWS):
                     some = batch.slice(at, QUERY_ROWS)
-                    unit = _unit(_matrix(some, "query_id", "vector", width, f"vector {first}"))
-                    bound = bounds.of(unit)
-                    order = np.argsort(-bound, axis=1, kind="stable")
-                    before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                    mine = (before >= k) & (np.take_along_axis(bound, order, 1) >= some.column("least").to_numpy()[:, None] - SLACK) if later else before < k
-                    row, place = np.nonzero(mine)
+                    order = np.argsort(-bounds.of(_unit(_matrix(some, "query_id", "vector", width, f"vector {first}"))), axis=1, kind="stable")
+                    row, place = np.nonzero(np.cumsum(held[order], axis=1) - held[order] < k)
                     cell = order[row, place]
-                    # every part of a cell
-                    many = parts[cell]
-                    row, cell = np.repeat(row, many), np.repeat(cell, many)
-                    part = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                    # the queries of a large cell are dealt over its parts
+                    part = some.column("query_id").to_numpy()[row] % parts[cell]
                     yield pa.RecordBatch.from_arrays(
-                        [some.column("query_id").take(pa.array(row)), some.column("vector").take(pa.array(row)), pa.array(cells[cell], pa.int32()), pa.array(part, pa.int32())],
-                        ["query_id", "vector", "cell", "part"],
+                        [some.column("query_id").take(pa.array(row)), some.column("vector").take(pa.array(row)), pa.array(cells[cell], pa.int32()), pa.array(part, pa.int32()), pa.array(place == 0)],
+                        ["query_id", "vector", "cell", "part", "home"],
                     )
 
-        return queries.mapInArrow(reach, "query_id long, vector array<double>, cell int, part int")
+        return queries.mapInArrow(reach, "query_id long, vector array<double>, cell int, part int, home boolean")
 
-    def _met(self, reached: DataFrame, k: int) -> DataFrame:
-        """(query_id, id, similarity): the k nearest of each query in each block it meets."""
+    def _least(self, reached: DataFrame, k: int) -> DataFrame:
+        """(query_id, least): the k-th similarity of each query in the parts it meets first, if they hold k vectors."""
         pack = lambda batches: _packed(batches, ["cell", "part"], "query_id", "vector", QUERY_ROWS)
-        asked = reached.repartition("cell", "part").sortWithinPartitions("cell", "part").select("cell", "part", "query_id", "vector")
-        asked = asked.mapInArrow(pack, "cell int, part int, query_ids binary, cells binary").withColumnRenamed("cells", "query_cells")
-        pairs = asked.join(self.blocks, ["cell", "part"]).select("query_ids", "query_cells", "ids", "cells")
-        nearest = lambda batches: _nearest(batches, k)
-        return pairs.mapInArrow(nearest, "query_id long, id long, similarity double")
+        rows = reached.repartition(self.files, "cell", "part").sortWithinPartitions("cell", "part").select("cell", "part", "query_id", "vector")
+        asked = rows.mapInArrow(pack, "cell int, part int, query_ids binary, cells binary")
+        asked = asked.select("query_ids", F.col("cells").alias("query_cells"), F.lit(b"").alias("leasts"), F.array("cell").alias("reached"), F.col("part").alias("only"))
+        return self._found(asked, k).where(F.col("rank") == k).select("query_id", F.col("similarity").alias("least"))
+
+    def _asked(self, reached: DataFrame, least: DataFrame | None) -> DataFrame:
+        """(query_ids, query_cells, leasts, reached, only): neighbouring queries and the cells where one of them can find a better vector."""
+        rows = reached.where("home").drop("home")
+        rows = rows.withColumn("least", F.lit(-2.0)) if least is None else rows.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+        rows = rows.repartition(self.files, "cell", "part").sortWithinPartitions("cell", "part")
+        rows = rows.select("cell", "part", "query_id", F.concat("vector", F.array("least")).alias("vector"))
+        bounds, width = self.bounds, self.width
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for packed in _packed(batches, ["cell", "part"], "query_id", "vector", QUERY_ROWS):
+                out = []
+                for ids, cells in zip(packed.column("query_ids").to_pylist(), packed.column("cells")):
+                    both = np.frombuffer(cells.as_buffer(), "<f8").reshape(-1, width + 1)
+                    vectors, leasts = both[:, :-1].copy(), both[:, -1].copy()
+                    meets = ~(bounds.of(_unit(vectors)) < leasts[:, None] - SLACK).all(0)
+                    out.append((ids, vectors.tobytes(), leasts.tobytes(), bounds.cells[meets].astype(np.int32)))
+                types = [pa.binary()] * 3 + [pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["query_ids", "query_cells", "leasts", "reached"])
+
+        return rows.mapInArrow(pack, "query_ids binary, query_cells binary, leasts binary, reached array<int>").withColumn("only", F.lit(None).cast("int"))
+
+    def _met(self, asked: DataFrame) -> DataFrame:
+        """Blocks of queries with the stored blocks of the cells they reach, or of ``only`` that part of them.
+
+        Both sides are read where they were written, nothing is shuffled; in a
+        group the stored blocks that a block of queries meets follow each other.
+        """
+        asked = cut_lineage(asked.select(F.monotonically_increasing_id().alias("block"), "*"))
+        groups = max(LEAST_GROUPS, -(-int(self.sizes.sum()) * self.width * 8 // GROUP_BYTES))
+        stored = self.blocks.withColumnRenamed("cells", "stored").coalesce(groups).hint("shuffle_replicate_nl")
+        met = asked.join(stored, F.array_contains("reached", F.col("cell")) & (F.coalesce("only", "part") == F.col("part")))
+        return met.select("block", "query_ids", "query_cells", "leasts", "cell", "ids", "stored")
+
+    def _found(self, asked: DataFrame, k: int) -> DataFrame:
+        """(query_id, id, similarity, rank): the k nearest of each query in the blocks it meets, equal ones by id."""
+        bounds = self.bounds
+        found = self._met(asked).mapInArrow(lambda batches: _nearest(batches, k, bounds), "query_id long, id long, similarity double")
+        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+        return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 
     def search(self, queries: DataFrame, k: int = 8, column: str = "embedding") -> DataFrame:
         """(query_id, rank, id, similarity): the k nearest vectors of every query, equal ones by id."""
         asked = queries.where(F.col(column).isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col(column).cast("array<double>").alias("vector"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-        best = lambda rows: rows.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
-        found = best(self._met(self._reached(asked, k, later=False), k))
-        if len(self.cells) > 1:
-            found = cut_lineage(found)
-            least = found.where(F.col("rank") == k).select("query_id", F.col("similarity").alias("least"))
-            rest = asked.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
-            found = best(found.drop("rank").unionByName(self._met(self._reached(rest, k, later=True), k)))
-        return found.select("query_id", "rank", "id", "similarity")
-
-
-def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+        reached = self._reached(asked, k)
+        least = self._least(reached, k) if len(self.cells) > 1 else None
+        return self._found(self._asked(reached, least), k).select("query_id", "rank", "id", "similarity")
+
+
+class _Nearest:
+    """The k nearest of the queries of a block among the stored blocks met so far, equal ones by id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, least: np.ndarray, k: int):
+        self.ids, self.unit, self.least, self.k = ids, _unit(vectors), least, k
+        self.row, self.id, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def meet(self, bounds: _Bounds, ids: np.ndarray, stored: np.ndarray) -> None:
+        rows = np.flatnonzero(~(bounds.of(self.unit)[:, 0] < self.least - SLACK))
+        scores = self.unit[rows] @ stored.T
+        # a digit is left for rounding
+        near = scores >= self.least[rows, None] - 1 / 10**SIMILARITY_DIGITS
+        crowded = np.flatnonzero(np.count_nonzero(near, axis=1) > 4 * self.k)
+        if len(crowded):
+            # what is above the k-th score of this block, and the first k of those that reach it
+            close = np.round(scores[crowded], SIMILARITY_DIGITS)
+            kth = np.partition(close, len(ids) - self.k, axis=1)[:, [len(ids) - self.k]]
+            equal = close == kth
+            near[crowded] = (close > kth) | (equal & (np.cumsum(equal, axis=1) <= self.k))
+        row, place = np.nonzero(near)
+        score = np.round(scores[row, place], SIMILARITY_DIGITS)
+        row, score, found = np.concatenate([self.row, rows[row]]), np.concatenate([self.score, score]), np.concatenate([self.id, ids[place]])
+        order = np.lexsort((found, -score, row))
+        row = row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        best = rank < self.k
+        self.row, self.id, self.score = row[best], found[order[best]], score[order[best]]
+        last = rank[best] == self.k - 1
+        self.least[self.row[last]] = np.maximum(self.least[self.row[last]], self.score[last])
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row]), pa.array(self.id), pa.array(self.score)], ["query_id", "id", "similarity"])
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], k: int, bounds: _Bounds) -> Iterator[pa.RecordBatch]:
+    block, state = None, None
     for batch in batches:
-        for cells in zip(*(batch.column(c) for c in ("query_ids", "query_cells", "ids", "cells"))):
-            query_ids, query_cells, ids, stored = (c.as_py() for c in cells)
-            query_ids, ids = np.frombuffer(query_ids, "<i8"), np.frombuffer(ids, "<i8")
-            wanted = _unit(np.frombuffer(query_cells, "<f8").reshape(len(query_ids), -1))
+        for at, cell in enumerate(batch.column("cell").to_pylist()):
+            held = lambda name, kind: np.frombuffer(batch.column(name)[at].as_buffer(), kind)  # noqa: B023, E731
+            if batch.column("block")[at].as_py() != block:
+                if state:
+                    yield state.rows()
+                block, ids, least = batch.column("block")[at].as_py(), held("query_ids", "<i8").copy(), held("leasts", "<f8")
+                state = _Nearest(ids, held("query_cells", "<f8").reshape(len(ids), -1), least.copy() if len(least) else np.full(len(ids), -2.0), k)
+            ids = held("ids", "<i8")
             # these were made units when they were placed
-            held = np.frombuffer(stored, "<f8").reshape(len(ids), -1)
-            scores = np.round(wanted @ held.T, SIMILARITY_DIGITS)
-            if len(ids) > k:
-                # all that reach the k-th score, so that ties go by id
-                least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-                row, place = np.nonzero(scores >= least[:, None])
-            else:
-                row, place = np.divmod(np.arange(scores.size), len(ids))
-            order = np.lexsort((ids[place], -scores[row, place], row))
-            row, place = row[order], place[order]
-            first = np.searchsorted(row, row, "left")
-            best = np.arange(len(row)) - first < k
-            row, place = row[best], place[best]
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(ids[place]), pa.array(scores[row, place])], ["query_id", "id", "similarity"])
+            state.meet(bounds.only(cell), ids, held("stored", "<f8").reshape(len(ids), -1))
+    if state:
+        yield state.rows()
 
 
 def vector_topk(
