@@ -194,6 +194,8 @@ def test_vectors_without_clusters_are_shuffled_a_fixed_number_of_times(spark, mo
     assert {q: [(r["id"], r["similarity"]) for r in rows] for q, rows in _grouped(found).items()} == _nearest_by_loop(ids, data, sorted(set(ids.tolist())), 6)
     # before, each vector was sent to all parts of all cells
     assert sum(s.count() for s in shipped) < 2 * len(data)
+    # no block of queries, and no task, gets most of them
+    assert max(r["count"] for r in shipped[0].where("home").groupBy("cell", "deal").count().collect()) < 60
 
 
 def test_blocks_of_clustered_queries_meet_few_blocks(spark, monkeypatch):

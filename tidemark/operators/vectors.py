@@ -150,31 +150,37 @@ class VectorIndex:
         self.blocks = cut_lineage(dealt.mapInArrow(pack, "cell int, part int, ids binary, cells binary"))
 
     def _reached(self, queries: DataFrame, k: int) -> DataFrame:
-        """(query_id, vector, cell, part, home): of each query's first cells, which hold k vectors, a part each; ``home`` is true for the first one."""
+        """(query_id, vector, cell, part, deal, home): of each query's first cells, which hold k vectors, a part each.
+
+        ``home`` is true for the first one. ``deal`` spreads the queries of a
+        cell over blocks.
+        """
         cells, parts, width, first = self.cells, self.parts, self.width, self.first
         bounds, held = self.bounds, self.sizes // np.maximum(self.parts, 1)
+        deals = parts * max(1, STORED_ROWS // QUERY_ROWS)
 
         def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, QUERY_ROWS):
                     some = batch.slice(at, QUERY_ROWS)
-                    order = np.argsort(-bounds.of(_unit(_matrix(some, "query_id", "vector", width, f"vector {first}"))), axis=1, kind="stable")
+                    unit = _unit(_matrix(some, "query_id", "vector", width, f"vector {first}"))
+                    # without clusters a vector lies between the angles of many cells: the one with the nearest pivot
+                    order = np.lexsort((_angles(unit, bounds.pivots), -bounds.of(unit)), axis=1)
                     row, place = np.nonzero(np.cumsum(held[order], axis=1) - held[order] < k)
                     cell = order[row, place]
-                    # the queries of a large cell are dealt over its parts
-                    part = some.column("query_id").to_numpy()[row] % parts[cell]
-                    yield pa.RecordBatch.from_arrays(
-                        [some.column("query_id").take(pa.array(row)), some.column("vector").take(pa.array(row)), pa.array(cells[cell], pa.int32()), pa.array(part, pa.int32()), pa.array(place == 0)],
-                        ["query_id", "vector", "cell", "part", "home"],
-                    )
+                    deal = some.column("hash").to_numpy()[row] % deals[cell]
+                    taken = [some.column(c).take(pa.array(row)) for c in ("query_id", "vector")]
+                    placed = [pa.array(x, pa.int32()) for x in (cells[cell], deal % parts[cell], deal)]
+                    yield pa.RecordBatch.from_arrays([*taken, *placed, pa.array(place == 0)], ["query_id", "vector", "cell", "part", "deal", "home"])
 
-        return queries.mapInArrow(reach, "query_id long, vector array<double>, cell int, part int, home boolean")
+        asked = queries.withColumn("hash", F.xxhash64("query_id"))
+        return asked.mapInArrow(reach, "query_id long, vector array<double>, cell int, part int, deal int, home boolean")
 
     def _least(self, reached: DataFrame, k: int) -> DataFrame:
         """(query_id, least): the k-th similarity of each query in the parts it meets first, if they hold k vectors."""
-        pack = lambda batches: _packed(batches, ["cell", "part"], "query_id", "vector", QUERY_ROWS)
-        rows = reached.repartition(self.files, "cell", "part").sortWithinPartitions("cell", "part").select("cell", "part", "query_id", "vector")
-        asked = rows.mapInArrow(pack, "cell int, part int, query_ids binary, cells binary")
+        pack = lambda batches: _packed(batches, ["cell", "part", "deal"], "query_id", "vector", QUERY_ROWS)
+        rows = reached.repartition(self.files, "cell", "deal").sortWithinPartitions("cell", "deal").select("cell", "part", "deal", "query_id", "vector")
+        asked = rows.mapInArrow(pack, "cell int, part int, deal int, query_ids binary, cells binary")
         asked = asked.select("query_ids", F.col("cells").alias("query_cells"), F.lit(b"").alias("leasts"), F.array("cell").alias("reached"), F.col("part").alias("only"))
         return self._found(asked, k).where(F.col("rank") == k).select("query_id", F.col("similarity").alias("least"))
 
@@ -182,12 +188,12 @@ class VectorIndex:
         """(query_ids, query_cells, leasts, reached, only): neighbouring queries and the cells where one of them can find a better vector."""
         rows = reached.where("home").drop("home")
         rows = rows.withColumn("least", F.lit(-2.0)) if least is None else rows.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
-        rows = rows.repartition(self.files, "cell", "part").sortWithinPartitions("cell", "part")
-        rows = rows.select("cell", "part", "query_id", F.concat("vector", F.array("least")).alias("vector"))
+        rows = rows.repartition(self.files, "cell", "deal").sortWithinPartitions("cell", "deal")
+        rows = rows.select("cell", "deal", "query_id", F.concat("vector", F.array("least")).alias("vector"))
         bounds, width = self.bounds, self.width
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for packed in _packed(batches, ["cell", "part"], "query_id", "vector", QUERY_ROWS):
+            for packed in _packed(batches, ["cell", "deal"], "query_id", "vector", QUERY_ROWS):
                 out = []
                 for ids, cells in zip(packed.column("query_ids").to_pylist(), packed.column("cells")):
                     both = np.frombuffer(cells.as_buffer(), "<f8").reshape(-1, width + 1)
