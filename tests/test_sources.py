@@ -186,3 +186,29 @@ def test_files_of_one_encoding_lie_on_disk_at_a_time(spark, frame, tmp_path, mon
     assert sorted((r["folder"], r["lang"], r["encoding"]) for r in rows) == sorted((k, lang, e) for k, e in kinds.items() for lang in ("en", "__HIVE_DEFAULT_PARTITION__"))
     assert {len(names) for _, names in seen} == {1} and sorted(names[0] for _, names in seen) == sorted(kinds)
     assert os.listdir(seen[0][0].removeprefix("file:")) == []
+
+
+def test_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    for name in ("a.txt", "b.MD", "_hidden.txt", "_k=1.txt", ".dot.txt", "c.txt.gz", "d é%20.txt", "e.txt~", "doc_id=1.txt", "f.txt._COPYING_"):
+        for folder in ("", "in/deep", "_gone", "k=1"):
+            (tmp_path / "docs" / folder).mkdir(parents=True, exist_ok=True)
+            (tmp_path / "docs" / folder / name).write_bytes(b"" if name == "b.MD" else f"{folder} é {name}".encode("latin-1" if folder else "utf-8"))
+    (tmp_path / "docs" / "nothing.txt").symlink_to(tmp_path / "absent")
+    (tmp_path / "docs" / "linked.txt").symlink_to(tmp_path / "docs" / "a.txt")
+    by_spark = {tuple(r) for r in documents.scan_text_documents(spark, f"{tmp_path}/doc[s]").collect()}
+    loaded, load = [], DataFrameReader.load
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, *a, **k: loaded.append(a) or load(self, *a, **k))
+    for path in (f"{tmp_path}/docs", f"file:{tmp_path}/docs/", f"file://{tmp_path}/docs"):
+        found = documents.scan_text_documents(spark, path).collect()
+        assert {tuple(r) for r in found} == by_spark and len(found) == len(by_spark) > 12
+    assert not loaded
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        documents.scan_text_documents(spark, f"{tmp_path}/absent").collect()
+
+
+def test_a_folder_without_texts(spark, tmp_path):
+    assert documents.scan_text_documents(spark, str(tmp_path)).collect() == []
+    (tmp_path / "deep" / "deeper").mkdir(parents=True)
+    assert documents.scan_text_documents(spark, str(tmp_path)).collect() == []
