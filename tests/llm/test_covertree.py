@@ -3,8 +3,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm.covertree import near_vectors
+from tidemark.llm import covertree
+from tidemark.llm.covertree import near_vectors, vector_links
 
 from .documents import by_key
 
@@ -61,6 +63,22 @@ def test_links_equal_all_pairs(spark, leaf_rows):
     assert by_key(got) == by_key(want)
 
 
+def test_links_in_other_ways(spark, monkeypatch):
+    # centres too many for every task, trees that are grown again, and vectors whose marks are equal
+    monkeypatch.setattr(covertree, "CENTRE_BYTES", 0)
+    monkeypatch.setattr(covertree, "TREE_BYTES", 1)
+    monkeypatch.setattr(covertree, "_marks", lambda: {"mark_a": F.lit(0), "mark_b": F.lit(1)})
+    test_links_equal_all_pairs(spark, 20)
+
+
+def test_blocks_are_not_shuffled_with_their_pairs(spark):
+    rows = [(i, 1, [float(i % 7), 1.0, float(i)], ("a", "b/c")[i % 2]) for i in range(90)]
+    links = vector_links(spark.createDataFrame(rows, "vertex long, copies long, vector array<double>, tree string"), 0.93, 20)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert links.where("kind = 1").count() > 0
+
+
 def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 

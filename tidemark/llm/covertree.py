@@ -19,8 +19,12 @@ SAMPLE = 512
 CENTERS = 32
 TASK_ROWS = 4096
 LOCAL_LEAF = 128
-#: Trees kept at hand by a task: a block meets many others in turn.
-TREES = 8
+#: Bytes of vectors whose trees a task keeps at hand: a block meets many others in turn.
+TREE_BYTES = 32 << 20
+#: Stored blocks are met in groups of so many bytes, at least so many groups.
+GROUP_BYTES, LEAST_GROUPS = 16 << 20, 4
+#: Bytes of centres that every task may hold; for more of them the vectors are shuffled.
+CENTRE_BYTES = 16 << 20
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -108,12 +112,16 @@ def _walk_blocks(threshold: float, cell_type: str):
 
     def task(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[bytes, Tree] = {}
+        held = 0
 
         def grown(ids: bytes, cell: bytes) -> Tree:
+            nonlocal held
             if ids not in trees:
-                if len(trees) >= TREES:
-                    del trees[next(iter(trees))]
-                trees[ids] = Tree(np.frombuffer(cell, cell_type).astype(np.float64).reshape(len(ids) // 8, -1))
+                vectors = np.frombuffer(cell, cell_type).astype(np.float64).reshape(len(ids) // 8, -1)
+                held += vectors.nbytes
+                while trees and held > TREE_BYTES:
+                    held -= trees.pop(next(iter(trees))).raw.nbytes
+                trees[ids] = Tree(vectors)
             return trees[ids]
 
         for batch in arrived:
@@ -181,12 +189,15 @@ def _choose(radius: float):
 def _assign(key, rows: pa.Table, centres: pa.Table) -> pa.Table:
     """Grouped task: the nearest child of every vector of one part of a node, and how far its centre is."""
     centres = centres.sort_by("child")
-    points, middle = _unit(_matrix(rows.column("vector"))), _matrix(centres.column("centre"))
+    return _nearest(rows, centres.column("child").to_pylist(), _matrix(centres.column("centre")))
+
+
+def _nearest(rows: pa.Table, children: list[str], middle: np.ndarray) -> pa.Table:
+    points = _unit(_matrix(rows.column("vector")))
     away = np.sqrt(np.maximum(((points[:, None, :] - middle[None]) ** 2).sum(2), 0))
     nearest = away.argmin(1)
     if len(middle) > 1 and (middle == middle[0]).all():
         nearest = rows.column("vertex").to_numpy() % len(middle)
-    children = centres.column("child").to_pylist()
     return pa.table({
         "vertex": rows.column("vertex"), "copies": rows.column("copies"), "vector": rows.column("vector"),
         "parent": rows.column("node"), "node": pa.array([children[k] for k in nearest.tolist()], pa.string()),
@@ -194,15 +205,31 @@ def _assign(key, rows: pa.Table, centres: pa.Table) -> pa.Table:
     })
 
 
+def _assign_here(held):
+    """Task: as ``_assign``, for the vectors as they lie; ``held`` has the children and centres of all nodes."""
+
+    def task(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrived:
+            table = pa.Table.from_batches([batch]).sort_by("node")
+            nodes = table.column("node").to_pylist()
+            edges = [0, *(k for k in range(1, len(nodes)) if nodes[k] != nodes[k - 1]), len(nodes)]
+            for a, b in zip(edges, edges[1:]):
+                for at in range(a, b, TASK_ROWS):
+                    yield from _nearest(table.slice(at, min(TASK_ROWS, b - at)), *held.value[nodes[a]]).combine_chunks().to_batches()
+
+    return task
+
+
 def _cell_type(single: bool) -> str:
     return "<f4" if single else "<f8"
 
 
-def _block(table: pa.Table) -> pa.Table:
-    """Grouped task: the vectors of one leaf as one row."""
+def _block(key, table: pa.Table, reached: pa.Table) -> pa.Table:
+    """Grouped task: the vectors of one leaf as one row, with the leaves it is walked with."""
     vectors = _matrix(table.column("vector")).astype(_cell_type(table.schema.field("vector").type.value_type == pa.float32()))
     cells = [np.asarray(table.column(c)).astype("<i8").tobytes() for c in ("vertex", "copies")] + [vectors.tobytes()]
-    return pa.table({"node": table.column("node").slice(0, 1), **{n: pa.array([c], pa.binary()) for n, c in zip(("ids", "copies", "vectors"), cells)}})
+    met = pa.array([reached.column("b").to_pylist()], pa.list_(pa.string()))
+    return pa.table({"node": table.column("node").slice(0, 1), "reached": met, **{n: pa.array([c], pa.binary()) for n, c in zip(("ids", "copies", "vectors"), cells)}})
 
 
 def _apart(a: str, b: str) -> Column:
@@ -225,35 +252,32 @@ def vector_links(vertices: DataFrame, threshold: float, leaf_rows: int = 1024) -
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
     vector = vertices.schema["vector"].dataType.simpleString()
     kinds = f"vertex long, copies long, vector {vector}, parent string, node string, away double"
-    inside = cut_lineage(vertices.select("vertex", "copies", "vector", F.col("tree").alias("node")))
-    nodes = cut_lineage(inside.groupBy("node").agg(F.count("*").alias("n")))
+    # as hexadecimal digits, so that a node's tree is what stands before the first slash
+    inside = vertices.select("vertex", "copies", "vector", F.hex("tree").alias("node"))
+    nodes = cut_lineage(inside.groupBy("node").agg(F.count("*").alias("n"), F.min("vertex").alias("first")))
     pairs = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
     radius, done = 2.0, []
     while True:
-        hot = cut_lineage(nodes.where(F.col("n") > leaf_rows).select("node", "n"))
+        hot = cut_lineage(nodes.where(F.col("n") > leaf_rows).select("node", "n", "first"))
         leaf = inside.join(hot.select("node"), "node", "left_anti")
         done.append(leaf.select("vertex", "copies", "vector", "node"))
         if hot.isEmpty():
             break
         radius /= 2
-        split = cut_lineage(inside.join(hot, "node"))
+        # read again from the level before, which is stored, and not stored once more
+        split = inside.join(hot, "node")
         drawn = F.pmod(F.xxhash64("vertex"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * SAMPLE / F.col("n")
         # a node's first vector is always drawn, so that none is without a centre
-        firsts = split.groupBy("node").agg(F.min("vertex").alias("vertex")).withColumn("first", F.lit(True))
-        sample = split.join(firsts, ["node", "vertex"], "left").where(drawn | F.col("first")).select("node", "vertex", "vector")
+        sample = split.where(drawn | (F.col("vertex") == F.col("first"))).select("node", "vertex", "vector")
         centres = cut_lineage(sample.groupBy("node").applyInArrow(_choose(radius), "node string, child string, centre array<double>"))
-        parts = F.ceil(F.col("n") / TASK_ROWS)
-        dealt = split.withColumn("part", F.pmod(F.xxhash64("vertex"), parts))
-        copies = centres.join(hot, "node").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        moved = dealt.groupBy("node", "part").cogroup(copies.groupBy("node", "part")).applyInArrow(_assign, kinds)
-        moved = cut_lineage(moved)
+        moved = cut_lineage(_moved(split, hot, centres, kinds))
         # radii of the children; what was small already stays, without a radius to prune by
-        covers = moved.groupBy("parent", "node").agg(F.count("*").alias("n"), F.max("away").alias("cover"))
+        covers = moved.groupBy("parent", "node").agg(F.count("*").alias("n"), F.min("vertex").alias("first"), F.max("away").alias("cover"))
         covers = covers.join(centres.select(F.col("child").alias("node"), "centre"), "node")
         covers = cut_lineage(covers)
         small = nodes.join(hot.select("node"), "node", "left_anti")
-        kept = small.select("node", "n", *[F.col(c) if c in small.columns else F.lit(None).cast(k).alias(c) for c, k in (("cover", "double"), ("centre", "array<double>"))])
-        nodes = covers.select("node", "n", "cover", "centre").union(kept)
+        kept = small.select("node", "n", "first", *[F.col(c) if c in small.columns else F.lit(None).cast(k).alias(c) for c, k in (("cover", "double"), ("centre", "array<double>"))])
+        nodes = covers.select("node", "n", "first", "cover", "centre").union(kept)
         opened = covers.select("parent", "node", "cover", "centre").union(kept.select(F.col("node").alias("parent"), "node", "cover", "centre"))
         opened = cut_lineage(opened)
         left = opened.select(F.col("parent").alias("a"), F.col("node").alias("na"), F.col("cover").alias("ra"), F.col("centre").alias("ca"))
@@ -265,12 +289,40 @@ def vector_links(vertices: DataFrame, threshold: float, leaf_rows: int = 1024) -
     leaves = done[0]
     for more in done[1:]:
         leaves = leaves.union(more)
-    blocks = cut_lineage(leaves.groupBy("node").applyInArrow(_block, "node string, ids binary, copies binary, vectors binary"))
-    sides = [blocks.select(*[F.col(c).alias("ab"[s] if c == "node" else f"{c}_{'ab'[s]}") for c in blocks.columns]) for s in (0, 1)]
-    walked = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("same", F.col("a") == F.col("b")).drop("a", "b")
+    grouped = leaves.groupBy("node").cogroup(pairs.select(F.col("a").alias("node"), "b").groupBy("node"))
+    blocks = cut_lineage(grouped.applyInArrow(_block, "node string, reached array<string>, ids binary, copies binary, vectors binary"))
+    # both sides are read where they were written, nothing is shuffled: a block is in many pairs
+    size = blocks.agg(F.sum(F.octet_length("vectors"))).first()[0] or 0
+    cells, tree = ("ids", "copies", "vectors"), F.substring_index("node", "/", 1)
+    asked = blocks.select(F.col("node").alias("a"), "reached", tree.alias("tree_a"), *[F.col(c).alias(f"{c}_a") for c in cells])
+    stored = blocks.select(F.col("node").alias("b"), tree.alias("tree_b"), *[F.col(c).alias(f"{c}_b") for c in cells])
+    stored = stored.coalesce(max(LEAST_GROUPS, -(-size // GROUP_BYTES))).hint("shuffle_replicate_nl")
+    walked = asked.join(stored, (F.col("tree_a") == F.col("tree_b")) & F.array_contains("reached", F.col("b")))
+    walked = walked.withColumn("same", F.col("a") == F.col("b")).drop("a", "b", "tree_a", "tree_b", "reached")
     return walked.mapInArrow(_walk_blocks(threshold, _cell_type(vector == "array<float>")), "kind int, a long, b long")
 
 
+def _moved(split: DataFrame, hot: DataFrame, centres: DataFrame, kinds: str) -> DataFrame:
+    """The vectors of the hot nodes with their nearest child."""
+    if (centres.agg(F.sum(F.size("centre") * 8)).first()[0] or 0) <= CENTRE_BYTES:
+        known: dict[str, tuple[list[str], list]] = {}
+        for r in sorted(centres.collect(), key=lambda r: r["child"]):
+            children, middle = known.setdefault(r["node"], ([], []))
+            children.append(r["child"])
+            middle.append(r["centre"])
+        held = split.sparkSession.sparkContext.broadcast({node: (children, np.array(middle, np.float64)) for node, (children, middle) in known.items()})
+        return split.select("vertex", "copies", "vector", "node").mapInArrow(_assign_here(held), kinds)
+    parts = F.ceil(F.col("n") / TASK_ROWS)
+    dealt = split.select("vertex", "copies", "vector", "node", F.pmod(F.xxhash64("vertex"), parts).alias("part"))
+    copies = centres.join(hot, "node").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.groupBy("node", "part").cogroup(copies.groupBy("node", "part")).applyInArrow(_assign, kinds)
+
+
+def _marks() -> dict[str, Column]:
+    """128 bits that tell vectors from each other, nearly always."""
+    return {"mark_a": F.xxhash64("vector"), "mark_b": F.xxhash64(F.lit(1), "vector")}
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, leaf_rows: int = 1024) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` for every row of ``vectors``.
 
@@ -290,16 +342,23 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, leaf_rows: int = 1
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     tree = F.concat_ws(":", F.size("vector").cast("string"), F.col("label"))
-    usable = cut_lineage(rows.where("sound").select("vec_id", "vector", tree.alias("tree")))
+    usable = rows.where("sound").select("vec_id", "vector", tree.alias("tree"))
     distinct = usable.groupBy("tree", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     distinct = cut_lineage(distinct.withColumn("vertex", F.monotonically_increasing_id()))
     found = cut_lineage(vector_links(distinct, threshold, leaf_rows))
     counts = found.where("kind = 0").groupBy(F.col("a").alias("vertex")).agg(F.sum("b").alias("others"))
     roots = components(found.where("kind = 1"), "a", "b")
-    named = distinct.select("vertex", "first").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    marks = _marks()
+    keys = ["tree", *marks]
+    named = distinct.select("vertex", "first", "copies", "tree", *[c.alias(k) for k, c in marks.items()])
+    # vectors stay where they are while their 128 bits differ
+    if not named.groupBy(*keys).count().where("count > 1").isEmpty():
+        keys, named = ["tree", "vector"], distinct.select("vertex", "first", "copies", "tree", "vector")
+    named = named.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    facts = distinct.join(named.select("vertex", "root"), "vertex").join(least, "root").join(counts, "vertex", "left")
-    facts = cut_lineage(facts.select("tree", "vector", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    linked = usable.join(facts, ["tree", "vector"]).select("vec_id", "n_links", "component_id")
+    facts = named.join(least, "root").join(counts, "vertex", "left")
+    facts = cut_lineage(facts.select(*keys, "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    said = usable.select("vec_id", "tree", *[F.col(k) if k == "vector" else marks[k].alias(k) for k in keys[1:]])
+    linked = said.join(facts, keys).select("vec_id", "n_links", "component_id")
     alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
