@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tidemark.operators import index as module
 from tidemark.operators import search as S
 from tidemark.operators.index import SearchIndex, _Best
 from tidemark.session import scratch_path
@@ -183,3 +185,29 @@ def test_scores_of_a_repeated_id_add_up(spark, empty):
     rows = S.Search(index, asked).chunk_scores()
     assert rows.columns == ["query_id", "id", "chunk_no", "score"]
     assert sorted((r["id"], round(r["score"], 6)) for r in rows.collect()) == [(1, 2.0), (2, 1.0)]
+
+
+def test_a_merge_moves_postings_in_cells(spark, empty, monkeypatch):
+    """No row per word and chunk is shuffled: an old bucket sends a cell to each group of new ones."""
+    monkeypatch.setattr(module, "MERGED_BUCKETS", 2)
+    documents = texts(random.Random(11), range(60), lengths=(0, 3, 150, 700, 9000))
+    KNOWN.update(documents)
+    index = empty.add(frame_of(spark, dict(list(documents.items())[:30])), buckets=3).add(frame_of(spark, documents), buckets=2)
+    stored, plans = SearchIndex._store_postings, []
+    monkeypatch.setattr(SearchIndex, "_store_postings", lambda self, rows, segment: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or stored(self, rows, segment))
+    merged = index.delete(spark.createDataFrame([(3,), (31,)], "doc_id long")).merge(buckets=5)
+    assert len(plans) == 1 and "Generate explode(filter" not in plans[0] and "FlatMapCoGroupsInArrow" in plans[0]
+    left = {i: t for i, t in documents.items() if i not in (3, 31)}
+    assert found(spark, merged, 6) == brute_force(left, QUERIES, 6)
+    fresh = SearchIndex.create(spark, scratch_path(spark, "index")).add(frame_of(spark, left), buckets=5)
+    same = lambda i: sorted(map(tuple, i._table("postings").select("bucket", "block", "term", "bits").collect()))
+    assert same(merged) == same(fresh)
+    terms = lambda i: sorted(map(tuple, i._frequencies().collect()))
+    assert terms(merged) == terms(fresh)
+
+
+def test_postings_of_words_in_overlapping_chunks():
+    rows = [pa.record_batch({"bucket": pa.array([4, 4, 4, 5], pa.int32()), "words": [["b", "a"] * 3, None, ["a"], ["c"]]})]
+    made = [tuple(r.values()) for batch in module._said(4, 2)(iter(rows)) for r in batch.to_pylist()]
+    # chunks 0 to 2 of the first text, the third one's is number 3
+    assert made == [(4, 0, "a", 0b1111, 2), (4, 0, "b", 0b111, 1), (5, 0, "c", 1, 1)]

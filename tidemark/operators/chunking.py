@@ -47,10 +47,3 @@ def chunk_documents(
         F.least(F.col("start_idx") + size, F.col("__n")).alias("end_idx"),
         F.array_join(F.slice("__words", F.col("start_idx") + 1, size), " ").alias("text"),
     )
-
-
-def chunks_of_word(position: Column, size: int, stride: int) -> Column:
-    """Numbers of the chunks that hold the word at a position."""
-    last = F.floor(position / stride).cast("int")
-    first = F.greatest(F.lit(0), F.ceil((position - (size - 1)) / stride).cast("int"))
-    return F.sequence(first, last)

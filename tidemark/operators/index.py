@@ -24,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,14 +33,16 @@ from pyspark.sql.types import DoubleType, IntegerType
 
 from ..functions.text import split_words
 from ..session import cut_lineage, spread
-from .chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunks_of_word, window
+from .chunking import CHUNK_OVERLAP, CHUNK_SIZE, window
 
 # tasks get these functions by value, so executors need not have this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 64
-#: Bytes of text for a bucket; a task builds a few, with about 40 times as much memory.
+#: Bytes of text for a bucket; a task builds one after another, with about 40 times as much memory.
 BUCKET_BYTES = 4_000_000
+#: New buckets that a task of a merge makes together.
+MERGED_BUCKETS = 4
 #: Words of queries that are searched in one pass and known to every task; more queries take more passes.
 PASS_WORDS = 200_000
 #: Passages that are met as a broadcast list by the stored texts; for more of them the texts are shuffled.
@@ -53,11 +56,14 @@ TABLES = {
     "texts": "id {id}, words array<string>",
     "documents": "id {id}, begin long, chunks int, origin int, home int",
     "blocks": "block long, ids array<{id}>, numbers array<int>",
-    "postings": "term string, block long, bits long",
+    # the first posting of a word in a bucket that was imported says how many documents there have it
+    "postings": "term string, block long, bits long, documents long",
     "terms": "term string, frequency long",
     "dead": "id {id}, block long, bits long",
 }
 ADDRESS = ["segment", "bucket", "block"]
+MADE = "bucket int, block long, term string, bits long, documents long"
+CELL = "group int, terms array<string>, sizes array<int>, buckets array<int>, blocks array<int>, slots array<tinyint>"
 
 
 def _fresh() -> int:
@@ -148,7 +154,7 @@ class SearchIndex:
 
     def _numbered(self, rows: DataFrame, buckets: int) -> DataFrame:
         """``begin``: the number of a document's first chunk in its bucket."""
-        before = Window.partitionBy("bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("bucket").orderBy("id", "chunks").rowsBetween(Window.unboundedPreceding, -1)
         begin = F.coalesce(F.sum(F.col("chunks").cast("long")).over(before), F.lit(0).cast("long"))
         return rows.repartition(buckets, "bucket").withColumn("begin", begin)
 
@@ -187,25 +193,21 @@ class SearchIndex:
         placed = fresh.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
         self._store(placed, "texts", segment)
         texts = self._new("texts", segment)
-        counted = texts.select("bucket", "id", F.ceil(F.size("words") / self.stride).cast("int").alias("chunks"))
+        chunks = F.ceil(F.size("words") / self.stride).cast("int")
+        counted = texts.select("bucket", "id", chunks.alias("chunks"))
         numbered = self._numbered(counted, buckets).withColumn("origin", F.lit(segment)).withColumn("home", F.col("bucket"))
         self._store(numbered, "documents", segment)
         self._store_blocks(segment, buckets)
-        # words in place: the stored texts with the number of their first chunk
-        begins = self._new("documents", segment).select("bucket", "id", "begin").repartition(buckets, "bucket", "id")
-        said = texts.select("bucket", "id", "words").repartition(buckets, "bucket", "id").join(begins, ["bucket", "id"])
-        said = said.select("bucket", "begin", F.posexplode("words").alias("position", "term"))
-        numbers = F.explode(chunks_of_word(F.col("position"), self.words, self.stride)).alias("chunk_no")
-        said = said.select("bucket", F.lower("term").alias("term"), "begin", numbers).withColumn("at", F.col("begin") + F.col("chunk_no"))
-        said = said.select("bucket", "term", F.floor(F.col("at") / BLOCK).alias("block"), _bit(F.col("at") % BLOCK).alias("bit"))
-        self._store_postings(said, segment, buckets)
-        distinct = texts.select(F.explode(F.array_distinct(F.transform("words", lambda w: F.lower(w)))).alias("term"))
-        self._store_terms(distinct.groupBy("term").agg(F.count(F.lit(1)).alias("frequency")), "terms", segment)
+        # a bucket whole in its task, its documents in the order they are numbered in
+        said = texts.select("bucket", "id", chunks.alias("chunks"), F.transform("words", lambda w: F.lower(w)).alias("words"))
+        said = said.repartition(buckets, "bucket").sortWithinPartitions("bucket", "id", "chunks").select("bucket", "words")
+        self._store_postings(said.mapInArrow(_said(self.words, self.stride), MADE), segment)
+        counted = self._new("postings", segment).where("documents IS NOT NULL")
+        self._store_terms(counted.groupBy("term").agg(F.sum("documents").alias("frequency")), "terms", segment)
         return self._changed([*self.segments, segment], self.marks)
 
-    def _store_postings(self, bits: DataFrame, segment: int, buckets: int) -> None:
-        """(bucket, block, term, bit) as postings: one shuffle, a bucket whole in its task."""
-        postings = bits.repartition(buckets, "bucket").groupBy("bucket", "block", "term").agg(F.bit_or("bit").alias("bits"))
+    def _store_postings(self, postings: DataFrame, segment: int) -> None:
+        """(bucket, block, term, bits, documents), a bucket whole in its task."""
         # sorted, so that parts of a file hold narrow ranges of words
         self._store(postings.sortWithinPartitions("bucket", "term", "block"), "postings", segment)
 
@@ -262,17 +264,17 @@ class SearchIndex:
         moved = moved.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
         self._store(self._numbered(moved, buckets), "documents", segment)
         self._store_blocks(segment, buckets)
-        new = self._chunks(self._new("blocks", segment)).select("id", "chunk_no", F.col("bucket").alias("to"), F.col("block").alias("new_block"), _bit(F.col("slot")).alias("bit"))
+        to = [F.col(a).alias(b) for a, b in (("bucket", "to"), ("block", "new_block"), ("slot", "new_slot"))]
+        new = self._chunks(self._new("blocks", segment)).select("id", "chunk_no", *to)
         # an id may be dead in one of the segments and alive in another
         alive = self.documents().where(inside).select("segment", "id")
         places = self._chunks(self._table("blocks").where(inside)).join(alive, ["segment", "id"], "left_semi").join(new, ["id", "chunk_no"]).drop("id", "chunk_no")
-        # a row per old block, which says where each of its slots goes
-        moves = places.groupBy(*ADDRESS).agg(F.collect_list(F.struct("slot", "to", "new_block", "bit")).alias("moves"))
-        held = lambda m: F.col("bits").bitwiseAND(_bit(m["slot"])) != 0
-        met = self._postings().where(inside).repartition(buckets, *ADDRESS).join(moves.repartition(buckets, *ADDRESS), ADDRESS)
-        moved = met.select("term", F.explode(F.filter("moves", held)).alias("m"))
-        moved = moved.select(F.col("m.to").alias("bucket"), F.col("m.new_block").alias("block"), "term", F.col("m.bit").alias("bit"))
-        self._store_postings(moved, segment, buckets)
+        # an old bucket meets the new places of its chunks, which the dead have none of
+        packed = "segment int, bucket int, terms array<string>, codes array<int>, blocks array<long>, bits array<long>"
+        old = self._table("postings").where(inside).select("segment", "bucket", "term", "block", "bits").mapInArrow(_packed, packed)
+        moved = old.groupBy("segment", "bucket").cogroup(places.groupBy("segment", "bucket")).applyInArrow(_moved, CELL)
+        moved = moved.repartition(-(-buckets // MERGED_BUCKETS), "group").sortWithinPartitions("group")
+        self._store_postings(moved.mapInArrow(_merged, MADE), segment)
         terms = self._frequencies(inside).where("frequency > 0")
         self._store_terms(terms, "terms", segment)
         return self._changed([s for s in self.segments if s not in chosen] + [segment], self.marks if len(chosen) < len(self.segments) else [])
@@ -426,6 +428,151 @@ class SearchIndex:
         return stored.join(few(placed), ["origin", "home", "id"]).withColumn("text", text).drop("origin", "home", "words")
 
 
+def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each value of a column, which arrive one after another."""
+    last, held = None, []
+    for batch in batches:
+        values = batch.column(key).to_numpy()
+        edges = np.flatnonzero(np.diff(values)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(values)]):
+            if a == b:
+                continue
+            if held and values[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = values[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _listed(rows: pa.Table, name: str) -> pa.Array:
+    """The lists of a column one after another."""
+    return pa.concat_arrays([c.flatten() for c in rows.column(name).chunks])
+
+
+def _numbers(rows: pa.Table, name: str) -> np.ndarray:
+    return _listed(rows, name).to_numpy().astype(np.int64)
+
+
+def _lengths(rows: pa.Table, name: str) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(rows.column(name)), 0).to_numpy().astype(np.int64)
+
+
+def _coded(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words, and the number of each word among them."""
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+
+
+def _steps(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the counts, one after another."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _postings(vocabulary: pa.Array, bucket: np.ndarray, code: np.ndarray, block: np.ndarray, slot: np.ndarray, documents: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The postings of words (numbers in ``vocabulary``) in slots of blocks, by bucket, word and block."""
+    if not len(code):
+        return
+    order = pc.sort_indices(vocabulary).to_numpy().astype(np.int64)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    blocks = int(block.max()) + 1
+    key = (bucket * len(order) + rank[code]) * blocks + block
+    by = np.argsort(key)
+    key = key[by]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), slot.astype(np.uint64))[by], first).view(np.int64)
+    word = key[first] // blocks
+    number = order[word % len(order)]
+    counts = np.zeros(len(order), np.int64) if documents is None else documents
+    untold = np.diff(word, prepend=-1) == 0 if documents is not None else np.ones(len(word), bool)
+    columns = [
+        pa.array(word // len(order), pa.int32()), pa.array(key[first] % blocks), vocabulary.take(pa.array(number)),
+        pa.array(bits), pa.array(counts[number], pa.int64(), mask=untold),
+    ]
+    made = pa.RecordBatch.from_arrays(columns, ["bucket", "block", "term", "bits", "documents"])
+    for at in range(0, made.num_rows, 1 << 16):
+        yield made.slice(at, 1 << 16)
+
+
+def _said(size: int, stride: int):
+    """Task: the postings of the words of texts, which arrive bucket by bucket in the order of their documents."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches, "bucket"):
+            vocabulary, code = _coded(_listed(rows, "words"))
+            count = _lengths(rows, "words")
+            chunks = -(-count // stride)
+            begin = np.cumsum(chunks) - chunks
+            document, position = np.repeat(np.arange(len(count)), count), _steps(count)
+            # a word stands in all chunks that began less than their size before it
+            first = np.maximum(0, -((size - 1 - position) // stride))
+            many = position // stride - first + 1
+            of = np.repeat(np.arange(len(code)), many)
+            at = begin[document[of]] + first[of] + _steps(many)
+            pairs = np.sort(code * len(count) + document)
+            held = pairs[np.diff(pairs, prepend=-1) != 0] // max(1, len(count))
+            bucket = np.full(len(of), rows.column("bucket")[0].as_py())
+            yield from _postings(vocabulary, bucket, code[of], at // BLOCK, at % BLOCK, np.bincount(held, minlength=len(vocabulary)))
+
+    return task
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: postings as a row for each stretch of one bucket: its words, and of each posting the word's number, the block and the bits."""
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ADDRESS[:2]], 1)
+        edges = (np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()
+        for a, b in zip([0, *edges], [*edges, len(keys)]):
+            if a == b:
+                continue
+            part = batch.slice(a, b - a)
+            coded = part.column("term").dictionary_encode()
+            lists = [coded.dictionary, coded.indices.cast(pa.int32()), part.column("block"), part.column("bits")]
+            columns = [part.column(c).slice(0, 1) for c in ADDRESS[:2]] + [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in lists]
+            yield pa.RecordBatch.from_arrays(columns, [*ADDRESS[:2], "terms", "codes", "blocks", "bits"])
+
+
+def _moved(old: pa.Table, places: pa.Table) -> pa.Table:
+    """Grouped task: the postings of an old bucket at their new places: for each group of new buckets its words, how often each comes, and where."""
+    kinds = dict(zip(("group", "terms", "sizes", "buckets", "blocks", "slots"), (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int8())))
+    if not old.num_rows or not places.num_rows:
+        return pa.schema([(n, k if n == "group" else pa.list_(k)) for n, k in kinds.items()]).empty_table()
+    vocabulary, number = _coded(_listed(old, "terms"))
+    terms = _lengths(old, "terms")
+    code = number[np.repeat(np.cumsum(terms) - terms, _lengths(old, "codes")) + _numbers(old, "codes")]
+    bits = _numbers(old, "bits").astype("<i8")
+    stands = np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+    posting = stands // BLOCK
+    at = _numbers(old, "blocks")[posting] * BLOCK + stands % BLOCK
+    moves = {c: places.column(c).to_numpy().astype(np.int64) for c in ("block", "slot", "to", "new_block", "new_slot")}
+    own = moves["block"] * BLOCK + moves["slot"]
+    by = np.argsort(own)
+    low, high = np.searchsorted(own[by], at, "left"), np.searchsorted(own[by], at, "right")
+    move = by[np.repeat(low, high - low) + _steps(high - low)]
+    code = np.repeat(code[posting], high - low)
+    group = moves["to"][move] // MERGED_BUCKETS
+    order = np.argsort(group * len(vocabulary) + code)
+    move, group, code = move[order], group[order], code[order]
+    new = np.diff(group, prepend=-1) != 0
+    first = np.flatnonzero(new | (np.diff(code, prepend=-1) != 0))
+    edges = np.append(np.flatnonzero(new), len(group))
+    listed = {"terms": vocabulary.take(pa.array(code[first])), "sizes": np.diff(np.append(first, len(code))), "buckets": moves["to"][move], "blocks": moves["new_block"][move], "slots": moves["new_slot"][move]}
+    columns = {"group": pa.array(group[edges[:-1]], pa.int32())}
+    for name, values in listed.items():
+        offsets = np.searchsorted(first, edges) if name in ("terms", "sizes") else edges
+        columns[name] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kinds[name]) if name != "terms" else values)
+    return pa.table(columns)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: the postings of new buckets from what old ones moved there, which arrives group by group."""
+    for rows in _by_key(batches, "group"):
+        vocabulary, code = _coded(_listed(rows, "terms"))
+        yield from _postings(vocabulary, _numbers(rows, "buckets"), np.repeat(code, _numbers(rows, "sizes")), _numbers(rows, "blocks"), _numbers(rows, "slots"))
+
+
 def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(segment, bucket, ids, numbers, words, bits) of every block that holds words of a query, from rows sorted by block."""
     rest = None
